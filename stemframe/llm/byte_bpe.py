@@ -18,8 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces above this many bytes, and more than this many pieces, are not remembered by a worker.
-MEMO_BYTES, MEMO_PIECES = 64, 400_000
+#: A worker remembers the encodings of pieces and words up to so many characters, and so many of each; then it starts anew.
+MEMO_LENGTH, MEMO_PIECES, MEMO_PAIRS, MEMO_HEADS = 64, 400_000, 2_000_000, 300_000
+#: Prefix tables are shared between pieces that begin with the same so many bytes.
+HEADS = (20, 13, 8)
+
+
+#: Fixed value: the public pattern for which a text may be cut before single spaces.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Ranks:
@@ -29,30 +35,60 @@ class Ranks:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self._stands: dict[tuple[int, int], bool] = {}
+        self._stands: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE as defined: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+        get, none = self.ranks.get, 1 << 60
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
-    def stands(self, left: int, right: int) -> bool:
+    def _stands_beside(self, left: int, right: int) -> bool:
         """Does BPE leave ``right`` beside ``left``? left -1: at the start."""
-        key = (left, right)
-        found = self._stands.get(key)
-        if found is None:
-            if len(self._stands) > 2_000_000:
-                self._stands.clear()
-            tail = self.tokens[right]
-            found = self.merged(tail) == [right] if left < 0 else self.merged(self.tokens[left] + tail) == [left, right]
-            self._stands[key] = found
-        return found
+        tail = self.tokens[right]
+        return self.merged(tail) == [right] if left < 0 else self.merged(self.tokens[left] + tail) == [left, right]
+
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Add the last tokens of the prefixes of ``data`` that ``last`` does not have yet.
+
+        Exactly one token fits each prefix, so the order of trying does not matter; short ones are commonest.
+        """
+        get, known, longest = self.ranks.get, self._stands, self.longest
+        for end in range(len(last), len(data) + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
+                token = get(data[start:end])
+                if token is None:
+                    continue
+                pair = last[start] << 24 | token
+                stands = known.get(pair)
+                if stands is None:
+                    if len(known) > MEMO_PAIRS:
+                        known.clear()
+                    stands = known[pair] = self._stands_beside(last[start], token)
+                if stands:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+
+    def walk_back(self, data: bytes, last: list[int]) -> list[int]:
+        """The encoding of a piece: a token of its own if there is one, else its last tokens from the end."""
+        if (whole := self.ranks.get(data)) is not None:
+            return [whole]
+        found, at = [], len(data)
+        while at:
+            found.append(last[at])
+            at -= len(self.tokens[last[at]])
+        return found[::-1]
 
 
 class Piece:
@@ -64,16 +100,8 @@ class Piece:
 
     def append(self, more: bytes) -> None:
         """Extend the piece; what is stored about its prefixes stays as it is."""
-        data = self.data = self.data + more
-        last, ranks, tokens, stands = self.last, self.of.ranks, self.of.tokens, self.of.stands
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - self.of.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and stands(last[start], token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        self.data += more
+        self.of.extend(self.data, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Put ``new`` in place of bytes start..end; prefixes up to ``start`` are kept."""
@@ -82,14 +110,7 @@ class Piece:
         self.append(new + tail)
 
     def ids(self) -> list[int]:
-        """The encoding: the piece as a token of its own if there is one, else the walk back over last tokens."""
-        if (whole := self.of.ranks.get(self.data)) is not None:
-            return [whole]
-        found, at = [], len(self.data)
-        while at:
-            found.append(self.last[at])
-            at -= len(self.of.tokens[found[-1]])
-        return found[::-1]
+        return self.of.walk_back(self.data, self.last)
 
 
 class Encoder:
@@ -97,26 +118,66 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.of, self.split = Ranks(ranks), regex.compile(pattern).findall
-        self._memo: dict[str, bytes] = {}
+        #: Known of this pattern: no match goes on into a space after another character.
+        self.falls_apart = pattern == PATTERN
+        self._pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._heads: dict[bytes, list[int]] = {}
         self._token = self.of.tokens.__getitem__
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        memo, out = self._memo, []
+    def _by_pieces(self, text: str) -> bytes:
+        memo, out = self._pieces, []
         for piece in self.split(text):
             found = memo.get(piece)
             if found is None:
                 data = piece.encode("utf-8", "surrogatepass")
-                whole = self.of.ranks.get(data)
-                ids = [whole] if whole is not None else Piece(self.of, data).ids()
+                ids = self.of.walk_back(data, self._table(data))
                 found = struct.pack(f"<{len(ids)}I", *ids)
-                if len(data) <= MEMO_BYTES:
+                if len(piece) <= MEMO_LENGTH:
                     if len(memo) > MEMO_PIECES:
                         memo.clear()
                     memo[piece] = found
             out.append(found)
         return b"".join(out)
 
+    def _table(self, data: bytes) -> list[int]:
+        """The prefix table of a piece, begun with that of an earlier piece with the same first bytes."""
+        if data in self.of.ranks:
+            return []
+        last = next((t.copy() for n in HEADS if len(data) > n and (t := self._heads.get(data[:n]))), [-1])
+        known = len(last)
+        self.of.extend(data, last)
+        for n in HEADS:
+            if known <= n < len(data):
+                if len(self._heads) > MEMO_HEADS:
+                    self._heads.clear()
+                self._heads[data[:n]] = last[: n + 1]
+        return last
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers.
+
+        A single space between two other characters always starts a match, so a text falls apart there
+        and the words between such spaces are remembered. A text with other white space beside a space
+        (or at an end of it) is split by the pattern as a whole.
+        """
+        if not self.falls_apart:
+            return self._by_pieces(text)
+        memo, out, lead = self._words, [], ""
+        for word in text.split(" "):
+            found = memo.get(word) if lead else None
+            if found is None:
+                if not word or word[0].isspace() or word[-1].isspace():
+                    return self._by_pieces(text)
+                found = self._by_pieces(lead + word)
+                if lead and len(word) <= MEMO_LENGTH:
+                    if len(memo) > MEMO_PIECES:
+                        memo.clear()
+                    memo[word] = found
+            out.append(found)
+            lead = " "
+        return b"".join(out)
+
     def encode(self, text: str) -> list[int]:
         packed = self.packed(text)
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))

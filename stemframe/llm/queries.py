@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, mixing, quality_rules
+from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality_rules
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).drop("mixture")
+
+
 @query("op4_exact_dedup", exact_dedup.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op10_mixing", mixing.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))

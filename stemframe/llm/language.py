@@ -56,6 +56,14 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "gram", "n"])
 
 
+def _bag(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if grams.size < 1000:
+        return np.unique(grams, return_counts=True)
+    n = np.bincount(grams, minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
 class Mixture:
     """Trigram probabilities by language, and inference of proportions for batches of documents."""
 
@@ -64,11 +72,14 @@ class Mixture:
         p = counts + smoothing
         self.p = p / p.sum(axis=0, keepdims=True) if langs else p
 
-    def _em(self, p, n, doc, starts, size, share):
-        for _ in range(self.rounds):
+    def _em(self, p, n, doc, starts, size, share, rounds):
+        p, share = p.astype(np.float32), share.astype(np.float32)
+        for _ in range(rounds):
             joint = p * share[doc]
-            joint *= (n / joint.sum(axis=1))[:, None]
-            share = np.add.reduceat(joint, starts) / size[:, None]
+            joint *= (n / joint.sum(axis=1))[:, None].astype(np.float32)
+            share = np.add.reduceat(joint, starts) / size[:, None].astype(np.float32)
+        share = share.astype(float)
+        share /= share.sum(axis=1, keepdims=True)
         return share, np.add.reduceat(n * np.log((p * share[doc]).sum(axis=1)), starts)
 
     def infer(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +89,7 @@ class Mixture:
         some = [i for i, b in enumerate(bags) if b.size]
         if not langs or not some:
             return shares, score
-        unique = [np.unique(bags[i], return_counts=True) for i in some]
+        unique = [_bag(bags[i]) for i in some]
         lengths = np.array([u.size for u, _ in unique])
         gram, n = np.concatenate([u for u, _ in unique]), np.concatenate([c for _, c in unique]).astype(float)
         starts, doc = np.concatenate(([0], np.cumsum(lengths)[:-1])), np.repeat(np.arange(len(some)), lengths)
@@ -90,7 +101,7 @@ class Mixture:
         value = alone.max(axis=1)
         sure = 1 / np.exp(np.maximum(alone - value[:, None], -700)).sum(axis=1)
         if langs > 1:
-            full, likely = self._em(p, n, doc, starts, size, np.full((len(some), langs), 1 / langs))
+            full, likely = self._em(p, n, doc, starts, size, np.full((len(some), langs), 1 / langs), self.rounds // 2)
             cost = self.penalty * np.log(size + 1)
             # Only where all languages together gain more than one further language costs can a larger set win.
             open_ = np.flatnonzero(likely - value > cost)
@@ -103,7 +114,7 @@ class Mixture:
                 start = np.full((open_.size, langs), 0.0)
                 np.put_along_axis(start, order[open_, :k], np.take_along_axis(full[open_], order[open_, :k], 1) + 1e-6, 1)
                 start /= start.sum(axis=1, keepdims=True)
-                share, likely_k = self._em(p[rows], n[rows], np.repeat(np.arange(open_.size), own), np.concatenate(([0], np.cumsum(own)[:-1])), size[open_], start)
+                share, likely_k = self._em(p[rows], n[rows], np.repeat(np.arange(open_.size), own), np.concatenate(([0], np.cumsum(own)[:-1])), size[open_], start, self.rounds)
                 won = likely_k - (k - 1) * cost[open_] > value[open_]
                 at = open_[won]
                 found[at], value[at] = share[won], (likely_k - (k - 1) * cost[open_])[won]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality_rules
+from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality_gam, quality_rules, substring_dedup
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -27,6 +27,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).drop("mixture")
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("factors")
+
+
 @query("op4_exact_dedup", exact_dedup.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, quality_gam, quality_rules, substring_dedup
+from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, near_dedup, quality_gam, quality_rules, substring_dedup
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

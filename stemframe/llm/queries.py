@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, html_text, language, mixing, near_dedup, quality_gam, quality_rules, substring_dedup
+from stemframe.llm import byte_bpe, exact_dedup, html_text, language, license_scan, mixing, near_dedup, quality_gam, quality_rules, substring_dedup
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -55,6 +55,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op7_license_scan", license_scan.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules", quality_rules.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")

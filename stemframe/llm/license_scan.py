@@ -8,6 +8,10 @@ Templates of similar length share a window length and a step: a window is so muc
 that each occurrence lies in one as a whole, and no longer, so that its similarity to the template stays
 high. From the least similarity of a true match follows how many bands (of one minimum each) are needed to
 miss at most one in ``1 / MISS``.
+
+A window has a template's minimum in a band only if it holds the very shingle that gives this minimum. So
+a stretch of text without any such shingle has no window to look at, and elsewhere the minima are taken
+for the windows over these places; which windows retrieve a template is the same as if all were taken.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 5
 MISS = 1e-6
-#: Shingles that are worked on at a time; a long text never stands in memory once per band.
-CHUNK = 4096
+#: Shingles that are worked on at a time; a multiple of every step.
+CHUNK = 512
 
 # Public notices, as they are printed in works under these licenses.
 TEMPLATES = {
@@ -114,31 +118,31 @@ def prepare(spark: SparkSession, templates: dict[str, str], percent: int) -> lis
 def _in_chunk(w: Column, geometries: list[Geometry], percent: int) -> Column:
     """Names of the templates that a stretch of words holds."""
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    seeds = longs(_seed(k) for k in range(max(g.bands for g in geometries)))
+    no_names, no_places = F.array().cast("array<string>"), F.array().cast("array<int>")
+
+    def decisive(gs: list[Geometry]) -> Column:
+        """The shingles that give the templates' minima."""
+        return longs(sorted({t[2][k] ^ _seed(k) for g in gs for t in g.templates for k in range(g.bands)}))
 
-    def of_class(g: Geometry, h: Column, salted: Column) -> Column:
+    def of_class(g: Geometry, h: Column) -> Column:
         minima = F.array(*[longs(t[2][k] for t in g.templates) for k in range(g.bands)])
-        last = F.least(F.size(h), F.lit(CHUNK)) - 1
-        starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), last, F.lit(g.step))).otherwise(F.array().cast("array<int>"))
-        retrieved = F.transform(
-            F.sequence(F.lit(0), F.lit(g.bands - 1)),
-            lambda k: F.filter(starts, lambda at: F.array_contains(F.get(minima, k), F.array_min(F.slice(F.get(salted, k), at + 1, g.window)))),
-        )
+        seeds, step = longs(_seed(k) for k in range(g.bands)), F.lit(g.step)
+        places = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(decisive([g]), F.get(h, i)))
+        over = F.transform(places, lambda p: F.sequence((F.ceil(F.greatest(p - (g.window - 1), F.lit(0)) / step) * step).cast("int"), p, step))
+        starts = F.filter(F.array_distinct(F.flatten(over)), lambda at: at < CHUNK)
+        agrees = lambda k, own: F.array_contains(F.get(minima, k), F.array_min(F.transform(own, lambda x: x.bitwiseXOR(F.get(seeds, k)))))
+        retrieved = F.filter(starts, lambda at: _let(F.slice(h, at + 1, g.window), lambda own: F.exists(F.sequence(F.lit(0), F.lit(g.bands - 1)), lambda k: agrees(k, own))))
         library = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, s)).alias("s")) for name, s, _ in g.templates])
 
         def verified(windows: Column) -> Column:
             own = F.transform(windows, lambda at: _shingles(w, at, F.least(F.lit(g.window), F.size(h) - at)))
             holds = lambda t: F.exists(own, lambda s: 100 * F.size(F.array_intersect(t["s"], s)) >= percent * F.size(t["s"]))
-            # Nothing retrieved, nothing to verify: most documents end here.
-            return F.when(F.size(windows) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.filter(library, holds), lambda t: t["name"]))
-
-        return _let(F.array_distinct(F.flatten(retrieved)), verified)
+            return F.when(F.size(windows) == 0, no_names).otherwise(F.transform(F.filter(library, holds), lambda t: t["name"]))
 
-    def all_classes(h: Column) -> Column:
-        salted = F.transform(seeds, lambda s: F.transform(h, lambda x: x.bitwiseXOR(s)))
-        return _let(salted, lambda t: F.concat(*[of_class(g, h, t) for g in geometries]))
+        return _let(F.when(F.size(places) == 0, no_places).otherwise(retrieved), verified)
 
-    return _let(_hashes(w), all_classes)
+    hit = lambda h: F.arrays_overlap(h, decisive(geometries))
+    return _let(_hashes(w), lambda h: F.when(hit(h), F.concat(*[of_class(g, h) for g in geometries])).otherwise(no_names))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

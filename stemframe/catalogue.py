@@ -8,6 +8,9 @@ from stemframe.registry import ORACLES, QUERIES, Query
 
 MODULES = [
     "stemframe.plans.flagship",
+    "stemframe.operators.level",
+    "stemframe.operators.ensemble",
+    "stemframe.operators.metrics",
 ]
 
 

@@ -9,6 +9,7 @@ from stemframe.registry import ORACLES, QUERIES, Query
 MODULES = [
     "stemframe.plans.flagship",
     "stemframe.operators.level",
+    "stemframe.operators.frames",
     "stemframe.operators.ensemble",
     "stemframe.operators.metrics",
 ]

@@ -10,6 +10,8 @@ MODULES = [
     "stemframe.plans.flagship",
     "stemframe.operators.level",
     "stemframe.operators.frames",
+    "stemframe.operators.spectral",
+    "stemframe.operators.pair",
     "stemframe.operators.ensemble",
     "stemframe.operators.metrics",
 ]

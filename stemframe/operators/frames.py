@@ -296,10 +296,10 @@ def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = """m AS (SELECT *, abs(sum(v) OVER (PARTITION BY track, stem ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) AS s FROM stems),
-c AS (SELECT unnest(range(120, 720, 120)) AS centre), f AS (SELECT track, stem, centre, arg_min(pos, (round(s, 6), pos)) AS at FROM m JOIN c ON pos >= centre - 30 AND pos < centre + 30 GROUP BY ALL)"""
+c AS (SELECT unnest(range(120, 720, 120)) AS centre), f AS (SELECT track, stem, centre, arg_min(pos, (round(s, 6), pos)) AS spot FROM m JOIN c ON pos >= centre - 30 AND pos < centre + 30 GROUP BY ALL)"""
 
 
-@query("c15_silence_cut_points", f"WITH {fx.STEMS}, {_CUT} SELECT track, stem, CAST(centre AS INTEGER) AS centre, CAST(floor(at / 8) * 8 AS INTEGER) AS cut FROM f")
+@query("c15_silence_cut_points", f"WITH {fx.STEMS}, {_CUT} SELECT track, stem, CAST(centre AS INTEGER) AS centre, CAST(floor(spot / 8) * 8 AS INTEGER) AS cut FROM f")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silence_cut_points(fx.stems(spark, sf_dir), KEYS, 300, 120, 30, 8)
 

@@ -8,8 +8,9 @@
    are in one component needs nothing more, which is how large groups of copies end here.
 4. In the other buckets, members that are not similar to their leader may still be similar to each other.
    For the classes in them a prefix filter finds these pairs: ordered by how rare they are, two sets of the
-   wanted similarity share one of their first shingles. So pairs are made where they are likely to be
-   links, never for all members of a bucket; all candidates are confirmed on the full sets.
+   wanted similarity share one of their first shingles. The join itself leaves out pairs whose places of
+   that shingle, or whose parity bitmaps, prove them too different. So pairs are made where they are
+   likely to be links, never for all members of a bucket; all are confirmed on the full sets.
 
 Only a pair that shares no band at all can be missed: with 32 bands of 4 minima that happens to one pair in
 20 million at similarity 0.8.
@@ -55,6 +56,16 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+#: Longs of a set's parity bitmap.
+LONGS = 16
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit k is the parity of the items that hash to k: the bits in which two sets differ are never more than their items that differ."""
+    n = np.bincount((mix(s + np.uint64(11)) >> np.uint64(54)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(n.astype(np.uint8)).view(np.int64)
+
+
 def _sketcher(width: int):
     def run(batches):
         for batch in batches:
@@ -74,8 +85,9 @@ def _sketcher(width: int):
 def _setter(width: int):
     def run(batches):
         for batch in batches:
-            sets = [signed(shingles(t, width)) for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "sig", "items"])
+            sets = [shingles(t, width) for t in batch.column(4).to_pylist()]
+            bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([signed(s) for s in sets], pa.list_(pa.int64())), bits], names=["rep", "n", "sig", "version", "items", "bits"])
 
     return run
 
@@ -104,19 +116,24 @@ def _prefix_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> Dat
     similarity t share one. A shingle in one set only is never shared, yet takes a place in its prefix,
     so sets with many of them drop out at once.
     """
-    items = sets.join(open_classes, "rep").select("rep", "component", "n", F.explode("items").alias("item"))
+    items = sets.join(open_classes, "rep").select("rep", "version", "component", "n", F.explode("items").alias("item"))
     common = staged(items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).filter("df > 1").select("item", "df", (F.col("x") < F.col("y")).alias("crossing")), "common")
     kept = items.join(common, "item")
-    ranked = kept.selectExpr("*", "row_number() OVER (PARTITION BY rep ORDER BY df, item) AS turn", "count(*) OVER (PARTITION BY rep) AS kept")
+    ranked = kept.selectExpr("*", "row_number() OVER (PARTITION BY rep, version ORDER BY df, item) AS turn", "count(*) OVER (PARTITION BY rep, version) AS kept")
     at = F.col("n") - F.col("kept") + F.col("turn")  # place in the whole set, from 1
     least = F.floor((percent * F.col("n") + 99) / 100)
-    prefix = staged(ranked.withColumn("at", at).filter((F.col("at") <= F.col("n") - least + 1) & F.col("crossing")).select("item", "rep", "component", "n", "at"), "prefix")
-    a = prefix.select("item", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = prefix.select("item", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # At most this many shingles can be common to sets that meet at these places.
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    need = percent * (F.col("na") + F.col("nb")) <= (100 + percent) * most
-    return a.join(b, "item").filter((F.col("ca") < F.col("cb")) & _sizes_allow("na", "nb", percent) & need).select("a", "b").distinct()
+    prefix = ranked.withColumn("at", at).filter((F.col("at") <= F.col("n") - least + 1) & F.col("crossing")).select("item", "rep", "version", "component", "n", "at")
+    words = sets.select("rep", "version", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)])
+    prefix = staged(prefix.join(words, ["rep", "version"]).drop("version"), "prefix")
+    side = lambda s: prefix.select("item", *[F.col(c).alias(f"{s}_{c}") for c in prefix.columns if c != "item"])
+    # Where two sets meet first, no more shingles can be common than that one and those after it. That
+    # holds for the first common shingle only, but then a pair of similar sets passes there.
+    most = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    both = F.col("a_n") + F.col("b_n")
+    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
+    possible = (percent * both <= (100 + percent) * most) & (2 * percent * both <= (100 + percent) * (both - differ))
+    joined = side("a").join(side("b"), "item").filter((F.col("a_component") < F.col("b_component")) & _sizes_allow("a_n", "b_n", percent) & possible)
+    return joined.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     flagged = members.select("rep").distinct()
     wanted = classes.join(flagged, "rep").select(F.col("rep").alias("doc_id"), "version", "n", "sig")
     texts = wanted.join(rows, ["doc_id", "version"]).select("doc_id", "n", "sig", "version", "text").dropDuplicates(["doc_id", "version"])
-    sets = staged(texts.mapInArrow(_setter(width), "rep long, n long, sig array<int>, items array<long>"), "sets")
+    sets = staged(texts.mapInArrow(_setter(width), "rep long, n long, sig array<int>, version long, items array<long>, bits array<long>"), "sets")
 
     stars = members.filter("rep <> leader").filter(_sizes_allow("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = components(_confirmed(staged(stars, "pairs"), sets, percent))

@@ -8,6 +8,9 @@ from stemframe.registry import ORACLES, QUERIES, Query
 
 MODULES = [
     "stemframe.plans.flagship",
+    "stemframe.sources.media",
+    "stemframe.plans.catalog",
+    "stemframe.plans.naming",
     "stemframe.operators.level",
     "stemframe.operators.frames",
     "stemframe.operators.spectral",

@@ -15,6 +15,8 @@ MODULES = [
     "stemframe.operators.frames",
     "stemframe.operators.spectral",
     "stemframe.operators.pair",
+    "stemframe.operators.pitch",
+    "stemframe.operators.dataset",
     "stemframe.operators.ensemble",
     "stemframe.operators.metrics",
 ]

@@ -15,6 +15,10 @@ MODULES = [
     "stemframe.operators.frames",
     "stemframe.operators.spectral",
     "stemframe.operators.pair",
+    "stemframe.operators.bands",
+    "stemframe.streaming.jobs",
+    "stemframe.functions.udf",
+    "stemframe.sources.wav",
     "stemframe.operators.pitch",
     "stemframe.operators.dataset",
     "stemframe.operators.ensemble",

@@ -16,31 +16,39 @@ from stemframe.functions.exprs import decibel
 from stemframe.registry import query
 
 EPS = 1e-8
-R, E = F.col("r"), F.col("e")
+
+
+def _r() -> Column:
+    return F.col("r")
+
+
+def _d() -> Column:
+    """The error."""
+    return F.col("r") - F.col("e")
 
 
 def sdr() -> Column:
-    return decibel((F.sum(R * R) + EPS) / (F.sum((R - E) * (R - E)) + EPS))
+    return decibel((F.sum(_r() * _r()) + EPS) / (F.sum(_d() * _d()) + EPS))
 
 
 def si_sdr() -> Column:
     """Scale-invariant; the square of a r - e is expanded, so that one pass is enough. eps counts once a sample."""
-    rr, re, ee, n = F.sum(R * R), F.sum(R * E), F.sum(E * E), F.count(F.lit(1))
+    rr, re, ee, n = F.sum(_r() * _r()), F.sum(_r() * F.col("e")), F.sum(F.col("e") * F.col("e")), F.count(F.lit(1))
     a = (re + n * EPS) / (rr + n * EPS)
     return decibel(a * a * rr / (F.greatest(a * a * rr - 2 * a * re + ee, F.lit(0.0)) + EPS) + EPS)
 
 
 def l1() -> Column:
-    return F.avg(F.abs(R - E))
+    return F.avg(F.abs(_d()))
 
 
 def mse() -> Column:
-    return F.avg((R - E) * (R - E))
+    return F.avg(_d() * _d())
 
 
 def log_wmse() -> Column:
     """ln of the mean squared error relative to the reference's level (the unfiltered form)."""
-    return -F.log(F.avg((R - E) * (R - E)) / (F.avg(R * R) + EPS) + 1e-10)
+    return -F.log(F.avg(_d() * _d()) / (F.avg(_r() * _r()) + EPS) + 1e-10)
 
 
 #: Metrics by name; ``register_score`` adds to them.
@@ -120,7 +128,7 @@ def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_norm_ratio(p: int = 1, eps: float = 1e-3, log: bool = True) -> Column:
     """Error norm against target norm, p = 1 (mean absolute) or 2 (mean square); in decibel or as a plain ratio."""
     norm = (lambda x: F.avg(F.abs(x))) if p == 1 else (lambda x: F.avg(x * x))
-    top, base = norm(R - E), norm(R)
+    top, base = norm(_d()), norm(_r())
     return 10 * (F.log10(top + eps) - F.log10(base + eps)) if log else top / (base + eps)
 
 
@@ -134,7 +142,7 @@ def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neg_sdr_family(joined: DataFrame, keys: list[str], zero_mean: bool = True) -> DataFrame:
     """Negative snr, sisdr and sdsdr by key, of the signals less their means."""
     n = F.count(F.lit(1))
-    s = joined.groupBy(*keys).agg(n.alias("n"), F.sum("r").alias("r1"), F.sum("e").alias("e1"), F.sum(R * R).alias("rr"), F.sum(R * E).alias("re"), F.sum(E * E).alias("ee"))
+    s = joined.groupBy(*keys).agg(n.alias("n"), F.sum("r").alias("r1"), F.sum("e").alias("e1"), F.sum(_r() * _r()).alias("rr"), F.sum(_r() * F.col("e")).alias("re"), F.sum(F.col("e") * F.col("e")).alias("ee"))
     if zero_mean:
         s = s.withColumns({"rr": F.expr("rr - r1 * r1 / n"), "re": F.expr("re - r1 * e1 / n"), "ee": F.expr("ee - e1 * e1 / n")})
     s = s.withColumn("a", F.expr("re / (rr + 1e-8)"))
@@ -152,6 +160,6 @@ def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u2_register_score", f"WITH {REF} SELECT track, model, round(max(abs(r - e)), 6) AS worst, round({_SDR}, 4) AS sdr FROM j GROUP BY ALL")
 def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_score("worst", lambda: F.max(F.abs(R - E)))
+    register_score("worst", lambda: F.max(F.abs(_d())))
     out = score(against_median(fx.sig(spark, sf_dir)), ["track", "model"], ["worst", "sdr"])
     return out.select("track", "model", F.round("worst", 6).alias("worst"), F.round("sdr", 4).alias("sdr"))

@@ -35,7 +35,14 @@ def both_spectra(x: DataFrame, y: DataFrame, keys: list[str] = BINS) -> DataFram
     return x.select(*keys, F.col("re").alias("xr"), F.col("im").alias("xi")).join(y.select(*keys, F.col("re").alias("yr"), F.col("im").alias("yi")), keys)
 
 
-XM, YM = F.hypot("xr", "xi"), F.hypot("yr", "yi")
+def xm() -> Column:
+    """Magnitude of the first spectrum."""
+    return F.hypot("xr", "xi")
+
+
+def ym() -> Column:
+    """Magnitude of the second."""
+    return F.hypot("yr", "yi")
 
 
 def _scaled(df: DataFrame, size: Column, re: str, im: str, keys: list[str] = BINS) -> DataFrame:
@@ -46,15 +53,15 @@ def _scaled(df: DataFrame, size: Column, re: str, im: str, keys: list[str] = BIN
 
 def invert_spectrogram(x: DataFrame, y: DataFrame) -> DataFrame:
     """max(|x| - |y|, 0) with the phase of x."""
-    return _scaled(both_spectra(x, y), F.greatest(XM - YM, F.lit(0.0)), "xr", "xi")
+    return _scaled(both_spectra(x, y), F.greatest(xm() - ym(), F.lit(0.0)), "xr", "xi")
 
 
 def invert_audio(x: DataFrame, y: DataFrame, by_peak: bool = True) -> DataFrame:
     """y - max(|x|, |y|) with the phase of x; or x less the softened magnitude of y."""
     both = both_spectra(x, y)
     if by_peak:
-        top = F.greatest(XM, YM)
-        return both.select(*BINS, (F.col("yr") - F.when(XM > 0, top * F.col("xr") / XM).otherwise(top)).alias("re"), (F.col("yi") - F.when(XM > 0, top * F.col("xi") / XM).otherwise(0.0)).alias("im"))
+        top = F.greatest(xm(), ym())
+        return both.select(*BINS, (F.col("yr") - F.when(xm() > 0, top * F.col("xr") / xm()).otherwise(top)).alias("re"), (F.col("yi") - F.when(xm() > 0, top * F.col("xi") / xm()).otherwise(0.0)).alias("im"))
     less = reduce_vocal(x, y, 0.2).select(*BINS, F.col("re").alias("yr"), F.col("im").alias("yi"))
     return x.join(less, BINS).select(*BINS, (F.col("re") - F.col("yr")).alias("re"), (F.col("im") - F.col("yi")).alias("im"))
 
@@ -63,7 +70,7 @@ def reduce_vocal(x: DataFrame, y: DataFrame, soft: float) -> DataFrame:
     """|y| less soft x |x - y| where that is the larger, not below 0, with the phase of y."""
     both = both_spectra(x, y)
     v = F.hypot(F.col("xr") - F.col("yr"), F.col("xi") - F.col("yi"))
-    return _scaled(both, F.greatest(YM - F.when(v > YM, v * soft).otherwise(0.0), F.lit(0.0)), "yr", "yi")
+    return _scaled(both, F.greatest(ym() - F.when(v > ym(), v * soft).otherwise(0.0), F.lit(0.0)), "yr", "yi")
 
 
 def spec_effects(x: DataFrame, y: DataFrame, how: str, value: float = 0.5) -> DataFrame:
@@ -71,7 +78,7 @@ def spec_effects(x: DataFrame, y: DataFrame, how: str, value: float = 0.5) -> Da
     both = both_spectra(x, y)
     if how == "blend":
         return both.select(*BINS, (F.col("yr") * value + F.col("xr") * (1 - value)).alias("re"), (F.col("yi") * value + F.col("xi") * (1 - value)).alias("im"))
-    second = YM <= XM if how == "min" else YM >= XM
+    second = ym() <= xm() if how == "min" else ym() >= xm()
     return both.select(*BINS, F.when(second, F.col("yr")).otherwise(F.col("xr")).alias("re"), F.when(second, F.col("yi")).otherwise(F.col("xi")).alias("im"))
 
 
@@ -83,9 +90,9 @@ def spec_left_right(spec: DataFrame) -> DataFrame:
 def phantom_center(spec: DataFrame, reduction: float = 0.99999) -> DataFrame:
     """Centre (both channels): the smaller magnitude with the other channel's phase; side: the channel less reduction x centre."""
     lr = spec_left_right(spec)
-    m = F.least(XM, YM)
+    m = F.least(xm(), ym())
     # the left channel takes the phase of the right one, and the other way round
-    lr = lr.select("*", *[F.when(s > 0, m * F.col(c) / s).otherwise(z).alias(n) for n, c, s, z in (("cl_re", "yr", YM, m), ("cl_im", "yi", YM, F.lit(0.0)), ("cr_re", "xr", XM, m), ("cr_im", "xi", XM, F.lit(0.0)))])
+    lr = lr.select("*", *[F.when(s > 0, m * F.col(c) / s).otherwise(z).alias(n) for n, c, s, z in (("cl_re", "yr", ym(), m), ("cl_im", "yi", ym(), F.lit(0.0)), ("cr_re", "xr", xm(), m), ("cr_im", "xi", xm(), F.lit(0.0)))])
     part = lambda ch, w: F.struct(F.lit(ch).alias("channel"), *[F.col(f"c{w}_{c}").alias(f"c_{c}") for c in ("re", "im")], *[F.col(f"{'x' if ch == 0 else 'y'}{c[0]}").alias(c) for c in ("re", "im")])
     out = lr.select(*FB, F.explode(F.array(part(0, "l"), part(1, "r"))).alias("p")).select(*FB, "p.*")
     return out.select("track", "channel", "frame", "bin", "c_re", "c_im", (F.col("re") - reduction * F.col("c_re")).alias("s_re"), (F.col("im") - reduction * F.col("c_im")).alias("s_im"))
@@ -354,7 +361,7 @@ def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratio_mask(x: DataFrame, y: DataFrame) -> DataFrame:
     """A mask from two magnitudes: |y| / (|x| + |y|)."""
-    return both_spectra(x, y).select(*BINS, (YM / (XM + YM + 1e-12)).alias("m"))
+    return both_spectra(x, y).select(*BINS, (ym() / (xm() + ym() + 1e-12)).alias("m"))
 
 
 @query("e8_apply_mask", f"WITH {PAIR}, m AS (SELECT *, ym / (xm + ym + 1e-12) AS m FROM b) SELECT {_KEYS}, round(m * xr, 5) + 0.0 AS y_re, round(m * xi, 5) + 0.0 AS y_im, round((1 - m) * xr, 5) + 0.0 AS v_re, round((1 - m) * xi, 5) + 0.0 AS v_im FROM m")

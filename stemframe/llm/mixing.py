@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import WORD_GAP
+from stemframe.llm.common import staged
 
 #: Ranges of the seeded order within each source: the first three hex digits of the hash.
 BUCKETS = 16**3
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_ep
     )
     # A key without nulls, so that joins on it are plain equalities.
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("range", F.substring("turn", 1, 3))
-    ranges = rows.groupBy("key", "range").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    ranges = staged(rows.groupBy("key", "range").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "ranges")
     sizes = {r["source"]: r["words"] for r in ranges.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("words")).collect()}
     weights = cyclic_weights(list(sizes)) if weights is None else {s: weights.get(s, 0) for s in sizes}
     targets = water_fill(sizes, weights, ratio * sum(sizes.values()), max_epochs)

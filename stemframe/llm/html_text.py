@@ -33,6 +33,8 @@ BOILERPLATE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|notification\w*|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|pagination|pager|login|signup|signin|search|copyright|disclaimer|toolbar|alert|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Classes and ids by which pages without <article> or <main> mark their text.
+MAIN_NAMES = frozenset("article article-body article-content articlebody post-body post-content entry-content story-body main-content page-content".split())
 #: These names are boilerplate on the page but may head or end an article.
 PAGE_NAMES = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar|bottom|top)(?:$|[\s_-])", re.I)
 
@@ -40,7 +42,7 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: First pass: blocks below SHORT characters stay undecided; above LINKS a block is a menu; from STOPS on it is prose.
-SHORT, LINKS, STOPS = 70, 0.33, 0.2
+SHORT, LINKS, STOPS = 70, 0.33, 0.15
 
 
 class Block:
@@ -63,7 +65,7 @@ def _kind(tag: str, attributes: dict[str, str], in_main: bool) -> str:
         return "bad"
     if not in_main and tag not in ("html", "body", "main", "article") and (tag == "header" or PAGE_NAMES.search(names)):
         return "bad"
-    return "main" if tag in ("article", "main") or role in ("main", "article") else ""
+    return "main" if tag in ("article", "main") or role in ("main", "article") or not MAIN_NAMES.isdisjoint(names.lower().split()) else ""
 
 
 def blocks(source: str) -> list[Block]:

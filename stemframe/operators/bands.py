@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stemframe import fixtures as fx
 from stemframe.operators.ensemble import ensemble_complex
 from stemframe.operators.metrics import against_median
-from stemframe.operators.spectral import BINS, SPEC, _z, istft, mel_weights, spectra, stft
+from stemframe.operators.spectral import BINS, SPEC, _z, mel_weights, spectra, stft
 from stemframe.registry import query
 
 # Band widths in Hz by layout as (from, to, width); width 0 is one band.

@@ -1,6 +1,5 @@
 """Comparison of a query's rows with its DuckDB SQL on the same tables."""
 
-import glob
 import math
 import os
 

@@ -48,19 +48,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one row for each text: the one with the largest id.
 
-    The rows travel whole through the same three combining steps (``max_by`` carries them), so nothing
-    has to be joined back.
+    The groups are combined as above; rows meet the winners of repeated texts once, and travel there with
+    their text once (it is read out of the row).
     """
     salts = 32
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(whole.alias("row"), F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text"))
-    marks = rows.select("id", "digest", "text", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    marks = docs.select(F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     partly = marks.groupBy("digest", "text", "salt").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    groups = staged(partly.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n")).filter("n > 1"), "winners")
-    found = rows.join(groups, ["digest", "text"], "left").filter("n IS NULL OR id <=> keep_id")
-    turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy("n"))
-    return found.withColumn("turn", F.when(F.col("n").isNull(), 1).otherwise(turn)).filter("turn = 1").select("row.*")
+    groups = partly.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n")).filter("n > 1")
+    winners = staged(groups, "winners").select(F.col("digest").alias("g"), F.col("text").alias("t"), "keep_id", "n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sha256(text).alias("digest"))
+    same = (F.col("digest") == F.col("g")) & (F.coalesce(F.col("row")[text_col], F.lit("")) == F.col("t"))
+    found = rows.join(winners, same, "left").filter(F.col("n").isNull() | F.col("row")[id_col].eqNullSafe(F.col("keep_id"))).select("row", "digest", "n")
+    # Texts that occur once need no further look; of rows that repeat the winning id one stays.
+    turn = F.row_number().over(Window.partitionBy(F.col("row")[id_col], "digest").orderBy("n"))
+    once = found.filter("n IS NULL").select("row.*")
+    return once.unionByName(found.filter("n IS NOT NULL").withColumn("turn", turn).filter("turn = 1").select("row.*"))
 
 
 ORACLE = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -80,15 +80,32 @@ def oversample_cycle(items: DataFrame, target: int) -> DataFrame:
     return grid.withColumn("no", F.col("i") % F.col("n")).drop("n").join(items, "no")
 
 
-def remix_augment(segs: DataFrame, target: str, p_swap: float, p_drop: float, n_segs: int, seed: str = "mix") -> DataFrame:
+def numbered(df: DataFrame, *cols: str, ranges: int = 256) -> DataFrame:
+    """Distinct ``cols`` with consecutive numbers ``no`` in their order.
+
+    The keys of the least hashes bound up to ``ranges`` ranges, so a range is a function of the data alone. A
+    range numbers its own keys and is moved on by the counts of the ranges before it: no task holds all keys.
+    """
+    keys, key = df.select(*cols).distinct(), F.struct(*cols)
+    bounds = keys.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges).agg(F.collect_list("key").alias("bounds"))
+    ranged = keys.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda b: b <= key))).drop("bounds")
+    n = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("range").orderBy(*cols))
+    return ranged.withColumn("turn", turn).join(F.broadcast(before), "range").select(*cols, (F.col("before") + F.col("turn") - 1).alias("no"))
+
+
+def remix_augment(segs: DataFrame, target: str, p_swap: float, p_drop: float, seed: str = "mix") -> DataFrame:
     """Other stems swapped with a seeded other segment or left as they are, scaled by a seeded -10..10 dB or dropped; the new mixture limited.
 
-    segs: seg (0..n_segs-1), stem, i, v.
+    segs: seg (0..n-1), stem, i, v; every segment has every stem. Sources are drawn from all n segments.
     """
     keys = segs.select("seg", "stem").distinct()
+    n = segs.agg((F.max("seg") + 1).alias("n"))
     other = F.col("stem") != target
     swap = other & (seeded(seed + "s", "seg", "stem") < p_swap)
-    plan = keys.withColumn("source", F.when(swap, F.floor(seeded(seed + "t", "seg", "stem") * n_segs).cast("long")).otherwise(F.col("seg")))
+    drawn = F.floor(seeded(seed + "t", "seg", "stem") * F.col("n")).cast("long")
+    plan = keys.crossJoin(F.broadcast(n)).withColumn("source", F.when(swap, drawn).otherwise(F.col("seg"))).drop("n")
     db = seeded(seed + "g", "seg", "stem") * 20 - 10
     gain = F.when(~other, 1.0).when(seeded(seed + "d", "seg", "stem") < p_drop, 0.0).otherwise(F.pow(F.lit(10.0), db / 20))
     plan = plan.withColumn("gain", gain)
@@ -189,9 +206,9 @@ p AS (SELECT seg, stem, CASE WHEN stem <> 'click' AND {_R("mixs")} < 0.5 THEN CA
 m AS (SELECT p.seg, g.i, sum(g.v * gain) AS v FROM p JOIN g ON g.seg = p.source AND g.stem = p.stem GROUP BY ALL), k AS (SELECT *, max(abs(v)) OVER (PARTITION BY seg) AS pk FROM m)
 SELECT seg, i, round(CASE WHEN pk > 1 THEN v / pk ELSE v END, 5) AS v FROM k""")
 def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.stems(spark, sf_dir).filter("pos < 48")
-    segs = df.join(F.broadcast(_numbered(df)), "track").select(F.col("no").cast("long").alias("seg"), "stem", F.col("pos").alias("i"), "v")
-    return remix_augment(segs, "click", 0.5, 0.1, 100).withColumn("v", F.round("v", 5))
+    cut = frame(fx.stems(spark, sf_dir), ["track", "stem"], 48, 48)
+    segs = cut.join(numbered(cut, "track", "chunk"), ["track", "chunk"]).select(F.col("no").alias("seg"), "stem", "i", "v")
+    return remix_augment(segs, "click", 0.5, 0.1).withColumn("v", F.round("v", 5))
 
 
 @query("h8_oversample_cycle", f"WITH {fx.STEMS}, {_NO} SELECT i, no, track FROM (SELECT unnest(range(0, 1000)) AS i) JOIN t ON no = i % (SELECT count(*) FROM t)")

@@ -56,28 +56,30 @@ def split_assign(tracks: DataFrame, tests: Column, validation: DataFrame, key: s
     return both.withColumn("split", F.when(tests, "test").when(F.col("listed"), "val").otherwise("train")).drop("listed")
 
 
-def deterministic_chunks(df: DataFrame, tracks: DataFrame, per_track: int, size: int, hop: int, total: int) -> DataFrame:
-    """Item i is chunk i div T of track i mod T: item, track, stem, i, v. tracks has track and no (0..T-1)."""
+def deterministic_chunks(df: DataFrame, tracks: DataFrame, size: int, hop: int) -> DataFrame:
+    """Item i is chunk i div T of track i mod T: item, track, stem, i, v. tracks has track and no (0..T-1).
+
+    A track of n samples has int((n - size) / hop) chunks, as in the reference.
+    """
     n = tracks.agg(F.count(F.lit(1)).alias("T"))
-    places = tracks.crossJoin(F.broadcast(n)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(per_track - 1)))).withColumn("item", F.col("chunk") * F.col("T") + F.col("no")).select("track", "chunk", "item")
-    framed = frame(df, ["track", "stem"], size, hop, "drop").select("track", "stem", "chunk", F.col("i"), "v")
-    return framed.join(places, ["track", "chunk"]).select("item", "track", "stem", "i", "v")
+    places = tracks.crossJoin(F.broadcast(n))
+    framed = frame(df, ["track", "stem"], size, hop, "drop").filter(F.col("chunk") < F.floor((F.col("n") - size) / hop)).select("track", "stem", "chunk", "i", "v")
+    return framed.join(places, "track").select((F.col("chunk") * F.col("T") + F.col("no")).alias("item"), "track", "stem", "i", "v")
 
 
-def random_chunks(df: DataFrame, tracks: DataFrame, target: int, size: int, length: int, seed: str = "chunk") -> DataFrame:
-    """``target`` items over cycling tracks, each at a seeded start that all its stems share."""
-    spark = df.sparkSession
-    items = spark.range(target).select(F.col("id").alias("item"))
-    n = tracks.agg(F.count(F.lit(1)).alias("T"))
-    placed = items.crossJoin(F.broadcast(n)).withColumn("no", F.col("item") % F.col("T")).join(tracks, "no").withColumn("start", F.floor(seeded(seed, "item") * (length - size)).cast("int"))
+def random_chunks(df: DataFrame, tracks: DataFrame, target: int | Column, size: int, seed: str = "chunk") -> DataFrame:
+    """``target`` items over cycling tracks, each at a seeded start within its track that all its stems share; target may use n, the number of tracks."""
+    length = df.groupBy("track").agg((F.max("pos") + 1).alias("length"))
+    room = F.greatest(F.col("length") - size, F.lit(0))
+    placed = oversample_cycle(tracks, target).withColumnRenamed("i", "item").join(length, "track").withColumn("start", F.floor(seeded(seed, "item") * room).cast("int"))
     return df.join(placed.select("item", "track", "start"), "track").withColumn("i", F.col("pos") - F.col("start")).filter((F.col("i") >= 0) & (F.col("i") < size)).select("item", "track", "stem", "start", "i", "v")
 
 
-def oversample_cycle(items: DataFrame, target: int) -> DataFrame:
-    """Items (no = 0..n-1) cycled to ``target`` rows: i, and the item i mod n."""
+def oversample_cycle(items: DataFrame, target: int | Column) -> DataFrame:
+    """Items (no = 0..n-1) cycled to ``target`` rows: i, and the item i mod n. target may use the column n, the number of items."""
     n = items.agg(F.count(F.lit(1)).alias("n"))
-    grid = items.sparkSession.range(target).select(F.col("id").alias("i")).crossJoin(F.broadcast(n))
-    return grid.withColumn("no", F.col("i") % F.col("n")).drop("n").join(items, "no")
+    grid = items.crossJoin(F.broadcast(n)).withColumn("target", F.lit(target).cast("long")).filter(F.col("no") < F.col("target"))
+    return grid.withColumn("i", F.explode(F.sequence("no", F.col("target") - 1, "n"))).drop("n", "target")
 
 
 def numbered(df: DataFrame, *cols: str, ranges: int = 256) -> DataFrame:
@@ -180,22 +182,22 @@ def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NO = "t AS (SELECT track, row_number() OVER (ORDER BY track) - 1 AS no FROM (SELECT DISTINCT track FROM stems))"
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Tracks with consecutive numbers. A list of names, not of samples; it is the only global order here."""
-    return df.select("track").distinct().withColumn("no", F.row_number().over(Window.orderBy("track")) - 1)
+def _target() -> Column:
+    """Items asked for, by the number of tracks n: each track twice or three times."""
+    return F.floor(F.expr("n * 2.5"))
 
 
 @query("h5_deterministic_chunks", f"WITH {fx.STEMS}, {_NO} SELECT k.chunk * (SELECT count(*) FROM t) + no AS item, track, stem, count(*) AS n, round(sum(v), 4) AS s FROM stems JOIN t USING (track) JOIN (SELECT unnest(range(0, 5)) AS chunk) k ON pos >= k.chunk * 60 AND pos < k.chunk * 60 + 100 GROUP BY ALL")
 def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
-    return deterministic_chunks(df, _numbered(df), 5, 100, 60, 0).groupBy("item", "track", "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"))
+    return deterministic_chunks(df, numbered(df, "track"), 100, 60).groupBy("item", "track", "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"))
 
 
 @query("h6_random_chunks", f"""WITH {fx.STEMS}, {_NO}, i AS (SELECT item, CAST(floor({seeded_sql("chunk", "item")} * 620) AS INTEGER) AS start FROM (SELECT unnest(range(0, 400)) AS item)), p AS (SELECT item, start, track FROM i JOIN t ON no = item % (SELECT count(*) FROM t))
 SELECT item, track, stem, start, count(*) AS n, round(sum(v), 4) AS s FROM p JOIN stems USING (track) WHERE pos >= start AND pos < start + 100 GROUP BY ALL""")
 def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
-    return random_chunks(df, _numbered(df), 400, 100, 720).groupBy("item", "track", "stem", "start").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"))
+    return random_chunks(df, numbered(df, "track"), _target(), 100).groupBy("item", "track", "stem", "start").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"))
 
 
 _R = lambda s: seeded_sql(s, "seg", "stem")
@@ -213,7 +215,7 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h8_oversample_cycle", f"WITH {fx.STEMS}, {_NO} SELECT i, no, track FROM (SELECT unnest(range(0, 1000)) AS i) JOIN t ON no = i % (SELECT count(*) FROM t)")
 def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oversample_cycle(_numbered(fx.stems(spark, sf_dir)), 1000).select("i", "no", "track")
+    return oversample_cycle(numbered(fx.stems(spark, sf_dir), "track"), _target()).select("i", "no", "track")
 
 
 @query("h9_stem_augment", f"WITH {fx.STEMS} SELECT track, stem, CAST(pos + CASE WHEN stem = 'view' THEN 5 ELSE 0 END AS INTEGER) AS pos, round(v * CASE WHEN stem = 'click' THEN -1 ELSE 1 END * pow(10, (CASE stem WHEN 'click' THEN 0 WHEN 'view' THEN -6 ELSE 2 END + 1) / 20.0), 4) AS v FROM stems")

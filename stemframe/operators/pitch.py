@@ -112,10 +112,12 @@ def protect_blend(feats: DataFrame, raw: DataFrame, f0: DataFrame, keys: list[st
     return both.select(*keys, "pos", (F.col("v") * m + F.col("r") * (1 - m)).alias("v"))
 
 
-def upsample_features(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Every frame twice, up to ``limit`` frames."""
+def upsample_features(df: DataFrame, keys: list[str], frames: DataFrame | None = None) -> DataFrame:
+    """Every frame twice; with ``frames`` (keys, frames: those of its audio), a series is trimmed to its own number of them."""
     twice = df.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("pos", F.col("pos") * 2 + F.col("half"))
-    return twice.filter(F.col("pos") < limit).select(*keys, "pos", "v")
+    if frames is not None:
+        twice = twice.join(frames.select(*keys, "frames"), keys).filter(F.col("pos") < F.col("frames"))
+    return twice.select(*keys, "pos", "v")
 
 
 def _f0(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,4 +191,4 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g10_upsample_features", f"WITH {fx.EVT} SELECT track, stem, pos * 2 + h AS pos, v FROM evt CROSS JOIN (SELECT unnest([0, 1]) AS h) WHERE pos * 2 + h < 25")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsample_features(fx.evt(spark, sf_dir), KEYS, 25)
+    return upsample_features(fx.evt(spark, sf_dir), KEYS)

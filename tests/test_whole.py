@@ -1,10 +1,12 @@
 """Queries that once did a part of the job, against SQL or brute force over all of it, at the smallest scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemframe import catalogue
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded_sql
+from stemframe.operators import dataset, pitch
 from tests.oracle import connect, rows_of, rows_sql
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,41 @@ def test_remix_takes_whole_tracks_and_draws_from_all_segments(spark, con):
     SELECT seg, i, round(CASE WHEN pk > 1 THEN v / pk ELSE v END, 5) AS v FROM k""")
     assert len(want[1]) == 15 * 720
     near(rows(spark, "h7_remix_augment"), want)
+
+
+def test_numbers_follow_the_order_at_any_count_of_ranges(spark):
+    df = spark.createDataFrame([(x * 7 % 101, x) for x in range(101)] * 2, "track long, other long")
+    for ranges in (1, 5, 256):
+        assert sorted((r.no, r.track) for r in dataset.numbered(df, "track", ranges=ranges).collect()) == [(x, x) for x in range(101)]
+
+
+def test_oversampling_covers_every_track(spark, con):
+    want = rows_sql(con, f"WITH {fx.STEMS}, {NO} SELECT i, no, track FROM (SELECT unnest(range(0, (SELECT count(*) * 5 // 2 FROM t))) AS i) JOIN t ON no = i % (SELECT count(*) FROM t)")
+    assert len(want[1]) == 37 and rows(spark, "h8_oversample_cycle") == want
+    many = spark.range(1500).select(F.col("id").alias("track"), F.col("id").alias("no"))
+    assert dataset.oversample_cycle(many, F.expr("n * 2")).select("track").distinct().count() == 1500
+    assert {(r.i, r.no) for r in dataset.oversample_cycle(many, 4).collect()} == {(x, x) for x in range(4)}
+
+
+def test_random_chunks_follow_tracks_and_lengths(spark, con):
+    want = rows_sql(con, f"""WITH {fx.STEMS}, {NO}, n AS (SELECT track, max(pos) + 1 AS n FROM stems GROUP BY track), p AS (SELECT item, track, CAST(floor({seeded_sql("chunk", "item")} * (n - 100)) AS INTEGER) AS start FROM (SELECT unnest(range(0, (SELECT count(*) * 5 // 2 FROM t))) AS item) JOIN t ON no = item % (SELECT count(*) FROM t) JOIN n USING (track))
+    SELECT item, track, stem, start, count(*) AS n, round(sum(v), 4) AS s FROM p JOIN stems USING (track) WHERE pos >= start AND pos < start + 100 GROUP BY ALL""")
+    assert rows(spark, "h6_random_chunks") == want
+    signal = spark.createDataFrame([(t, "a", i, 1.0) for t, n in ((0, 50), (1, 400)) for i in range(n)], "track long, stem string, pos int, v double")
+    got = dataset.random_chunks(signal, dataset.numbered(signal, "track"), 200, 40).groupBy("item", "track").agg(F.count("*").alias("n"), F.max("start").alias("start")).collect()
+    assert len(got) == 200 and {r.n for r in got} == {40}
+    assert max(r.start for r in got if r.track == 0) <= 10 and max(r.start for r in got if r.track == 1) > 300
+
+
+def test_deterministic_chunks_reach_the_end_of_each_track(spark, con):
+    want = rows_sql(con, f"""WITH {fx.STEMS}, {NO}, n AS (SELECT track, max(pos) + 1 AS n FROM stems GROUP BY track), k AS (SELECT track, unnest(range(0, CAST(floor((n - 100) / 60) AS BIGINT))) AS chunk FROM n)
+    SELECT chunk * (SELECT count(*) FROM t) + no AS item, track, stem, count(*) AS n, round(sum(v), 4) AS s FROM stems JOIN t USING (track) JOIN k USING (track) WHERE pos >= chunk * 60 AND pos < chunk * 60 + 100 GROUP BY ALL""")
+    assert len(want[1]) == 15 * 10 * 5 and rows(spark, "h5_deterministic_chunks") == want
+
+
+def test_upsampling_keeps_each_series_to_its_own_length(spark, con):
+    want = rows_sql(con, f"WITH {fx.EVT} SELECT track, stem, pos * 2 + h AS pos, v FROM evt CROSS JOIN (SELECT unnest([0, 1]) AS h)")
+    assert max(r[want[0].index("pos")] for r in want[1]) > 25 and rows(spark, "g10_upsample_features") == want
+    series = spark.createDataFrame([(t, i, float(i)) for t in (0, 1) for i in range(5)], "track long, pos int, v double")
+    got = pitch.upsample_features(series, ["track"], spark.createDataFrame([(0, 7), (1, 100)], "track long, frames int"))
+    assert sorted((r.track, r.pos, r.v) for r in got.collect()) == [(t, i, float(i // 2)) for t, n in ((0, 7), (1, 10)) for i in range(n)]

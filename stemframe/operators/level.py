@@ -230,7 +230,11 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, max(channel) OVER (PARTITION BY track) AS top FROM q)
 SELECT track, pos, channel, round(v, 6) AS v FROM (SELECT track, pos, v, unnest(CASE WHEN top = 0 THEN [0, 1] ELSE [CAST(channel AS INTEGER)] END) AS channel FROM n) WHERE channel < 2""")
 def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.sig(spark, sf_dir).filter("model % 9 < 4").select(F.floor(F.col("model") / 3).cast("long").alias("track"), (F.col("model") % 3).alias("channel"), "pos", "v")
+    # Six models in a row are a track of one channel, one of two and one of three.
+    part = F.col("model") % 6
+    kind = F.when(part == 0, 0).when(part < 3, 1).otherwise(2)
+    channel = F.when(part == 0, part).when(part < 3, part - 1).otherwise(part - 3)
+    df = fx.sig(spark, sf_dir).select((F.floor(F.col("model") / 6) * 3 + kind).cast("long").alias("track"), channel.alias("channel"), "pos", "v")
     return _rounded(to_stereo(df), "track", "pos", "channel")
 
 

@@ -77,3 +77,23 @@ def test_upsampling_keeps_each_series_to_its_own_length(spark, con):
     series = spark.createDataFrame([(t, i, float(i)) for t in (0, 1) for i in range(5)], "track long, pos int, v double")
     got = pitch.upsample_features(series, ["track"], spark.createDataFrame([(0, 7), (1, 100)], "track long, frames int"))
     assert sorted((r.track, r.pos, r.v) for r in got.collect()) == [(t, i, float(i // 2)) for t, n in ((0, 7), (1, 10)) for i in range(n)]
+
+
+def test_voice_registry_numbers_every_file(spark, con):
+    want = rows_sql(con, """WITH f AS (SELECT 'v' || (l_orderkey % 300) AS voice, l_orderkey || '_' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '.pth' ELSE '.index' END AS path, CAST(l_quantity * 1000000 AS BIGINT) AS size FROM lineitem),
+    k AS (SELECT *, CASE WHEN path LIKE '%.index' AND size > 102400 THEN 'index' WHEN path LIKE '%.pth' AND size > 20971520 THEN 'weights' END AS kind FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY voice, kind ORDER BY path) AS turn FROM k WHERE kind IS NOT NULL)
+    SELECT voice, kind, CASE WHEN turn = 1 THEN voice ELSE voice || '_' || (turn - 1) END AS name, path FROM t""")
+    assert len(want[1]) > 4000 and rows(spark, "j21_voice_registry") == want
+
+
+def test_lookup_of_every_id(spark, con):
+    want = rows_sql(con, f"WITH {fx.CATALOG}, b AS (SELECT id, max(model_type) AS model_type FROM catalog GROUP BY id) SELECT id, model_type, min(model_name) AS model_name FROM catalog JOIN b USING (id, model_type) GROUP BY ALL")
+    assert len(want[1]) == 200 and rows(spark, "j4_catalog_lookup_id") == want
+
+
+def test_to_stereo_takes_every_model(spark, con):
+    want = rows_sql(con, f"""WITH {fx.SIG}, q AS (SELECT model // 6 * 3 + CASE WHEN model % 6 = 0 THEN 0 WHEN model % 6 < 3 THEN 1 ELSE 2 END AS track, CASE WHEN model % 6 = 0 THEN 0 WHEN model % 6 < 3 THEN model % 6 - 1 ELSE model % 6 - 3 END AS channel, pos, v FROM sig),
+    n AS (SELECT *, max(channel) OVER (PARTITION BY track) AS top FROM q)
+    SELECT track, pos, channel, round(v, 6) AS v FROM (SELECT track, pos, v, unnest(CASE WHEN top = 0 THEN [0, 1] ELSE [CAST(channel AS INTEGER)] END) AS channel FROM n) WHERE channel < 2""")
+    # 500 models: 84 tracks of one channel, 84 of two (the table ends within the last), 83 of three.
+    assert len({r[want[0].index("track")] for r in want[1]}) == 84 + 84 + 83 and rows(spark, "b8_to_stereo") == want

@@ -1,5 +1,6 @@
 """Queries that once did a part of the job, against SQL or brute force over all of it, at the smallest scale."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,18 @@ def test_to_stereo_takes_every_model(spark, con):
     SELECT track, pos, channel, round(v, 6) AS v FROM (SELECT track, pos, v, unnest(CASE WHEN top = 0 THEN [0, 1] ELSE [CAST(channel AS INTEGER)] END) AS channel FROM n) WHERE channel < 2""")
     # 500 models: 84 tracks of one channel, 84 of two (the table ends within the last), 83 of three.
     assert len({r[want[0].index("track")] for r in want[1]}) == 84 + 84 + 83 and rows(spark, "b8_to_stereo") == want
+
+
+def test_knn_searches_all_vectors_but_the_query(spark, con):
+    table = con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in table]), np.array([r[1] for r in table], float)
+    want = {}
+    for q in np.flatnonzero(ids % 10 == 0):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        top = np.lexsort((ids, d))[:8]
+        w = (d[top] == 0).astype(float) if (d[top] == 0).any() else 1 / d[top] ** 2
+        want[int(ids[q])] = 0.75 * (w[:, None] * x[top]).sum(axis=0) / w.sum() + 0.25 * x[q]
+    got = catalogue.queries()["g8_knn_blend"](spark, SF).collect()
+    assert {(r.query, r.dim) for r in got} == {(q, i) for q in want for i in range(64)} and len(got) == 64 * len(want)
+    assert all(abs(r.v - want[r.query][r.dim]) <= 1e-4 for r in got)

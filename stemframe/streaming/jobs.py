@@ -61,14 +61,20 @@ def activity_sessions(df: DataFrame, gap: str, late: str) -> DataFrame:
 def overlap_add_stream(chunks: DataFrame, hop: int) -> DataFrame:
     """Overlap-add of chunk rows (track, start, samples) whose state is the unfinished tail of each track.
 
-    A sample is emitted once no later chunk can touch it, so the state never holds more than one chunk.
+    A sample is emitted once no later chunk can touch it, so the state never holds more than one chunk. A row
+    without samples is the end of its track: what is left is emitted and the state is dropped.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         at, tail, count = state.get if state.exists else (0, [], [])
         tail, count, out = [float(v) for v in tail], [int(c) for c in count], []
-        rows = sorted(((int(r.start), [float(v) for v in r.samples]) for pdf in pdfs for r in pdf.itertuples()), key=lambda r: r[0])
+        rows = sorted(((int(r.start), None if r.samples is None else [float(v) for v in r.samples]) for pdf in pdfs for r in pdf.itertuples()), key=lambda r: (r[1] is None, r[0]))
+        ended = bool(rows) and rows[-1][1] is None
         for start, samples in rows:
+            if samples is None:
+                out += [(key[0], at + i, v / c) for i, (v, c) in enumerate(zip(tail, count))]
+                at, tail, count = at + len(tail), [], []
+                continue
             while at < start and tail:
                 out.append((key[0], at, tail.pop(0) / count.pop(0)))
                 at += 1
@@ -80,7 +86,10 @@ def overlap_add_stream(chunks: DataFrame, hop: int) -> DataFrame:
                     count.append(0)
                 tail[k] += v
                 count[k] += 1
-        state.update((int(at), tail, count))
+        if ended:
+            state.remove()
+        else:
+            state.update((int(at), tail, count))
         if out:
             yield pd.DataFrame(out, columns=["track", "pos", "v"]).astype({"track": "int64", "pos": "int64", "v": "float64"})
 
@@ -122,8 +131,11 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s4_stream_overlap_add", """SELECT vec_id AS track, pos, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) WHERE pos < 48""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream_table(spark, sf_dir, "embeddings")
-    starts = F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(16)))
-    chunks = e.withColumn("start", starts).select(F.col("vec_id").alias("track"), F.col("start").cast("long").alias("start"), F.transform(F.slice("embedding", F.col("start") + 1, F.lit(32)), lambda v: v.cast("double")).alias("samples"))
+    # Chunks of 32 at hop 16 over the whole track, and its end.
+    n = F.size("embedding")
+    starts = F.explode(F.concat(F.filter(F.sequence(F.lit(0), n, F.lit(16)), lambda k: k < n), F.array(n)))
+    samples = F.when(F.col("start") < n, F.transform(F.slice("embedding", F.col("start") + 1, F.lit(32)), lambda v: v.cast("double")))
+    chunks = e.withColumn("start", starts).select(F.col("vec_id").alias("track"), F.col("start").cast("long").alias("start"), samples.alias("samples"))
     return drained(overlap_add_stream(chunks, 16)).withColumn("v", F.round("v", 5))
 
 

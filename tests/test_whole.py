@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from stemframe import catalogue
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded_sql
-from stemframe.operators import dataset, pitch
+from stemframe.operators import dataset, frames, pitch
+from stemframe.streaming import jobs
 from tests.oracle import connect, rows_of, rows_sql
 
 SF = "/root/testdata/sf0.001"
@@ -113,3 +114,22 @@ def test_knn_searches_all_vectors_but_the_query(spark, con):
     got = catalogue.queries()["g8_knn_blend"](spark, SF).collect()
     assert {(r.query, r.dim) for r in got} == {(q, i) for q in want for i in range(64)} and len(got) == 64 * len(want)
     assert all(abs(r.v - want[r.query][r.dim]) <= 1e-4 for r in got)
+
+
+def test_stream_overlap_add_equals_the_batch_form_to_the_end(spark):
+    signal = fx.sig(spark, SF).select(F.col("model").alias("track"), "pos", "v")
+    batch = frames.overlap_add_fade(signal, ["track"], 32, 16)
+    want = {(r.track, r.pos): r.v for r in batch.collect()}
+    got = catalogue.queries()["s4_stream_overlap_add"](spark, SF).collect()
+    assert len(got) == len(want) == 500 * 64
+    assert all(abs(want[r.track, r.pos] - r.v) <= 1e-5 for r in got)
+
+
+def test_stream_overlap_add_flushes_at_the_end_of_a_track(spark, tmp_path):
+    """Chunks come in three files, each a batch; track 2 has not ended yet."""
+    schema = "track long, start long, samples array<double>"
+    for i, part in enumerate([[(1, 0, [2.0] * 4), (2, 0, [1.0] * 4)], [(1, 2, [4.0] * 4)], [(1, 6, None), (2, 2, [1.0] * 4)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = sorted((r.track, r.pos, r.v) for r in jobs.drained(jobs.overlap_add_stream(stream, 2)).collect())
+    assert got == [(1, i, v) for i, v in enumerate([2.0, 2.0, 3.0, 3.0, 4.0, 4.0])] + [(2, 0, 1.0), (2, 1, 1.0)]

@@ -184,7 +184,7 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f6_ensemble_median_fft", f"""WITH {ESPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY song, frame, bin ORDER BY re, im, model) AS turn, count(*) OVER (PARTITION BY song, frame, bin) AS n FROM spec WHERE bin BETWEEN 1 AND 7)
 SELECT song, frame, bin, round(avg(re), 5) + 0.0 AS re, round(avg(im), 5) + 0.0 AS im FROM r WHERE turn IN (floor((n + 1) / 2), floor((n + 2) / 2)) GROUP BY song, frame, bin""")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _z(ensemble_complex(estimates(spark, sf_dir).filter("bin BETWEEN 1 AND 7"), "median_fft", _E), *_E)
+    return _z(ensemble_complex(estimates(spark, sf_dir), "median_fft", _E), *_E)
 
 
 PSPEC = SPEC + ", p AS (SELECT x.track, x.channel, x.frame, x.bin, sqrt(x.re * x.re + x.im * x.im) AS xm, sqrt(y.re * y.re + y.im * y.im) AS ym FROM spec x JOIN spec y ON y.track = x.track + 1 AND y.channel = x.channel AND y.frame = x.frame AND y.bin = x.bin WHERE x.track % 2 = 0)"

@@ -340,7 +340,7 @@ def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     x, y = _two(spark, sf_dir)
     z = invert_audio(x, y).withColumns({"re": -F.col("re"), "im": -F.col("im")})
-    return istft(z, CHANNEL).filter("pos BETWEEN 8 AND 55").withColumn("v", F.round("v", 5))
+    return istft(z, CHANNEL).withColumn("v", F.round("v", 5))
 
 
 @query("e6_spec_effects", f"""WITH {PAIR} SELECT 'min' AS how, {_KEYS}, round(CASE WHEN ym <= xm THEN yr ELSE xr END, 5) + 0.0 AS re, round(CASE WHEN ym <= xm THEN yi ELSE xi END, 5) + 0.0 AS im FROM b

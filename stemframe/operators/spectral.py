@@ -93,7 +93,10 @@ def stft_arrays(frames: DataFrame) -> DataFrame:
 
 
 def mag_phase(spec: DataFrame) -> DataFrame:
-    return spec.withColumns({"mag": F.hypot("re", "im"), "phase": F.atan2("im", "re")})
+    """Magnitude and phase; where im is nothing but rounding (DC, Nyquist) the phase is 0 or pi by the sign of re, and 0 in silence."""
+    real = F.abs("im") <= 1e-9 * F.abs("re")
+    phase = F.when(F.hypot("re", "im") < 1e-12, 0.0).when(real, F.when(F.col("re") < 0, math.pi).otherwise(0.0)).otherwise(F.atan2("im", "re"))
+    return spec.withColumns({"mag": F.hypot("re", "im"), "phase": phase})
 
 
 def polar(mag: Column, phase: Column) -> tuple[Column, Column]:
@@ -264,12 +267,12 @@ def d1_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d2_istft", f"WITH {fx.STEREO} SELECT track, channel, pos, round(v, 5) AS v FROM stereo WHERE pos BETWEEN 8 AND 55")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return istft(spectra(spark, sf_dir), CHANNEL).filter("pos BETWEEN 8 AND 55").select("track", "channel", "pos", F.round("v", 5).alias("v"))
+    return istft(spectra(spark, sf_dir), CHANNEL).select("track", "channel", "pos", F.round("v", 5).alias("v"))
 
 
 @query("d3_mag_phase", f"WITH {SPEC} SELECT track, channel, frame, bin, round(sqrt(re * re + im * im), 5) AS mag, round(atan2(im, re), 4) AS phase FROM spec WHERE bin BETWEEN 1 AND 7")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mag_phase(spectra(spark, sf_dir)).filter("bin BETWEEN 1 AND 7").select(*BINS, F.round("mag", 5).alias("mag"), F.round("phase", 4).alias("phase"))
+    return mag_phase(spectra(spark, sf_dir)).select(*BINS, F.round("mag", 5).alias("mag"), F.round("phase", 4).alias("phase"))
 
 
 def windowed(df: DataFrame, name: str, n: int) -> DataFrame:

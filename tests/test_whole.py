@@ -8,6 +8,8 @@ from stemframe import catalogue
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded_sql
 from stemframe.operators import dataset, frames, pitch
+from stemframe.operators.bands import ESPEC
+from stemframe.operators.pair import PAIR
 from stemframe.streaming import jobs
 from tests.oracle import connect, rows_of, rows_sql
 
@@ -133,3 +135,40 @@ def test_stream_overlap_add_flushes_at_the_end_of_a_track(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = sorted((r.track, r.pos, r.v) for r in jobs.drained(jobs.overlap_add_stream(stream, 2)).collect())
     assert got == [(1, i, v) for i, v in enumerate([2.0, 2.0, 3.0, 3.0, 4.0, 4.0])] + [(2, 0, 1.0), (2, 1, 1.0)]
+
+
+def test_median_of_every_bin(spark, con):
+    want = rows_sql(con, f"""WITH {ESPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY song, frame, bin ORDER BY re, im, model) AS turn, count(*) OVER (PARTITION BY song, frame, bin) AS n FROM spec)
+    SELECT song, frame, bin, round(avg(re), 5) + 0.0 AS re, round(avg(im), 5) + 0.0 AS im FROM r WHERE turn IN (floor((n + 1) / 2), floor((n + 2) / 2)) GROUP BY song, frame, bin""")
+    assert {r[want[0].index("bin")] for r in want[1]} == set(range(9)) and rows(spark, "f6_ensemble_median_fft") == want
+
+
+def test_inverse_returns_every_position(spark, con):
+    """All samples of the input but the first, where the window is 0 and the inverse has nothing to go by."""
+    want = rows_sql(con, f"WITH {fx.STEREO} SELECT track, channel, pos, CASE WHEN pos = 0 THEN 0 ELSE round(v, 5) END AS v FROM stereo")
+    assert len(want[1]) == 500 * 64
+    near(rows(spark, "d2_istft"), want)
+
+
+def test_magnitude_and_phase_of_every_bin(spark, con):
+    x = {}
+    for track, channel, pos, v in con.execute(f"WITH {fx.STEREO} SELECT track, channel, pos, v FROM stereo").fetchall():
+        x.setdefault((track, channel), np.zeros(64))[pos] = v
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
+    z = {(*k, f): np.fft.rfft(v[f * 8 : f * 8 + 16] * w) for k, v in x.items() for f in range(7)}
+    got = catalogue.queries()["d3_mag_phase"](spark, SF).collect()
+    assert len(got) == 500 * 7 * 9
+    for r in got:
+        c = z[r.track, r.channel, r.frame][r.bin]
+        edge = r.bin in (0, 8)
+        phase = (np.pi if c.real < 0 else 0.0) if edge else np.angle(c)
+        assert abs(r.mag - abs(c)) <= 2e-5 and (abs(r.phase - phase) <= 2e-4 or abs(c) < 1e-9)
+
+
+def test_inverted_stem_has_every_position(spark, con):
+    want = rows_sql(con, f"""WITH {PAIR}, z AS (SELECT track, channel, frame, bin, -(yr - greatest(xm, ym) * xr / xm) AS re, -(yi - greatest(xm, ym) * xi / xm) AS im FROM b),
+    t AS (SELECT track, channel, frame, i, sum(CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END * (re * cos(2 * pi() * bin * i / 16) - im * sin(2 * pi() * bin * i / 16))) / 16 AS x FROM z, (SELECT unnest(range(0, 16)) AS i) GROUP BY ALL),
+    w AS (SELECT track, channel, CAST(frame * 8 + i AS INTEGER) AS pos, x, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w FROM t)
+    SELECT track, channel, pos, CASE WHEN sum(w * w) > 1e-12 THEN round(sum(x * w) / sum(w * w), 5) ELSE 0 END AS v FROM w GROUP BY ALL""")
+    assert {r[want[0].index("pos")] for r in want[1]} == set(range(64))
+    near(rows(spark, "e5_invert_stem"), want)

@@ -1,13 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing against all documents.
+"""Substring dedup by matching the blocks of each document with those of all documents.
 
 Every window of WINDOW words holds an anchor: the leftmost of its ANCHOR-word stretches with the least
 hash. Equal windows have their anchor at the same place, so the windows of a document fall into runs of
 one anchor each, and the words under a run form a *reference block*. All blocks of all documents are
 indexed by content (128-bit hash) with the first document that holds them.
 
-A document is then factored against the index from left to right. Where a block of it is first held by an
-earlier document, all its windows are copies, and neighbouring blocks grow into one long factor. Where a
-factor ends, the block under the boundary is not in the index as a whole, though some of its windows may
+A document's blocks are then looked up by an equi-join; there is no greedy Lempel-Ziv parse (the README says
+why). Where a block of it is first held by an earlier document, all its windows are copies, and the ranges of
+neighbouring blocks are merged into one long factor. Where a factor ends, the block under the boundary is not in the index as a whole, though some of its windows may
 be: these blocks, and only if another block shares their anchor, are checked window by window. The factors
 of at least WINDOW words that result are exactly the words covered by windows of earlier documents.
 

@@ -67,8 +67,8 @@ def _bag(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Mixture:
     """Trigram probabilities by language, and inference of proportions for batches of documents."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 2.0, rounds: int = 15, most: int = 4):
-        self.langs, self.penalty, self.rounds, self.most = langs, penalty, rounds, most
+    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 2.0, rounds: int = 15):
+        self.langs, self.penalty, self.rounds = langs, penalty, rounds
         p = counts + smoothing
         self.p = p / p.sum(axis=0, keepdims=True) if langs else p
 
@@ -82,6 +82,11 @@ class Mixture:
         share /= share.sum(axis=1, keepdims=True)
         return share, np.add.reduceat(n * np.log((p * share[doc]).sum(axis=1)), starts)
 
+    def _room(self, p, n, doc, starts, size, share):
+        """At most so much more likely is any other mixture of the languages: log-likelihood is concave in the proportions."""
+        gain = np.add.reduceat(p * (n / (p * share[doc]).sum(axis=1))[:, None], starts) / size[:, None]
+        return size * np.log(np.maximum(gain.max(axis=1), 1))
+
     def infer(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, score) by document; proportions are 0 for languages that are not in its set."""
         docs, langs = len(bags), len(self.langs)
@@ -106,7 +111,10 @@ class Mixture:
             # Only where all languages together gain more than one further language costs can a larger set win.
             open_ = np.flatnonzero(likely - value > cost)
             order = np.argsort(-full, axis=1, kind="stable")
-            for k in range(2, min(langs, self.most) + 1):
+            limit = likely + self._room(p, n, doc, starts, size, full) if langs > 2 and open_.size else likely
+            for k in range(2, langs + 1):
+                # No k languages are likelier than all of them at their best.
+                open_ = open_[limit[open_] - (k - 1) * cost[open_] > value[open_]] if k > 2 else open_
                 if not open_.size:
                     break
                 rows = np.isin(doc, open_)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stemframe import fixtures as fx
 from stemframe.operators.spectral import resample_sinc
 from stemframe.registry import query
+from stemframe.storage import new_path
 
 BLOCK = 65_536
 BLOCK_SCHEMA = "track string, channel int, block int, start long, n int, sr int, samples array<float>"
@@ -115,14 +116,8 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_preprocess(df, done, 2.0).groupBy("track", "channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _staged(spark: SparkSession) -> str:
-    from stemframe.streaming.jobs import scratch
-
-    return scratch(spark)
-
-
 @query("a5_write_stems", f"WITH {fx.STEMS} SELECT stem, track, CAST(pos AS BIGINT) AS pos, round(v, 4) AS v FROM stems WHERE (track, stem) IN (SELECT (track, stem) FROM stems GROUP BY track, stem HAVING max(abs(v)) >= 1e-6)")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _staged(spark)
+    path = new_path(spark, "stems")
     write_stems(fx.stems(spark, sf_dir), path)
     return from_blocks(spark.read.parquet(path)).select("stem", "track", "pos", F.round("v", 4).alias("v"))

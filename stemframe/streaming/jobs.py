@@ -6,8 +6,6 @@ commits each batch once, so a restart repeats nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,17 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemframe.registry import query, table
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemframe-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from stemframe.storage import new_path
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The result of a streaming DataFrame over all rows that have landed by now."""
-    spark, where = stream.sparkSession, scratch(stream.sparkSession)
+    spark, where = stream.sparkSession, new_path(stream.sparkSession, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     else:

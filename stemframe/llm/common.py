@@ -1,10 +1,7 @@
-"""What the operators share: reading tables, word rules, and tables kept in the cluster's shared folder."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemframe-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage where a result is used more than once; a lost executor costs nothing, since the
-    files are shared. A join against such a table starts with a plain exchange, which AQE can split
-    when a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
+from stemframe.storage import staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

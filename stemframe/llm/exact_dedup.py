@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
+from stemframe.storage import staged
+
 
 
 def sha256(text: Column) -> Column:

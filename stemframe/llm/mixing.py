@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
+from stemframe.storage import staged
+
 
 #: Ranges of the seeded order within each source: the first three hex digits of the hash.
 BUCKETS = 16**3

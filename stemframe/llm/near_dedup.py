@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
+from stemframe.storage import staged
 from stemframe.llm.components import components
 from stemframe.llm.hashing import mix, signed, word_hashes
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
+from stemframe.storage import staged
+
 
 GAPS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import staged
 from stemframe.llm.hashing import Sequence, mix, signed, word_hashes
+from stemframe.storage import staged
 
 WINDOW, ANCHOR = 50, 12
 

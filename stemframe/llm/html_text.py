@@ -1,8 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
-A page becomes a sequence of blocks. The first pass judges each block by itself: by what encloses it, by
-the share of its text inside links, by the share of stop words, and by its length; short blocks stay
-undecided. The second pass gives these the label of the nearest decided blocks.
+A page becomes a sequence of blocks. The first pass judges each block by itself, adding up what speaks for and
+against it: its share of stop words, its length, the share of its text inside links, and the marks of what
+encloses it (an element or name for articles, a name that is often used for furniture). Clear sums decide; short
+blocks, headings and even sums stay open. Only what a page says outright is no text (``nav``, ``footer``, hidden
+elements, names such as ``advert`` or ``comments``) is bad whatever it holds.
+
+The second pass gives open blocks the label of the nearest decided ones: a heading that of what follows, a block
+of an article that of the article's own blocks, and a block between two different labels that of the nearer.
 """
 
 from __future__ import annotations
@@ -21,100 +26,195 @@ le la les un une des du de et est en que qui dans pour pas au aux sur se ce il e
 der die das und ist in zu den von mit sich des dem nicht ein eine auf als auch es an er so dass im für sie aus bei nach wie werden wird oder einer sind noch einem hat
 el los las y en un una que es por con para del al lo como su se no sus este pero esta entre cuando muy sin sobre ser son dos hay todo desde
 """.split())
-SKIPPED = frozenset("script style noscript template textarea iframe object svg math canvas audio video select button title head".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+SKIPPED = RAW | frozenset("object svg math canvas audio video select button".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table thead tbody tfoot tr td th figure blockquote details dialog menu fieldset address head center".split())
-BLOCKS = CONTAINERS | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre hr caption figcaption legend option summary".split())
 LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre caption figcaption summary".split())
+BLOCKS = CONTAINERS | LEAVES | frozenset("hr legend option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|notification\w*|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|pagination|pager|login|signup|signin|search|copyright|disclaimer|toolbar|alert|skip)(?:$|[\s_-])",
+FURNITURE = frozenset("nav footer aside menu dialog fieldset head".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+
+#: Names that say that an element is no text of the page's own, wherever it stands.
+OUTRIGHT = re.compile(
+    r"(?:^|\s)(?:(?:[\w-]*[_-])?(?:ads?|adverts?|advertisement|advertising|adsense|adslot|cookies?|gdpr|newsletter|popup|modal|sidebar|navbar|nav|navigation|breadcrumbs?|pagination|pager|disqus)(?:[_-][\w-]*)?|sponsored|sponsor|promo|menu|(?:main|site|top|side)[_-]menu|menu[_-](?:main|item|bar|list)|comments?(?:[_-](?:list|body|area|section|thread|form|text|content))?|commentlist|reader[_-]comments|user[_-]comments|replies|skip[_-]link)(?=\s|$)",
     re.I,
 )
-#: Classes and ids by which pages without <article> or <main> mark their text.
-MAIN_NAMES = frozenset("article article-body article-content articlebody post-body post-content entry-content story-body main-content page-content".split())
-#: These names are boilerplate on the page but may head or end an article.
-PAGE_NAMES = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar|bottom|top)(?:$|[\s_-])", re.I)
+#: Names that furniture often has, but that parts of a text may have as well.
+OFTEN = re.compile(r"(?:^|[\s_-])(?:banner|consent|notices?|notifications?|overlay|subscribe|subscription|widget|share|sharing|social|related|recommended|login|signup|signin|search|copyright|disclaimer|toolbar|alert|promo\w*|sponsor\w*|teaser|tags?|byline|meta)(?:$|[\s_-])", re.I)
+#: Names of the page's head and foot; within an article they may hold its title.
+EDGE = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar)(?:$|[\s_-])", re.I)
+#: Names by which pages mark their text: the text itself, and a wider part around it.
+ARTICLE_NAMES = frozenset("article article-body article-content articlebody article__body post-body post-content entry-content story-body".split())
+WIDER_NAMES = frozenset("main main-content page-content content post entry story".split())
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"""["'>]""")
+WORD = re.compile(r"[^\W\d_]+")
+
+#: Blocks below SHORT characters stay open, those from LONG on speak for themselves; above LINKS a block is a menu;
+#: from STOPS on the share of stop words is that of prose, below FEW that of something else.
+SHORT, LONG, LINKS, STOPS, FEW = 70, 200, 0.33, 0.15, 0.05
+
 
-#: First pass: blocks below SHORT characters stay undecided; above LINKS a block is a menu; from STOPS on it is prose.
-SHORT, LINKS, STOPS = 70, 0.33, 0.15
+class Place:
+    """What encloses a block: whether it is no text outright, doubts by name, and the nearest mark of an article."""
+
+    __slots__ = ("outright", "doubts", "mark", "region", "form")
+
+    def __init__(self, outright: bool, doubts: int, mark: int, region: int, form: list | None):
+        self.outright, self.doubts, self.mark, self.region, self.form = outright, doubts, mark, region, form
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "bad", "main", "label")
+    __slots__ = ("text", "linked", "heading", "place", "words", "stops")
+
+    def __init__(self, text: str, linked: int, heading: bool, place: Place):
+        self.text, self.linked, self.heading, self.place = text, linked, heading, place
+        words = WORD.findall(text.lower())
+        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
 
-    def __init__(self, text: str, linked: int, heading: bool, bad: bool, main: bool):
-        self.text, self.linked, self.heading, self.bad, self.main, self.label = text, linked, heading, bad, main, None
+    @property
+    def outright(self) -> bool:
+        form = self.place.form
+        return self.place.outright or (form is not None and not form[0])
+
+    @property
+    def menu(self) -> bool:
+        return self.linked > LINKS * len(self.text)
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source.strip(" /") else {}
 
 
-def _kind(tag: str, attributes: dict[str, str], in_main: bool) -> str:
-    """What an element makes of its content: "bad", "main", "hidden" or nothing."""
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return "bad"
-    role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    if tag in BOILERPLATE or role in BOILERPLATE_ROLES or (tag not in ("html", "body") and BOILERPLATE_NAMES.search(names)):
-        return "bad"
-    if not in_main and tag not in ("html", "body", "main", "article") and (tag == "header" or PAGE_NAMES.search(names)):
-        return "bad"
-    return "main" if tag in ("article", "main") or role in ("main", "article") or not MAIN_NAMES.isdisjoint(names.lower().split()) else ""
+def _inside(tag: str, attributes: dict[str, str], outer: Place, region: int) -> Place:
+    """The place inside an element."""
+    role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+    tokens, page = set(names.lower().split()), tag in ("html", "body")
+    mark = 2 if tag == "article" or role == "article" or tokens & ARTICLE_NAMES else 1 if tag == "main" or role == "main" or tokens & WIDER_NAMES else 0
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
+    outright = hidden or tag in FURNITURE or role in FURNITURE_ROLES or (not page and bool(OUTRIGHT.search(names)))
+    if not outer.mark and not mark and not page:
+        outright = outright or tag == "header" or bool(EDGE.search(names))
+    doubts = 0 if mark or page else int(bool(OFTEN.search(names)))
+    if mark < outer.mark:
+        mark, region = outer.mark, outer.region
+    elif not mark:
+        region = outer.region
+    return Place(outer.outright or outright, outer.doubts + doubts, mark, region, outer.form)
+
+
+class _Scanner:
+    """Tags and text of a source in order; no character is looked at more than a few times."""
+
+    def __init__(self, source: str):
+        self.source, self.end = source, len(source)
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.quotes = True  # as long as no quote was left open
+        self.unclosed: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag open at ``at``, outside of quotes; at most one search per page fails."""
+        i = at
+        while self.quotes:
+            m = STOP.search(self.source, i)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= self.last[m[0]]:
+                self.quotes = False
+            else:
+                i = self.source.find(m[0], m.end()) + 1
+        return self.source.find(">", at)
+
+    def over(self, tag: str, at: int) -> int:
+        """Place after the end of an element without tags of interest; the page's end, or at once where it has no end."""
+        m = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(self.source, at)
+        if m is None:
+            self.unclosed.add(tag)
+            return self.end if tag in RAW else at
+        close = self.source.find(">", m.end())
+        return self.end if close < 0 else close + 1
+
+    def __iter__(self):
+        """(text, tag, closing, attributes) with one of text and tag empty."""
+        source, at = self.source, 0
+        while at < self.end:
+            lt = source.find("<", at)
+            if lt < 0 or lt > self.last[">"]:
+                open_comment = source.find("<!--", at)
+                yield source[at : open_comment if open_comment >= 0 else self.end], "", False, ""
+                return
+            if lt > at:
+                yield source[at:lt], "", False, ""
+            if source.startswith("<!--", lt):
+                over = source.find("-->", lt + 4)
+                at = self.end if over < 0 else over + 3
+                continue
+            if source.startswith(("<!", "<?"), lt):
+                at = source.find(">", lt) + 1
+                continue
+            closing = source.startswith("</", lt)
+            name = NAME.match(source, lt + 1 + closing)
+            if name is None:
+                yield "<", "", False, ""
+                at = lt + 1
+                continue
+            gt = self.tag_end(name.end())
+            if gt < 0:
+                yield source[lt:], "", False, ""
+                return
+            tag, at = name[0].lower(), gt + 1
+            if tag in SKIPPED:
+                if not closing and (tag in RAW or source[gt - 1] != "/"):
+                    at = self.over(tag, at)
+                continue
+            yield "", tag, closing, source[name.end() : gt]
 
 
 def blocks(source: str) -> list[Block]:
-    """The blocks of a page in order, each with what encloses it."""
+    """The blocks of a page in order, each with its place."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open containers and their kinds
+    outside = Place(False, 0, 0, 0, None)
+    stack: list[tuple[str, Place]] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = depth_bad = depth_main = 0
+    linked = regions = 0
     in_link = broken = False
-    leaf, leaf_bad = "", False
+    leaf, at_leaf, form = "", None, None
+
+    def here() -> Place:
+        return at_leaf or (stack[-1][1] if stack else outside)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, linked, leaf in HEADINGS, depth_bad > 0 or leaf_bad, depth_main > 0))
+            found.append(Block(text, linked, leaf in HEADINGS, here()))
         parts.clear()
         linked = 0
 
-    def said(raw: str) -> None:
-        nonlocal linked, broken
-        text = html.unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if text.strip():
-            broken = False
-        if in_link:
-            linked += len(" ".join(text.split()))
-
-    at, end = 0, len(source)
-    while at < end:
-        m = TAG.search(source, at)
-        if not m:
-            said(source[at:])
-            break
-        if m.start() > at:
-            said(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def pop() -> str:
+        nonlocal form
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+        if tag == "form":
+            form = None
+        return tag
+
+    for raw, tag, closing, attributes in _Scanner(source):
         if not tag:
-            continue
-        closing, attributes = bool(m[1] or m[4]), {}
-        if not closing:
-            attributes = _attributes(m[3] or m[6] or "")
-        if tag in RAW or (tag in SKIPPED and tag != "head"):
-            if not closing and not (m[0].endswith("/>") and tag not in RAW):
-                over = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-                at = over.end() if over else end
-            continue
-        if tag == "a":
+            text = html.unescape(raw) if "&" in raw else raw
+            parts.append(text)
+            if text.strip():
+                broken = False
+            if in_link:
+                linked += len(" ".join(text.split()))
+        elif tag == "a":
             in_link = not closing
         elif tag == "br":
             if broken:  # two line breaks in a row end a block
@@ -123,75 +223,96 @@ def blocks(source: str) -> list[Block]:
             broken = True
         elif tag in BLOCKS:
             flush()
-            leaf, leaf_bad, broken = "", False, False
+            leaf, at_leaf, broken = "", None, False
             if tag in CONTAINERS and closing:
-                if any(t == tag for t, _ in stack):
-                    while True:
-                        t, kind = stack.pop()
-                        depth_bad -= kind == "bad"
-                        depth_main -= kind == "main"
-                        if t == tag:
-                            break
+                if opened.get(tag):
+                    while pop() != tag:
+                        pass
                 in_link = False
             elif tag in CONTAINERS:
-                kind = "bad" if tag == "head" else _kind(tag, attributes, depth_main > 0)
-                if tag == "body" and stack and stack[-1][0] == "head":
-                    depth_bad -= stack.pop()[1] == "bad"
-                stack.append((tag, kind))
-                depth_bad += kind == "bad"
-                depth_main += kind == "main"
+                if tag == "body" and opened.get("head"):
+                    while pop() != "head":
+                        pass
+                if tag == "form" and form is not None:
+                    continue
+                regions += 1
+                place = _inside(tag, _attributes(attributes), here(), regions)
+                if tag == "form":
+                    # A form is furniture, unless it is put around the page.
+                    form = place.form = [False]
+                elif form is not None and (place.mark and place.region == regions or tag in ("nav", "header", "footer")):
+                    form[0] = True
+                stack.append((tag, place))
+                opened[tag] = opened.get(tag, 0) + 1
             elif not closing and tag in LEAVES:
-                leaf, leaf_bad = tag, _kind(tag, attributes, depth_main > 0) == "bad"
+                leaf = tag
+                regions += 1
+                at_leaf = _inside(tag, _attributes(attributes), here(), regions) if attributes.strip(" /") else None
     flush()
     return found
 
 
-def _first_pass(b: Block, has_main: bool) -> str:
-    if b.bad or (has_main and not b.main):
+def _first_pass(b: Block, mark: int) -> str:
+    """good, bad or open; ``mark`` is the strongest mark of an article on the page."""
+    if b.outright:
         return "bad"
-    if b.linked > LINKS * len(b.text):
-        return "open" if b.main else "bad"
+    speaks = (2 if b.place.mark == mark else 0 if b.place.mark else -2) if mark else 0
+    speaks -= 2 * min(b.place.doubts, 1) + 2 * b.menu
     if b.heading or len(b.text) < SHORT:
-        return "open"
-    words = b.text.lower().split()
-    if sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOPS * len(words):
-        return "good"
-    return "open" if b.main else "bad"
+        return "bad" if speaks <= -2 and (b.menu or b.place.doubts) else "open"
+    share = b.stops / max(b.words, 1)
+    speaks += 2 if share >= STOPS else -1 if share < FEW else 1
+    speaks += len(b.text) >= LONG
+    return "good" if speaks > 0 else "bad" if speaks < 0 else "open"
 
 
-def main_text(source: str | None) -> str:
-    """The kept blocks of a page, one a line; empty for a null page or one without main text."""
+def _nearest(found: list[Block], labels: list[str], anchor) -> tuple[list, list]:
+    """By block, the nearest decided blocks before and after that ``anchor(block)`` admits, within one group each."""
+    before, after = [None] * len(found), [None] * len(found)
+    for order, out in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
+        last: dict = {}
+        for i in order:
+            group = anchor(found[i])
+            out[i] = last.get(group)
+            if labels[i] != "open" and group is not None:
+                last[group] = i
+    return before, after
+
+
+def labelled(source: str | None) -> list[tuple[Block, bool]]:
+    """The blocks of a page, each with whether it is main text."""
     found = blocks(source or "")
-    has_main = any(b.main and not b.bad for b in found)
-    labels = [_first_pass(b, has_main) for b in found]
-    # With a marked article, what lies outside of it says nothing about blocks in it.
-    before, last = [None] * len(found), None
-    for i, x in enumerate(labels):
-        if x != "open":
-            last = i if not (has_main and labels[i] == "bad") else last
-        before[i] = last
-    after, nxt = [None] * len(found), None
-    for i in range(len(found) - 1, -1, -1):
-        if labels[i] != "open":
-            nxt = i if not (has_main and labels[i] == "bad") else nxt
-        after[i] = nxt
-    kept = []
+    mark = max((b.place.mark for b in found if not b.outright), default=0)
+    labels = [_first_pass(b, mark) for b in found]
+    if "good" not in labels:
+        # Without a clear block, the open one with most stop words is the text.
+        best = max((b.stops for b, x in zip(found, labels) if x == "open"), default=0)
+        if best >= 2:
+            labels[[x == "open" and b.stops == best for b, x in zip(found, labels)].index(True)] = "good"
+    inside = lambda b: mark > 0 and b.place.mark == mark
+    # Within an article only its own blocks count, without what is no text outright.
+    own = _nearest(found, labels, lambda b: b.place.region if inside(b) and not b.outright else None)
+    any_ = _nearest(found, labels, lambda b: 0)
+    out = []
     for i, (b, x) in enumerate(zip(found, labels)):
         if x == "open":
+            before, after = own if inside(b) else any_
             a, z = before[i], after[i]
             if a is None and z is None:
-                x = "good" if has_main else "bad"
+                x = "good" if inside(b) or not mark and not b.menu else "bad"
             elif a is None or z is None:
                 x = labels[z if a is None else a]
-            elif labels[a] == labels[z]:
-                x = labels[a]
-            elif b.heading:
+            elif b.heading or labels[a] == labels[z]:
                 x = labels[z]  # a heading belongs to what follows
             else:
                 x = "good" if i - a == z - i else labels[a if i - a < z - i else z]
-        if x == "good":
-            kept.append(b.text)
-    return "\n".join(kept)
+        out.append((b, x == "good"))
+    return out
+
+
+def main_text(source: str | None) -> str:
+    """The kept blocks of a page, one a line; empty for a null page or one without main text."""
+    return "\n".join(b.text for b, kept in labelled(source) if kept)
 
 
 def _extracted(batches):
@@ -203,9 +324,11 @@ def _extracted(batches):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per input row: page_id, url, text, n_chars (code points). No shuffle.
 
-    A null or empty page gives an empty text; a page cut off anywhere gives what it holds up to there; null
-    ids and urls and repeated rows are carried through; an empty table gives no rows; other columns are
-    ignored. Where a page marks its article, only blocks in it can be main text.
+    * A null or empty page gives an empty text; a page cut off anywhere gives what it holds up to there.
+    * A page of any length takes time in proportion to it.
+    * Null ids and urls and repeated rows are carried through; an empty table gives no rows; other columns are
+      ignored and may have any name.
+    * Of two different labels at equal distance, an open block takes the good one.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

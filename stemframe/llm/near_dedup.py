@@ -2,18 +2,22 @@
 
 1. Every document becomes a set of hashed word shingles and MINIMA universal hash minima of it. Equal sets
    are one class from here on, so exact copies cost nothing further.
-2. Banding: classes that agree in a band share a bucket. Each bucket links its members to one of them, its
-   leader, after the signatures and then the full sets have confirmed the similarity.
+2. Banding: classes that agree in a band share a bucket. Each bucket has a leader, the member that meets the
+   most others over all its buckets (the centre of a family of copies), and every other member is held
+   against it: by parity bitmap, then by signature, then by full sets. That is one pair for each member.
 3. Components of these links are found by alternating large-star and small-star. A bucket whose members
-   are in one component needs nothing more, which is how large groups of copies end here.
-4. In the other buckets, members that are not similar to their leader may still be similar to each other.
-   For the classes in them a prefix filter finds these pairs: ordered by how rare they are, two sets of the
-   wanted similarity share one of their first shingles. The join itself leaves out pairs whose places of
-   that shingle, or whose parity bitmaps, prove them too different. So pairs are made where they are
-   likely to be links, never for all members of a bucket; all are confirmed on the full sets.
+   are in one component needs nothing more, which is how large groups of copies end here. The others get
+   a second leader from a component that has not led yet.
+4. In buckets that are still open, members may be similar to each other though not to a leader. For the
+   classes in them a prefix filter finds these pairs: ordered by how rare they are, two sets of the wanted
+   similarity share one of their first shingles. The join itself leaves out pairs in one component, and
+   pairs whose places of that shingle, or whose parity bitmaps, prove them too different. So the pairs that
+   are made are those about as similar as links are, between what has not met yet; all are confirmed on
+   the full sets.
 
 Only a pair that shares no band at all can be missed: with 32 bands of 4 minima that happens to one pair in
-20 million at similarity 0.8.
+20 million at similarity 0.8. Sets hold 64-bit hashes of shingles and classes are equal sums of two of them
+(128 bits, and equal sizes), so "equal" here means equal but for a collision of these hashes.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.storage import staged
 from stemframe.llm.components import components
 from stemframe.llm.hashing import mix, signed, word_hashes
+from stemframe.storage import discard, staged
 
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
@@ -92,23 +96,62 @@ def _setter(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar: first by signature, with room for its error, then by full sets."""
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("items").alias("ia"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("items").alias("ib"))
-    joined = pairs.select("a", "b").join(two, "b").join(one, "a")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
-    # Six standard errors below the threshold: one true pair in a billion falls here.
-    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
-    both = F.size(F.array_intersect("ia", "ib"))
-    similar = F.when(agree < int(least * MINIMA), False).otherwise(100 * both >= percent * (F.col("na") + F.col("nb") - both))
-    return joined.filter(similar).select("a", "b")
+def _may_be_similar(both, differ, percent: int):
+    """Sets of ``both`` items together, with at least ``differ`` items in one only, can be similar."""
+    return 2 * percent * both <= (100 + percent) * (both - differ)
 
 
 def _sizes_allow(n: str, m: str, percent: int):
     return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar: by bitmap, by signature with room for its error, then by full sets."""
+    side = lambda s, *columns: sets.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    bits = pairs.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a")
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    likely = staged(bits.filter(_may_be_similar(F.col("a_n") + F.col("b_n"), differ, percent)).select("a", "b").distinct(), "likely")
+    joined = likely.join(side("b", "n", "sig", "items"), "b").join(side("a", "n", "sig", "items"), "a")
+    agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
+    # Six standard errors below the threshold: one true pair in a billion falls here.
+    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
+    both = F.size(F.array_intersect("a_items", "b_items"))
+    similar = F.when(agree < int(least * MINIMA), False).otherwise(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both))
+    links = staged(joined.filter(similar).select("a", "b").distinct(), "links")
+    discard(likely)
+    return links
+
+
+def _placed(members: DataFrame, at: DataFrame) -> DataFrame:
+    """Members with the component that their class is in by now (its own, if nothing is linked to it)."""
+    found = members.join(at.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return staged(found.withColumn("component", F.coalesce("component", "rep")), "placed")
+
+
+def _merged(at: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b) between classes; ``at`` holds every node linked so far."""
+    for side in "ab":
+        links = links.join(at.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    joined = staged(components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    moved = at.join(joined.select(F.col("node").alias("component"), F.col("component").alias("far")), "component", "left").select("node", F.coalesce("far", "component").alias("component"))
+    out = staged(moved.unionByName(joined.join(at, "node", "left_anti")), "components")
+    discard(joined, at)
+    return out
+
+
+def _leader_pairs(placed: DataFrame, led: DataFrame | None, at: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, leaders): members of each bucket against its most popular one in a component that has not led the bucket yet."""
+    choice = placed
+    if led is not None:
+        over = led.join(at.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", F.coalesce("component", "rep").alias("component")).distinct()
+        choice = placed.join(over, ["bucket", "component"], "left_anti")
+    top = choice.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"), "n", "component")).alias("top"))
+    leaders = staged(top.select("bucket", (-F.col("top.low")).alias("rep"), F.col("top.n").alias("n"), F.col("top.component").alias("component")), "leaders")
+    against = placed.join(leaders.select("bucket", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component")), "bucket")
+    pairs = against.filter(F.col("component") != F.col("leader_component")).filter(_sizes_allow("n", "leader_n", percent))
+    return staged(pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), "pairs"), leaders
+
+
 def _prefix_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share one of their rarest shingles.
 
@@ -131,12 +174,14 @@ def _prefix_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> Dat
     most = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     both = F.col("a_n") + F.col("b_n")
     differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    possible = (percent * both <= (100 + percent) * most) & (2 * percent * both <= (100 + percent) * (both - differ))
+    possible = (percent * both <= (100 + percent) * most) & _may_be_similar(both, differ, percent)
     joined = side("a").join(side("b"), "item").filter((F.col("a_component") < F.col("b_component")) & _sizes_allow("a_n", "b_n", percent) & possible)
-    return joined.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+    pairs = staged(joined.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "pairs")
+    discard(common, prefix)
+    return pairs
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of
@@ -144,48 +189,56 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     * A null or empty text has the empty set, which is similar to nothing; a text below ``width`` words is
       one shingle.
-    * Rows that repeat an id are one document of several texts: its links are those of any of them.
+    * Rows that repeat an id are one document of several texts: its links are those of any of them, and its
+      rows share their component and verdict.
     * A row without an id is linked to nothing; its component is null and it is kept.
     * An empty table gives no rows; other columns are ignored.
+
+    ``rounds`` of leaders change how much work is left to the prefix filter, not the result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
     sketch = staged(rows.mapInArrow(_sketcher(width), "doc_id long, version long, n long, h1 long, h2 long, sig array<int>"), "sketch")
     known = sketch.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = staged(classes.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.version").alias("version"), "n", "sig"), "classes")
+    classes = known.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.first("sig").alias("sig"))
+    classes = staged(classes.select("h1", "h2", "n", F.col("first.doc_id").alias("rep"), F.col("first.version").alias("version"), "sig"), "classes")
 
     keys = [F.xxhash64(F.lit(i), *[F.col("sig")[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)]
     banded = classes.select("rep", "n", F.explode(F.array(*keys)).alias("bucket"))
-    buckets = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("leader")).filter("size > 1"), "buckets")
-    members = staged(banded.join(buckets, "bucket").select("bucket", "rep", "n", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n")), "members")
+    buckets = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    sized = staged(banded.join(buckets, "bucket").select("bucket", "rep", "n", "size"), "sized")
+    members = staged(sized.join(sized.groupBy("rep").agg(F.sum("size").alias("popular")), "rep").select("bucket", "rep", "n", "popular"), "members")
 
     flagged = members.select("rep").distinct()
     wanted = classes.join(flagged, "rep").select(F.col("rep").alias("doc_id"), "version", "n", "sig")
     texts = wanted.join(rows, ["doc_id", "version"]).select("doc_id", "n", "sig", "version", "text").dropDuplicates(["doc_id", "version"])
     sets = staged(texts.mapInArrow(_setter(width), "rep long, n long, sig array<int>, version long, items array<long>, bits array<long>"), "sets")
-
-    stars = members.filter("rep <> leader").filter(_sizes_allow("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = components(_confirmed(staged(stars, "pairs"), sets, percent))
-    first = staged(first, "components")
-
-    placed = members.select("bucket", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = staged(placed, "placed")
-    mixed = staged(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "mixed")
+    discard(buckets, sized)
+
+    # A document of several texts is in several classes, which it links.
+    several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi")).filter("lo <> hi").select("doc_id")
+    own = known.join(several, "doc_id").select("doc_id", "h1", "h2", "n").distinct().join(classes, ["h1", "h2", "n"])
+    at = staged(components(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "components")
+    led = None
+    for _ in range(rounds):
+        placed = _placed(members, at)
+        pairs, leaders = _leader_pairs(placed, led, at, percent)
+        links = _confirmed(pairs, sets, percent)
+        at = _merged(at, links)
+        discard(placed, pairs, links)
+        leaders = leaders.select("bucket", "rep")
+        led = leaders if led is None else led.unionByName(leaders)
+
+    placed = _placed(members, at)
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
     open_classes = staged(placed.join(mixed, "bucket").select("rep", "component").distinct(), "open")
-    more = _confirmed(staged(_prefix_pairs(open_classes, sets, percent), "pairs"), sets, percent)
-    # What is left to join are whole components.
-    of = open_classes.select("rep", "component")
-    bridges = more.join(of.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-    second = components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-    top = first.select(F.col("node").alias("rep"), "component").unionByName(second.select(F.col("node").alias("rep"), F.col("component")))
-    top = top.groupBy("rep").agg(F.min("component").alias("component"))  # a root of both kinds has two rows
-    roots = staged(top, "roots")
-    # first maps a class to its component, second maps that component further.
-    final = roots.select("rep", F.col("component").alias("mid")).join(roots.select(F.col("rep").alias("mid"), F.col("component").alias("far")), "mid", "left")
-    final = final.select("rep", F.coalesce("far", "mid").alias("component"))
-    by_class = staged(classes.select("h1", "h2", "rep").join(final, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "by_class")
-    found = sketch.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
+    pairs = _prefix_pairs(open_classes, sets, percent)
+    links = _confirmed(pairs, sets, percent)
+    at = _merged(at, links)
+    by_class = classes.select("h1", "h2", "n", "rep").join(at.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    by_class = staged(by_class.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component")), "by_class")
+    discard(placed, open_classes, pairs, links, sets, members, at, classes)
+
+    found = sketch.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

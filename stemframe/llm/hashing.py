@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_inverse: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -22,27 +22,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([h(w) for w in words], np.uint64)
 
 
-def _grown(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers[which].size < n:
-        size = max(n, 2 * _powers[which].size)
-        for cache, base in ((_powers, _ODD[which]), (_inverse, pow(_ODD[which], -1, 1 << 64))):
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    global _powers, _inverse
+    if _powers.size < n:
+        size = max(n, 2 * _powers.size)
+        made = []
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            cache[which] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[which], _inverse[which]
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _powers, _inverse = made
+    return _powers, _inverse
 
 
 class Sequence:
-    """Hashes of any stretch of a word sequence, by prefix sums of a polynomial modulo 2**64.
+    """64-bit hashes of any stretch of a word sequence, by prefix sums of a polynomial modulo 2**64."""
 
-    Two of them (which = 0 and 1, over differently mixed words) make a 128-bit hash.
-    """
-
-    def __init__(self, words: np.ndarray, which: int):
-        self.n, self.which = words.size, which
-        power, self.back = _grown(self.n + 1, which)
-        x = mix(words + np.uint64(which * 0x632BE59BD9B4E019))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: self.n], dtype=np.uint64)))
+    def __init__(self, words: np.ndarray):
+        power, self.back = _grown(words.size + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words) * power[: words.size], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of words start..end, for arrays of starts and ends."""

@@ -65,30 +65,54 @@ def _bag(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixture:
-    """Trigram probabilities by language, and inference of proportions for batches of documents."""
+    """Trigram probabilities by language, and inference of proportions for batches of documents.
 
-    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 2.0, rounds: int = 15):
-        self.langs, self.penalty, self.rounds = langs, penalty, rounds
+    ``slack`` is how far, in log-likelihood, EM may stop below the likeliest mixture (plus one part in a hundred
+    thousand for rounding); ``most_rounds`` only bounds documents whose likelihood is all but flat.
+    """
+
+    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 2.0, slack: float = 0.1, most_rounds: int = 800):
+        self.langs, self.penalty, self.slack, self.most_rounds = langs, penalty, slack, most_rounds
         p = counts + smoothing
         self.p = p / p.sum(axis=0, keepdims=True) if langs else p
 
-    def _em(self, p, n, doc, starts, size, share, rounds):
-        p, share = p.astype(np.float32), share.astype(np.float32)
-        for _ in range(rounds):
-            joint = p * share[doc]
-            joint *= (n / joint.sum(axis=1))[:, None].astype(np.float32)
-            share = np.add.reduceat(joint, starts) / size[:, None].astype(np.float32)
-        share = share.astype(float)
+    def _em(self, p, n, lengths, share, step: int = 5):
+        """EM from ``share``: (proportions, log-likelihood, room), the last by how much the best mixture of these languages may be likelier.
+
+        Log-likelihood is concave in the proportions, so that bound holds at any of them; EM goes on for each
+        document until its room is within the slack.
+        """
+        share, room = share.astype(float), np.zeros(len(lengths))
+        p32 = p.astype(np.float32)
+        todo, q, m = np.arange(len(lengths)), p32, n.astype(np.float32)
+        for _ in range(self.most_rounds // step):
+            own = lengths[todo]
+            doc, starts = np.repeat(np.arange(todo.size), own), np.concatenate(([0], np.cumsum(own)[:-1]))
+            size = np.add.reduceat(m, starts)
+            now, allowed = share[todo].astype(np.float32), share[todo] > 0
+            for _ in range(step):
+                joint = q * now[doc]
+                joint *= (m / joint.sum(axis=1))[:, None]
+                now = np.add.reduceat(joint, starts) / size[:, None]
+            gain = np.add.reduceat(q * (m / (q * now[doc]).sum(axis=1))[:, None], starts) / size[:, None]
+            share[todo] = np.where(allowed, np.maximum(now, 1e-30), 0)
+            room[todo] = size * np.log(np.maximum(np.where(allowed, gain, 0).max(axis=1), 1))
+            left = room[todo] > self.slack + 1e-5 * size
+            if not left.any():
+                break
+            if not left.all():
+                rows = left[doc]
+                todo, q, m = todo[left], q[rows], m[rows]
         share /= share.sum(axis=1, keepdims=True)
-        return share, np.add.reduceat(n * np.log((p * share[doc]).sum(axis=1)), starts)
-
-    def _room(self, p, n, doc, starts, size, share):
-        """At most so much more likely is any other mixture of the languages: log-likelihood is concave in the proportions."""
-        gain = np.add.reduceat(p * (n / (p * share[doc]).sum(axis=1))[:, None], starts) / size[:, None]
-        return size * np.log(np.maximum(gain.max(axis=1), 1))
+        doc, starts = np.repeat(np.arange(len(lengths)), lengths), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        return share, np.add.reduceat(n * np.log((p * share[doc]).sum(axis=1)), starts), room
 
     def infer(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(proportions, score) by document; proportions are 0 for languages that are not in its set."""
+        """(proportions, score) by document; proportions are 0 for languages that are not in its set.
+
+        Sets of k languages are the k largest of the mixture of all; the set with the best penalised
+        likelihood wins, the smaller one if two are equal.
+        """
         docs, langs = len(bags), len(self.langs)
         shares, score = np.zeros((docs, langs)), np.zeros(docs)
         some = [i for i, b in enumerate(bags) if b.size]
@@ -106,26 +130,25 @@ class Mixture:
         value = alone.max(axis=1)
         sure = 1 / np.exp(np.maximum(alone - value[:, None], -700)).sum(axis=1)
         if langs > 1:
-            full, likely = self._em(p, n, doc, starts, size, np.full((len(some), langs), 1 / langs), self.rounds // 2)
+            full, likely, room = self._em(p, n, lengths, np.full((len(some), langs), 1 / langs))
             cost = self.penalty * np.log(size + 1)
-            # Only where all languages together gain more than one further language costs can a larger set win.
-            open_ = np.flatnonzero(likely - value > cost)
             order = np.argsort(-full, axis=1, kind="stable")
-            limit = likely + self._room(p, n, doc, starts, size, full) if langs > 2 and open_.size else likely
+            limit = likely + room
+            open_ = np.arange(len(some))
             for k in range(2, langs + 1):
                 # No k languages are likelier than all of them at their best.
-                open_ = open_[limit[open_] - (k - 1) * cost[open_] > value[open_]] if k > 2 else open_
+                open_ = open_[limit[open_] - (k - 1) * cost[open_] > value[open_]]
                 if not open_.size:
                     break
-                rows = np.isin(doc, open_)
-                own = lengths[open_]
                 start = np.full((open_.size, langs), 0.0)
                 np.put_along_axis(start, order[open_, :k], np.take_along_axis(full[open_], order[open_, :k], 1) + 1e-6, 1)
                 start /= start.sum(axis=1, keepdims=True)
-                share, likely_k = self._em(p[rows], n[rows], np.repeat(np.arange(open_.size), own), np.concatenate(([0], np.cumsum(own)[:-1])), size[open_], start, self.rounds)
-                won = likely_k - (k - 1) * cost[open_] > value[open_]
+                rows = np.isin(doc, open_)
+                share, likely_k, _ = self._em(p[rows], n[rows], lengths[open_], start)
+                worth = likely_k - (k - 1) * cost[open_]
+                won = worth > value[open_]
                 at = open_[won]
-                found[at], value[at] = share[won], (likely_k - (k - 1) * cost[open_])[won]
+                found[at], value[at] = share[won], worth[won]
                 sure[at] = share[won].max(axis=1)
         shares[some], score[some] = found, np.clip(sure, 0, 1)
         return shares, score
@@ -187,18 +210,25 @@ def identify(docs: DataFrame, model: Mixture | None = None, id_col: str = "doc_i
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, mixture map<string, double>")
 
 
-def with_known_language(docs: DataFrame, model: Mixture | None = None, text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the rows whose language can't be told (``und``)."""
+def with_known_language(docs: DataFrame, model: Mixture | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input's rows and columns without the rows whose language can't be told.
+
+    A row goes if it has no letters (``und``) or if no language has a proportion of ``least`` or more: neither a
+    main language of a mixture, nor one that is likelier than all others together for a text of one language.
+
+    * Null, empty and letterless texts go; without a row to learn from all rows go.
+    * Repeated rows and null ids share the verdict of their text; other columns, whatever their names, stay.
+    * An empty table gives no rows.
+    """
     model = model or fit(docs)
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
             for a, b in _chunks(texts):
-                shares, _ = model.infer([trigrams(t) for t in texts[a:b]])
-                keep += list(shares.max(axis=1) > 0) if shares.shape[1] else [False] * (b - a)
+                _, score = model.infer([trigrams(t) for t in texts[a:b]])
+                keep += list((score > 0) & (score >= least))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

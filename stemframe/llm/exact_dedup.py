@@ -1,9 +1,10 @@
 """Exact dedup by skew-safe combining; DataFrame functions only.
 
 Equal texts are combined three times, and each time the whole text is part of the grouping key, so a
-digest collision can never merge different texts: locally (map-side partial aggregation), per
-(digest, salt) so that a hot text is spread over ``salts`` reducers, and globally over the at most
-``salts`` winners that each text has left. The digest only leads the key, to make comparisons short.
+digest collision can never merge different texts: locally (each task's own rows of a text become one, by
+map-side partial aggregation), per (digest, salt), the salt being the task that a row came from, so that a hot
+text is spread over ``salts`` reducers, and globally over the at most ``salts`` winners that each text has
+left. The digest only leads the key, to make comparisons short.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _task(salts: int) -> Column:
+    """The task that a row is read by, modulo ``salts``: all rows of a task share it, so they combine before they leave it."""
+    return F.pmod(F.spark_partition_id(), F.lit(salts))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest=sha256) -> DataFrame:
     """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -31,8 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    partly = salted.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    partly = rows.withColumn("salt", _task(salts)).groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     groups = partly.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # Only texts that occur more than once need to find their way back to the rows.
     winners = staged(groups.filter("group_size > 1"), "winners")
@@ -42,29 +47,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         sha256(F.col("text")).alias("text_sha256"),
     )
-    turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # Of rows that repeat the winning id one is kept: first one of each task, then one of these. A row that can't
+    # win is dealt by what it is, so that the many rows without an id of one text don't meet in one task.
+    found = found.withColumn("task", _task(1 << 16))
+    local = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "task").orderBy("keep_id"))
+    found = found.withColumn("local", local)
+    rest = F.when(F.col("local") > 1, F.concat_ws(":", "task", "local"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "rest").orderBy("task"))
+    won = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("rest").isNull() & (turn == 1)
+    return found.withColumn("rest", rest).withColumn("kept", won).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The input's rows and columns, one row for each text: the one with the largest id.
 
-    The groups are combined as above; rows meet the winners of repeated texts once, and travel there with
-    their text once (it is read out of the row).
+    The groups are combined as above, and each carries its winner's row along, so no row has to be looked up
+    again. Nulls, ties, repeats and empty tables are treated as above; a null text stays null in the row that is
+    kept (null and empty texts are one group).
     """
-    salts = 32
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = docs.select(F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    partly = marks.groupBy("digest", "text", "salt").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    groups = partly.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("n")).filter("n > 1")
-    winners = staged(groups, "winners").select(F.col("digest").alias("g"), F.col("text").alias("t"), "keep_id", "n")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sha256(text).alias("digest"))
-    same = (F.col("digest") == F.col("g")) & (F.coalesce(F.col("row")[text_col], F.lit("")) == F.col("t"))
-    found = rows.join(winners, same, "left").filter(F.col("n").isNull() | F.col("row")[id_col].eqNullSafe(F.col("keep_id"))).select("row", "digest", "n")
-    # Texts that occur once need no further look; of rows that repeat the winning id one stays.
-    turn = F.row_number().over(Window.partitionBy(F.col("row")[id_col], "digest").orderBy("n"))
-    once = found.filter("n IS NULL").select("row.*")
-    return once.unionByName(found.filter("n IS NOT NULL").withColumn("turn", turn).filter("turn = 1").select("row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__no_text"))
+    # The order of the ids, a null one last; of rows that repeat an id a hash of their columns decides.
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rank = F.struct(F.col(id_col).isNotNull(), F.col(id_col), F.xxhash64(*hashed))
+    rows = docs.select(sha256(text).alias("digest"), text.alias("text"), rank.alias("rank"), row.alias("row"), _task(salts).alias("salt"))
+    best = [F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank")]
+    groups = rows.groupBy("digest", "text", "salt").agg(*best).groupBy("digest", "text").agg(*best)
+    own = F.when(~F.col("row.__no_text"), F.col("text"))
+    return groups.select(*[own.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemframe.storage import staged
+from stemframe.operators.dataset import numbered
+from stemframe.storage import discard, staged
 
 
 #: Ranges of the seeded order within each source: the first three hex digits of the hash.
@@ -26,32 +27,37 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: dict, weights: dict, budget: float, max_epochs: float) -> dict:
-    """Targets by source: budget shared by weight, clamped at max_epochs x size, the excess reshared.
+def water_fill(sources: DataFrame, ratio: float, max_epochs: float) -> DataFrame:
+    """``sources`` (size, weight, and any others) with ``target``: a budget of ratio x all sizes shared by weight,
+    clamped at max_epochs x size, the excess reshared by weight until none is above.
 
-    >>> water_fill({"a": 10, "b": 100}, {"a": 3, "b": 1}, 100, 2)
-    {'a': 20.0, 'b': 80.0}
+    Every round is one aggregate over the sources, of which one row reaches the driver: the level (words for a
+    unit of weight) at which the sources that are not clamped share what is left. It only rises, so the rounds end.
+    Weights of 0 or less get nothing.
     """
-    target: dict = {}
-    free = [s for s in sizes if weights[s] > 0]
-    target |= {s: 0.0 for s in sizes if weights[s] <= 0}
-    while free:
-        left = budget - sum(target.values())
-        total = sum(weights[s] for s in free)
-        share = {s: left * weights[s] / total for s in free}
-        over = [s for s in free if share[s] > max_epochs * sizes[s]]
-        if not over:
-            target |= share
+    cap, open_ = max_epochs * F.col("size"), F.col("weight") > 0
+    budget = ratio * (sources.agg(F.sum("size")).first()[0] or 0)
+    level, before = 0.0, None
+    while True:
+        over = cap < F.col("weight") * F.lit(level)
+        s = sources.filter(open_).agg(F.sum(F.when(over, cap)).alias("clamped"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.sum(over.cast("int")).alias("n")).first()
+        if not s["weight"] or s["n"] == before:
             break
-        target |= {s: float(max_epochs * sizes[s]) for s in over}
-        free = [s for s in free if s not in over]
-    return {s: target[s] for s in sizes}
+        level, before = (budget - (s["clamped"] or 0)) / s["weight"], s["n"]
+    if not s["weight"]:
+        level = float("inf")
+    share = F.when(F.lit(level) == float("inf"), cap).otherwise(F.least(cap, F.col("weight") * F.lit(level)))
+    return sources.withColumn("target", F.when(open_, share).otherwise(0.0))
 
 
-def cyclic_weights(sources: list, cycle: tuple = (3, 1, 2)) -> dict:
-    """Weights for sources in code point order, null last, repeating ``cycle``."""
-    ordered = sorted((s for s in sources if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sources)
-    return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
+def cyclic_weights(sources: DataFrame, cycle: tuple = (3, 1, 2)) -> DataFrame:
+    """``sources`` (key, source) with ``weight``: ``cycle`` repeated over the sources in code point order, null last.
+
+    The sources are numbered range by range, so there may be any number of them.
+    """
+    ordered = numbered(sources.select(F.col("source").isNull().alias("none"), "key"), "none", "key")
+    weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("no") % len(cycle) + 1).cast("int"))
+    return sources.join(ordered.select("key", weight.alias("weight")), "key")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -65,8 +71,6 @@ def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_ep
     * A null source is a source of its own, last in order. ``weights`` by source default to 3, 1, 2, repeating.
     * Repeated rows (equal ids) are documents of their own; a null id hashes like any other value.
     * An empty table gives no rows. The same seed gives the same mix.
-
-    The sizes of the sources, one row each, go to the driver: there are as many as the weights name.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
@@ -76,18 +80,20 @@ def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_ep
     # A key without nulls, so that joins on it are plain equalities.
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn("range", F.substring("turn", 1, 3))
     ranges = staged(rows.groupBy("key", "range").agg(F.sum("size").alias("words"), F.first("source").alias("source")), "ranges")
-    sizes = {r["source"]: r["words"] for r in ranges.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("words")).collect()}
-    weights = cyclic_weights(list(sizes)) if weights is None else {s: weights.get(s, 0) for s in sizes}
-    targets = water_fill(sizes, weights, ratio * sum(sizes.values()), max_epochs)
-    plan = []
-    for s, size in sizes.items():
-        whole = int(targets[s] // size) if size else 0
-        plan.append(("null" if s is None else f"={s}", size, targets[s], whole, round(targets[s] - whole * size)))
-    plan = docs.sparkSession.createDataFrame(plan, "key string, source_size long, target double, whole int, rest long")
+    sources = staged(ranges.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("size")), "sources")
+    if weights is None:
+        weighted = cyclic_weights(sources)
+    else:
+        named = docs.sparkSession.createDataFrame([("null" if s is None else f"={s}", float(w)) for s, w in weights.items()], "key string, weight double")
+        weighted = sources.join(named, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    weighted = staged(weighted, "weights")
+    plan = water_fill(weighted, ratio, max_epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+    plan = plan.select("key", F.col("size").alias("source_size"), "target", whole.cast("int").alias("whole"), F.bround(F.col("target") - whole * F.col("size"), 0).cast("long").alias("rest"))
     upto = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("key", "range", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
-    # The plan has one row for each weight that the caller names; it goes out with the small table of ranges.
-    starts = starts.join(plan, "key")
+    starts = staged(starts.join(plan, "key"), "starts")
+    discard(ranges, sources, weighted)
     before = Window.partitionBy("key", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["key", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))

@@ -62,7 +62,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_quality_rules", quality_rules.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rates")
 
 
 @query("op9_html_extraction")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,6 +87,21 @@ def test_mixtures_are_inferred(spark, docs):
     assert 0.3 < shares[0, i] < 0.7 and 0.3 < shares[0, j] < 0.7 and shares[1, i] > 0.9
 
 
+def test_em_reaches_the_likeliest_mixture():
+    rng = np.random.default_rng(3)
+    model = language.Mixture(list("abcde"), rng.dirichlet(np.full(language.BUCKETS, 0.02), 5).T * 1e6)
+    grams = np.concatenate([rng.choice(language.BUCKETS, n, p=model.p[:, i]) for i, n in ((0, 500), (1, 300), (2, 200), (3, 150), (4, 150))])
+    at, n = np.unique(grams, return_counts=True)
+    share, likely, room = model._em(model.p[at], n.astype(float), np.array([at.size]), np.full((1, 5), 0.2))
+    best = np.full(5, 0.2)
+    for _ in range(5000):
+        joint = model.p[at] * best
+        best = (joint * (n / joint.sum(axis=1))[:, None]).sum(axis=0) / n.sum()
+    assert abs(likely[0] - (n * np.log((model.p[at] * best).sum(axis=1))).sum()) <= model.slack + 0.02 and np.abs(share[0] - best).max() < 0.02
+    shares, score = model.infer([grams])
+    assert (shares[0] > 0).sum() == 5 and 0.3 < score[0] < 0.5  # a document of five languages has five
+
+
 def test_language_awkward(awkward, empty):
     got = {r.doc_id: r for r in language.identify(awkward).collect()}
     assert all(got[d].lang_pred == "und" and got[d].score == 0 for d in (3, 4, 5)) and got[7].lang_pred == "und" and got[1].lang_pred in {"en", "fr", "de"}
@@ -138,16 +154,39 @@ def test_substring_dedup_at_boundaries(spark):
     made = {1: a, 2: b, 3: a[10:60] + b[5:55], 4: a[100:149] + ["x"], 5: ["y"] + a[200:250] + ["z"], 6: a[20:90] + a[60:120], 7: ["q"] * 200, 8: ["q"] * 60, 9: ["q"] * 49, 10: b[:40] + a[:40] + b[40:120]}
     made = {k: " ".join(v) for k, v in made.items()}
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df).collect()}
+    rows = substring_dedup.substring_dedup(df).collect()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows}
     assert got == substring_dedup.brute_force(made) and got[3][1] == 100 and got[4][1] == 0
+    valid_factors(rows, made, 50)
+    by = {r.doc_id: r.factors for r in rows}
+    assert [tuple(f) for f in by[3]] == [(0, 50, 1, 10), (50, 100, 2, 5)] and [tuple(f) for f in by[5]] == [(1, 51, 1, 200)]
+
+
+def valid_factors(rows, made, window):
+    """Factors are disjoint, in order, add up to what is removed, and are the words of an earlier source."""
+    for r in rows:
+        own = made[r.doc_id].split()
+        assert sum(f.end - f.start for f in r.factors) == r.n_removed
+        assert all(a.end <= b.start for a, b in zip(r.factors, r.factors[1:]))
+        for f in r.factors:
+            assert f.source < r.doc_id and own[f.start : f.end] == made[f.source].split()[f.source_start : f.source_start + f.end - f.start]
 
 
 def test_substring_dedup_random_small_alphabet(spark):
     rng = random.Random(3)
     made = {i: " ".join(rng.choice("ab") for _ in range(rng.randrange(40))) for i in range(40)}
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df, window=8, anchor=3).collect()}
-    assert got == substring_dedup.brute_force(made, 8)
+    rows = substring_dedup.substring_dedup(df, window=8, anchor=3).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == substring_dedup.brute_force(made, 8)
+    valid_factors(rows, made, 8)
+
+
+def test_factors_are_greedy():
+    # Windows of 4 words: places 0-3 are in document 7, 2-5 in 8, 2-9 in 9; the longest that covers the next word wins.
+    assert substring_dedup.factors([(0, 3, 7, 10), (2, 5, 8, 0), (2, 9, 9, 50)], 4) == [(0, 7, 7, 10), (7, 13, 9, 55)]
+    # Neighbouring windows of one source are one match; a jump in the source ends it.
+    assert substring_dedup.factors([(0, 1, 7, 0), (2, 2, 7, 2), (3, 3, 7, 9)], 4) == [(0, 6, 7, 0), (6, 7, 7, 12)]
+    assert substring_dedup.factors([(5, 5, 1, 0), (20, 21, 1, 0)], 4) == [(5, 9, 1, 0), (20, 25, 1, 0)] and substring_dedup.factors([], 4) == []
 
 
 def test_substring_dedup_awkward(awkward, empty):
@@ -173,6 +212,19 @@ def test_exact_dedup_awkward(awkward, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.deduplicated(empty).count() == 0
 
 
+def test_many_rows_without_an_id_keep_one(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise("other").alias("text")).repartition(6)
+    rows = exact_dedup.exact_dedup(df).collect()
+    assert len(rows) == 5000 and sum(r.kept for r in rows) == 2 and {r.group_size for r in rows} == {2500} and {r.keep_id for r in rows} == {None}
+    assert sorted(r.text for r in exact_dedup.deduplicated(df).collect()) == ["other", "same"]
+
+
+def test_the_winner_keeps_its_own_columns(spark):
+    rows = [(1, "t", "en", "a", 1), (3, "t", None, "b", 2), (2, "t", "fr", "c", 3), (4, None, "de", None, 0), (None, "", "xx", "z", 9)]
+    got = exact_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.col("lang")))).collect()
+    assert sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars, r.m["k"]) for r in got) == [(3, "t", None, "b", 2, None), (4, None, "de", None, 0, "de")]
+
+
 def test_exact_dedup_does_not_trust_the_digest(awkward):
     weak = exact_dedup.exact_dedup(awkward, digest=lambda t: F.length(t) % 2)
     assert rows_of(weak) == rows_of(exact_dedup.exact_dedup(awkward))
@@ -204,6 +256,50 @@ def test_near_dedup_of_dense_families(spark):
     assert got == near_dedup.brute_force(made, 2, 80)
 
 
+def family(rng, size, edits, length=100):
+    """Texts that are one base with up to ``edits`` words changed, each on its own."""
+    base = words(rng, length, 10_000).split()
+    for _ in range(size):
+        w = list(base)
+        for _ in range(rng.randrange(1, edits)):
+            w[rng.randrange(length)] = f"n{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("width,edits", [(2, 14), (5, 7)])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_rounds_of_leaders_do_not_change_the_result(spark, width, edits, rounds):
+    rng = random.Random(width)
+    made = dict(enumerate(t for _ in range(2) for t in family(rng, 40, edits)))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width, 80, rounds=rounds).collect()}
+    want = near_dedup.brute_force(made, width, 80)
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
+@pytest.mark.parametrize("width,edits", [(2, 14), (5, 7)])
+def test_candidates_grow_with_a_family_and_not_with_its_square(spark, width, edits, monkeypatch):
+    made, plain = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *a: made.append(pairs.count()) or plain(pairs, *a))
+
+    def candidates(size):
+        made.clear()
+        rows = list(enumerate(family(random.Random(8), size, edits)))
+        near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, 80)
+        return sum(made)
+
+    few, many = candidates(100), candidates(300)
+    assert many <= 5 * few and many <= 10 * 300
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b, c = "a b c d e", "x y z w v u", "one two three four five six"
+    rows = [(3, a), (5, a), (5, b), (9, b), (12, c), (10, c), (10, "q r s t u v"), (11, "q r s t u v"), (20, None), (20, c), (21, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (10, 10, True), (11, 10, False), (12, 10, False), (20, 10, False), (20, 20, True), (21, 21, True)}
+
+
 def test_components(spark):
     from stemframe.llm.components import components
 
@@ -310,8 +406,43 @@ def test_hosts_fall_with_their_documents(spark):
     assert not got[95].kept and not got[95].base_failed and got[150].kept and got[201].kept and not got[200].kept
 
 
+def plain_measures(text):
+    """The measures by definition: words, their code points, symbols, repeated lines, words in repeated 5-word windows, lines."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, hit = {}, set()
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {i + k for i in at for k in range(5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), len(lines)
+
+
+def test_measures_equal_their_definition(awkward):
+    rng = random.Random(12)
+    texts = [r.text for r in awkward.select("text").collect()]
+    for _ in range(300):
+        texts.append("".join(rng.choice(["a", "b ", "c", " ", "\n", "\n", "a b a b ", "é", "#", "\xa0", "\x1c", "\t", "😀 "]) for _ in range(rng.randrange(60))))
+    for t in texts:
+        assert quality_rules.measures(t) == plain_measures(t), t
+
+
+def test_each_rule_judges_hosts(spark):
+    good = "one two three four five six seven eight nine ten eleven"
+    odd, copied = good + " ###", "\n".join(f"{good} {i % 2}" for i in range(3))
+    rows = [(i, odd, "en", "symbols", 1) for i in range(90)] + [(i, good, "en", "symbols", 1) for i in range(90, 100)]
+    rows += [(i, "\n".join(["a b c d e f g h i j k"] + ["z"] * 3), "en", "lines", 1) for i in range(100, 190)] + [(i, good, "en", "lines", 1) for i in range(190, 200)]
+    rows += [(i, good, "en", f"h{i % 5}", 1) for i in range(200, 400)] + [(400, copied, "en", "h1", 1)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values() if r.doc_id != 400) and not got[95].kept and not got[195].kept and got[300].kept
+    assert got[95].host_rates.symbols > 0.5 > got[95].host_rates.lines and got[195].host_rates.lines > 0.5 > got[195].host_rates.base
+
+
 def test_quality_rules_awkward(awkward, empty):
     rows = quality_rules.quality_rules(awkward).collect()
+    for r, t in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words)), sorted(awkward.collect(), key=lambda t: (t.doc_id is None, t.doc_id or 0, len((t.text or "").split())))):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(t.text)[:5]
     assert len(rows) == 17 and all(r.base_failed and r.n_words == 0 for r in rows if r.doc_id in (3, 4, 5))
     assert quality_rules.quality_rules(empty).count() == 0
 
@@ -352,12 +483,30 @@ def test_html_awkward(spark):
 # 10: mixing
 
 
-def test_water_filling():
-    assert mixing.water_fill({"a": 10, "b": 100}, {"a": 3, "b": 1}, 100, 2) == {"a": 20.0, "b": 80.0}
-    t = mixing.water_fill({"a": 100, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, 450, 2)
+def test_water_filling(spark):
+    def fill(sizes, weights, ratio, most):
+        rows = [(k, sizes[k], float(weights[k])) for k in sizes]
+        return {r.key: r.target for r in mixing.water_fill(spark.createDataFrame(rows, "key string, size long, weight double"), ratio, most).collect()}
+
+    assert fill({"a": 10, "b": 100}, {"a": 3, "b": 1}, 100 / 110, 2) == pytest.approx({"a": 20.0, "b": 80.0})
+    t = fill({"a": 100, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, 1.5, 2)
     assert t["a"] == 200 and abs(t["c"] - 250 * 2 / 3) < 1e-9 and abs(sum(t.values()) - 450) < 1e-9
-    assert mixing.water_fill({"a": 0}, {"a": 1}, 0, 2) == {"a": 0.0} and mixing.water_fill({}, {}, 0, 2) == {}
-    assert mixing.cyclic_weights(["b", None, "a", "ä"]) == {"a": 3, "b": 1, "ä": 2, None: 3}
+    assert fill({"a": 0}, {"a": 1}, 1.5, 2) == {"a": 0.0} and fill({}, {}, 1.5, 2) == {} and fill({"a": 10, "b": 10}, {"a": 1, "b": 0}, 1.5, 2) == {"a": 20.0, "b": 0.0}
+    assert fill({"a": 10, "b": 10}, {"a": 1, "b": 1}, 5, 2) == {"a": 20.0, "b": 20.0}  # more is asked for than there is
+    rng = random.Random(10)
+    sizes, weights = {f"s{i}": rng.randrange(1, 1000) for i in range(200)}, {f"s{i}": rng.randrange(1, 4) for i in range(200)}
+    t = fill(sizes, weights, 1.5, 2)
+    assert abs(sum(t.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(t[k] <= 2 * sizes[k] for k in t)
+    free = {round(t[k] / weights[k], 6) for k in t if t[k] < 2 * sizes[k]}
+    assert len(free) == 1 and all(2 * sizes[k] / weights[k] <= max(free) + 1e-6 for k in t if t[k] == 2 * sizes[k])
+
+
+def test_weights_repeat_over_any_number_of_sources(spark):
+    names = ["b", None, "a", "ä", "z", "\U0001f600", "\uffee"] + [f"host{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([("null" if n is None else f"={n}", n) for n in names], "key string, source string")
+    got = {r.source: r.weight for r in mixing.cyclic_weights(df).collect()}
+    ordered = sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]) + [None]
+    assert got == {n: (3, 1, 2)[i % 3] for i, n in enumerate(ordered)}
 
 
 def test_mix_meets_its_targets(spark, docs):
@@ -372,8 +521,21 @@ def test_mix_meets_its_targets(spark, docs):
 
 
 def test_mixing_awkward(awkward, empty):
-    rows = mixing.mix(awkward).collect()
+    rows = mixing.mix(awkward, carry=["source"]).collect()
     assert len(rows) == 17 and all(r.taken == 0 for r in rows if r["size"] == 0)
+    # By hand: sizes by source, weights 3, 1, 2 and again 3, and a level at which the targets add up to 150 %.
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r.row.source] = sizes.get(r.row.source, 0) + r["size"]
+        taken[r.row.source] = taken.get(r.row.source, 0) + r.taken
+    weights = dict(zip(["a", "b", "c", None], (3, 1, 2, 3)))
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[k], level * weights[k]) for k in sizes) < 1.5 * sum(sizes.values()) else (low, level)
+    for r in rows:
+        assert r.source_size == sizes[r.row.source] and abs(r.target - min(2 * sizes[r.row.source], level * weights[r.row.source])) < 1e-3
+    assert all(abs(taken[k] - min(2 * sizes[k], level * weights[k])) <= 1 for k in sizes)
     out = mixing.mixed(awkward)
     assert out.columns == awkward.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0

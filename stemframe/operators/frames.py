@@ -1,9 +1,11 @@
 """Framing and overlap-add.
 
 A signal in long form is cut into chunks by arithmetic on ``pos``: each sample goes to the chunks that
-hold it (``explode`` of a short sequence, no join), a model works on chunks, and overlap-add is one
-grouping by position. The schemes differ in padding, in the weight of a sample by its place in a chunk, and
-in whether the weights are divided out again.
+hold it (``explode`` of a short sequence, no join). A model of single samples may also look at their place in the
+chunk; then a sample's output is a sum over the few chunks that hold it, and overlap-add is an expression on its
+row, without an exchange of samples: padding only moves the chunks, and of a signal only its length must be known.
+The schemes differ in padding, in the weight of a sample by its place in a chunk, and in whether the weights are
+divided out again. For models of whole chunks ``functions.udf.apply_model`` has the same schemes.
 """
 
 from __future__ import annotations
@@ -15,36 +17,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
+from stemframe.functions.exprs import seeded, seeded_sql
 from stemframe.registry import query
 
+#: model(v) of a sample.
 Model = Callable[[Column], Column]
+#: model(v, i) of a sample and its place in a chunk.
+ChunkModel = Callable[[Column, Column], Column]
 #: weight(i, chunk, last chunk, samples in the chunk)
 Weight = Callable[[Column, Column, Column, Column], Column]
 KEYS = ["track", "stem"]
 
 
-def identity(v: Column) -> Column:
+def identity(v: Column, i: Column | None = None) -> Column:
     return v
 
 
-def gain(g: float) -> Model:
-    """The pointwise test model v -> g v."""
-    return lambda v: v * g
+def gain(g: float) -> ChunkModel:
+    """The test model v -> g v."""
+    return lambda v, i=None: v * g
+
+
+def ramp(size: int) -> ChunkModel:
+    """A test model that rises over the chunk: v -> v (0.7312345 + 0.4567891 i / size)."""
+    return lambda v, i: v * (0.7312345 + 0.4567891 * i / size)
 
 
 def with_length(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``n``, the length of the signal."""
-    return df.withColumn("n", F.max("pos").over(Window.partitionBy(*keys)) + 1)
+    """Adds ``n``, the length of the signal: one row by key, which AQE broadcasts where that is small."""
+    return df.join(df.groupBy(*keys).agg((F.max("pos") + 1).alias("n")), keys)
 
 
 def frame(df: DataFrame, keys: list[str], size: int, hop: int, tail: str = "pad") -> DataFrame:
     """Samples by chunk: keys, chunk, i (place in the chunk), last (last chunk), len (samples in the chunk), v, n, pos.
 
     tail: ``pad`` keeps a partial chunk at the end, ``drop`` leaves it out, ``align`` moves the last chunk
-    back so that it ends with the signal.
+    back so that it ends with the signal, ``reflect`` fills a partial chunk with mirrored samples where it holds more
+    than half of its size (a shorter one stays partial, as with ``pad``).
     """
     df = df if "n" in df.columns else with_length(df, keys)
     n, pos = F.col("n"), F.col("pos")
+    if tail == "reflect":
+        chunks = frame(df, keys, size, hop, "pad")
+        mirror = 2 * F.col("len") - 2 - F.col("i")
+        fills = (F.col("len") < size) & (2 * F.col("len") > size) & (mirror >= F.col("len")) & (mirror < size)
+        extra = chunks.filter(fills).withColumn("i", mirror.cast("int"))
+        return chunks.unionByName(extra)
     if tail == "align":
         last = F.greatest(F.ceil((n - size) / hop), F.lit(0)).cast("int")
         regular = F.sequence(F.greatest(F.ceil((pos - size + 1) / hop), F.lit(0)).cast("int"), F.floor(pos / hop).cast("int"))
@@ -60,11 +78,39 @@ def frame(df: DataFrame, keys: list[str], size: int, hop: int, tail: str = "pad"
     return out.withColumn("i", (pos - at).cast("int")).withColumn("len", F.least(F.lit(size), n - at).cast("int"))
 
 
-def overlap_add(chunks: DataFrame, keys: list[str], weight: Weight, model: Model = identity, divide: bool = True) -> DataFrame:
-    """Chunks through a pointwise model and back to one value by position."""
-    w = weight(F.col("i"), F.col("chunk"), F.col("last"), F.col("len"))
-    s = chunks.withColumn("w", w).groupBy(*keys, "pos").agg(F.sum(model(F.col("v")) * F.col("w")).alias("s"), F.sum("w").alias("w"))
-    return s.select(*keys, "pos", (F.when(F.col("w") != 0, F.col("s") / F.col("w")).otherwise(0.0) if divide else F.col("s")).alias("v"))
+def overlap_add(df: DataFrame, keys: list[str], size: int, hop: int, weight: Weight, model: ChunkModel = identity, divide: bool = True, tail: str = "pad", left: int | Column = 0, n: Column | None = None) -> DataFrame:
+    """A signal through a model in chunks and back to one value by position.
+
+    ``left`` samples of padding stand before the signal and ``n`` is its padded length (with ``left`` and ``n`` as
+    expressions of the column n, the length of the signal itself). What is in the padding does not matter to a
+    model of single samples. tail: ``pad`` or ``align``, as in ``frame``.
+    """
+    df = df if "n" in df.columns else with_length(df, keys)
+    n = F.col("n") if n is None else n
+    pos = F.col("pos") + left
+    last = (F.ceil(n / hop) - 1 if tail == "pad" else F.greatest(F.ceil((n - size) / hop), F.lit(0))).cast("int")
+    rows = df.select(*keys, "pos", "v", pos.cast("int").alias("__at"), n.cast("int").alias("__n"), last.alias("__last"))
+    at, n, last = F.col("__at"), F.col("__n"), F.col("__last")
+    newest = F.floor(at / hop).cast("int")
+    places = []  # of each chunk that may hold the sample: whether it does, its number and its start
+    for back in range(-(-size // hop)):
+        chunk = newest - back
+        places.append(((chunk >= 0) & (chunk * hop > at - size) & (chunk <= last if tail == "pad" else chunk < last), chunk, chunk * hop))
+    if tail == "align":
+        places.append((at >= n - size, last, F.greatest(n - size, F.lit(0))))
+    top, base = F.lit(0.0), F.lit(0.0)
+    for there, chunk, start in places:
+        i = at - start
+        w = weight(i, chunk, last, F.least(F.lit(size), n - start))
+        top = top + F.when(there, model(F.col("v"), i) * w).otherwise(0.0)
+        base = base + F.when(there, w).otherwise(0.0)
+    out = F.when(base != 0, top / base).otherwise(0.0) if divide else top
+    return rows.select(*keys, "pos", out.alias("v"))
+
+
+def reflected(border: int) -> tuple[int, Column]:
+    """Padding before and padded length of a signal with ``border`` mirrored samples, where it is longer than twice that."""
+    return border, F.when(F.col("n") > 2 * border, F.col("n") + 2 * border).otherwise(F.col("n") + border)
 
 
 def reflect_pad(df: DataFrame, keys: list[str], border: int) -> DataFrame:
@@ -77,14 +123,6 @@ def reflect_pad(df: DataFrame, keys: list[str], border: int) -> DataFrame:
     return df.withColumn("pos", F.explode(F.concat(left, here, right)))
 
 
-def zero_pad(df: DataFrame, keys: list[str], left: int, right: int) -> DataFrame:
-    """The signal with zeros on both sides; positions begin at -left."""
-    ends = df.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
-    zeros = F.concat(F.sequence(F.lit(-left), F.lit(-1)) if left else F.array().cast("array<int>"), F.sequence(F.col("n").cast("int"), (F.col("n") + right - 1).cast("int")) if right else F.array().cast("array<int>"))
-    pad = ends.select(*keys, F.explode(zeros).alias("pos"), F.lit(0.0).alias("v"))
-    return df.select(*keys, F.col("pos").cast("int").alias("pos"), "v").unionByName(pad)
-
-
 def shifted(df: DataFrame, by: int) -> DataFrame:
     return df.drop("n").withColumn("pos", F.col("pos") + by)
 
@@ -105,46 +143,43 @@ def fade_window(i: Column, size: int, fade: int) -> Column:
     return F.when(i < fade, i * step).when(i >= size - fade, (size - 1 - i) * step).otherwise(1.0)
 
 
-def overlap_add_fade(df: DataFrame, keys: list[str], size: int, hop: int, model: Model = identity, fade: int | None = None) -> DataFrame:
-    """Reflected borders, trapezoid weights, no fade-in on the first chunk and no fade-out on the last."""
-    fade, border = fade or size // 10, size - hop
-    chunks = frame(shifted(reflect_pad(df, keys, border), border), keys, size, hop)
+def fade_weight(size: int, fade: int) -> Weight:
+    """Linear from 0 to 1 and back over ``fade`` samples, but not at the first chunk's start and the last one's end."""
+    step = 1.0 / (fade - 1) if fade > 1 else 0.0
+    return lambda i, chunk, last, length: F.when((i < fade) & (chunk > 0), i * step).when((i >= size - fade) & (chunk < last), (size - 1 - i) * step).otherwise(1.0)
 
-    def weight(i, chunk, last, length):
-        step = 1.0 / (fade - 1) if fade > 1 else 0.0
-        w = F.when((i < fade) & (chunk > 0), i * step).when((i >= size - fade) & (chunk < last), (size - 1 - i) * step)
-        return w.otherwise(1.0)
 
-    return _cropped(overlap_add(chunks, keys, weight, model), df, keys, border)
+def overlap_add_fade(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity, fade: int | None = None) -> DataFrame:
+    """Reflected borders, trapezoid weights, no fade-in on the first chunk and no fade-out on the last."""
+    left, n = reflected(size - hop)
+    return overlap_add(df, keys, size, hop, fade_weight(size, fade or size // 10), model, left=left, n=n)
 
 
-def overlap_add_triangle(df: DataFrame, keys: list[str], size: int, overlap: float = 0.25, model: Model = identity, power: float = 1.0) -> DataFrame:
+def overlap_add_triangle(df: DataFrame, keys: list[str], size: int, overlap: float = 0.25, model: ChunkModel = identity, power: float = 1.0) -> DataFrame:
     hop, half = int((1 - overlap) * size), size // 2
     weight = lambda i, chunk, last, length: F.pow(F.when(i < half, i + 1).otherwise(size - i) / max(half, size - half), F.lit(power))
-    return overlap_add(frame(df, keys, size, hop), keys, weight, model)
+    return overlap_add(df, keys, size, hop, weight, model)
 
 
-def overlap_add_hann(df: DataFrame, keys: list[str], size: int, hop: int, trim: int, model: Model = identity) -> DataFrame:
+def overlap_add_hann(df: DataFrame, keys: list[str], size: int, hop: int, trim: int, model: ChunkModel = identity) -> DataFrame:
     """Zeros of ``trim`` around the signal; symmetric Hann weights of each chunk's own length."""
-    chunks = frame(shifted(zero_pad(df, keys, trim, trim + hop), trim), keys, size, hop)
     weight = lambda i, chunk, last, length: F.when(length > 1, 0.5 - 0.5 * F.cos(2 * math.pi * i / (length - 1))).otherwise(1.0)
-    return _cropped(overlap_add(chunks, keys, weight, model), df, keys, trim)
+    return overlap_add(df, keys, size, hop, weight, model, left=trim, n=F.col("n") + (2 * trim + hop))
 
 
-def overlap_add_hamming(df: DataFrame, keys: list[str], size: int, hop: int, model: Model = identity) -> DataFrame:
+def overlap_add_hamming(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity) -> DataFrame:
     """Hamming weights; the last chunk ends with the signal."""
     weight = lambda i, chunk, last, length: 0.54 - 0.46 * F.cos(2 * math.pi * i / (size - 1))
-    return overlap_add(frame(df, keys, size, hop, "align"), keys, weight, model)
+    return overlap_add(df, keys, size, hop, weight, model, tail="align")
 
 
-def overlap_add_unfold(df: DataFrame, keys: list[str], size: int, hop: int, model: Model = identity) -> DataFrame:
+def overlap_add_unfold(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity) -> DataFrame:
     """Zeros of size - hop around the signal; the plain sum divided by the number of overlapping chunks."""
     pad = size - hop
-    chunks = frame(shifted(zero_pad(df, keys, pad, pad), pad), keys, size, hop)
-    return _cropped(overlap_add(chunks, keys, lambda *_: F.lit(hop / size), model, divide=False), df, keys, pad)
+    return overlap_add(df, keys, size, hop, lambda *_: F.lit(hop / size), model, divide=False, left=pad, n=F.col("n") + 2 * pad)
 
 
-def linear_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: Model = identity) -> DataFrame:
+def linear_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity) -> DataFrame:
     """Linear cross-fades that add up to one, ones at the outer edges; needs hop >= size / 2."""
     if 2 * hop < size:
         raise ValueError("a sample may be in two chunks at most")
@@ -155,10 +190,10 @@ def linear_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: Mod
         down = (size - i) / (over + 1.0)
         return F.when((i < over) & (chunk > 0), up).when((i >= hop) & (chunk < last), down).otherwise(1.0)
 
-    return overlap_add(frame(df, keys, size, hop), keys, weight, model, divide=False)
+    return overlap_add(df, keys, size, hop, weight, model, divide=False)
 
 
-def window_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: Model = identity) -> DataFrame:
+def window_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity) -> DataFrame:
     """Periodic Hann weights over size / (2 hop), reflected borders; chunks of silence never reach the model."""
     border = 2 * (size - hop)
     chunks = frame(shifted(reflect_pad(df, keys, border), border), keys, size, hop)
@@ -166,14 +201,12 @@ def window_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: Mod
     chunks = chunks.withColumn("loud", loud)
     weight = lambda i, chunk, last, length: (0.5 - 0.5 * F.cos(2 * math.pi * i / size)) * (2 * hop / size)
     w = weight(F.col("i"), None, None, None)
-    s = chunks.groupBy(*keys, "pos").agg(F.sum(F.when(F.col("loud"), model(F.col("v")) * w).otherwise(0.0)).alias("v"))
+    s = chunks.groupBy(*keys, "pos").agg(F.sum(F.when(F.col("loud"), model(F.col("v"), F.col("i")) * w).otherwise(0.0)).alias("v"))
     return _cropped(s, df, keys, border)
 
 
 def shift_average(df: DataFrame, keys: list[str], shifts: int, most: int, model: Callable[[DataFrame], DataFrame], seed: str = "shift") -> DataFrame:
     """Mean over runs of ``model`` (DataFrame to DataFrame) on the signal moved by seeded offsets, moved back."""
-    from stemframe.functions.exprs import seeded
-
     runs = df.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
     offset = F.floor(seeded(seed, "shift") * most).cast("int")
     out = model(runs.withColumn("pos", F.col("pos") + offset))
@@ -241,28 +274,53 @@ def cosine_model(g: float) -> Model:
     return lambda v: F.cos(v) * g
 
 
-def _q(name: str, run: Callable[[DataFrame], DataFrame], g: float = 0.7312345) -> None:
-    """An overlap-add scheme must give back the pointwise model's own output."""
+def _q(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """An overlap-add scheme with a model that depends on the place in the chunk, so that every weight shows."""
 
-    @query(name, f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * {g}, 3) AS v FROM stems")
+    @query(name, f"WITH {fx.STEMS}, {sql}")
     def q(spark: SparkSession, sf_dir: str, run=run) -> DataFrame:
-        return run(fx.stems(spark, sf_dir)).select("track", "stem", "pos", F.round("v", 3).alias("v"))
+        return run(fx.stems(spark, sf_dir)).select("track", "stem", "pos", (F.round("v", 3) + 0.0).alias("v"))
 
 
-_G = gain(0.7312345)
-_q("c3_overlap_add_fade", lambda d: overlap_add_fade(d, KEYS, 60, 20, _G, 6))
-_q("c4_overlap_add_triangle", lambda d: overlap_add_triangle(d, KEYS, 48, 0.25, _G))
-_q("c5_overlap_add_hann", lambda d: overlap_add_hann(d, KEYS, 48, 24, 12, _G))
-_q("c6_overlap_add_hamming", lambda d: overlap_add_hamming(d, KEYS, 50, 25, _G))
-_q("c7_overlap_add_unfold", lambda d: overlap_add_unfold(d, KEYS, 48, 24, _G))
-_q("c8_linear_fader", lambda d: linear_fader(d, KEYS, 48, 30, _G))
-_q("c9_window_fader", lambda d: window_fader(d, KEYS, 48, 24, _G))
+def _chunks_sql(size: int, hop: int, left: int, chunks: int) -> str:
+    """Samples of the 720 positions by chunk k, at place i in it."""
+    return f"c AS (SELECT track, stem, pos, v, k, pos + {left} - k * {hop} AS i FROM stems JOIN (SELECT unnest(range(0, {chunks})) AS k) ON pos + {left} >= k * {hop} AND pos + {left} < k * {hop} + {size})"
 
 
-@query("c1_frame", f"""WITH {fx.STEMS}, n AS (SELECT unnest(range(0, 720 // 24)) AS chunk)
-SELECT track, stem, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, round(sum(v), 4) AS s, round(sum(v * (pos - chunk * 24)), 2) AS m FROM stems JOIN n ON pos >= chunk * 24 AND pos < chunk * 24 + 48 GROUP BY ALL""")
+_MEAN = "SELECT track, stem, pos, round(CASE WHEN sum(w) <> 0 THEN sum(w * v * (0.7312345 + 0.4567891 * i / {}.0)) / sum(w) ELSE 0 END, 3) + 0.0 AS v FROM w GROUP BY ALL"
+_SUM = "SELECT track, stem, pos, round(sum(w * v * (0.7312345 + 0.4567891 * i / {}.0)), 3) + 0.0 AS v FROM w GROUP BY ALL"
+_G = gain(0.7312345)
+_q("c3_overlap_add_fade", lambda d: overlap_add_fade(d, KEYS, 60, 20, ramp(60), 6),
+   f"{_chunks_sql(60, 20, 40, 40)}, w AS (SELECT *, CASE WHEN i < 6 AND k > 0 THEN i / 5.0 WHEN i > 53 AND k < 39 THEN (59 - i) / 5.0 ELSE 1 END AS w FROM c) {_MEAN.format(60)}")
+_q("c4_overlap_add_triangle", lambda d: overlap_add_triangle(d, KEYS, 48, 0.25, ramp(48)),
+   f"{_chunks_sql(48, 36, 0, 20)}, w AS (SELECT *, least(i + 1, 48 - i) / 24.0 AS w FROM c) {_MEAN.format(48)}")
+_q("c5_overlap_add_hann", lambda d: overlap_add_hann(d, KEYS, 48, 24, 12, ramp(48)),
+   f"{_chunks_sql(48, 24, 12, 32)}, w AS (SELECT *, pow(sin(pi() * i / CASE WHEN k = 31 THEN 23 ELSE 47 END), 2) AS w FROM c) {_MEAN.format(48)}")
+_q("c6_overlap_add_hamming", lambda d: overlap_add_hamming(d, KEYS, 50, 25, ramp(50)),
+   f"""c AS (SELECT track, stem, pos, v, pos - s AS i FROM stems JOIN (SELECT least(k * 25, 670) AS s FROM (SELECT unnest(range(0, 28)) AS k)) ON pos >= s AND pos < s + 50),
+   w AS (SELECT *, 0.54 - 0.46 * cos(2 * pi() * i / 49) AS w FROM c) {_MEAN.format(50)}""")
+_q("c7_overlap_add_unfold", lambda d: overlap_add_unfold(d, KEYS, 48, 24, ramp(48)), f"{_chunks_sql(48, 24, 24, 32)}, w AS (SELECT *, 0.5 AS w FROM c) {_SUM.format(48)}")
+_q("c8_linear_fader", lambda d: linear_fader(d, KEYS, 48, 30, ramp(48)),
+   f"{_chunks_sql(48, 30, 0, 24)}, w AS (SELECT *, CASE WHEN i < 18 AND k > 0 THEN (i + 1) / 19.0 WHEN i >= 30 AND k < 23 THEN (48 - i) / 19.0 ELSE 1 END AS w FROM c) {_SUM.format(48)}")
+# The model adds a little, which a chunk of silence must not show.
+_q("c9_window_fader", lambda d: window_fader(d, KEYS, 48, 24, lambda v, i: v * (1 + i / 48) + 0.01),
+   f"""p AS (SELECT track, stem, pos + 48 AS q, v FROM stems UNION ALL SELECT track, stem, 48 - pos, v FROM stems WHERE pos BETWEEN 1 AND 48 UNION ALL SELECT track, stem, 1438 - pos + 48, v FROM stems WHERE pos BETWEEN 671 AND 718),
+   c AS (SELECT *, q - k * 24 AS i FROM p JOIN (SELECT unnest(range(0, 34)) AS k) ON q >= k * 24 AND q < k * 24 + 48), l AS (SELECT *, max(abs(v)) OVER (PARTITION BY track, stem, k) > 0 AS loud FROM c)
+   SELECT track, stem, q - 48 AS pos, round(sum(CASE WHEN loud THEN (v * (1 + i / 48.0) + 0.01) * pow(sin(pi() * i / 48), 2) ELSE 0 END), 3) + 0.0 AS v FROM l WHERE q BETWEEN 48 AND 767 GROUP BY ALL""")
+
+
+# Chunks of 50 at hop 36: the last one, from 684, is partial with 36 samples, more than half; 14 mirrored ones fill it.
+@query("c1_frame", f"""WITH {fx.STEMS}, n AS (SELECT unnest(range(0, 20)) AS chunk), c AS (SELECT track, stem, chunk, pos - chunk * 36 AS i, v FROM stems JOIN n ON pos >= chunk * 36 AND pos < chunk * 36 + 50),
+t AS (SELECT 'pad' AS tail, * FROM c UNION ALL SELECT 'drop', * FROM c WHERE chunk < 19 UNION ALL SELECT 'align', track, stem, chunk, pos - CASE WHEN chunk = 19 THEN 670 ELSE chunk * 36 END, v FROM stems JOIN n ON pos >= CASE WHEN chunk = 19 THEN 670 ELSE chunk * 36 END AND pos < chunk * 36 + 50
+UNION ALL SELECT 'reflect', * FROM c UNION ALL SELECT 'reflect', track, stem, 19, 1438 - pos - 684, v FROM stems WHERE pos BETWEEN 705 AND 718)
+SELECT tail, track, stem, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, round(sum(v), 4) + 0.0 AS s, round(sum(v * i), 2) + 0.0 AS m FROM t GROUP BY ALL""")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(fx.stems(spark, sf_dir), KEYS, 48, 24).groupBy(*KEYS, "chunk").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"), F.round(F.sum(F.col("v") * F.col("i")), 2).alias("m"))
+    df, out = fx.stems(spark, sf_dir), None
+    for tail in ("pad", "drop", "align", "reflect"):
+        one = frame(df, KEYS, 50, 36, tail).groupBy(*KEYS, "chunk").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 4) + 0.0).alias("s"), (F.round(F.sum(F.col("v") * F.col("i")), 2) + 0.0).alias("m"))
+        one = one.withColumn("tail", F.lit(tail))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("c2_fade_window", f"""WITH {fx.SIG} SELECT track, model, pos, round(v * CASE WHEN pos < 6 THEN pos / 5.0 WHEN pos >= 58 THEN (63 - pos) / 5.0 ELSE 1 END, 6) AS v FROM sig""")
@@ -270,10 +328,21 @@ def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.sig(spark, sf_dir).select("track", "model", "pos", F.round(F.col("v") * fade_window(F.col("pos"), 64, 6), 6).alias("v"))
 
 
-@query("c10_shift_average")
+def _c4(pos: str, last: int) -> str:
+    """Mean weight of the ramp model under triangle weights at a place of the chunk grid, in SQL."""
+    at = lambda k: f"({pos} - ({k}) * 36)"
+    k = f"CAST(floor({pos} / 36) AS INTEGER)"
+    w = lambda k: f"CASE WHEN ({k}) >= 0 AND ({k}) <= {last} AND {at(k)} < 48 THEN least({at(k)} + 1, 48 - {at(k)}) ELSE 0 END"
+    k0, k1 = k, f"{k} - 1"
+    m = lambda k: f"(0.7312345 + 0.4567891 * {at(k)} / 48.0)"
+    return f"(({w(k0)}) * {m(k0)} + ({w(k1)}) * {m(k1)}) / (({w(k0)}) + ({w(k1)}))"
+
+
+@query("c10_shift_average", f"""WITH {fx.STEMS}, s AS (SELECT shift, CAST(floor({seeded_sql("shift", "shift")} * 12) AS INTEGER) AS o FROM (SELECT unnest(range(0, 3)) AS shift))
+SELECT track, stem, pos, round(avg(v * {_c4("(pos + o)", 20)}), 3) + 0.0 AS v FROM stems CROSS JOIN s GROUP BY ALL""")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = lambda d: overlap_add_triangle(d, [*KEYS, "shift"], 48, 0.25, _G)
-    return shift_average(fx.stems(spark, sf_dir), KEYS, 3, 12, model).withColumn("v", F.round("v", 3))
+    model = lambda d: overlap_add_triangle(d, [*KEYS, "shift"], 48, 0.25, ramp(48))
+    return shift_average(fx.stems(spark, sf_dir), KEYS, 3, 12, model).withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("c11_tta_average", f"""WITH {fx.STEREO}, o AS (SELECT s.track, s.channel, s.pos, s.v FROM stereo s)
@@ -282,10 +351,10 @@ def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tta_average(fx.stereo(spark, sf_dir), lambda v: v * v + v).withColumn("v", F.round("v", 6))
 
 
-@query("c13_mask_tta")
+@query("c13_mask_tta", f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * ({_c4('pos', 20)} + {_c4('(pos + 24)', 20)}) / 2, 3) + 0.0 AS v FROM stems")
 def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = lambda d: overlap_add_triangle(d, KEYS, 48, 0.25, _G)
-    return mask_tta(fx.stems(spark, sf_dir), KEYS, 48, model).withColumn("v", F.round("v", 3))
+    model = lambda d: overlap_add_triangle(d, KEYS, 48, 0.25, ramp(48))
+    return mask_tta(fx.stems(spark, sf_dir), KEYS, 48, model).withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("c14_patch_layout", "SELECT page_id, length(html) AS width, 16 AS pad_left, 224 AS roi, CAST(224 - length(html) % 224 + 16 AS INTEGER) AS pad_right FROM pages")
@@ -304,11 +373,14 @@ def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silence_cut_points(fx.stems(spark, sf_dir), KEYS, 300, 120, 30, 8)
 
 
-@query("c16_split_concat", f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * 0.7312345, 3) AS v FROM stems")
+# The model looks one sample back, so a part without its halo would differ at its first sample.
+@query("c16_split_concat", f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * 0.7312345 + 0.2612349 * coalesce(lag(v) OVER (PARTITION BY track, stem ORDER BY pos), 0), 3) + 0.0 AS v FROM stems")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
     cuts = silence_cut_points(df, KEYS, 300, 120, 30, 8)
-    return split_concat(df, cuts, KEYS, 10, lambda d: d.withColumn("v", _G(F.col("v")))).withColumn("v", F.round("v", 3))
+    before = F.coalesce(F.lag("v").over(Window.partitionBy(*KEYS, "part").orderBy("pos")), F.lit(0.0))
+    model = lambda d: d.withColumn("v", _G(F.col("v")) + 0.2612349 * before)
+    return split_concat(df, cuts, KEYS, 10, model).withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("c19_context_pad", f"""WITH {fx.STEMS} SELECT k.track, k.stem, CAST(g.i AS INTEGER) AS i, round(coalesce(v, 0), 4) AS v FROM (SELECT DISTINCT track, stem FROM stems) k CROSS JOIN (SELECT unnest(range(0, 64)) AS i) g

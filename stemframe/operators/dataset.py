@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded, seeded_sql
+from stemframe.operators.filters import filtered, k_weighting
 from stemframe.operators.frames import frame
 from stemframe.operators.level import limit_peak_joint
 from stemframe.registry import query, table
@@ -31,22 +32,33 @@ def activity_segments(df: DataFrame, stem: str, size: int, hop: int, chunks: int
     return share.filter("share > 0.5").select("track", "seg")
 
 
-def emit_segments(df: DataFrame, segments: DataFrame, size: int, hop: int) -> DataFrame:
-    """All stems of the kept segments: track, seg, stem, i, v; samples past the end are left out."""
+def emit_segments(df: DataFrame, segments: DataFrame, size: int, hop: int, loudness: float | None = None, blocks: tuple[int, int] = (0, 0), rate: float | None = None) -> DataFrame:
+    """All stems of the kept segments: track, seg, stem, i, v; samples past the end are left out.
+
+    With ``loudness`` every stem of a track is first brought to that loudness, measured over ``blocks`` (size, hop).
+    """
+    if loudness is not None:
+        df = loudness_normalize(df, ["track", "stem"], *blocks, loudness, rate)
     return frame(df, ["track", "stem"], size, hop).select("track", F.col("chunk").alias("seg"), "stem", "i", "v").join(segments, ["track", "seg"], "left_semi")
 
 
-def integrated_loudness(df: DataFrame, keys: list[str], size: int, hop: int, gate: float = -70.0, relative: float = -10.0) -> DataFrame:
-    """Gated loudness without frequency weighting: blocks below the absolute gate and then below the relative one are left out."""
+def integrated_loudness(df: DataFrame, keys: list[str], size: int, hop: int, gate: float = -70.0, relative: float = -10.0, rate: float | None = None) -> DataFrame:
+    """Gated loudness: blocks below the absolute gate and then below the relative one are left out.
+
+    With ``rate`` the signal is K-weighted first; without it is taken as it is. A key of silence has no row.
+    """
+    if rate is not None:
+        df = filtered(df, keys, k_weighting(rate))
     blocks = frame(df, keys, size, hop, "drop").groupBy(*keys, "chunk").agg(F.avg(F.col("v") * F.col("v")).alias("z")).withColumn("l", -0.691 + 10 * F.log10(F.col("z") + 1e-12)).filter(F.col("l") > gate)
     own = Window.partitionBy(*keys)
     limit = -0.691 + 10 * F.log10(F.avg("z").over(own)) + relative
     return blocks.withColumn("limit", limit).filter("l > limit").groupBy(*keys).agg((-0.691 + 10 * F.log10(F.avg("z"))).alias("lufs"))
 
 
-def loudness_normalize(df: DataFrame, keys: list[str], size: int, hop: int, target: float = -24.0) -> DataFrame:
-    l = integrated_loudness(df, keys, size, hop)  # noqa: E741
-    return df.join(l, keys).withColumn("v", F.col("v") * F.pow(F.lit(10.0), (target - F.col("lufs")) / 20)).drop("lufs")
+def loudness_normalize(df: DataFrame, keys: list[str], size: int, hop: int, target: float = -24.0, rate: float | None = None) -> DataFrame:
+    """The signal at the target loudness; silence stays silence."""
+    level = integrated_loudness(df, keys, size, hop, rate=rate)
+    return df.join(level, keys, "left").withColumn("v", F.col("v") * F.coalesce(F.pow(F.lit(10.0), (target - F.col("lufs")) / 20), F.lit(1.0))).drop("lufs")
 
 
 def split_assign(tracks: DataFrame, tests: Column, validation: DataFrame, key: str) -> DataFrame:
@@ -160,14 +172,19 @@ def h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity_segments(fx.stems(spark, sf_dir), "click", 48, 24, 8)
 
 
-@query("h2_emit_segments", f"WITH {fx.STEMS}, {_SEG} SELECT track, k.seg, stem, count(*) AS n, round(sum(v * (pos - k.seg * 24 + 1)), 2) AS s FROM stems JOIN k USING (track) WHERE pos >= k.seg * 24 AND pos < k.seg * 24 + 48 GROUP BY ALL")
+_LUFS = """b AS (SELECT track, stem, s.k, avg(v * v) AS z FROM stems JOIN (SELECT unnest(range(0, 29)) AS k) s ON pos >= s.k * 24 AND pos < s.k * 24 + 48 GROUP BY ALL), lo AS (SELECT *, -0.691 + 10 * log10(z + 1e-12) AS l FROM b),
+r AS (SELECT *, -0.691 + 10 * log10(avg(z) OVER (PARTITION BY track, stem)) - 10 AS lim FROM lo WHERE l > -70), lufs AS (SELECT track, stem, -0.691 + 10 * log10(avg(z)) AS lufs FROM r WHERE l > lim GROUP BY ALL)"""
+
+
+@query("h2_emit_segments", f"""WITH {fx.STEMS}, {_SEG}, {_LUFS}, w AS (SELECT stems.track, stems.stem, pos, v * coalesce(pow(10, (-24 - lufs) / 20), 1) AS v FROM stems LEFT JOIN lufs ON lufs.track = stems.track AND lufs.stem = stems.stem)
+SELECT track, k.seg, stem, count(*) AS n, round(sum(v * (pos - k.seg * 24 + 1)), 3) + 0.0 AS s FROM w JOIN k USING (track) WHERE pos >= k.seg * 24 AND pos < k.seg * 24 + 48 GROUP BY ALL""")
 def h2(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
-    return emit_segments(df, activity_segments(df, "click", 48, 24, 8), 48, 24).groupBy("track", "seg", "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * (F.col("i") + 1)), 2).alias("s"))
+    out = emit_segments(df, activity_segments(df, "click", 48, 24, 8), 48, 24, -24.0, (48, 24))
+    return out.groupBy("track", "seg", "stem").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col("v") * (F.col("i") + 1)), 3) + 0.0).alias("s"))
 
 
-@query("h3_integrated_loudness", f"""WITH {fx.STEMS}, b AS (SELECT track, stem, s.k, avg(v * v) AS z FROM stems JOIN (SELECT unnest(range(0, 29)) AS k) s ON pos >= s.k * 24 AND pos < s.k * 24 + 48 GROUP BY ALL), l AS (SELECT *, -0.691 + 10 * log10(z + 1e-12) AS l FROM b),
-r AS (SELECT *, -0.691 + 10 * log10(avg(z) OVER (PARTITION BY track, stem)) - 10 AS lim FROM l WHERE l > -70) SELECT track, stem, round(-0.691 + 10 * log10(avg(z)), 4) AS lufs FROM r WHERE l > lim GROUP BY ALL""")
+@query("h3_integrated_loudness", f"WITH {fx.STEMS}, {_LUFS} SELECT track, stem, round(lufs, 4) AS lufs FROM lufs")
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrated_loudness(fx.stems(spark, sf_dir), ["track", "stem"], 48, 24).withColumn("lufs", F.round("lufs", 4))
 
@@ -187,13 +204,18 @@ def _target() -> Column:
     return F.floor(F.expr("n * 2.5"))
 
 
-@query("h5_deterministic_chunks", f"WITH {fx.STEMS}, {_NO} SELECT k.chunk * (SELECT count(*) FROM t) + no AS item, track, stem, count(*) AS n, round(sum(v), 4) AS s FROM stems JOIN t USING (track) JOIN (SELECT unnest(range(0, 5)) AS chunk) k ON pos >= k.chunk * 60 AND pos < k.chunk * 60 + 100 GROUP BY ALL")
+_LENGTH = "n AS (SELECT track, max(pos) + 1 AS n FROM stems GROUP BY track)"
+
+
+@query("h5_deterministic_chunks", f"""WITH {fx.STEMS}, {_NO}, {_LENGTH}, k AS (SELECT track, unnest(range(0, CAST(floor((n - 100) / 60) AS BIGINT))) AS chunk FROM n)
+SELECT chunk * (SELECT count(*) FROM t) + no AS item, track, stem, count(*) AS n, round(sum(v), 4) AS s FROM stems JOIN t USING (track) JOIN k USING (track) WHERE pos >= chunk * 60 AND pos < chunk * 60 + 100 GROUP BY ALL""")
 def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
     return deterministic_chunks(df, numbered(df, "track"), 100, 60).groupBy("item", "track", "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("s"))
 
 
-@query("h6_random_chunks", f"""WITH {fx.STEMS}, {_NO}, i AS (SELECT item, CAST(floor({seeded_sql("chunk", "item")} * 620) AS INTEGER) AS start FROM (SELECT unnest(range(0, 400)) AS item)), p AS (SELECT item, start, track FROM i JOIN t ON no = item % (SELECT count(*) FROM t))
+@query("h6_random_chunks", f"""WITH {fx.STEMS}, {_NO}, {_LENGTH}, i AS (SELECT unnest(range(0, (SELECT count(*) * 5 // 2 FROM t))) AS item),
+p AS (SELECT item, track, CAST(floor({seeded_sql("chunk", "item")} * (n - 100)) AS INTEGER) AS start FROM i JOIN t ON no = item % (SELECT count(*) FROM t) JOIN n USING (track))
 SELECT item, track, stem, start, count(*) AS n, round(sum(v), 4) AS s FROM p JOIN stems USING (track) WHERE pos >= start AND pos < start + 100 GROUP BY ALL""")
 def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stems(spark, sf_dir)
@@ -203,8 +225,9 @@ def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R = lambda s: seeded_sql(s, "seg", "stem")
 
 
-@query("h7_remix_augment", f"""WITH {fx.STEMS}, {_NO}, g AS (SELECT no AS seg, stem, pos AS i, v FROM stems JOIN t USING (track) WHERE pos < 48),
-p AS (SELECT seg, stem, CASE WHEN stem <> 'click' AND {_R("mixs")} < 0.5 THEN CAST(floor({_R("mixt")} * 100) AS BIGINT) ELSE seg END AS source, CASE WHEN stem = 'click' THEN 1 WHEN {_R("mixd")} < 0.1 THEN 0 ELSE pow(10, ({_R("mixg")} * 20 - 10) / 20) END AS gain FROM (SELECT DISTINCT seg, stem FROM g)),
+@query("h7_remix_augment", f"""WITH {fx.STEMS}, c AS (SELECT track, stem, pos // 48 AS chunk, pos % 48 AS i, v FROM stems), t AS (SELECT track, chunk, row_number() OVER (ORDER BY track, chunk) - 1 AS seg FROM (SELECT DISTINCT track, chunk FROM c)),
+g AS (SELECT seg, stem, i, v FROM c JOIN t USING (track, chunk)),
+p AS (SELECT seg, stem, CASE WHEN stem <> 'click' AND {_R("mixs")} < 0.5 THEN CAST(floor({_R("mixt")} * (SELECT count(*) FROM t)) AS BIGINT) ELSE seg END AS source, CASE WHEN stem = 'click' THEN 1 WHEN {_R("mixd")} < 0.1 THEN 0 ELSE pow(10, ({_R("mixg")} * 20 - 10) / 20) END AS gain FROM (SELECT DISTINCT seg, stem FROM g)),
 m AS (SELECT p.seg, g.i, sum(g.v * gain) AS v FROM p JOIN g ON g.seg = p.source AND g.stem = p.stem GROUP BY ALL), k AS (SELECT *, max(abs(v)) OVER (PARTITION BY seg) AS pk FROM m)
 SELECT seg, i, round(CASE WHEN pk > 1 THEN v / pk ELSE v END, 5) AS v FROM k""")
 def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +236,7 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remix_augment(segs, "click", 0.5, 0.1).withColumn("v", F.round("v", 5))
 
 
-@query("h8_oversample_cycle", f"WITH {fx.STEMS}, {_NO} SELECT i, no, track FROM (SELECT unnest(range(0, 1000)) AS i) JOIN t ON no = i % (SELECT count(*) FROM t)")
+@query("h8_oversample_cycle", f"WITH {fx.STEMS}, {_NO} SELECT i, no, track FROM (SELECT unnest(range(0, (SELECT count(*) * 5 // 2 FROM t))) AS i) JOIN t ON no = i % (SELECT count(*) FROM t)")
 def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversample_cycle(numbered(fx.stems(spark, sf_dir), "track"), _target()).select("i", "no", "track")
 

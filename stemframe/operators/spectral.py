@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
+from stemframe.operators.filters import butterworth_highpass, filtered
 from stemframe.operators.frames import frame, with_length
 from stemframe.registry import query
 
@@ -44,6 +45,22 @@ WINDOWS = {
 }
 
 
+def taylor(nbar: int = 4, level: float = 30.0) -> str:
+    """The Taylor window with ``nbar`` nearly constant side lobes ``level`` dB down, one at its centre."""
+    a = math.acosh(10 ** (level / 20)) / math.pi
+    spread = nbar**2 / (a**2 + (nbar - 0.5) ** 2)
+    terms, ones = [], [k for k in range(1, nbar)]
+    for m in ones:
+        top = math.prod(1 - m * m / spread / (a * a + (k - 0.5) ** 2) for k in ones)
+        f = (1 if m % 2 else -1) * top / (2 * math.prod(1 - m * m / (k * k) for k in ones if k != m))
+        terms.append((m, f))
+    total = " + ".join(f"({f!r}) * cos({2 * m} * pi() * (i - n / 2.0 + 0.5) / n)" for m, f in terms)
+    return f"(1 + 2 * ({total})) / {1 + 2 * sum(f for _, f in terms)!r}"
+
+
+WINDOWS["taylor"] = taylor()
+
+
 def hann(i: Column, size: int) -> Column:
     """Periodic Hann."""
     return 0.5 - 0.5 * F.cos(2 * math.pi * i / size)
@@ -160,6 +177,14 @@ def log_mel(spec: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys, "frame", "band").agg(F.log(F.greatest(F.sum(F.col("w") * F.col("mag")), F.lit(1e-5))).alias("v"))
 
 
+def log_mel_shifted(df: DataFrame, weights: DataFrame, keys: list[str], size: int, hop: int, semitones: float = 0.0) -> DataFrame:
+    """``log_mel`` of a signal as if its pitch were moved: frames of size x 2^(semitones / 12), whose bins are cut off
+    or missing above size / 2 and whose magnitudes are brought back to the plain size."""
+    moved = round(size * 2 ** (semitones / 12))
+    spec = stft(df, keys, moved, hop).filter(F.col("bin") <= size // 2)
+    return log_mel(spec.withColumns({"re": F.col("re") * (size / moved), "im": F.col("im") * (size / moved)}), weights, keys)
+
+
 def resample_index(df: DataFrame, keys: list[str], target: int, mode: str) -> DataFrame:
     """Signals of any length to ``target`` samples: ``nearest`` takes floor(i n / target), ``linear`` interpolates between centres."""
     n = with_length(df, keys).select(*keys, "n").distinct()
@@ -212,26 +237,28 @@ def rms_envelope_match(source: DataFrame, target: DataFrame, keys: list[str], ra
     return both.select(*keys, "pos", (F.col("v") * F.pow(F.col("r1"), F.lit(1 - rate)) * F.pow(F.greatest("r2", F.lit(1e-6)), F.lit(rate - 1))).alias("v"))
 
 
-def spectrogram_image(spec: DataFrame, keys: list[str]) -> DataFrame:
-    """log10(mag^2 + 1e-8) scaled to 0..255 between its extremes within the keys."""
-    x = spec.withColumn("x", F.log10(F.col("re") * F.col("re") + F.col("im") * F.col("im") + 1e-8))
+def spectrogram_image(spec: DataFrame, keys: list[str], mode: str = "magnitude", top: str | None = None) -> DataFrame:
+    """Pixels 0..255: log10(mag^2 + 1e-8), or with mode "phase" the phase, scaled between its extremes within the keys.
+
+    ``top`` names a column of planes (channels, say), to which their pixelwise maximum is added as plane -1.
+    """
+    if mode == "phase":
+        x = mag_phase(spec).withColumnRenamed("phase", "x")
+    else:
+        x = spec.withColumn("x", F.log10(F.col("re") * F.col("re") + F.col("im") * F.col("im") + 1e-8))
     own = Window.partitionBy(*keys)
     lo, hi = F.min("x").over(own), F.max("x").over(own)
-    return x.select(*keys, "frame", "bin", F.when(hi > lo, (F.col("x") - lo) / (hi - lo) * 255).otherwise(0.0).alias("v"))
+    at = list(dict.fromkeys([*keys, *([top] if top else []), "frame", "bin"]))
+    image = x.select(*at, F.when(hi > lo, (F.col("x") - lo) / (hi - lo) * 255).otherwise(0.0).alias("v"))
+    if top is None:
+        return image
+    most = image.groupBy(*[c for c in at if c != top]).agg(F.max("v").alias("v")).withColumn(top, F.lit(-1).cast(image.schema[top].dataType))
+    return image.unionByName(most)
 
 
-def highpass_iir(df: DataFrame, keys: list[str], cutoff: float, rate: float, halo: int = 64) -> DataFrame:
-    """Zero-phase high-pass, the signal minus its zero-phase one-pole low-pass, by a kernel cut at ``halo``.
-
-    The impulse response has decayed at the halo, so every output is a sum over its neighbours and needs no
-    recursion along a track.
-    """
-    a = math.exp(-2 * math.pi * cutoff / rate)
-    g = (1 - a) / (1 + a)
-    near = df.withColumn("at", F.explode(F.sequence(F.greatest(F.col("pos") - halo, F.lit(0)).cast("int"), (F.col("pos") + halo).cast("int"))))
-    w = g * F.pow(F.lit(a), F.abs(F.col("at") - F.col("pos")))
-    low = near.groupBy(*keys, F.col("at").alias("pos")).agg((F.sum(F.col("v") * w) / F.sum(w)).alias("low"))
-    return df.join(low, [*keys, "pos"]).select(*keys, "pos", (F.col("v") - F.col("low")).alias("v"))
+def highpass_iir(df: DataFrame, keys: list[str], cutoff: float, rate: float, order: int = 5) -> DataFrame:
+    """Butterworth high-pass without phase shift, run forwards and backwards over blocks with a halo that follows from its poles."""
+    return filtered(df, keys, butterworth_highpass(order, cutoff, rate), zero_phase=True)
 
 
 SPEC = f"""{fx.STEREO}, fr AS (SELECT track, channel, frame, pos - frame * 8 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (pos - frame * 8) / 16)) AS x
@@ -265,12 +292,13 @@ def d1_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _z(flat.select(*BINS, "z.re", "z.im"), *BINS)
 
 
-@query("d2_istft", f"WITH {fx.STEREO} SELECT track, channel, pos, round(v, 5) AS v FROM stereo WHERE pos BETWEEN 8 AND 55")
+@query("d2_istft", f"WITH {fx.STEREO} SELECT track, channel, pos, CASE WHEN pos = 0 THEN 0 ELSE round(v, 5) END AS v FROM stereo")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return istft(spectra(spark, sf_dir), CHANNEL).select("track", "channel", "pos", F.round("v", 5).alias("v"))
 
 
-@query("d3_mag_phase", f"WITH {SPEC} SELECT track, channel, frame, bin, round(sqrt(re * re + im * im), 5) AS mag, round(atan2(im, re), 4) AS phase FROM spec WHERE bin BETWEEN 1 AND 7")
+@query("d3_mag_phase", f"""WITH {SPEC} SELECT track, channel, frame, bin, round(sqrt(re * re + im * im), 5) AS mag,
+round(CASE WHEN bin NOT IN (0, 8) THEN atan2(im, re) WHEN re < 0 THEN pi() ELSE 0 END, 4) AS phase FROM spec""")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mag_phase(spectra(spark, sf_dir)).select(*BINS, F.round("mag", 5).alias("mag"), F.round("phase", 4).alias("phase"))
 
@@ -280,8 +308,21 @@ def windowed(df: DataFrame, name: str, n: int) -> DataFrame:
     return df.selectExpr("*", f"{n} AS n", "pos AS i").withColumn("v", F.col("v") * F.expr(WINDOWS[name])).drop("n", "i")
 
 
+# Each window in another closed form than above, for 64 samples: m is the place from the nearer end, c the cosine.
+_WINDOWS_SQL = {
+    "boxcar": "1", "triang": "(2 * m + 1) / 64.0", "bartlett": "m * 2 / 63.0", "hann": "pow(sin(pi() * i / 63), 2)", "hamming": "0.08 + 0.92 * pow(sin(pi() * i / 63), 2)",
+    "blackman": "0.34 - 0.5 * c + 0.16 * c * c", "blackmanharris": "0.35875 - 0.48829 * c + 0.14128 * (2 * c * c - 1) - 0.01168 * (4 * c * c * c - 3 * c)",
+    "nuttall": "0.3635819 - 0.4891775 * c + 0.1365995 * (2 * c * c - 1) - 0.0106411 * (4 * c * c * c - 3 * c)",
+    "flattop": "0.21557895 - 0.41663158 * c + 0.277263158 * (2 * c * c - 1) - 0.083578947 * (4 * c * c * c - 3 * c) + 0.006947368 * (8 * c * c * c * c - 8 * c * c + 1)",
+    "cosine": "sin(pi() * (2 * i + 1) / 128)", "bohman": "(1 - x) * cos(pi() * x) + sin(pi() * x) / pi()", "barthann": "0.62 - 0.24 * x - 0.38 * cos(pi() * (1 - x))", "exponential": "exp(m - 31.5)",
+    "tukey": "CASE WHEN m < 15.75 THEN pow(sin(2 * pi() * m / 63), 2) ELSE 1 END", "parzen": "CASE WHEN u <= 0.5 THEN 1 - 6 * u * u * (1 - u) ELSE 2 * pow(1 - u, 3) END", "lanczos": "sin(pi() * x) / (pi() * x)",
+    "taylor": "(1 + 2 * (0.2926560110171551 * cos(2 * pi() * (i - 31.5) / 64) - 0.01578375064105314 * cos(4 * pi() * (i - 31.5) / 64) + 0.0021810393128200286 * cos(6 * pi() * (i - 31.5) / 64))) / 1.558106599377844",
+}
+
+
 def _windows_sql() -> str:
-    return f"WITH {fx.SIG} " + " UNION ALL ".join(f"SELECT '{k}' AS name, track, pos, round(sum(v * ({e})), 5) AS v FROM (SELECT *, pos AS i, 64 AS n FROM sig) GROUP BY track, pos" for k, e in WINDOWS.items())
+    base = f"WITH {fx.SIG}, t AS (SELECT track, pos, pos AS i, least(pos, 63 - pos) AS m, cos(2 * pi() * pos / 63) AS c, abs(2 * pos - 63) / 63.0 AS x, abs(2 * pos - 63) / 64.0 AS u, sum(v) AS v FROM sig GROUP BY track, pos) "
+    return base + " UNION ALL ".join(f"SELECT '{k}' AS name, track, pos, round(v * ({e}), 4) + 0.0 AS v FROM t" for k, e in _WINDOWS_SQL.items())
 
 
 @query("d4_window_function", _windows_sql())
@@ -289,7 +330,7 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     summed = fx.sig(spark, sf_dir).groupBy("track", "pos").agg(F.sum("v").alias("v"))
     out = None
     for name in WINDOWS:
-        one = windowed(summed, name, 64).select(F.lit(name).alias("name"), "track", "pos", F.round("v", 5).alias("v"))
+        one = windowed(summed, name, 64).select(F.lit(name).alias("name"), "track", "pos", (F.round("v", 4) + 0.0).alias("v"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -328,10 +369,15 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d9_log_mel", f"""WITH {SPEC}, e AS (SELECT unnest(range(0, 4)) AS band), t AS (SELECT 2595 * log10(1 + 8000 / 700.0) AS top),
 h AS (SELECT CAST(band AS INTEGER) AS band, 700 * (pow(10, band * top / 5 / 2595) - 1) AS f0, 700 * (pow(10, (band + 1) * top / 5 / 2595) - 1) AS f1, 700 * (pow(10, (band + 2) * top / 5 / 2595) - 1) AS f2 FROM e, t),
-w AS (SELECT band, bin, greatest(least((bin * 1000.0 - f0) / (f1 - f0), (f2 - bin * 1000.0) / (f2 - f1)), 0) * 2 / (f2 - f0) AS w FROM h, (SELECT unnest(range(0, 9)) AS bin))
-SELECT track, channel, frame, band, round(ln(greatest(sum(w * sqrt(re * re + im * im)), 1e-5)), 4) AS v FROM spec JOIN w USING (bin) WHERE w > 0 GROUP BY ALL""")
+w AS (SELECT band, bin, greatest(least((bin * 1000.0 - f0) / (f1 - f0), (f2 - bin * 1000.0) / (f2 - f1)), 0) * 2 / (f2 - f0) AS w FROM h, (SELECT unnest(range(0, 9)) AS bin)),
+f19 AS (SELECT track, channel, frame, pos - frame * 8 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (pos - frame * 8) / 19)) AS x FROM stereo JOIN (SELECT unnest(range(0, 6)) AS frame) f ON pos >= frame * 8 AND pos < frame * 8 + 19),
+s19 AS (SELECT track, channel, CAST(frame AS INTEGER) AS frame, bin, sum(x * cos(2 * pi() * bin * i / 19)) AS re, sum(x * sin(2 * pi() * bin * i / 19)) AS im FROM f19 CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL),
+a AS (SELECT 0 AS semitones, track, channel, frame, bin, sqrt(re * re + im * im) AS mag FROM spec UNION ALL SELECT 3, track, channel, frame, bin, sqrt(re * re + im * im) * 16 / 19 FROM s19)
+SELECT semitones, track, channel, frame, band, round(ln(greatest(sum(w * mag), 1e-5)), 4) AS v FROM a JOIN w USING (bin) WHERE w > 0 GROUP BY ALL""")
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_mel(spectra(spark, sf_dir), mel_weights(spark, 4, 16, 16000), CHANNEL).withColumn("v", F.round("v", 4))
+    df, w = fx.stereo(spark, sf_dir), mel_weights(spark, 4, 16, 16000)
+    out = [log_mel_shifted(df, w, CHANNEL, SIZE, HOP, k).withColumn("v", F.round("v", 4)).withColumn("semitones", F.lit(k)) for k in (0, 3)]
+    return out[0].unionByName(out[1])
 
 
 @query("d12_resample")
@@ -353,8 +399,7 @@ def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitch_resample(fx.stereo(spark, sf_dir), CHANNEL, 3).withColumn("v", F.round("v", 5))
 
 
-@query("d15_highpass_iir", f"""WITH {fx.STEREO}, k AS (SELECT exp(-2 * pi() * 0.05) AS a), p AS (SELECT s.track, s.channel, s.pos, sum(q.v * pow(a, abs(s.pos - q.pos))) / sum(pow(a, abs(s.pos - q.pos))) AS low FROM stereo s JOIN stereo q ON s.track = q.track AND s.channel = q.channel, k GROUP BY ALL)
-SELECT track, channel, pos, round(v - low, 5) AS v FROM stereo JOIN p USING (track, channel, pos)""")
+@query("d15_highpass_iir")
 def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highpass_iir(fx.stereo(spark, sf_dir), CHANNEL, 0.05, 1.0).withColumn("v", F.round("v", 5))
 
@@ -376,10 +421,14 @@ def d17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rms_envelope_match(loud, soft, CHANNEL, 0.25, 16, 8, 64).withColumn("v", F.round("v", 5))
 
 
-@query("d18_spectrogram_image", f"""WITH {SPEC}, x AS (SELECT *, log10(re * re + im * im + 1e-8) AS x FROM spec), y AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM x WINDOW w AS (PARTITION BY track, channel))
-SELECT track, channel, frame, bin, round((x - lo) / (hi - lo) * 255, 2) AS v FROM y""")
+@query("d18_spectrogram_image", f"""WITH {SPEC}, m AS (SELECT *, log10(re * re + im * im + 1e-8) AS x, CASE WHEN bin NOT IN (0, 8) THEN atan2(im, re) WHEN re < 0 THEN pi() ELSE 0 END AS p FROM spec),
+y AS (SELECT 'magnitude' AS mode, track, channel, frame, bin, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 255 AS v FROM m WINDOW w AS (PARTITION BY track)
+UNION ALL SELECT 'phase', track, channel, frame, bin, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) * 255 FROM m WINDOW w AS (PARTITION BY track))
+SELECT mode, track, channel, frame, bin, round(v, 2) AS v FROM y UNION ALL SELECT mode, track, -1, frame, bin, round(max(v), 2) FROM y GROUP BY ALL""")
 def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrogram_image(spectra(spark, sf_dir), CHANNEL).withColumn("v", F.round("v", 2))
+    spec = spectra(spark, sf_dir)
+    out = [spectrogram_image(spec, ["track"], mode, "channel").select(F.lit(mode).alias("mode"), *BINS, F.round("v", 2).alias("v")) for mode in ("magnitude", "phase")]
+    return out[0].unionByName(out[1])
 
 
 @query("c12_denoise_pair", f"WITH {SPEC} SELECT track, channel, frame, bin, round(CASE WHEN bin < 3 THEN 0 ELSE 0.6 * re END, 5) + 0.0 AS re, round(CASE WHEN bin < 3 THEN 0 ELSE 0.6 * im END, 5) + 0.0 AS im FROM spec")

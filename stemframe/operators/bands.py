@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.operators.ensemble import ensemble_complex
-from stemframe.operators.metrics import against_median
+from stemframe.operators.metrics import SPECTRAL, against_median
 from stemframe.operators.spectral import BINS, SPEC, _z, mel_weights, spectra, stft
 from stemframe.registry import query
 
@@ -25,6 +26,9 @@ LAYOUTS = {
     "bass": [(0, 500, 50), (500, 1000, 100), (1000, 4000, 500), (4000, 8000, 1000), (8000, 16000, 2000), (16000, None, 0)],
     "drums": [(0, 1000, 50), (1000, 2000, 100), (2000, 4000, 250), (4000, 8000, 500), (8000, 16000, 1000), (16000, None, 0)],
 }
+LAYOUTS["other"] = LAYOUTS["vocals:7"]
+#: Bands of one width over all bins.
+LAYOUTS |= {f"fixed:{width}": [(0, None, width)] for width in (250, 500, 2000)}
 
 
 def band_edges(spark: SparkSession, n_fft: int, sr: int) -> DataFrame:
@@ -45,16 +49,70 @@ def band_spec_checks(bands: DataFrame) -> DataFrame:
     return b.withColumn("violation", what).filter("violation IS NOT NULL").select("layout", "lo", "hi", "violation")
 
 
+#: Scales on which filterbanks are even: Hz to the scale, and back.
+PERCEPTUAL = {
+    "mel": (lambda f: 2595 * np.log10(1 + f / 700), lambda x: 700 * (10 ** (x / 2595) - 1)),
+    "bark": (lambda f: 6 * np.arcsinh(f / 600), lambda x: 600 * np.sinh(x / 6)),
+    "erb": (lambda f: 1000 * np.log(10) / (24.7 * 4.37) * np.log10(1 + 0.00437 * f), lambda x: (10 ** (x * 24.7 * 4.37 / (1000 * np.log(10))) - 1) / 0.00437),
+    "midi": (lambda f: 69 + 12 * np.log2(f / 440), lambda x: 440 * 2 ** ((x - 69) / 12)),
+}
+
+
+def _triangles(freqs: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Rows of triangles over ``freqs`` between neighbouring points."""
+    left, mid, right = points[:-2, None], points[1:-1, None], points[2:, None]
+    return np.maximum(0, np.minimum((freqs - left) / (mid - left), (right - freqs) / (right - mid)))
+
+
+def filterbank_matrix(n_fft: int, sr: int, n_bands: int, scale: str, low: float = 0.0, high: float | None = None) -> np.ndarray:
+    """Weights (band, bin): ``mel``, ``erb`` and ``tribark`` are triangles, ``bark`` critical-band curves, ``minibark``
+    their part above half the power, ``musical`` boxes of equal parts of an octave.
+
+    Bins below the first band's first active one count fully there (for mel only the first bin).
+    """
+    bins, high = n_fft // 2 + 1, high or sr / 2
+    freqs = np.linspace(0, sr / 2, bins)
+    if scale in ("mel", "erb", "tribark"):
+        there, back = PERCEPTUAL["bark" if scale == "tribark" else scale]
+        w = _triangles(freqs, back(np.linspace(there(low), there(high), n_bands + 2)))
+        if scale == "mel":
+            w[0, 0] = 1
+        elif w.any():
+            first = int(np.flatnonzero(w.any(axis=1))[0])
+            w[first, : int(np.flatnonzero(w[first])[0])] = 1
+        return w
+    if scale in ("bark", "minibark"):
+        there, back = PERCEPTUAL["bark"]
+        points = np.linspace(there(low), there(high), n_bands + 4)
+        edges = np.floor((n_fft + 1) * back(points) / sr).astype(int)
+        at = there(np.arange(bins) * sr / (n_fft + 1))
+        d = at - points[2:-2, None]
+        curve = np.select([(d >= -2.5) & (d <= -0.5), (d > -0.5) & (d < 0.5), (d >= 0.5) & (d <= 1.3)], [10 ** np.minimum(d + 0.5, 0), 1.0, 10 ** np.minimum(-2.5 * (d - 0.5), 0)], 0.0)
+        place = np.arange(bins)
+        w = np.where((place >= edges[:-4, None]) & (place < edges[4:, None]), curve, 0.0)
+        return np.where(w < math.sqrt(0.5), 0.0, w) if scale == "minibark" else w
+    there, back = PERCEPTUAL["midi"]
+    step = sr / n_fft
+    ratio = 2 ** (math.log2(high / step) / n_bands)
+    centres = back(np.linspace(max(0.0, there(step)), there(high), n_bands))
+    lowest, highest = np.floor(centres / ratio / step).astype(int), np.ceil(centres * ratio / step).astype(int)
+    place = np.arange(bins)
+    w = ((place >= lowest[:, None]) & (place <= highest[:, None])).astype(float)
+    w[0, : lowest[0]], w[-1, highest[-1] + 1 :] = 1, 1
+    return w
+
+
 def perceptual_filterbank(spark: SparkSession, n_fft: int, sr: int, n_bands: int, scale: str = "mel") -> DataFrame:
-    """(band, bin, w): triangles on a perceptual scale, divided by their sum over bands at each bin; empty bands are dropped."""
-    to = {"mel": lambda f: 2595 * F.log10(1 + f / 700), "bark": lambda f: 6 * F.asinh(f / 600), "erb": lambda f: 21.4 * F.log10(1 + 0.00437 * f)}[scale]
-    bins = spark.range(n_fft // 2 + 1).select(F.col("id").cast("int").alias("bin"), to(F.col("id") * sr / n_fft).alias("x"))
-    top = {"mel": 2595 * math.log10(1 + sr / 2 / 700), "bark": 6 * math.asinh(sr / 2 / 600), "erb": 21.4 * math.log10(1 + 0.00437 * sr / 2)}[scale]
-    step = top / (n_bands - 1)
-    rows = bins.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))))
-    w = F.greatest(1 - F.abs(F.col("x") - F.col("band") * step) / step, F.lit(0.0))
-    rows = rows.withColumn("w", F.when((F.col("bin") == 0) & (F.col("band") == 0), 1.0).otherwise(w)).filter("w > 0")
-    return rows.select("band", "bin", (F.col("w") / F.sum("w").over(Window.partitionBy("bin"))).alias("w"))
+    """(band, bin, w) of a filterbank, divided by the sum over bands at each bin; a band goes from its first to its
+    last active bin, and bands without one are dropped. A table of bands times bins of one frame."""
+    w = filterbank_matrix(n_fft, sr, n_bands, scale)
+    total = w.sum(axis=0)
+    rows = []
+    for band in range(n_bands):
+        active = np.flatnonzero(w[band])
+        if active.size:
+            rows += [(band, int(k), float(w[band, k] / total[k])) for k in range(active[0], active[-1] + 1)]
+    return spark.createDataFrame(rows, "band int, bin int, w double")
 
 
 def band_split(spec: DataFrame, bands: DataFrame) -> DataFrame:
@@ -99,12 +157,75 @@ def bleedless_fullness(ref: DataFrame, est: DataFrame, weights: DataFrame, keys:
     return both.groupBy(*keys).agg((100 / (up + 1)).alias("bleedless"), (100 / (1 - down)).alias("fullness"))
 
 
-def time_freq_error(joined: DataFrame, keys: list[str], w_time: float, w_freq: float, size: int = 16, hop: int = 8) -> DataFrame:
-    """w_time x L1 of samples plus w_freq x L1 of spectra (re and im), the latter of the error signal by linearity."""
-    err = joined.select(*keys, "pos", (F.col("r") - F.col("e")).alias("v"))
-    t = err.groupBy(*keys).agg(F.avg(F.abs("v")).alias("t"))
-    f = stft(err, keys, size, hop).groupBy(*keys).agg(((F.avg(F.abs("re")) + F.avg(F.abs("im")))).alias("f"))
-    return t.join(f, keys).select(*keys, (w_time * F.col("t") + w_freq * F.col("f")).alias("error"))
+def a_weighting(f: Column) -> Column:
+    """Gain of the A curve at a frequency, 1 at 1000 Hz."""
+    f2 = f * f
+    r = F.lit(12194.0**2) * f2 * f2 / ((f2 + 20.6**2) * F.sqrt((f2 + 107.7**2) * (f2 + 737.9**2)) * (f2 + 12194.0**2))
+    return r * 10 ** (2.0 / 20)
+
+
+def mrstft_loss(ref: DataFrame, est: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1024, 2048, 4096), n_mels: int | None = 128, rate: float = 44100, perceptual: bool = True) -> DataFrame:
+    """Mean over resolutions (hop a quarter) of the spectral loss; with ``perceptual`` spectra are A-weighted, with
+    ``n_mels`` magnitudes are summed up by mel bands before they are compared."""
+    spark, total = ref.sparkSession, None
+    for size in sizes:
+        def shown(df: DataFrame) -> DataFrame:
+            s = stft(df, keys, size, size // 4)  # noqa: B023
+            if perceptual:
+                g = a_weighting(F.col("bin") * (rate / size))  # noqa: B023
+                s = s.withColumns({"re": F.col("re") * g, "im": F.col("im") * g})
+            if n_mels:
+                w = mel_weights(spark, n_mels, size, rate)  # noqa: B023
+                s = s.withColumn("mag", F.hypot("re", "im")).join(F.broadcast(w), "bin").groupBy(*keys, "frame", F.col("band").alias("bin")).agg(F.sum(F.col("w") * F.col("mag")).alias("re")).withColumn("im", F.lit(0.0))
+            return s
+
+        one = stft_loss(shown(ref), shown(est), keys)
+        total = one if total is None else total.unionByName(one)
+    return total.groupBy(*keys).agg(F.avg("loss").alias("loss"))
+
+
+def time_freq_error(joined: DataFrame, keys: list[str], w_time: float, w_freq: float, size: int = 16, hop: int = 8, norm: str = "l1", eps: float = 1e-3) -> DataFrame:
+    """w_time x L of samples plus w_freq x L of spectra (re and im), the latter of the error signal by linearity.
+
+    norm: ``l1`` mean magnitude, ``l2`` mean square, or ``ratio``, the error's level over the reference's in decibel.
+    """
+    size_of = (lambda x: F.avg(x * x)) if norm == "l2" else (lambda x: F.avg(F.abs(x)))
+    against = lambda top, base: 10 * (F.log10(top + eps) - F.log10(base + eps)) if norm == "ratio" else top
+    err, ref = joined.select(*keys, "pos", (F.col("r") - F.col("e")).alias("v")), joined.select(*keys, "pos", F.col("r").alias("v"))
+    t = joined.groupBy(*keys).agg(against(size_of(F.col("r") - F.col("e")), size_of(F.col("r"))).alias("t"))
+    f = stft(err, keys, size, hop).groupBy(*keys).agg(size_of(F.col("re")).alias("re"), size_of(F.col("im")).alias("im"))
+    if norm == "ratio":
+        base = stft(ref, keys, size, hop).groupBy(*keys).agg(size_of(F.col("re")).alias("base_re"), size_of(F.col("im")).alias("base_im"))
+        f = f.join(base, keys).select(*keys, against(F.col("re"), F.col("base_re")).alias("re"), against(F.col("im"), F.col("base_im")).alias("im"))
+    return t.join(f, keys).select(*keys, (w_time * F.col("t") + w_freq * (F.col("re") + F.col("im"))).alias("error"))
+
+
+def _sides(joined: DataFrame, keys: list[str], size: int, hop: int) -> tuple[DataFrame, DataFrame]:
+    return tuple(stft(joined.select(*keys, "pos", F.col(c).alias("v")), keys, size, hop) for c in "re")
+
+
+def _mapped(loss: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    return loss.select(*keys, (100 / (1 + 10 * F.col("loss"))).alias(name))
+
+
+def _bleed(joined: DataFrame, keys: list[str], o: dict, name: str) -> DataFrame:
+    w = mel_weights(joined.sparkSession, o["n_mels"], o["size"], o["rate"])
+    return bleedless_fullness(*_sides(joined, keys, o["size"], o["hop"]), w, keys).select(*keys, name)
+
+
+def _mrstft(joined: DataFrame, keys: list[str], o: dict) -> DataFrame:
+    one = lambda c: joined.select(*keys, "pos", F.col(c).alias("v"))
+    return mrstft_loss(one("r"), one("e"), keys, o["sizes"], o["mr_mels"], o["rate"])
+
+
+# Scores of spectra, known to metrics.score by name.
+SPECTRAL |= {
+    "l1_freq": lambda j, keys, o: l1_freq(*_sides(j, keys, o["size"], o["hop"]), keys),
+    "aura_stft": lambda j, keys, o: _mapped(stft_loss(*_sides(j, keys, o["size"], o["hop"]), keys), "aura_stft", keys),
+    "aura_mrstft": lambda j, keys, o: _mapped(_mrstft(j, keys, o), "aura_mrstft", keys),
+    "bleedless": lambda j, keys, o: _bleed(j, keys, o, "bleedless"),
+    "fullness": lambda j, keys, o: _bleed(j, keys, o, "fullness"),
+}
 
 
 def phase_rotate(spec: DataFrame, degrees: float) -> DataFrame:
@@ -115,9 +236,21 @@ def phase_rotate(spec: DataFrame, degrees: float) -> DataFrame:
     return spec.withColumn("edge", edge).select(*BINS, F.when(F.col("edge"), F.col("re") * c).otherwise(F.col("re") * c - F.col("im") * s).alias("re"), F.when(F.col("edge"), F.col("im") * c).otherwise(F.col("im") * c + F.col("re") * s).alias("im"))
 
 
+# from and to in Hz and width, by layout; width 0 is one band.
+_LAYOUT_ROWS = """('vocals:1', 0, NULL, 1000), ('vocals:2', 0, 16000, 1000), ('vocals:2', 16000, 20000, 2000), ('vocals:2', 20000, NULL, 0),
+('vocals:3', 0, 8000, 1000), ('vocals:3', 8000, 16000, 2000), ('vocals:3', 16000, 20000, 0), ('vocals:3', 20000, NULL, 0),
+('vocals:4', 0, 1000, 100), ('vocals:4', 1000, 8000, 1000), ('vocals:4', 8000, 16000, 2000), ('vocals:4', 16000, 20000, 0), ('vocals:4', 20000, NULL, 0),
+('vocals:5', 0, 1000, 100), ('vocals:5', 1000, 16000, 1000), ('vocals:5', 16000, 20000, 2000), ('vocals:5', 20000, NULL, 0),
+('vocals:6', 0, 1000, 100), ('vocals:6', 1000, 4000, 500), ('vocals:6', 4000, 8000, 1000), ('vocals:6', 8000, 16000, 2000), ('vocals:6', 16000, 20000, 0), ('vocals:6', 20000, NULL, 0),
+('vocals:7', 0, 1000, 100), ('vocals:7', 1000, 4000, 250), ('vocals:7', 4000, 8000, 500), ('vocals:7', 8000, 16000, 1000), ('vocals:7', 16000, 20000, 2000), ('vocals:7', 20000, NULL, 0),
+('other', 0, 1000, 100), ('other', 1000, 4000, 250), ('other', 4000, 8000, 500), ('other', 8000, 16000, 1000), ('other', 16000, 20000, 2000), ('other', 20000, NULL, 0),
+('bass', 0, 500, 50), ('bass', 500, 1000, 100), ('bass', 1000, 4000, 500), ('bass', 4000, 8000, 1000), ('bass', 8000, 16000, 2000), ('bass', 16000, NULL, 0),
+('drums', 0, 1000, 50), ('drums', 1000, 2000, 100), ('drums', 2000, 4000, 250), ('drums', 4000, 8000, 500), ('drums', 8000, 16000, 1000), ('drums', 16000, NULL, 0),
+('fixed:250', 0, NULL, 250), ('fixed:500', 0, NULL, 500), ('fixed:2000', 0, NULL, 2000)"""
+
+
 def _layout_sql() -> str:
-    rows = ", ".join(f"('{n}', {a}.0, {'NULL' if b is None else f'{b}.0'}, {w}.0)" for n, parts in LAYOUTS.items() for a, b, w in parts)
-    return f"""p AS (SELECT layout, CAST(round_even(a * 2048 / 44100, 0) AS INTEGER) AS s, coalesce(CAST(round_even(b * 2048 / 44100, 0) AS INTEGER), 1025) AS e, CAST(round_even(w * 2048 / 44100, 0) AS INTEGER) AS step FROM (VALUES {rows}) v(layout, a, b, w)),
+    return f"""p AS (SELECT layout, CAST(round_even(a * 2048 / 44100, 0) AS INTEGER) AS s, coalesce(CAST(round_even(b * 2048 / 44100, 0) AS INTEGER), 1025) AS e, CAST(round_even(w * 2048 / 44100, 0) AS INTEGER) AS step FROM (VALUES {_LAYOUT_ROWS}) v(layout, a, b, w)),
 bands AS (SELECT layout, CAST(lo AS INTEGER) AS lo, CAST(CASE WHEN step > 0 THEN least(lo + step, e) ELSE e END AS INTEGER) AS hi FROM (SELECT layout, s, e, step, unnest(CASE WHEN step > 0 THEN range(s, e, step) ELSE [CAST(s AS BIGINT)] END) AS lo FROM p))"""
 
 
@@ -131,7 +264,7 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d11_perceptual_filterbanks")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, out = spectra(spark, sf_dir).withColumn("mag", F.hypot("re", "im")), None
-    for scale in ("mel", "bark", "erb"):
+    for scale in ("mel", "erb", "tribark", "bark", "minibark", "musical"):
         w = perceptual_filterbank(spark, 16, 16000, 4, scale)
         one = spec.join(F.broadcast(w), "bin").groupBy("track", "channel", "frame", "band").agg(F.round(F.sum(F.col("w") * F.col("mag")), 5).alias("v")).withColumn("scale", F.lit(scale))
         out = one if out is None else out.unionByName(one)
@@ -181,7 +314,7 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query("f6_ensemble_median_fft", f"""WITH {ESPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY song, frame, bin ORDER BY re, im, model) AS turn, count(*) OVER (PARTITION BY song, frame, bin) AS n FROM spec WHERE bin BETWEEN 1 AND 7)
+@query("f6_ensemble_median_fft", f"""WITH {ESPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY song, frame, bin ORDER BY re, im, model) AS turn, count(*) OVER (PARTITION BY song, frame, bin) AS n FROM spec)
 SELECT song, frame, bin, round(avg(re), 5) + 0.0 AS re, round(avg(im), 5) + 0.0 AS im FROM r WHERE turn IN (floor((n + 1) / 2), floor((n + 2) / 2)) GROUP BY song, frame, bin""")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _z(ensemble_complex(estimates(spark, sf_dir), "median_fft", _E), *_E)
@@ -208,12 +341,9 @@ def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i5_aura_mrstft")
 def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, total = fx.stereo(spark, sf_dir), None
-    for size in (8, 16, 32):
-        s = stft(df, ["track", "channel"], size, size // 2)
-        one = stft_loss(s.filter("track % 2 = 0"), s.filter("track % 2 = 1").withColumn("track", F.col("track") - 1), ["track", "channel"])
-        total = one if total is None else total.unionByName(one)
-    return total.groupBy("track", "channel").agg(F.round(100 / (1 + 10 * F.avg("loss")), 4).alias("score"))
+    df = fx.stereo(spark, sf_dir)
+    loss = mrstft_loss(df.filter("track % 2 = 0"), df.filter("track % 2 = 1").withColumn("track", F.col("track") - 1), ["track", "channel"], (8, 16, 32), 3, 16000)
+    return loss.select("track", "channel", F.round(100 / (1 + 10 * F.col("loss")), 4).alias("score"))
 
 
 @query("i7_bleedless_fullness")
@@ -222,12 +352,18 @@ def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track", "channel", F.round("bleedless", 4).alias("bleedless"), F.round("fullness", 4).alias("fullness"))
 
 
-@query("i13_time_freq_error", f"""WITH {fx.SIG}, ref AS (SELECT track, pos, median(v) AS r FROM sig GROUP BY ALL), e AS (SELECT track, model, pos, r - v AS v FROM sig JOIN ref USING (track, pos)), t AS (SELECT track, model, avg(abs(v)) AS t FROM e GROUP BY ALL),
-fr AS (SELECT track, model, frame, pos - frame * 8 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (pos - frame * 8) / 16)) AS x FROM e JOIN (SELECT unnest(range(0, 7)) AS frame) f ON pos >= frame * 8 AND pos < frame * 8 + 16),
-sp AS (SELECT track, model, frame, bin, sum(x * cos(2 * pi() * bin * i / 16)) AS re, sum(x * sin(2 * pi() * bin * i / 16)) AS im FROM fr CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL)
-SELECT track, model, round(0.6 * any_value(t) + 0.4 * (avg(abs(re)) + avg(abs(im))), 5) AS error FROM sp JOIN t USING (track, model) GROUP BY track, model""")
+_F13 = """sp AS (SELECT track, model, frame, bin, sum(x * cos(2 * pi() * bin * i / 16)) AS re, sum(x * sin(2 * pi() * bin * i / 16)) AS im, sum(y * cos(2 * pi() * bin * i / 16)) AS rre, sum(y * sin(2 * pi() * bin * i / 16)) AS rim FROM fr CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL)"""
+
+
+@query("i13_time_freq_error", f"""WITH {fx.SIG}, ref AS (SELECT track, pos, median(v) AS r FROM sig GROUP BY ALL), e AS (SELECT track, model, pos, r - v AS d, r FROM sig JOIN ref USING (track, pos)),
+t AS (SELECT track, model, avg(abs(d)) AS t1, avg(d * d) AS t2, 10 * (log10(avg(abs(d)) + 1e-3) - log10(avg(abs(r)) + 1e-3)) AS t3 FROM e GROUP BY ALL),
+fr AS (SELECT track, model, frame, pos - frame * 8 AS i, d * pow(sin(pi() * (pos - frame * 8) / 16), 2) AS x, r * pow(sin(pi() * (pos - frame * 8) / 16), 2) AS y FROM e JOIN (SELECT unnest(range(0, 7)) AS frame) f ON pos >= frame * 8 AND pos < frame * 8 + 16), {_F13},
+g AS (SELECT track, model, avg(abs(re)) + avg(abs(im)) AS f1, avg(re * re) + avg(im * im) AS f2, 10 * (log10(avg(abs(re)) + 1e-3) - log10(avg(abs(rre)) + 1e-3) + log10(avg(abs(im)) + 1e-3) - log10(avg(abs(rim)) + 1e-3)) AS f3 FROM sp GROUP BY ALL)
+SELECT track, model, round(0.6 * t1 + 0.4 * f1, 5) AS l1, round(0.6 * t2 + 0.4 * f2, 5) AS l2, round(0.6 * t3 + 0.4 * f3, 4) AS ratio FROM t JOIN g USING (track, model)""")
 def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_freq_error(against_median(fx.sig(spark, sf_dir)), ["track", "model"], 0.6, 0.4).withColumn("error", F.round("error", 5))
+    j, keys = against_median(fx.sig(spark, sf_dir)), ["track", "model"]
+    out = [time_freq_error(j, keys, 0.6, 0.4, norm=n).select(*keys, F.round("error", 4 if n == "ratio" else 5).alias(n)) for n in ("l1", "l2", "ratio")]
+    return out[0].join(out[1], keys).join(out[2], keys)
 
 
 @query("b15_phase_rotate", f"WITH {SPEC} SELECT track, channel, frame, bin, round(CASE WHEN bin IN (0, 8) THEN re * cos(radians(30)) ELSE re * cos(radians(30)) - im * sin(radians(30)) END, 5) + 0.0 AS re, round(CASE WHEN bin IN (0, 8) THEN im * cos(radians(30)) ELSE im * cos(radians(30)) + re * sin(radians(30)) END, 5) + 0.0 AS im FROM spec")

@@ -47,8 +47,11 @@ def mse() -> Column:
 
 
 def log_wmse() -> Column:
-    """ln of the mean squared error relative to the reference's level (the unfiltered form)."""
-    return -F.log(F.avg(_d() * _d()) / (F.avg(_r() * _r()) + EPS) + 1e-10)
+    """-4 ln of the mean squared error once both signals are scaled by the mixture's level (column m); 1e-5 is silence.
+
+    The error is taken as it is; for the weighted form filter r, e and m first.
+    """
+    return -4 * F.log(F.avg(_d() * _d()) / (F.avg(F.col("m") * F.col("m")) + EPS) + 1e-5)
 
 
 #: Metrics by name; ``register_score`` adds to them.
@@ -60,9 +63,28 @@ def register_score(name: str, build: Callable[[], Column]) -> None:
     SCORES[name] = build
 
 
-def score(joined: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """The requested metrics by key, in one grouping; what is not requested is not computed."""
-    return joined.groupBy(*keys).agg(*[SCORES[m]().alias(m) for m in metrics])
+#: Metrics of spectra by name: a function of the joined samples, the keys and options, to the keys and the metric.
+SPECTRAL: dict[str, Callable[[DataFrame, list[str], dict], DataFrame]] = {}
+OPTIONS = {"size": 2048, "hop": 512, "n_mels": 512, "rate": 44100, "sizes": (1024, 2048, 4096), "mr_mels": 128}
+
+
+def score(joined: DataFrame, keys: list[str], metrics: list[str], **options) -> DataFrame:
+    """The requested metrics by key: those of samples in one grouping, and a job of its own for each of spectra.
+
+    What is not requested is not computed. Metrics of spectra need the column pos; ``options`` are those of OPTIONS.
+    """
+    import stemframe.operators.bands  # noqa: F401  adds the metrics of spectra
+
+    unknown = [m for m in metrics if m not in SCORES and m not in SPECTRAL]
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    plain = [m for m in metrics if m in SCORES]
+    out = joined.groupBy(*keys).agg(*[SCORES[m]().alias(m) for m in plain]) if plain else None
+    for m in metrics:
+        if m in SPECTRAL:
+            one = SPECTRAL[m](joined, keys, OPTIONS | options)
+            out = one if out is None else out.join(one, keys, "left")
+    return out.select(*keys, *metrics)
 
 
 def against_median(df: DataFrame) -> DataFrame:
@@ -87,15 +109,23 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(against_median(fx.sig(spark, sf_dir)), ["track", "model"], ["si_sdr"]).withColumn("si_sdr", F.round("si_sdr", 4))
 
 
-@query("i6_log_wmse")
+@query("i6_log_wmse", f"WITH {REF}, x AS (SELECT track, pos, sum(e) AS m FROM j GROUP BY ALL) SELECT track, model, round(-4 * ln(avg((r - e) * (r - e)) / (avg(m * m) + 1e-8) + 1e-5), 4) AS log_wmse FROM j JOIN x USING (track, pos) GROUP BY ALL")
 def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(against_median(fx.sig(spark, sf_dir)), ["track", "model"], ["log_wmse"]).withColumn("log_wmse", F.round("log_wmse", 4))
+    j = against_median(fx.sig(spark, sf_dir))
+    mixture = j.groupBy("track", "pos").agg(F.sum("e").alias("m"))
+    return score(j.join(mixture, ["track", "pos"]), ["track", "model"], ["log_wmse"]).withColumn("log_wmse", F.round("log_wmse", 4))
+
+
+_SPECTRA = """fr AS (SELECT track, model, frame, pos - frame * 8 AS i, r * pow(sin(pi() * (pos - frame * 8) / 16), 2) AS x, e * pow(sin(pi() * (pos - frame * 8) / 16), 2) AS y FROM j JOIN (SELECT unnest(range(0, 7)) AS frame) f ON pos >= frame * 8 AND pos < frame * 8 + 16),
+sp AS (SELECT track, model, frame, bin, greatest(sqrt(pow(sum(x * cos(2 * pi() * bin * i / 16)), 2) + pow(sum(x * sin(2 * pi() * bin * i / 16)), 2)), 1e-8) AS xm, greatest(sqrt(pow(sum(y * cos(2 * pi() * bin * i / 16)), 2) + pow(sum(y * sin(2 * pi() * bin * i / 16)), 2)), 1e-8) AS ym FROM fr CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL),
+z AS (SELECT track, model, 100 / (1 + 10 * avg(abs(xm - ym))) AS l1_freq, 100 / (1 + 10 * (sqrt(sum((xm - ym) * (xm - ym))) / sqrt(sum(xm * xm)) + avg(abs(ln(xm) - ln(ym))))) AS aura_stft FROM sp GROUP BY ALL)"""
 
 
-@query("i8_score", f"WITH {REF}, {_SUMS}, b AS (SELECT track, model, {_SDR} AS sdr, avg(abs(r - e)) AS l1 FROM j GROUP BY ALL) SELECT track, model, round(sdr, 4) AS sdr, round({_SISDR}, 4) AS si_sdr, round(l1, 6) AS l1 FROM b JOIN s USING (track, model)")
+@query("i8_score", f"""WITH {REF}, {_SUMS}, {_SPECTRA}, b AS (SELECT track, model, {_SDR} AS sdr, avg(abs(r - e)) AS l1 FROM j GROUP BY ALL)
+SELECT track, model, round(sdr, 4) AS sdr, round({_SISDR}, 4) AS si_sdr, round(l1, 6) AS l1, round(l1_freq, 4) AS l1_freq, round(aura_stft, 4) AS aura_stft FROM b JOIN s USING (track, model) JOIN z USING (track, model)""")
 def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(against_median(fx.sig(spark, sf_dir)), ["track", "model"], ["sdr", "si_sdr", "l1"])
-    return out.select("track", "model", F.round("sdr", 4).alias("sdr"), F.round("si_sdr", 4).alias("si_sdr"), F.round("l1", 6).alias("l1"))
+    out = score(against_median(fx.sig(spark, sf_dir)), ["track", "model"], ["sdr", "si_sdr", "l1", "l1_freq", "aura_stft"], size=16, hop=8)
+    return out.select("track", "model", *[F.round(m, 6 if m == "l1" else 4).alias(m) for m in ("sdr", "si_sdr", "l1", "l1_freq", "aura_stft")])
 
 
 def chunk_median(joined: DataFrame, keys: list[str], size: int, metrics: list[str]) -> DataFrame:
@@ -117,6 +147,37 @@ def score_report(scores: DataFrame) -> DataFrame:
     return scores.rollup("metric", "track").agg(F.coalesce(F.avg("value"), F.lit(float("nan"))).alias("value")).filter("metric IS NOT NULL")
 
 
+def aliased_references(wanted: DataFrame, references: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """For each wanted (track, stem) the reference stem to score against: its own, else the first of its group that the track has.
+
+    Columns track, stem, reference; pairs without any are left out. The groups are a few names.
+    """
+    names = [(a, b, k) for g in groups for a in g for k, b in enumerate([a, *[x for x in g if x != a]])]
+    of = wanted.sparkSession.createDataFrame(names, "stem string, reference string, turn int")
+    listed = wanted.join(of, "stem", "left").withColumns({"reference": F.coalesce("reference", "stem"), "turn": F.coalesce("turn", F.lit(0))})
+    there = references.select("track", F.col("stem").alias("reference")).distinct()
+    return listed.join(there, ["track", "reference"]).groupBy("track", "stem").agg(F.min_by("reference", "turn").alias("reference"))
+
+
+def stem_report(estimates: DataFrame, references: DataFrame, groups: list[list[str]], metrics: list[str], derived: tuple[str, list[str]] = ("mne", ["music", "effects"])) -> DataFrame:
+    """Means over tracks by key ``stem/metric`` of estimates (track, stem, pos, v) against references of the same form.
+
+    Missing reference stems take the first of their group; an estimate of the ``derived`` stem is the sum of its
+    parts where a track has none of its own; a stem that nothing was scored for is NaN.
+    """
+    name, parts = derived
+    own = estimates.filter(F.col("stem") == name).select("track").distinct()
+    summed = estimates.filter(F.col("stem").isin(parts)).join(own, "track", "left_anti").groupBy("track", "pos").agg(F.sum("v").alias("v")).withColumn("stem", F.lit(name))
+    est = estimates.select("track", "stem", "pos", "v").unionByName(summed.select("track", "stem", "pos", "v"))
+    stems = est.select("track", "stem").distinct()
+    pairs = aliased_references(stems, references, groups)
+    ref = references.select("track", F.col("stem").alias("reference"), "pos", F.col("v").alias("r"))
+    joined = est.join(pairs, ["track", "stem"]).join(ref, ["track", "reference", "pos"]).withColumnRenamed("v", "e")
+    found = score(joined, ["track", "stem"], metrics)
+    long = stems.join(found, ["track", "stem"], "left").select("stem", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("x"))
+    return long.groupBy(F.concat_ws("/", "stem", "x.metric").alias("key")).agg(F.coalesce(F.avg("x.value"), F.lit(float("nan"))).alias("value"))
+
+
 @query("i10_score_report", f"""WITH {REF}, {_SUMS}, v AS (SELECT track, 'sdr' AS metric, {_SDR} AS value FROM j GROUP BY track, model UNION ALL SELECT track, 'si_sdr', {_SISDR} FROM s)
 SELECT metric, track, round(avg(value), 4) AS value FROM v GROUP BY GROUPING SETS ((metric, track), (metric))""")
 def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +186,17 @@ def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_report(long).withColumn("value", F.round("value", 4))
 
 
+@query("i10_stem_report", f"""WITH {fx.STEMS}, e AS (SELECT track, stem, pos, v FROM stems WHERE stem <> 'click' UNION ALL SELECT track, 'mne', pos, sum(v) FROM stems WHERE stem IN ('view', 'error') GROUP BY track, pos),
+r AS (SELECT track, CASE stem WHEN 'view' THEN 'mne' ELSE stem END AS stem, pos, v * 0.5 AS v FROM stems WHERE stem <> 'error' OR track % 2 = 0),
+p AS (SELECT DISTINCT track, stem, CASE WHEN stem = 'view' THEN 'click' WHEN stem = 'error' AND track % 2 = 1 THEN NULL ELSE stem END AS reference FROM e),
+s AS (SELECT e.track, e.stem, 10 * log10((sum(r.v * r.v) + 1e-8) / (sum(pow(r.v - e.v, 2)) + 1e-8)) AS sdr FROM e JOIN p ON p.track = e.track AND p.stem = e.stem JOIN r ON r.track = e.track AND r.stem = p.reference AND r.pos = e.pos GROUP BY ALL)
+SELECT stem || '/sdr' AS key, round(avg(sdr), 4) AS value FROM s GROUP BY stem""")
+def i10_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.stems(spark, sf_dir).filter("stem IS NOT NULL")
+    ref = df.filter("stem <> 'error' OR track % 2 = 0").withColumns({"stem": F.when(F.col("stem") == "view", "mne").otherwise(F.col("stem")), "v": F.col("v") * 0.5})
+    return stem_report(df.filter("stem <> 'click'"), ref, [["view", "click"]], ["sdr"], ("mne", ["view", "error"])).withColumn("value", F.round("value", 4))
+
+
 def p_norm_ratio(p: int = 1, eps: float = 1e-3, log: bool = True) -> Column:
     """Error norm against target norm, p = 1 (mean absolute) or 2 (mean square); in decibel or as a plain ratio."""
     norm = (lambda x: F.avg(F.abs(x))) if p == 1 else (lambda x: F.avg(x * x))

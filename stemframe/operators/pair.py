@@ -274,9 +274,13 @@ def multichannel_em(targets: DataFrame, mix: DataFrame, rounds: int = 1, eps: fl
 
     targets: stem, frame keys, x/y re and im of both channels (xr, xi, yr, yi); mix: the same without stem. In
     each round v is the mean power of a stem, R its spatial covariance by bin, and the stems become
-    v R (sum of v R + eps I)^-1 times the mixture; 2 x 2 inverses are written out.
+    v R (sum of v R + eps I)^-1 times the mixture; 2 x 2 inverses are written out. A track's input is divided by
+    a tenth of its peak where that is above one, so that eps means the same for loud tracks, and multiplied back.
     """
-    y = targets
+    parts = ("xr", "xi", "yr", "yi")
+    peak = mix.groupBy("track").agg(F.greatest(F.lit(1.0), F.max(F.greatest(F.hypot("xr", "xi"), F.hypot("yr", "yi"))) / 10).alias("scale"))
+    scaled = lambda d: d.join(peak, "track").withColumns({c: F.col(c) / F.col("scale") for c in parts}).drop("scale")
+    y, mix = scaled(targets), scaled(mix)
     for _ in range(rounds):
         y = y.withColumn("v", (F.col("xr") ** 2 + F.col("xi") ** 2 + F.col("yr") ** 2 + F.col("yi") ** 2) / 2)
         r = y.groupBy("track", "stem", "bin").agg(
@@ -291,7 +295,7 @@ def multichannel_em(targets: DataFrame, mix: DataFrame, rounds: int = 1, eps: fl
         # u = (sum)^-1 x, then the stem is (v R) u
         t = t.withColumns({"ur": F.expr("(td * xr - (tbr * yr - tbi * yi)) / det"), "ui": F.expr("(td * xi - (tbr * yi + tbi * yr)) / det"), "wr": F.expr("(ta * yr - (tbr * xr + tbi * xi)) / det"), "wi": F.expr("(ta * yi - (tbr * xi - tbi * xr)) / det")})
         y = t.select("track", "stem", "frame", "bin", F.expr("a * ur + br * wr - bi * wi").alias("xr"), F.expr("a * ui + br * wi + bi * wr").alias("xi"), F.expr("d * wr + br * ur + bi * ui").alias("yr"), F.expr("d * wi + br * ui - bi * ur").alias("yi"))
-    return y
+    return y.join(peak, "track").withColumns({c: F.col(c) * F.col("scale") for c in parts}).drop("scale")
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -334,7 +338,7 @@ def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e5_invert_stem", f"""WITH {PAIR}, z AS (SELECT {_KEYS}, -(yr - greatest(xm, ym) * xr / xm) AS re, -(yi - greatest(xm, ym) * xi / xm) AS im FROM b),
 t AS (SELECT track, channel, frame, i, sum(CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END * (re * cos(2 * pi() * bin * i / 16) - im * sin(2 * pi() * bin * i / 16))) / 16 AS x FROM z, (SELECT unnest(range(0, 16)) AS i) GROUP BY ALL),
 w AS (SELECT track, channel, CAST(frame * 8 + i AS INTEGER) AS pos, x, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w FROM t)
-SELECT track, channel, pos, round(sum(x * w) / sum(w * w), 5) AS v FROM w WHERE pos BETWEEN 8 AND 55 GROUP BY ALL""")
+SELECT track, channel, pos, CASE WHEN sum(w * w) > 1e-12 THEN round(sum(x * w) / sum(w * w), 5) ELSE 0 END AS v FROM w GROUP BY ALL""")
 def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stemframe.operators.spectral import CHANNEL, istft
 
@@ -453,7 +457,7 @@ def e18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instrumental_stems(fx.stems(spark, sf_dir), "click").withColumn("v", F.round("v", 4) + 0.0)
 
 
-@query("e19_reduce_mix", f"WITH {fx.STEMS} SELECT track, pos, round(a.v * (1 - 0.9) + b.v, 4) AS v FROM (SELECT * FROM stems WHERE stem = 'view') a JOIN (SELECT * FROM stems WHERE stem = 'click') b USING (track, pos)")
+@query("e19_reduce_mix", f"WITH {fx.STEMS} SELECT track, pos, round(sum(v) FILTER (stem = 'view') * (1 - 0.9) + sum(v) FILTER (stem = 'click'), 4) AS v FROM stems WHERE stem IN ('view', 'click') GROUP BY ALL")
 def e19(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.stems(spark, sf_dir)
     return reduce_mix(s.filter("stem = 'view'").drop("stem"), s.filter("stem = 'click'").drop("stem")).withColumn("v", F.round("v", 4))

@@ -226,7 +226,8 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(zs, ["track", "channel", "pos"]).join(back.select("track", "channel", "pos", F.round("v", 6).alias("back")), ["track", "channel", "pos"])
 
 
-@query("b8_to_stereo", f"""WITH {fx.SIG}, q AS (SELECT CAST(floor(model / 3) AS BIGINT) AS track, model % 3 AS channel, pos, v FROM sig WHERE model % 9 < 4),
+@query("b8_to_stereo", f"""WITH {fx.SIG}, q AS (SELECT model // 6 * 3 + CASE WHEN model % 6 = 0 THEN 0 WHEN model % 6 < 3 THEN 1 ELSE 2 END AS track,
+  CASE WHEN model % 6 = 0 THEN 0 WHEN model % 6 < 3 THEN model % 6 - 1 ELSE model % 6 - 3 END AS channel, pos, v FROM sig),
 n AS (SELECT *, max(channel) OVER (PARTITION BY track) AS top FROM q)
 SELECT track, pos, channel, round(v, 6) AS v FROM (SELECT track, pos, v, unnest(CASE WHEN top = 0 THEN [0, 1] ELSE [CAST(channel AS INTEGER)] END) AS channel FROM n) WHERE channel < 2""")
 def b8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,9 +172,9 @@ def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _f0(spark, sf_dir).select(*KEYS, "pos", f0_coarse(F.col("f0")).alias("coarse"))
 
 
-@query("g8_knn_blend", """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 10 = 0), x AS (SELECT vec_id AS hit, embedding AS x FROM embeddings WHERE vec_id % 10 <> 0),
-d AS (SELECT query, hit, list_sum(list_transform(list_zip(q, x), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q CROSS JOIN x),
-b AS (SELECT query, hit, 1 / (d * d) AS w FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, hit) <= 8),
+@query("g8_knn_blend", """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 10 = 0), x AS (SELECT vec_id AS hit, embedding AS x FROM embeddings),
+d AS (SELECT query, hit, list_sum(list_transform(list_zip(q, x), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q CROSS JOIN x WHERE query <> hit),
+b AS (SELECT query, hit, CASE WHEN min(d) OVER (PARTITION BY query) > 0 THEN 1 / (d * d) WHEN d = 0 THEN 1 ELSE 0 END AS w FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, hit) <= 8),
 m AS (SELECT query, generate_subscripts(x, 1) - 1 AS dim, w, unnest(x)::DOUBLE AS v FROM b JOIN x USING (hit)), s AS (SELECT query, dim, sum(w * v) / sum(w) AS m FROM m GROUP BY ALL),
 o AS (SELECT query, generate_subscripts(q, 1) - 1 AS dim, unnest(q)::DOUBLE AS v FROM q)
 SELECT query, CAST(dim AS INTEGER) AS dim, round(0.75 * m + 0.25 * v, 4) AS v FROM s JOIN o USING (query, dim)""")
@@ -189,6 +189,6 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect_blend(raw.withColumn("v", F.col("v") * 2), raw, _f0(spark, sf_dir), KEYS, 0.3).withColumn("v", F.round("v", 3))
 
 
-@query("g10_upsample_features", f"WITH {fx.EVT} SELECT track, stem, pos * 2 + h AS pos, v FROM evt CROSS JOIN (SELECT unnest([0, 1]) AS h) WHERE pos * 2 + h < 25")
+@query("g10_upsample_features", f"WITH {fx.EVT} SELECT track, stem, pos * 2 + h AS pos, v FROM evt CROSS JOIN (SELECT unnest([0, 1]) AS h)")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsample_features(fx.evt(spark, sf_dir), KEYS)

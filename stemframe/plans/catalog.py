@@ -80,11 +80,41 @@ def output_stems(stems: Column, target: Column, selected: Column, model_type: Co
     return F.concat(own, extra)
 
 
+STEP = "model_type string, model_name string, weight double"
+
+
+def numbered_plan(plan: DataFrame) -> DataFrame:
+    """The steps of each plan numbered from 1 in their order, with their JSON: columns plan, no, STEP's, json."""
+    turn = F.row_number().over(Window.partitionBy("plan").orderBy("step"))
+    return plan.withColumn("no", turn).withColumn("json", F.to_json(F.struct("model_type", "model_name", "weight"))).select("plan", "no", "model_type", "model_name", "weight", "json")
+
+
 def renumbered(plan: DataFrame, remove: list[int]) -> DataFrame:
     """A plan without some of its steps (0-based), numbered from 1, with its JSON."""
-    left = plan.filter(~F.col("step").isin(remove)) if remove else plan
-    turn = F.row_number().over(Window.partitionBy("plan").orderBy("step"))
-    return left.withColumn("no", turn).withColumn("json", F.to_json(F.struct("model_type", "model_name", "weight")))
+    return numbered_plan(plan.filter(~F.col("step").isin(remove)) if remove else plan)
+
+
+def added(plan: DataFrame, steps: DataFrame) -> DataFrame:
+    """``steps`` (plan, step and STEP's columns; step orders them among themselves) behind the steps of their plans."""
+    behind = plan.select("plan", "step", "model_type", "model_name", "weight", F.lit(0).alias("late")).unionByName(steps.select("plan", "step", "model_type", "model_name", "weight", F.lit(1).alias("late")))
+    return behind.withColumn("step", F.row_number().over(Window.partitionBy("plan").orderBy("late", "step")) - 1).drop("late")
+
+
+def cleared(plan: DataFrame, plans: DataFrame) -> DataFrame:
+    """Without the steps of the named plans (column plan)."""
+    return plan.join(plans, "plan", "left_anti")
+
+
+def exported(plan: DataFrame) -> DataFrame:
+    """One row by plan: its steps in order as a JSON array."""
+    step = F.struct("step", F.struct("model_type", "model_name", "weight").alias("s"))
+    return plan.groupBy("plan").agg(F.to_json(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"])).alias("json"))
+
+
+def imported(rows: DataFrame) -> DataFrame:
+    """The inverse of ``exported``; a plan whose JSON can't be read has no steps."""
+    steps = F.from_json("json", "array<struct<model_type: string, model_name: string, weight: double>>")
+    return rows.select("plan", F.posexplode(steps).alias("step", "s")).select("plan", "step", "s.*")
 
 
 def run_chain(source: DataFrame, plan: list[dict], models: dict, last_only: bool = False) -> DataFrame:
@@ -175,7 +205,7 @@ def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_ids(fx.catalog(spark, sf_dir))
 
 
-@query("j4_catalog_lookup_id", f"{CAT}, b AS (SELECT id, max(model_type) AS model_type FROM catalog GROUP BY id) SELECT id, model_type, min(model_name) AS model_name FROM catalog JOIN b USING (id, model_type) WHERE id % 7 = 0 GROUP BY ALL")
+@query("j4_catalog_lookup_id", f"{CAT}, b AS (SELECT id, max(model_type) AS model_type FROM catalog GROUP BY id) SELECT id, model_type, min(model_name) AS model_name FROM catalog JOIN b USING (id, model_type) GROUP BY ALL")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = fx.catalog(spark, sf_dir)
     return lookup_id(cat, cat.select("id").distinct())
@@ -215,11 +245,15 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("ord", output_stems(F.col("s"), F.col("target"), sel, kind).alias("output"))
 
 
-@query("j15_plan", f"{CAT}, p AS (SELECT id % 10 AS plan, row_number() OVER (PARTITION BY id % 10 ORDER BY ord) - 1 AS step, model_type, model_name, CAST(ord % 5 AS DOUBLE) AS weight FROM catalog) SELECT plan, row_number() OVER (PARTITION BY plan ORDER BY step) AS no, model_name FROM p WHERE step NOT IN (1, 3)")
+@query("j15_plan", f"""{CAT}, p AS (SELECT id % 10 AS plan, row_number() OVER (PARTITION BY id % 10 ORDER BY ord) - 1 AS step, model_type, model_name, CAST(ord % 5 AS DOUBLE) AS weight FROM catalog),
+a AS (SELECT plan, step, model_type, model_name, weight FROM p UNION ALL SELECT plan, step + 100000, model_type, 'again_' || model_name, weight + 1 FROM p WHERE step < 2)
+SELECT plan, row_number() OVER (PARTITION BY plan ORDER BY step) AS no, model_type, model_name, weight FROM a WHERE step NOT IN (1, 3) AND plan <> 4""")
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.row_number().over(Window.partitionBy(F.col("id") % 10).orderBy("ord")) - 1
     plan = fx.catalog(spark, sf_dir).select((F.col("id") % 10).alias("plan"), step.alias("step"), "model_type", "model_name", (F.col("ord") % 5).cast("double").alias("weight"))
-    return renumbered(plan, [1, 3]).select("plan", "no", F.from_json("json", "model_name string")["model_name"].alias("model_name"))
+    more = plan.filter("step < 2").withColumns({"model_name": F.concat(F.lit("again_"), "model_name"), "weight": F.col("weight") + 1})
+    kept = cleared(imported(exported(added(plan, more))), plan.filter("plan = 4").select("plan").distinct())
+    return renumbered(kept, [1, 3]).select("plan", "no", "model_type", "model_name", "weight")
 
 
 @query("j16_run_chain", f"WITH {fx.SIG}, m AS (SELECT model AS track, pos, v FROM sig) SELECT 1 AS step, 'lead' AS stem, track, pos, round(v * 0.6, 6) AS v FROM m UNION ALL SELECT 2, 'rest', track, pos, round(v * 0.4 * 0.75, 6) FROM m")
@@ -253,7 +287,7 @@ def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algorithms_flatten(table(spark, sf_dir, "events").select(F.col("event_id").alias("render_id"), F.col("event_type").alias("name"), F.col("props").alias("options")))
 
 
-@query("j21_voice_registry", """WITH f AS (SELECT 'v' || (l_orderkey % 300) AS voice, l_orderkey || '_' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '.pth' ELSE '.index' END AS path, CAST(l_quantity * 1000000 AS BIGINT) AS size FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("j21_voice_registry", """WITH f AS (SELECT 'v' || (l_orderkey % 300) AS voice, l_orderkey || '_' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '.pth' ELSE '.index' END AS path, CAST(l_quantity * 1000000 AS BIGINT) AS size FROM lineitem),
 k AS (SELECT *, CASE WHEN path LIKE '%.index' AND size > 102400 THEN 'index' WHEN path LIKE '%.pth' AND size > 20971520 THEN 'weights' END AS kind FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY voice, kind ORDER BY path) AS turn FROM k WHERE kind IS NOT NULL)
 SELECT voice, kind, CASE WHEN turn = 1 THEN voice ELSE voice || '_' || (turn - 1) END AS name, path FROM t""")
 def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,13 +303,12 @@ def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.catalog(spark, sf_dir).select("ord", F.filter(out, lambda s: s != F.col("stems")[0]).alias("intermediate"), F.size(out).cast("long").alias("n"))
 
 
-_EXT = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ASSETS)
-
-
-@query("j23_model_asset_paths", f"{CAT}, e(ty, config, checkpoint) AS (VALUES {_EXT}), m AS (SELECT CASE ord % 4 WHEN 0 THEN 'vr' WHEN 1 THEN 'mdx' WHEN 2 THEN 'bandit' ELSE 'unknown' END AS model_type, model_name FROM catalog) SELECT model_type, model_name, model_name || config AS config, model_name || checkpoint AS checkpoint FROM m LEFT JOIN e ON ty = model_type")
+@query("j23_model_asset_paths", f"""{CAT}, m AS (SELECT CASE ord % 10 WHEN 0 THEN 'vr' WHEN 1 THEN 'mdx' WHEN 2 THEN 'bandit' WHEN 3 THEN 'htdemucs' WHEN 4 THEN 'mdx23c' WHEN 5 THEN 'bs_roformer' WHEN 6 THEN 'mel_band_roformer' WHEN 7 THEN 'scnet' WHEN 8 THEN 'medley_vox' ELSE 'unknown' END AS model_type, model_name FROM catalog)
+SELECT model_type, model_name, model_name || CASE WHEN model_type = 'vr' THEN '.json' WHEN model_type <> 'unknown' THEN '_config.yaml' END AS config,
+model_name || CASE WHEN model_type IN ('vr', 'medley_vox') THEN '.pth' WHEN model_type = 'mdx' THEN '.onnx' WHEN model_type = 'bandit' THEN '.chpt' WHEN model_type = 'htdemucs' THEN '.th' WHEN model_type <> 'unknown' THEN '.ckpt' END AS checkpoint FROM m""")
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("ord") % 4
-    kind = F.when(k == 0, "vr").when(k == 1, "mdx").when(k == 2, "bandit").otherwise("unknown")
+    kinds = ["vr", "mdx", "bandit", "htdemucs", "mdx23c", "bs_roformer", "mel_band_roformer", "scnet", "medley_vox", "unknown"]
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("ord") % 10).cast("int"))
     return asset_paths(fx.catalog(spark, sf_dir).select(kind.alias("model_type"), "model_name"), spark)
 
 

@@ -13,7 +13,10 @@ from stemframe.registry import query, table
 FORBIDDEN = "\\/*?:<>|&;~'`()[]$#^%!"
 RESERVED = ["CON", "AUX", "COM1", "COM2", "COM3", "COM4", "LPT1", "LPT2", "LPT3", "PRN", "NUL"]
 PAIRS = {"Vocals": "Instrumental", "Instrumental": "Vocals", "lead_only": "backing_only", "backing_only": "lead_only", "Primary Stem": "Secondary Stem"}
-CANONICAL_STEMS = ["Vocals", "Instrumental", "Drums", "Bass", "Other", "Guitar", "Piano"]
+CANONICAL_STEMS = [
+    "Bass", "Crowd", "Drums", "Dry", "Breath", "Echo", "Instrumental", "No Bass", "No Crowd", "No Drums", "No Dry", "No Echo",
+    "No Noise", "No Other", "No Breath", "No Reverb", "No Woodwinds", "Noise", "Other", "Reverb", "Vocals", "Woodwinds", "Guitar", "Piano",
+]
 KEYS = ["NAME", "MODEL", "STEM", "ID"]
 VOICE_KEYS = ["NAME", "MODEL", "PITCH", "F0METHOD", "DATETIME"]
 LONGEST = 255
@@ -145,7 +148,8 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", render_voice_name(F.lit("MODEL-PITCH-DATETIMEPITCH"), F.lit("x"), F.concat(F.lit("m"), F.col("o_custkey").cast("string")), F.col("o_orderkey") % 12, F.lit("rmvpe"), F.col("o_orderdate")).alias("name"))
 
 
-@query("j13_stem_output_names", f"SELECT c_custkey AS id, stem, replace(replace('NAME_STEM', 'STEM', stem), 'NAME', c_name) AS out FROM customer CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in CANONICAL_STEMS)}]) AS stem)")
+@query("j13_stem_output_names", """SELECT c_custkey AS id, stem, c_name || '_' || stem AS out FROM customer CROSS JOIN (SELECT unnest(['Vocals', 'Instrumental', 'Drums', 'Bass', 'Guitar', 'Piano', 'Other', 'Crowd', 'Dry', 'Breath', 'Echo', 'Noise', 'Reverb', 'Woodwinds']) AS stem
+UNION ALL SELECT 'No ' || unnest(['Bass', 'Crowd', 'Drums', 'Dry', 'Echo', 'Noise', 'Other', 'Breath', 'Reverb', 'Woodwinds']))""")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("m").alias("model"))
     return stem_output_names(tracks, "NAME_STEM").select("id", "stem", "out")

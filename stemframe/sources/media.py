@@ -63,14 +63,17 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_media(fx.media(spark, sf_dir)).select("page_id", "path")
 
 
-_A6 = " ".join(f"WHEN f = '{k}' THEN list_sort(list_transform({v}, lambda x: (abs(x - r), list_position({v}, x), x)))[1][3]" for k, v in RATES.items())
+# The rates by format, in order of preference, beside each rate its rank.
+_A6 = """r(f, x, turn) AS (SELECT 'mp3', unnest([44100, 48000, 32000, 22050, 24000, 16000, 11025, 12000, 8000]), unnest(range(0, 9)) UNION ALL SELECT 'opus', unnest([48000, 24000, 16000, 12000, 8000]), unnest(range(0, 5))
+UNION ALL SELECT unnest(['m4a', 'aac']), x, turn FROM (SELECT unnest([96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350]) AS x, unnest(range(0, 13)) AS turn) UNION ALL SELECT 'ac3', unnest([48000, 44100, 32000]), unnest(range(0, 3)))"""
 
 
-@query("a6_fit_sample_rate", f"""WITH p AS (SELECT p_partkey, ['mp3', 'OPUS', 'm4a', 'ac3', 'ogg', 'wav', 'flac', 'xyz'][p_partkey % 8 + 1] AS fmt, CAST(p_partkey * 131 % 250000 AS INTEGER) AS r FROM part), q AS (SELECT *, lower(fmt) AS f FROM p)
-SELECT p_partkey, fmt, CAST(CASE {_A6} WHEN f IN ('ogg') THEN least(greatest(r, 6), 192000) WHEN f = 'flac' THEN least(r, 192000) WHEN f IN ('wav', 'aiff') THEN r END AS INTEGER) AS rate FROM q""")
+@query("a6_fit_sample_rate", f"""WITH p AS (SELECT p_partkey, ['mp3', 'OPUS', 'm4a', 'ac3', 'ogg', 'wav', 'flac', 'xyz', 'aac', 'AIFF'][p_partkey % 10 + 1] AS fmt, CAST(p_partkey * 131 % 250000 AS INTEGER) AS rate FROM part), {_A6},
+n AS (SELECT p_partkey, arg_min(x, (abs(x - rate), turn)) AS x FROM p JOIN r ON f = lower(fmt) GROUP BY p_partkey)
+SELECT p_partkey, fmt, CAST(CASE lower(fmt) WHEN 'ogg' THEN least(greatest(rate, 6), 192000) WHEN 'flac' THEN least(rate, 192000) WHEN 'wav' THEN rate WHEN 'aiff' THEN rate ELSE x END AS INTEGER) AS rate FROM p LEFT JOIN n USING (p_partkey)""")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["mp3", "OPUS", "m4a", "ac3", "ogg", "wav", "flac", "xyz"]))
-    df = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 8).cast("int")).alias("fmt"), (F.col("p_partkey") * 131 % 250000).cast("int").alias("r"))
+    names = F.array(*map(F.lit, ["mp3", "OPUS", "m4a", "ac3", "ogg", "wav", "flac", "xyz", "aac", "AIFF"]))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 10).cast("int")).alias("fmt"), (F.col("p_partkey") * 131 % 250000).cast("int").alias("r"))
     return df.select("p_partkey", "fmt", fit_sample_rate("fmt", "r").alias("rate"))
 
 

@@ -16,19 +16,25 @@ from stemframe.registry import query
 from stemframe.storage import new_path
 
 BLOCK = 65_536
-BLOCK_SCHEMA = "track string, channel int, block int, start long, n int, sr int, samples array<float>"
+BLOCK_SCHEMA = "track string, channel int, block int, start long, n int, sr int, samples array<float>, error string"
 
 
-def wav_bytes(x: np.ndarray, sr: int) -> bytes:
-    """16-bit PCM WAV of an array (samples, channels) in [-1, 1]."""
-    pcm = (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
+def wav_bytes(x: np.ndarray, sr: int, bits: int = 16) -> bytes:
+    """PCM WAV of an array (samples, channels) in [-1, 1], with 8, 16, 24 or 32 bits."""
+    width = bits // 8
+    top = (1 << (bits - 1)) - 1
+    whole = np.trunc(np.clip(x, -1, 1) * top).astype("<i8").reshape(-1)
+    pcm = (whole + 128).astype(np.uint8).tobytes() if bits == 8 else whole.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
     channels = x.shape[1]
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, sr, sr * channels * 2, channels * 2, 16, b"data", len(pcm))
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, sr, sr * channels * width, channels * width, bits, b"data", len(pcm))
     return head + pcm
 
 
 def _parts(content: bytes) -> tuple[dict, int, int]:
-    """(format, start and length of the data) of a PCM WAV; chunks may come in any order."""
+    """(format, start and length of the data) of a PCM WAV; chunks may come in any order.
+
+    The extensible format says what its samples are in its first two bytes of the sub-format.
+    """
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, fmt, data = 12, {}, (0, 0)
@@ -36,56 +42,116 @@ def _parts(content: bytes) -> tuple[dict, int, int]:
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
         if name == b"fmt ":
             kind, channels, sr, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
+            if kind == 0xFFFE and size >= 26:
+                kind = struct.unpack_from("<H", content, at + 32)[0]
             fmt = {"kind": kind, "channels": channels, "sr": sr, "bits": bits}
         elif name == b"data":
             data = (at + 8, min(size, len(content) - at - 8))
         at += 8 + size + size % 2
     if not fmt:
         raise ValueError("a WAV file without a format")
+    if fmt["kind"] not in (1, 3) or not fmt["channels"] or not fmt["sr"]:
+        raise ValueError(f"format {fmt['kind']} with {fmt['channels']} channels is not PCM")
     return fmt, *data
 
 
+def pcm_samples(content: bytes) -> tuple[np.ndarray, int]:
+    """(samples by channels in [-1, 1], rate): integers of 8 (unsigned), 16, 24 and 32 bits, floats of 32 and 64."""
+    fmt, start, size = _parts(content)
+    width, channels = fmt["bits"] // 8, fmt["channels"]
+    raw = content[start : start + size // (width * channels) * width * channels] if width else b""
+    if fmt["kind"] == 3 and fmt["bits"] in (32, 64):
+        x = np.frombuffer(raw, f"<f{width}").astype(float)
+    elif fmt["kind"] == 1 and fmt["bits"] == 8:
+        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 127
+    elif fmt["kind"] == 1 and fmt["bits"] == 24:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000
+        x = x / float((1 << 23) - 1)
+    elif fmt["kind"] == 1 and fmt["bits"] in (16, 32):
+        x = np.frombuffer(raw, f"<i{width}") / float((1 << (fmt["bits"] - 1)) - 1)
+    else:
+        raise ValueError(f"{fmt['bits']} bits of kind {fmt['kind']}")
+    return x.reshape(-1, channels), fmt["sr"]
+
+
+def wav_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of every WAV below ``path``, from any store that Spark reads."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+
+
 def list_directory(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.wav") -> DataFrame:
     """Path, size and time of the files; their content is not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
 
 
-def scan_signals(spark: SparkSession, path: str, mono: bool = False, block: int = BLOCK) -> DataFrame:
-    """Block rows of every WAV below ``path``; more than two channels become the first two, mono their mean."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+def decoded(files: DataFrame, mono: bool = False, block: int = BLOCK) -> DataFrame:
+    """Block rows of WAV files (path, content); more than two channels become the first two, mono their mean.
+
+    A file that can't be read is one row without samples, with the reason in ``error``; the others are not touched by it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
-                fmt, start, size = _parts(content)
-                kind = {16: "<i2", 32: "<f4" if fmt["kind"] == 3 else "<i4", 64: "<f8"}[fmt["bits"]]
-                x = np.frombuffer(content, kind, size // np.dtype(kind).itemsize, start).reshape(-1, fmt["channels"])
-                x = x / float(np.iinfo(kind).max) if np.issubdtype(x.dtype, np.integer) else x
-                x = x.mean(axis=1, keepdims=True) if mono else x[:, :2]
-                rows = [(p.rsplit("/", 1)[-1].removesuffix(".wav"), c, k // block, k, min(block, len(x) - k), fmt["sr"], x[k : k + block, c].astype(np.float32)) for c in range(x.shape[1]) for k in range(0, len(x), block)]
-                yield pd.DataFrame(rows, columns=["track", "channel", "block", "start", "n", "sr", "samples"])
+                track = p.rsplit("/", 1)[-1].removesuffix(".wav")
+                try:
+                    x, sr = pcm_samples(content)
+                    x = x.mean(axis=1, keepdims=True) if mono else x[:, :2]
+                    rows = [(track, c, k // block, k, min(block, len(x) - k), sr, x[k : k + block, c].astype(np.float32), None) for c in range(x.shape[1]) for k in range(0, len(x), block)]
+                except (ValueError, struct.error) as e:
+                    rows = [(track, None, None, None, 0, None, [], str(e))]
+                out = pd.DataFrame(rows, columns=["track", "channel", "block", "start", "n", "sr", "samples", "error"])
+                yield out.astype({c: "Int64" for c in ("channel", "block", "start", "n", "sr")})
 
     return files.mapInPandas(run, BLOCK_SCHEMA)
 
 
-def scan_media_info(spark: SparkSession, path: str) -> DataFrame:
-    """path, stream, sr, duration of every WAV, from the headers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+def scan_signals(spark: SparkSession, path: str, mono: bool = False, block: int = BLOCK) -> DataFrame:
+    """``decoded`` of every WAV below ``path``."""
+    return decoded(wav_files(spark, path), mono, block)
+
+
+def media_info(files: DataFrame) -> DataFrame:
+    """path, stream, sr, duration and error of WAV files (path, content), from their headers alone."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                fmt, _, size = _parts(content)
-                rows.append((p, 0, fmt["sr"], size / (fmt["channels"] * fmt["bits"] / 8) / fmt["sr"]))
-            yield pd.DataFrame(rows, columns=["path", "stream", "sr", "duration"])
+                try:
+                    fmt, _, size = _parts(content)
+                    rows.append((p, 0, fmt["sr"], size / (fmt["channels"] * fmt["bits"] / 8) / fmt["sr"], None))
+                except (ValueError, struct.error, ZeroDivisionError) as e:
+                    rows.append((p, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "stream", "sr", "duration", "error"]).astype({"stream": "Int64", "sr": "Int64"})
+
+    return files.mapInPandas(run, "path string, stream int, sr int, duration double, error string")
 
-    return files.mapInPandas(run, "path string, stream int, sr int, duration double")
+
+def scan_media_info(spark: SparkSession, path: str) -> DataFrame:
+    """``media_info`` of every WAV below ``path``; Spark's source reads a file as a whole, samples are not decoded."""
+    return media_info(wav_files(spark, path))
+
+
+def encoded(df: DataFrame, sr: int, bits: int = 16) -> DataFrame:
+    """path and content of one WAV for each track of a long-form signal (track, channel, pos, v).
+
+    Groups are tracks, as a file is one value; for long recordings write block rows instead.
+    """
+    rows = df.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", "channel", "v"))).alias("s"), F.count_distinct("channel").alias("channels"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            files = [wav_bytes(np.array([s["v"] for s in row.s], float).reshape(-1, row.channels), sr, bits) for row in pdf.itertuples()]
+            yield pd.DataFrame({"path": [f"{t}.wav" for t in pdf["track"]], "content": files})
+
+    return rows.mapInPandas(run, "path string, content binary")
 
 
 def from_blocks(blocks: DataFrame) -> DataFrame:
     """Long form of block rows: the keys, pos and v."""
-    keys = [c for c in blocks.columns if c not in ("block", "start", "n", "samples", "sr")]
+    keys = [c for c in blocks.columns if c not in ("block", "start", "n", "samples", "sr", "error")]
     flat = blocks.select(*keys, "start", F.posexplode("samples").alias("i", "x"))
     return flat.select(*keys, (F.col("start") + F.col("i")).alias("pos"), F.col("x").cast("double").alias("v"))
 
@@ -109,6 +175,18 @@ def resample_preprocess(df: DataFrame, done: DataFrame, ratio: float) -> DataFra
     return resample_sinc(df.join(done, "track", "left_anti"), ["track", "channel"], ratio)
 
 
+@query("a1_scan_signals", f"WITH {fx.STEREO} SELECT track, channel, pos, 8000 AS sr, CAST(trunc(greatest(least(v, 1), -1) * 32767) AS INTEGER) AS code FROM stereo")
+def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # WAV files of the table's signals, as the binaryFile source would give them.
+    rows = from_blocks(decoded(encoded(fx.stereo(spark, sf_dir), 8000), block=24).withColumn("rate", F.col("sr")))
+    return rows.select(F.col("track").cast("long").alias("track"), F.col("channel").cast("long").alias("channel"), F.col("pos").cast("int").alias("pos"), F.col("rate").alias("sr"), F.round(F.col("v") * 32767).cast("int").alias("code"))
+
+
+@query("a2_scan_media_info", f"WITH {fx.STEREO} SELECT track || '.wav' AS path, 0 AS stream, 8000 AS sr, count(DISTINCT pos) / 8000.0 AS duration FROM stereo GROUP BY track")
+def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_info(encoded(fx.stereo(spark, sf_dir), 8000, 24)).drop("error")
+
+
 @query("a12_resample_preprocess", f"WITH {fx.STEREO} SELECT track, channel, CAST(2 * count(*) AS BIGINT) AS n FROM stereo WHERE track % 3 <> 0 GROUP BY ALL")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.stereo(spark, sf_dir)

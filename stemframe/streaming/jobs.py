@@ -1,13 +1,17 @@
 """Structured Streaming forms of the chunked operators; each equals its batch form on the same rows.
 
-``drained`` runs a streaming DataFrame over what has landed and returns its result as a table: the file sink
-commits each batch once, so a restart repeats nothing.
+All jobs run in append mode, so the watermark bounds their state and drops rows that are too late. ``drained`` runs
+a streaming DataFrame over what has landed and returns its result as a table: the file sink commits each batch
+once, so a restart repeats nothing. ``drained_to_end`` adds a row of the far future when the source has ended,
+which closes the windows that the watermark still holds open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +19,61 @@ from pyspark.sql import functions as F
 from stemframe.registry import query, table
 from stemframe.storage import new_path
 
+#: Event time of the row that ends a stream.
+END = datetime.datetime(9000, 1, 1)
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+
+def _run(stream: DataFrame, where: str) -> None:
+    """Read what has landed since the last run with the same folder."""
+    q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def drained(stream: DataFrame) -> DataFrame:
     """The result of a streaming DataFrame over all rows that have landed by now."""
     spark, where = stream.sparkSession, new_path(stream.sparkSession, "stream")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    else:
-        sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{where}/out")
-        q = stream.writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(stream, where)
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
+def drained_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], time: str = "ts") -> DataFrame:
+    """The result of ``build(source)`` once the source has ended: all that has landed, then a row whose ``time`` is END.
+
+    The other columns of that row are null; what ``build`` makes of it is never emitted, as no later row closes it.
+    """
+    spark, where, ends = source.sparkSession, new_path(source.sparkSession, "stream"), new_path(source.sparkSession, "end")
+    spark.createDataFrame([], source.schema).write.parquet(ends)
+    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(ends)))
+    _run(stream, where)
+    row = tuple(END if f.name == time else None for f in source.schema.fields)
+    spark.createDataFrame([row], source.schema).write.mode("append").parquet(ends)
+    _run(stream, where)
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+def latest_by_key(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row by key, that of the largest ``order``, with n, the number of its rows: every batch is merged into the table so far.
+
+    A batch writes a new version of the table, so a batch that is run again writes the same one.
+    """
+    spark, where = stream.sparkSession, new_path(stream.sparkSession, "latest")
+    schema = stream.withColumn("n", F.lit(0).cast("long")).schema
+    versions = [None]
+
+    def merge(df: DataFrame, batch: int) -> None:
+        row = F.struct(*[F.col(c) for c in stream.columns])
+        rows = df.select(row.alias("row"), F.lit(1).cast("long").alias("n"))
+        if versions[-1]:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(versions[-1]).select(row.alias("row"), "n"))
+        out = rows.groupBy(*[F.col(f"row.{k}").alias(f"_{k}") for k in keys]).agg(F.max_by("row", F.struct(*[F.col(f"row.{o}") for o in order])).alias("row"), F.sum("n").alias("n"))
+        out.select("row.*", "n").write.mode("overwrite").parquet(f"{where}/{batch}")
+        versions.append(f"{where}/{batch}")
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(versions[-1]) if versions[-1] else spark.createDataFrame([], schema)
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landing folder as a stream: one table's files, picked up as they come."""
     schema = table(spark, sf_dir, name).schema
@@ -60,38 +106,44 @@ def overlap_add_stream(chunks: DataFrame, hop: int) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         at, tail, count = state.get if state.exists else (0, [], [])
-        tail, count, out = [float(v) for v in tail], [int(c) for c in count], []
-        rows = sorted(((int(r.start), None if r.samples is None else [float(v) for v in r.samples]) for pdf in pdfs for r in pdf.itertuples()), key=lambda r: (r[1] is None, r[0]))
+        tail, count, done = np.array(tail, float), np.array(count, np.int64), []
+        rows = sorted(((int(r.start), r.samples) for pdf in pdfs for r in pdf.itertuples()), key=lambda r: (r[1] is None, r[0]))
         ended = bool(rows) and rows[-1][1] is None
+
+        def emit(k: int) -> None:
+            nonlocal at, tail, count
+            done.append(pd.DataFrame({"track": key[0], "pos": np.arange(at, at + k), "v": tail[:k] / count[:k]}))
+            at, tail, count = at + k, tail[k:], count[k:]
+
         for start, samples in rows:
             if samples is None:
-                out += [(key[0], at + i, v / c) for i, (v, c) in enumerate(zip(tail, count))]
-                at, tail, count = at + len(tail), [], []
+                emit(tail.size)
                 continue
-            while at < start and tail:
-                out.append((key[0], at, tail.pop(0) / count.pop(0)))
-                at += 1
-            at = max(at, start) if not tail else at
-            for i, v in enumerate(samples):
-                k = start + i - at
-                if k >= len(tail):
-                    tail.append(0.0)
-                    count.append(0)
-                tail[k] += v
-                count[k] += 1
+            emit(min(tail.size, max(start - at, 0)))
+            if not tail.size:
+                at = max(at, start)
+            samples = np.asarray(samples, float)[max(at - start, 0) :]  # what is out already can't change any more
+            place = max(start - at, 0)
+            grown = place + samples.size - tail.size
+            if grown > 0:
+                tail, count = np.concatenate((tail, np.zeros(grown))), np.concatenate((count, np.zeros(grown, np.int64)))
+            tail[place : place + samples.size] += samples
+            count[place : place + samples.size] += 1
         if ended:
             state.remove()
         else:
-            state.update((int(at), tail, count))
-        if out:
-            yield pd.DataFrame(out, columns=["track", "pos", "v"]).astype({"track": "int64", "pos": "int64", "v": "float64"})
+            state.update((int(at), tail.tolist(), count.tolist()))
+        done = [d for d in done if len(d)]
+        if done:
+            yield pd.concat(done).astype({"track": "int64", "pos": "int64", "v": "float64"})
 
     return chunks.groupBy("track").applyInPandasWithState(step, "track long, pos long, v double", "at long, tail array<double>, count array<int>", "append", "NoTimeout")
 
 
-def history_latest(df: DataFrame, late: str) -> DataFrame:
-    """Job events without repeats within the watermark."""
-    return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type", "props"])
+def history_latest(events: DataFrame, late: str, job: str = "user_id") -> DataFrame:
+    """Latest event of each job by time and id, with n, its number of events: deliveries of one event count once, late rows are dropped."""
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return latest_by_key(once, [job], ["ts", "event_id"])
 
 
 def mixdown_stream(a: DataFrame, b: DataFrame, late: str) -> DataFrame:
@@ -110,18 +162,18 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s2_stream_frame_energy", """SELECT user_id, make_timestamp(w * 3600000000) AS start, round(avg(value * value), 6) AS energy, count(*) AS n
 FROM (SELECT user_id, value, unnest([CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT), CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) - 1]) AS w FROM events) GROUP BY ALL""")
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drained(frame_energy(events(spark, sf_dir), "2 hours", "1 hour", "1 hour"), "complete")
+    out = drained_to_end(events(spark, sf_dir), lambda e: frame_energy(e, "2 hours", "1 hour", "1 hour"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("energy", 6).alias("energy"), "n")
 
 
 @query("s3_stream_activity_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 3) AS total FROM i GROUP BY user_id, k""")
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drained(activity_sessions(events(spark, sf_dir), "6 hours", "1 hour"), "complete")
+    out = drained_to_end(events(spark, sf_dir), lambda e: activity_sessions(e, "6 hours", "1 hour"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 3).alias("total"))
 
 
-@query("s4_stream_overlap_add", """SELECT vec_id AS track, pos, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) WHERE pos < 48""")
+@query("s4_stream_overlap_add", """SELECT vec_id AS track, pos, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream_table(spark, sf_dir, "embeddings")
     # Chunks of 32 at hop 16 over the whole track, and its end.
@@ -132,10 +184,12 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(overlap_add_stream(chunks, 16)).withColumn("v", F.round("v", 5))
 
 
-@query("s5_stream_history_latest", "SELECT user_id, event_type, props, count(*) - count(*) + 1 AS n FROM events GROUP BY user_id, event_type, props")
+@query("s5_stream_history_latest", """SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id""")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drained(history_latest(events(spark, sf_dir), "40 days").select("user_id", "event_type", "props", "ts"))
-    return out.groupBy("user_id", "event_type", "props").agg(F.count(F.lit(1)).alias("n"))
+    # Every event is delivered twice.
+    e = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    out = history_latest(e.unionByName(events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")), "40 days")
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", F.col("event_type").alias("status"), "n")
 
 
 @query("s6_stream_mixdown", """SELECT a.user_id, a.ts, b.ts AS ts2, round(a.value + b.value, 4) AS v FROM events a JOIN events b ON a.user_id = b.user_id AND date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_type = 'click' AND b.event_type = 'view'""")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from stemframe import catalogue
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded_sql
-from stemframe.llm import language
 from stemframe.operators import dataset, frames, pitch
 from stemframe.operators.bands import ESPEC
 from stemframe.operators.pair import PAIR
@@ -173,13 +172,3 @@ def test_inverted_stem_has_every_position(spark, con):
     SELECT track, channel, pos, CASE WHEN sum(w * w) > 1e-12 THEN round(sum(x * w) / sum(w * w), 5) ELSE 0 END AS v FROM w GROUP BY ALL""")
     assert {r[want[0].index("pos")] for r in want[1]} == set(range(64))
     near(rows(spark, "e5_invert_stem"), want)
-
-
-def test_a_document_may_mix_more_than_four_languages():
-    rng = np.random.default_rng(5)
-    counts = rng.dirichlet(np.full(language.BUCKETS, 0.02), 7).T * 1e6
-    model = language.Mixture([f"l{i}" for i in range(7)], counts)
-    draw = lambda langs, n: np.concatenate([rng.choice(language.BUCKETS, n, p=model.p[:, i]) for i in langs])
-    shares, score = model.infer([draw(range(6), 2000), draw([2], 2000), draw([1, 4], 2000), draw(range(7), 3000)])
-    assert [int((s > 0).sum()) for s in shares] == [6, 1, 2, 7]
-    assert np.allclose(shares[0, :6], 1 / 6, atol=0.02) and np.allclose(shares[3], 1 / 7, atol=0.02) and abs(score[0] - 1 / 6) < 0.02

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,25 +85,57 @@ def f0_coarse(f0: Column, low: float = 50.0, high: float = 1100.0) -> Column:
     return F.bround(F.greatest(F.lit(1.0), F.least(scaled, F.lit(255.0))), 0).cast("int")
 
 
-def knn_blend(queries: DataFrame, index: DataFrame, k: int = 8, rate: float = 0.75, blocks: int = 16) -> DataFrame:
+def _tiles(vectors: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
+    """Vectors (vec_id, vec) in rows of about ``size``, by hash of the id: tile, ids, vecs; and the number of tiles."""
+    count = max(1, math.ceil(vectors.count() / size))
+    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+    one = F.struct(F.col("vec_id").cast("long").alias("id"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
+    rows = dealt.groupBy("tile").agg(F.collect_list(one).alias("s"))
+    return rows.select(F.col("tile").alias(f"{prefix}_tile"), F.transform("s", lambda s: s["id"]).alias(f"{prefix}_ids"), F.flatten(F.transform("s", lambda s: s["x"])).alias(f"{prefix}_x")), count
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int = 8, tile: int = 2048) -> DataFrame:
+    """(query, hit, d): the k index vectors (vec_id, vec) of least squared distance to each query, by exact search.
+
+    Both sides are cut into tiles of bounded size, so the number of tasks grows with them; every query tile meets
+    every index tile once, as arrays, and keeps k candidates a query there. A query does not meet its own vec_id;
+    equal distances go to the smaller id.
+    """
+    q, _ = _tiles(queries, tile, "q")
+    x, count = _tiles(index, tile, "x")
+    pairs = q.withColumn("x_tile", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(x, "x_tile")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                qi, xi = np.asarray(row.q_ids, np.int64), np.asarray(row.x_ids, np.int64)
+                a, b = np.asarray(row.q_x, float).reshape(qi.size, -1), np.asarray(row.x_x, float).reshape(xi.size, -1)
+                order = np.argsort(xi, kind="stable")
+                xi, b = xi[order], b[order]
+                for at in range(0, qi.size, 64):
+                    d = ((a[at : at + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+                    d[qi[at : at + 64, None] == xi[None, :]] = np.inf
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    out = pd.DataFrame({"query": np.repeat(qi[at : at + 64], best.shape[1]), "hit": xi[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
+                    yield out[np.isfinite(out["d"])]
+
+    found = pairs.select("q_ids", "q_x", "x_ids", "x_x").mapInPandas(run, "query long, hit long, d double")
+    turn = F.row_number().over(Window.partitionBy("query").orderBy("d", "hit"))
+    return found.withColumn("turn", turn).filter(F.col("turn") <= k).drop("turn")
+
+
+def knn_blend(queries: DataFrame, index: DataFrame, k: int = 8, rate: float = 0.75, tile: int = 2048) -> DataFrame:
     """Blend query vectors with the mean of their k nearest index vectors, weighted by 1 / distance^2 squared.
 
-    Index and queries have vec_id and vec. The index is cut into ``blocks``; every query meets every block
-    once, keeps k candidates there, and the best k of all blocks are merged, so neither a task nor the driver
-    ever holds the whole index, and each query carries k rows a block through the exchange. A query does not
-    meet the index vector of its own vec_id; an exact hit on another one counts as that vector alone.
+    Index and queries have vec_id and vec. A query does not meet the index vector of its own vec_id; an exact hit
+    on another one counts as that vector alone.
     """
-    dist = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    q = queries.select(F.col("vec_id").alias("query"), F.transform("vec", lambda v: v.cast("double")).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = index.select(F.col("vec_id").alias("hit"), F.transform("vec", lambda v: v.cast("double")).alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    near = q.join(x, "block").filter(F.col("query") != F.col("hit")).select("query", "block", "hit", dist.alias("d"))
-    turn = lambda *p: F.row_number().over(Window.partitionBy(*p).orderBy("d", "hit"))
-    local = near.withColumn("t", turn("query", "block")).filter(F.col("t") <= k)
-    best = local.withColumn("t", turn("query")).filter(F.col("t") <= k)
+    best = nearest(queries, index, k, tile)
+    x = index.select(F.col("vec_id").cast("long").alias("hit"), F.col("vec").alias("x"))
     w = F.when(F.min("d").over(Window.partitionBy("query")) == 0, F.when(F.col("d") == 0, 1.0).otherwise(0.0)).otherwise(1 / (F.col("d") * F.col("d")))
-    weighted = best.withColumn("w", w).join(x.select("hit", "x"), "hit").select("query", "w", F.posexplode("x").alias("dim", "v"))
-    mean = weighted.groupBy("query", "dim").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    own = queries.select(F.col("vec_id").alias("query"), F.posexplode("vec").alias("dim", "v"))
+    weighted = best.withColumn("w", w).join(x, "hit").select("query", "w", F.posexplode("x").alias("dim", "v"))
+    mean = weighted.groupBy("query", "dim").agg((F.sum(F.col("w") * F.col("v").cast("double")) / F.sum("w")).alias("m"))
+    own = queries.select(F.col("vec_id").cast("long").alias("query"), F.posexplode("vec").alias("dim", "v"))
     return mean.join(own, ["query", "dim"]).select("query", "dim", (rate * F.col("m") + (1 - rate) * F.col("v").cast("double")).alias("v"))
 
 
@@ -180,7 +216,7 @@ o AS (SELECT query, generate_subscripts(q, 1) - 1 AS dim, unnest(q)::DOUBLE AS v
 SELECT query, CAST(dim AS INTEGER) AS dim, round(0.75 * m + 0.25 * v, 4) AS v FROM s JOIN o USING (query, dim)""")
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return knn_blend(e.filter("vec_id % 10 = 0"), e, blocks=4).withColumn("v", F.round("v", 4))
+    return knn_blend(e.filter("vec_id % 10 = 0"), e).withColumn("v", F.round("v", 4))
 
 
 @query("g9_protect_blend", f"WITH {F0} SELECT f.track, f.stem, f.pos, round(CASE WHEN f0 > 0 THEN v * 2 ELSE v * 2 * 0.3 + v * 0.7 END, 3) AS v FROM f JOIN evt USING (track, stem, pos)")

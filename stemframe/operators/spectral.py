@@ -2,8 +2,8 @@
 
 Two tiers. The relational tier writes a transform as a grouping over (sample, bin) pairs made by
 ``explode``; it is exact, has an oracle and suits small sizes. The array tier takes one row per frame with
-its samples as an array and runs numpy's FFT over Arrow batches (``stft_arrays``); frames are independent
-rows there, so it needs no exchange at all.
+its samples as an array and runs numpy's FFT over Arrow batches (``stft_arrays``, ``stft_centred`` and their inverse);
+frames are independent rows there, so the transform needs no exchange at all.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.operators.filters import butterworth_highpass, filtered
-from stemframe.operators.frames import frame, with_length
+from stemframe.operators.frames import frame, reflect_pad, with_length
 from stemframe.registry import query
 
 SIZE, HOP = 16, 8
@@ -109,6 +109,65 @@ def stft_arrays(frames: DataFrame) -> DataFrame:
     return frames.mapInPandas(run, f"{schema}, re array<double>, im array<double>")
 
 
+def window_values(spark: SparkSession, name: str, n: int) -> np.ndarray:
+    """The n values of a named window; they go to the driver and with the job."""
+    rows = spark.range(n).selectExpr("id AS i", f"{n} AS n").select("i", F.expr(WINDOWS[name]).cast("double").alias("w")).collect()
+    return np.array([r.w for r in sorted(rows, key=lambda r: r.i)])
+
+
+def stft_centred(df: DataFrame, keys: list[str], size: int = 2048, hop: int = 1024, pad: str = "reflect", window: np.ndarray | None = None, scale: str = "none") -> DataFrame:
+    """STFT whose frame k is centred at k x hop, one row per frame: keys, frame, length (of the signal), re, im (arrays).
+
+    pad: ``reflect`` continues the ends by mirrored samples, ``zero`` by silence (as ``reflect`` does for a signal of
+    no more than ``size`` samples). window: periodic Hann if not given. scale: ``sqrt`` divides by the root of
+    ``size``, ``window`` by the sum of the window.
+    """
+    border = size // 2
+    df = with_length(df.select(*keys, "pos", "v"), keys).withColumnRenamed("n", "length")
+    placed = reflect_pad(df, keys, border) if pad == "reflect" else df
+    placed = placed.withColumn("pos", F.col("pos") + border).withColumn("n", F.col("length") + 2 * border)
+    framed = frame(placed, keys, size, hop, "drop")
+    rows = framed.groupBy(*keys, F.col("chunk").alias("frame")).agg(F.max("length").alias("length"), F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("s"))
+    rows = rows.select(*keys, "frame", "length", F.transform("s", lambda s: s["i"]).alias("__i"), F.transform("s", lambda s: s["v"]).alias("__v"))
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if window is None else window
+    by = {"none": 1.0, "sqrt": math.sqrt(size), "window": float(w.sum())}[scale]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.zeros((len(pdf), size))
+            for k, (i, v) in enumerate(zip(pdf["__i"], pdf["__v"])):
+                x[k, i] = v
+            z = np.fft.rfft(x * w, axis=1) / by
+            yield pdf.drop(columns=["__i", "__v"]).assign(re=list(z.real), im=list(z.imag))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if not f.name.startswith("__"))
+    return rows.mapInPandas(run, f"{fields}, re array<double>, im array<double>")
+
+
+def istft_centred(spec: DataFrame, keys: list[str], size: int = 2048, hop: int = 1024, window: np.ndarray | None = None, scale: str = "none") -> DataFrame:
+    """The inverse of ``stft_centred``, trimmed to the signal's length: keys, pos, v.
+
+    Frames are inverted as rows; their samples are added up by position over the sum of squared windows.
+    """
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if window is None else window
+    by = {"none": 1.0, "sqrt": math.sqrt(size), "window": float(w.sum())}[scale]
+    rows = spec.select(*keys, "frame", "length", "re", "im")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                z = np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy())
+                x = np.fft.irfft(z * by, size, axis=1) * w
+                yield pdf.drop(columns=["re", "im"]).assign(x=list(x), w=[w * w] * len(pdf))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("re", "im"))
+    frames = rows.mapInPandas(run, f"{fields}, x array<double>, w array<double>")
+    flat = frames.select(*keys, "frame", "length", F.posexplode(F.arrays_zip("x", "w")).alias("i", "z"))
+    placed = flat.withColumn("pos", (F.col("frame") * hop + F.col("i") - size // 2).cast("int")).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("length")))
+    s = placed.groupBy(*keys, "pos").agg(F.sum("z.x").alias("s"), F.sum("z.w").alias("w"))
+    return s.select(*keys, "pos", F.when(F.col("w") > 1e-12, F.col("s") / F.col("w")).otherwise(0.0).alias("v"))
+
+
 def mag_phase(spec: DataFrame) -> DataFrame:
     """Magnitude and phase; where im is nothing but rounding (DC, Nyquist) the phase is 0 or pi by the sign of re, and 0 in silence."""
     real = F.abs("im") <= 1e-9 * F.abs("re")
@@ -297,6 +356,23 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return istft(spectra(spark, sf_dir), CHANNEL).select("track", "channel", "pos", F.round("v", 5).alias("v"))
 
 
+_CENTRED = """p AS (SELECT track, channel, pos + 8 AS q, v FROM stereo UNION ALL SELECT track, channel, 8 - pos, v FROM stereo WHERE pos BETWEEN 1 AND 8 UNION ALL SELECT track, channel, 126 - pos + 8, v FROM stereo WHERE pos BETWEEN 55 AND 62),
+cf AS (SELECT track, channel, frame, q - frame * 8 AS i, v * pow(sin(pi() * (q - frame * 8) / 16), 2) AS x FROM p JOIN (SELECT unnest(range(0, 9)) AS frame) f ON q >= frame * 8 AND q < frame * 8 + 16)"""
+
+
+@query("d1_stft_centred", f"""WITH {fx.STEREO}, {_CENTRED} SELECT track, channel, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin, round(sum(x * cos(2 * pi() * bin * i / 16)) / 4, 5) + 0.0 AS re, round(-sum(x * sin(2 * pi() * bin * i / 16)) / 4, 5) + 0.0 AS im
+FROM cf CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY track, channel, frame, bin""")
+def d1_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stft_centred(fx.stereo(spark, sf_dir), CHANNEL, SIZE, HOP, scale="sqrt")
+    return _z(rows.select(*CHANNEL, "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z")).select(*BINS, "z.re", "z.im"), *BINS)
+
+
+@query("d2_istft_centred", f"WITH {fx.STEREO} SELECT track, channel, pos, round(v, 5) AS v FROM stereo")
+def d2_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stft_centred(fx.stereo(spark, sf_dir), CHANNEL, SIZE, HOP, "zero", scale="window")
+    return istft_centred(rows, CHANNEL, SIZE, HOP, scale="window").select(*CHANNEL, "pos", F.round("v", 5).alias("v"))
+
+
 @query("d3_mag_phase", f"""WITH {SPEC} SELECT track, channel, frame, bin, round(sqrt(re * re + im * im), 5) AS mag,
 round(CASE WHEN bin NOT IN (0, 8) THEN atan2(im, re) WHEN re < 0 THEN pi() ELSE 0 END, 4) AS phase FROM spec""")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,10 +57,10 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
     sums = ev.groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("stem"), F.timestamp_diff("HOUR", start, F.col("ts")).cast("int").alias("pos")).agg(F.sum("value").alias("v"))
-    # Every track has every stem: the grid is track x (a handful of stem names) x 720, made without a cross join of facts.
-    names = ev.select(F.col("event_type").alias("stem")).distinct()
+    # Every track has every stem: one row with all stem names goes to the tracks, which explode it.
+    names = ev.agg(F.collect_set("event_type").alias("names"))
     tracks = ev.select(F.col("user_id").alias("track")).distinct()
-    grid = tracks.crossJoin(F.broadcast(names)).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(719))))
+    grid = tracks.crossJoin(F.broadcast(names)).select("track", F.explode("names").alias("stem")).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(719))))
     return grid.join(sums, ["track", "stem", "pos"], "left").select("track", "stem", "pos", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 

@@ -193,12 +193,13 @@ def reduce_mix(inst: DataFrame, voc: DataFrame, rate: float = 0.9) -> DataFrame:
 def stem_combinations(stems: DataFrame, without: str) -> DataFrame:
     """Every subset (of two or more) of the stems but ``without``, summed and named a+b+c.
 
-    The subsets come from bit masks over the stem names, a table of a few rows that is joined back by stem.
+    The subsets come from bit masks over the stem names, a table of 2^n rows that is joined back by stem; AQE
+    broadcasts it where it is small.
     """
     names = stems.filter(F.col("stem") != without).select("stem").distinct().agg(F.array_sort(F.collect_set("stem")).alias("names"))
     masks = names.withColumn("mask", F.explode(F.expr("sequence(1, cast(shiftleft(1, size(names)) AS int) - 1)"))).filter("bit_count(mask) >= 2")
     parts = masks.withColumn("on", F.expr("filter(names, (x, i) -> shiftright(mask, i) & 1 = 1)")).select(F.concat_ws("+", "on").alias("combination"), F.explode("on").alias("stem"))
-    return stems.join(F.broadcast(parts), "stem").groupBy("track", "combination", "pos").agg(F.sum("v").alias("v"))
+    return stems.join(parts, "stem").groupBy("track", "combination", "pos").agg(F.sum("v").alias("v"))
 
 
 def phase_inverted(a: DataFrame, b: DataFrame, first: int = 1000) -> DataFrame:

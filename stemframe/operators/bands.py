@@ -59,9 +59,10 @@ PERCEPTUAL = {
 
 
 def _triangles(freqs: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Rows of triangles over ``freqs`` between neighbouring points."""
+    """Rows of triangles over ``freqs`` between neighbouring points; what rounding leaves at an end is 0."""
     left, mid, right = points[:-2, None], points[1:-1, None], points[2:, None]
-    return np.maximum(0, np.minimum((freqs - left) / (mid - left), (right - freqs) / (right - mid)))
+    w = np.minimum((freqs - left) / (mid - left), (right - freqs) / (right - mid))
+    return np.where(w > 1e-9, w, 0.0)
 
 
 def filterbank_matrix(n_fft: int, sr: int, n_bands: int, scale: str, low: float = 0.0, high: float | None = None) -> np.ndarray:

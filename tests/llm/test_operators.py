@@ -397,6 +397,29 @@ def test_license_scan_finds_edited_notices(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT (short)"], 4: [], 5: [], 6: ["MIT (short)"]}
 
 
+def test_every_template_is_found_wherever_it_stands(spark):
+    """Each template behind some noise, once as it is and once with every twentieth word changed (if that leaves four fifths)."""
+    rng = random.Random(13)
+    made, own = [], {}
+    for k, (name, text) in enumerate(sorted(license_scan.TEMPLATES.items())):
+        w = text.split()
+        changed = [f"edit{i}" if i % 40 == 20 else x for i, x in enumerate(w)] if len(w) > 60 else w
+        made += [(2 * k, " ".join(words(rng, rng.randrange(1200)).split() + w + ["end"] * 9)), (2 * k + 1, " ".join(changed))]
+        own[2 * k] = own[2 * k + 1] = name
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for doc, text in made:
+        assert own[doc] in got[doc]
+        held = shingles(text)
+        for name in got[doc]:  # nothing is reported that the whole text does not hold by four fifths
+            wanted = shingles(license_scan.TEMPLATES[name])
+            assert len(wanted & held) >= 0.8 * len(wanted)
+
+
 def test_license_scan_awkward(awkward, empty):
     rows = license_scan.scan_licenses(awkward).collect()
     assert len(rows) == 17 and all(r.licenses == [] for r in rows)

@@ -303,10 +303,10 @@ _q("c7_overlap_add_unfold", lambda d: overlap_add_unfold(d, KEYS, 48, 24, ramp(4
 _q("c8_linear_fader", lambda d: linear_fader(d, KEYS, 48, 30, ramp(48)),
    f"{_chunks_sql(48, 30, 0, 24)}, w AS (SELECT *, CASE WHEN i < 18 AND k > 0 THEN (i + 1) / 19.0 WHEN i >= 30 AND k < 23 THEN (48 - i) / 19.0 ELSE 1 END AS w FROM c) {_SUM.format(48)}")
 # The model adds a little, which a chunk of silence must not show.
-_q("c9_window_fader", lambda d: window_fader(d, KEYS, 48, 24, lambda v, i: v * (1 + i / 48) + 0.01),
+_q("c9_window_fader", lambda d: window_fader(d, KEYS, 48, 24, lambda v, i: v * (0.7312345 + 0.4567891 * i / 48) + 0.0137),
    f"""p AS (SELECT track, stem, pos + 48 AS q, v FROM stems UNION ALL SELECT track, stem, 48 - pos, v FROM stems WHERE pos BETWEEN 1 AND 48 UNION ALL SELECT track, stem, 1438 - pos + 48, v FROM stems WHERE pos BETWEEN 671 AND 718),
    c AS (SELECT *, q - k * 24 AS i FROM p JOIN (SELECT unnest(range(0, 34)) AS k) ON q >= k * 24 AND q < k * 24 + 48), l AS (SELECT *, max(abs(v)) OVER (PARTITION BY track, stem, k) > 0 AS loud FROM c)
-   SELECT track, stem, q - 48 AS pos, round(sum(CASE WHEN loud THEN (v * (1 + i / 48.0) + 0.01) * pow(sin(pi() * i / 48), 2) ELSE 0 END), 3) + 0.0 AS v FROM l WHERE q BETWEEN 48 AND 767 GROUP BY ALL""")
+   SELECT track, stem, q - 48 AS pos, round(sum(CASE WHEN loud THEN (v * (0.7312345 + 0.4567891 * i / 48.0) + 0.0137) * pow(sin(pi() * i / 48), 2) ELSE 0 END), 3) + 0.0 AS v FROM l WHERE q BETWEEN 48 AND 767 GROUP BY ALL""")
 
 
 # Chunks of 50 at hop 36: the last one, from 684, is partial with 36 samples, more than half; 14 mirrored ones fill it.

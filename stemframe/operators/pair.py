@@ -13,15 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
-from stemframe.operators.spectral import BINS, SPEC, _z, polar, spectra
+from stemframe.operators.spectral import BINS, SPEC, _z, polar, resample_sinc, spectra
 from stemframe.registry import query
 
 POS = ["track", "channel", "pos"]
 FB = ["track", "frame", "bin"]
 
 
-def invert_waveform(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a - b by channel; a mono b serves all channels, a mono a meets the mean of b's channels."""
+def invert_waveform(a: DataFrame, b: DataFrame, rates: tuple[float, float] = (1, 1)) -> DataFrame:
+    """a - b by channel, as long as the shorter one; a mono b serves all channels, a mono a meets the mean of b's channels.
+
+    ``rates`` are the sample rates of a and b; b is brought to that of a where they differ.
+    """
+    if rates[0] != rates[1]:
+        b = resample_sinc(b, ["track", "channel"], rates[0] / rates[1])
     top = b.groupBy("track").agg((F.max("channel") + 1).alias("channels"))
     mono_a = a.groupBy("track").agg((F.max("channel") == 0).alias("mono"))
     left = a.join(mono_a, "track").join(top, "track").withColumn("pick", F.when(F.col("mono"), F.lit(-1)).otherwise(F.least("channel", F.col("channels") - 1)))

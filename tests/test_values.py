@@ -320,3 +320,11 @@ def test_windows_close_at_the_end_and_late_rows_drop(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = sorted((r.start.hour, r.n, r.energy) for r in jobs.drained_to_end(stream, lambda e: jobs.frame_energy(e, "1 hour", "1 hour", "2 hours")).collect())
     assert got == [(0, 1, 1.0), (9, 2, 6.5)]
+
+
+def test_waveforms_of_different_rates_cancel(spark):
+    tone = lambda rate, n: [(1, c, i, math.sin(2 * math.pi * 100 * i / rate) * (c + 1)) for c in (0, 1) for i in range(n)]
+    df = lambda rows: spark.createDataFrame(rows, "track long, channel long, pos int, v double")
+    got = pair.invert_waveform(df(tone(1600, 200)), df(tone(3200, 360)), (1600, 3200)).collect()
+    assert {(r.channel, r.pos) for r in got} == {(c, i) for c in (0, 1) for i in range(180)}
+    assert max(abs(r.v) for r in got if 20 <= r.pos < 160) < 5e-3

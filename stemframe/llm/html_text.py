@@ -41,7 +41,7 @@ OUTRIGHT = re.compile(
     re.I,
 )
 #: Names that furniture often has, but that parts of a text may have as well.
-OFTEN = re.compile(r"(?:^|[\s_-])(?:banner|consent|notices?|notifications?|overlay|subscribe|subscription|widget|share|sharing|social|related|recommended|login|signup|signin|search|copyright|disclaimer|toolbar|alert|promo\w*|sponsor\w*|teaser|tags?|byline|meta)(?:$|[\s_-])", re.I)
+OFTEN = re.compile(r"(?:^|[\s_-])(banner|consent|notices?|notifications?|overlay|subscribe|subscription|widget|share|sharing|social|related|recommended|login|signup|signin|search|copyright|disclaimer|toolbar|alert|promo\w*|sponsor\w*|teaser|tags?|byline|meta)(?=$|[\s_-])", re.I)
 #: Names of the page's head and foot; within an article they may hold its title.
 EDGE = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Names by which pages mark their text: the text itself, and a wider part around it.
@@ -60,7 +60,7 @@ SHORT, LONG, LINKS, STOPS, FEW = 70, 200, 0.33, 0.15, 0.05
 
 
 class Place:
-    """What encloses a block: whether it is no text outright, doubts by name, and the nearest mark of an article."""
+    """What encloses a block: whether it is no text outright, doubts by name (1 for a part of a name, 2 for all of it), and the nearest mark of an article."""
 
     __slots__ = ("outright", "doubts", "mark", "region", "form")
 
@@ -99,12 +99,13 @@ def _inside(tag: str, attributes: dict[str, str], outer: Place, region: int) ->
     outright = hidden or tag in FURNITURE or role in FURNITURE_ROLES or (not page and bool(OUTRIGHT.search(names)))
     if not outer.mark and not mark and not page:
         outright = outright or tag == "header" or bool(EDGE.search(names))
-    doubts = 0 if mark or page else int(bool(OFTEN.search(names)))
+    often = [] if mark or page else [m.lower() for m in OFTEN.findall(names)]
+    doubts = 0 if not often else 2 if tokens & set(often) else 1
     if mark < outer.mark:
         mark, region = outer.mark, outer.region
     elif not mark:
         region = outer.region
-    return Place(outer.outright or outright, outer.doubts + doubts, mark, region, outer.form)
+    return Place(outer.outright or outright, max(outer.doubts, doubts), mark, region, outer.form)
 
 
 class _Scanner:
@@ -259,7 +260,8 @@ def _first_pass(b: Block, mark: int) -> str:
     speaks = (2 if b.place.mark == mark else 0 if b.place.mark else -2) if mark else 0
     speaks -= 2 * min(b.place.doubts, 1) + 2 * b.menu
     if b.heading or len(b.text) < SHORT:
-        return "bad" if speaks <= -2 and (b.menu or b.place.doubts) else "open"
+        # Little text under such a name is furniture even within an article; a heading may head more.
+        return "bad" if speaks <= -2 and (b.menu or b.place.doubts) or b.place.doubts > 1 and not b.heading else "open"
     share = b.stops / max(b.words, 1)
     speaks += 2 if share >= STOPS else -1 if share < FEW else 1
     speaks += len(b.text) >= LONG

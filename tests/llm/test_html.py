@@ -80,14 +80,15 @@ def described(blocks):
         linked = sum(len(" ".join(t.split())) for e, t in parts if any(x[0] == "a" for x in chain(e)))
         mark = max((own_mark(e) for e in up), default=0)
         region = next((id(e) for e in up if own_mark(e) == mark), 0) if mark else 0
-        outright = doubtful = False
+        outright, doubtful = False, 0
         for k, e in enumerate(up):
             page = e[0] in ("html", "body")
             above = max((own_mark(x) for x in up[k:]), default=0)
             names = names_of(e)
             outright |= "hidden" in e[1] or e[0] in H.FURNITURE or e[1].get("role") in H.FURNITURE_ROLES or e[0] == "form" and "around" not in e[1] or (not page and bool(H.OUTRIGHT.search(names)))
             outright |= not above and not page and (e[0] == "header" or bool(H.EDGE.search(names)))
-            doubtful |= not own_mark(e) and not page and bool(H.OFTEN.search(names))
+            if not own_mark(e) and not page and H.OFTEN.search(names):
+                doubtful = max(doubtful, 2 if any(H.OFTEN.fullmatch(t) for t in names.split()) else 1)
         leaf = up[0][0] if up else ""
         out.append((text, linked, leaf in H.HEADINGS, outright, doubtful, mark, region))
     return out
@@ -112,11 +113,11 @@ def slow_text(source):
         words, stops = counts(text)
         menu = linked > 0.33 * len(text)
         score = 0 if not top else 2 if mark == top else -2 if not mark else 0
-        score -= 2 * doubtful + 2 * menu
+        score -= 2 * (doubtful > 0) + 2 * menu
         if outright:
             labels.append("bad")
         elif heading or len(text) < 70:
-            labels.append("bad" if score <= -2 and (menu or doubtful) else "open")
+            labels.append("bad" if score <= -2 and (menu or doubtful) or doubtful == 2 and not heading else "open")
         else:
             share = stops / max(words, 1)
             score += (2 if share >= 0.15 else -1 if share < 0.05 else 1) + (len(text) >= 200)
@@ -218,6 +219,13 @@ def test_furniture_goes_wherever_it_stands(names):
     assert H.main_text(f'<div><p>{PROSE}</p></div><div id="{names}"><p>{PROSE} Really.</p></div>') == PROSE
 
 
+def test_short_notices_go_and_long_ones_stay():
+    page = '<article><p>{0}</p><div class="{1}">{2}</div><p>{0}</p></article>'
+    assert H.main_text(page.format(PROSE, "notice", "Please log in to read on.")) == f"{PROSE}\n{PROSE}"
+    assert H.main_text(page.format(PROSE, "public-notice-board", "It was nailed to the door.")) == f"{PROSE}\nIt was nailed to the door.\n{PROSE}"
+    assert H.main_text(page.format(PROSE, "notice", PROSE)) == f"{PROSE}\n{PROSE}\n{PROSE}"
+
+
 def test_an_article_does_not_decide_alone():
     menu = "<ul>" + "".join(f"<li><a href=/{i}>The place number {i} of the site and all of its houses and streets</a></li>" for i in range(4)) + "</ul>"
     odd = "<p>" + "0x7f 0x3a ::: " * 4 + "</p>"

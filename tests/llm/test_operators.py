@@ -141,6 +141,20 @@ def test_gam_needs_its_pairs():
     assert (0, 1) in m.pairs and ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
 
+def test_scores_are_sums_of_lookups():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 4)).round(1)  # ties at the bins' edges
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    m = quality_gam.Gam(rounds=60, pair_rounds=30).fit(x, y)
+    assert m.pairs and len(m.tables) == 4
+    for row, got in zip(x[:200], m.score(x[:200])):
+        at = [sum(e < v for e in edges.tolist()) for v, edges in zip(row, m.edges)]
+        z = m.base + sum(t[k] for t, k in zip(m.tables, at))
+        for (i, j), t in zip(m.pairs, m.pair_tables):
+            z += t[at[i] * m.coarse // (len(m.edges[i]) + 1)][at[j] * m.coarse // (len(m.edges[j]) + 1)]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (7, 0), (9, None), (None, 1)], "doc_id long, quality int")
     model = quality_gam.fit(awkward, labels)

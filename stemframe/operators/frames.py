@@ -91,21 +91,19 @@ def overlap_add(df: DataFrame, keys: list[str], size: int, hop: int, weight: Wei
     last = (F.ceil(n / hop) - 1 if tail == "pad" else F.greatest(F.ceil((n - size) / hop), F.lit(0))).cast("int")
     rows = df.select(*keys, "pos", "v", pos.cast("int").alias("__at"), n.cast("int").alias("__n"), last.alias("__last"))
     at, n, last = F.col("__at"), F.col("__n"), F.col("__last")
-    newest = F.floor(at / hop).cast("int")
-    places = []  # of each chunk that may hold the sample: whether it does, its number and its start
+    rows = rows.withColumns({"__rest": at % hop, "__newest": F.floor(at / hop).cast("int"), "__end": at - F.greatest(n - size, F.lit(0))})
+    places = []  # of each chunk that may hold the sample: whether it does, its number, and the sample's place in it
     for back in range(-(-size // hop)):
-        chunk = newest - back
-        places.append(((chunk >= 0) & (chunk * hop > at - size) & (chunk <= last if tail == "pad" else chunk < last), chunk, chunk * hop))
+        chunk, i = F.col("__newest") - back, F.col("__rest") + back * hop
+        places.append(((chunk >= 0) & (i < size) & (chunk <= last if tail == "pad" else chunk < last), chunk, i))
     if tail == "align":
-        places.append((at >= n - size, last, F.greatest(n - size, F.lit(0))))
-    top, base = F.lit(0.0), F.lit(0.0)
-    for there, chunk, start in places:
-        i = at - start
-        w = weight(i, chunk, last, F.least(F.lit(size), n - start))
-        top = top + F.when(there, model(F.col("v"), i) * w).otherwise(0.0)
-        base = base + F.when(there, w).otherwise(0.0)
-    out = F.when(base != 0, top / base).otherwise(0.0) if divide else top
-    return rows.select(*keys, "pos", out.alias("v"))
+        places.append((F.col("__end") >= 0, last, F.col("__end")))
+    # Weights are columns of their own: short expressions stay within what the JIT compiles.
+    weights = {f"__w{k}": F.when(there, weight(i, chunk, last, F.least(F.lit(size), n - at + i)).cast("double")).otherwise(0.0) for k, (there, chunk, i) in enumerate(places)}
+    rows = rows.withColumns(weights)
+    top = sum((model(F.col("v"), i) * F.col(w) for w, (_, _, i) in zip(weights, places)), F.lit(0.0))
+    base = sum((F.col(w) for w in weights), F.lit(0.0))
+    return rows.select(*keys, "pos", (F.when(base != 0, top / base).otherwise(0.0) if divide else top).alias("v"))
 
 
 def reflected(border: int) -> tuple[int, Column]:

@@ -106,18 +106,22 @@ def _sizes_allow(n: str, m: str, percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar: by bitmap, by signature with room for its error, then by full sets."""
+    """Those of the pairs (a, b) that are similar: by bitmap, by signature with room for its error, then by full sets.
+
+    A popular leader is in many pairs. Nothing here groups by it after the joins, so AQE can split its rows; a pair of
+    documents of several texts may come more than once.
+    """
     side = lambda s, *columns: sets.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
     bits = pairs.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a")
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    likely = staged(bits.filter(_may_be_similar(F.col("a_n") + F.col("b_n"), differ, percent)).select("a", "b").distinct(), "likely")
+    likely = staged(bits.filter(_may_be_similar(F.col("a_n") + F.col("b_n"), differ, percent)).select("a", "b"), "likely")
     joined = likely.join(side("b", "n", "sig", "items"), "b").join(side("a", "n", "sig", "items"), "a")
     agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
     # Six standard errors below the threshold: one true pair in a billion falls here.
     least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
     both = F.size(F.array_intersect("a_items", "b_items"))
     similar = F.when(agree < int(least * MINIMA), False).otherwise(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both))
-    links = staged(joined.filter(similar).select("a", "b").distinct(), "links")
+    links = staged(joined.filter(similar).select("a", "b"), "links")
     discard(likely)
     return links
 

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemframe.llm.common import kept, working
+
 #: A worker remembers the encodings of pieces and words up to so many characters, and so many of each; then it starts anew.
 MEMO_LENGTH, MEMO_PIECES, MEMO_PAIRS, MEMO_HEADS = 64, 400_000, 2_000_000, 300_000
 #: Prefix tables are shared between pieces that begin with the same so many bytes.
@@ -224,6 +226,9 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
+kept(encoder)
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids.
 
@@ -232,6 +237,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     """
 
     def run(batches):
+        working("byte_bpe")
         enc = encoder(vocabulary, pattern)
         for batch in batches:
             n, packed_hash, decoded_hash, all_ids = [], [], [], []

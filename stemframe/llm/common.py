@@ -6,6 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_caches: list = []
+_owner: str | None = None
+
+
+def kept(cache) -> None:
+    """Register a cache (with ``cache_clear``) that a Python worker keeps from task to task."""
+    _caches.append(cache)
+
+
+def working(owner: str) -> None:
+    """Called where a task begins: what the tasks of another operator have kept in this worker is given back."""
+    global _owner
+    if _owner != owner:
+        for cache in _caches:
+            cache.cache_clear()
+        _owner = owner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

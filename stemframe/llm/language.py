@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import id_crc
+from stemframe.llm.common import id_crc, working
 
 #: Hashed trigrams of the model.
 BUCKETS = 1 << 15
 #: Characters of the documents that are worked on together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 UNKNOWN = "und"
 
 
@@ -193,6 +193,7 @@ def identify(docs: DataFrame, model: Mixture | None = None, id_col: str = "doc_i
     model = model or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
 
     def run(batches):
+        working("language")
         for batch in batches:
             texts = batch.column(2).to_pylist()
             pred, score, mixture = [], [], []
@@ -224,6 +225,7 @@ def with_known_language(docs: DataFrame, model: Mixture | None = None, least: fl
     at = docs.columns.index(text_col)
 
     def run(batches):
+        working("language")
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
             for a, b in _chunks(texts):

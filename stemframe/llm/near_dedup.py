@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemframe.llm.common import working
 from stemframe.llm.components import components
 from stemframe.llm.hashing import mix, signed, word_hashes
 from stemframe.storage import discard, staged
@@ -72,6 +73,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 
 def _sketcher(width: int):
     def run(batches):
+        working("near_dedup")
         for batch in batches:
             n, h1, h2, sig = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -88,6 +90,7 @@ def _sketcher(width: int):
 
 def _setter(width: int):
     def run(batches):
+        working("near_dedup")
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(4).to_pylist()]
             bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))

@@ -20,16 +20,43 @@ from pyspark.sql import functions as F
 
 from stemframe.llm.common import kept, working
 
-#: A worker remembers the encodings of pieces and words up to so many characters, and so many of each; then it starts anew.
-MEMO_LENGTH, MEMO_PIECES, MEMO_PAIRS, MEMO_HEADS = 64, 400_000, 2_000_000, 300_000
+#: A task remembers what it has found about pieces and words up to so many characters, in so many bytes altogether; and in so many
+#: bytes which tokens stand beside each other.
+MEMO_LENGTH, MEMO_BYTES, PAIR_BYTES = 64, 128 << 20, 40 << 20
 #: Prefix tables are shared between pieces that begin with the same so many bytes.
-HEADS = (20, 13, 8)
+HEADS = (8,)
 
 
 #: Fixed value: the public pattern for which a text may be cut before single spaces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+class Memory:
+    """Tables under one bound in bytes. Half of it holds what came last, the other half what came before that.
+
+    Costs are estimates from above of CPython's objects, slots of the dict included.
+    """
+
+    def __init__(self, names: str, most: int = MEMO_BYTES):
+        self.names, self.most = names.split(), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.used = 0
+        self.new: dict[str, dict] = {n: {} for n in self.names}
+        self.old: dict[str, dict] = {n: {} for n in self.names}
+
+    def get(self, name: str, key):
+        found = self.new[name].get(key)
+        return self.old[name].get(key) if found is None else found
+
+    def put(self, name: str, key, value, cost: int) -> None:
+        self.used += cost
+        if 2 * self.used > self.most:
+            self.old, self.new, self.used = self.new, {n: {} for n in self.names}, cost
+        self.new[name][key] = value
+
+
 class Ranks:
     """A vocabulary of ranks, and which pairs of tokens stand beside each other in an encoding."""
 
@@ -37,7 +64,7 @@ class Ranks:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self._stands: dict[int, bool] = {}
+        self.memory = Memory("pairs", PAIR_BYTES)
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE as defined: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -64,18 +91,21 @@ class Ranks:
 
         Exactly one token fits each prefix, so the order of trying does not matter; short ones are commonest.
         """
-        get, known, longest = self.ranks.get, self._stands, self.longest
+        get, memory, longest = self.ranks.get, self.memory, self.longest
+        known = memory.new["pairs"].get
         for end in range(len(last), len(data) + 1):
             for start in range(end - 1, max(-1, end - longest - 1), -1):
                 token = get(data[start:end])
                 if token is None:
                     continue
                 pair = last[start] << 24 | token
-                stands = known.get(pair)
+                stands = known(pair)
                 if stands is None:
-                    if len(known) > MEMO_PAIRS:
-                        known.clear()
-                    stands = known[pair] = self._stands_beside(last[start], token)
+                    stands = memory.old["pairs"].get(pair)
+                    if stands is None:
+                        stands = self._stands_beside(last[start], token)
+                    memory.put("pairs", pair, stands, 80)
+                    known = memory.new["pairs"].get
                 if stands:
                     last.append(token)
                     break
@@ -119,26 +149,32 @@ class Encoder:
     """Text to ids and back: each match of ``pattern`` is encoded by itself, special tokens are ordinary text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.memory = Memory("pieces words heads")
         self.of, self.split = Ranks(ranks), regex.compile(pattern).findall
         #: Known of this pattern: no match goes on into a space after another character.
         self.falls_apart = pattern == PATTERN
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._heads: dict[bytes, list[int]] = {}
         self._token = self.of.tokens.__getitem__
 
+    def clear(self) -> None:
+        """Forget all but the vocabulary."""
+        self.memory.clear()
+        self.of.memory.clear()
+
+    def _remember(self, name: str, key: str, packed: bytes) -> bytes:
+        if len(key) <= MEMO_LENGTH:
+            self.memory.put(name, key, packed, 150 + len(key) + len(packed))
+        return packed
+
     def _by_pieces(self, text: str) -> bytes:
-        memo, out = self._pieces, []
+        """Piece by piece. A piece of a space and more is remembered as the word after that space."""
+        known, out = self.memory.get, []
         for piece in self.split(text):
-            found = memo.get(piece)
+            name, key = ("words", piece[1:]) if piece[0] == " " and not piece[-1].isspace() else ("pieces", piece)
+            found = known(name, key)
             if found is None:
                 data = piece.encode("utf-8", "surrogatepass")
                 ids = self.of.walk_back(data, self._table(data))
-                found = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= MEMO_LENGTH:
-                    if len(memo) > MEMO_PIECES:
-                        memo.clear()
-                    memo[piece] = found
+                found = self._remember(name, key, struct.pack(f"<{len(ids)}I", *ids))
             out.append(found)
         return b"".join(out)
 
@@ -146,14 +182,12 @@ class Encoder:
         """The prefix table of a piece, begun with that of an earlier piece with the same first bytes."""
         if data in self.of.ranks:
             return []
-        last = next((t.copy() for n in HEADS if len(data) > n and (t := self._heads.get(data[:n]))), [-1])
+        last = next((t.copy() for n in HEADS if len(data) > n and (t := self.memory.get("heads", data[:n]))), [-1])
         known = len(last)
         self.of.extend(data, last)
         for n in HEADS:
             if known <= n < len(data):
-                if len(self._heads) > MEMO_HEADS:
-                    self._heads.clear()
-                self._heads[data[:n]] = last[: n + 1]
+                self.memory.put("heads", data[:n], last[: n + 1], 200 + 9 * n)
         return last
 
     def packed(self, text: str) -> bytes:
@@ -165,17 +199,18 @@ class Encoder:
         """
         if not self.falls_apart:
             return self._by_pieces(text)
-        memo, out, lead = self._words, [], ""
+        memory, out, lead = self.memory, [], ""
         for word in text.split(" "):
-            found = memo.get(word) if lead else None
+            found = memory.new["words"].get(word) if lead else None
             if found is None:
                 if not word or word[0].isspace() or word[-1].isspace():
                     return self._by_pieces(text)
-                found = self._by_pieces(lead + word)
-                if lead and len(word) <= MEMO_LENGTH:
-                    if len(memo) > MEMO_PIECES:
-                        memo.clear()
-                    memo[word] = found
+                found = memory.old["words"].get(word) if lead else None
+                fresh = found is None
+                if fresh:
+                    found = self._by_pieces(lead + word)
+                if lead and not (fresh and word in memory.new["words"]):
+                    self._remember("words", word, found)
             out.append(found)
             lead = " "
         return b"".join(out)
@@ -220,7 +255,7 @@ class EncodedText:
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str, pattern: str) -> Encoder:
-    """One encoder per worker; ``vocabulary`` is a rank file installed on every machine."""
+    """One encoder per worker; ``vocabulary`` is a rank file installed on every machine. What it remembers goes when a task ends."""
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
     return Encoder(ranks, pattern)
@@ -239,6 +274,12 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     def run(batches):
         working("byte_bpe")
         enc = encoder(vocabulary, pattern)
+        try:
+            yield from digests(enc, batches)
+        finally:
+            enc.clear()
+
+    def digests(enc, batches):
         for batch in batches:
             n, packed_hash, decoded_hash, all_ids = [], [], [], []
             for text in batch.column(1):

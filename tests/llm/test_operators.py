@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -585,3 +586,23 @@ def test_mixing_awkward(awkward, empty):
     out = mixing.mixed(awkward)
     assert out.columns == awkward.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_bpe_memory_is_bounded_in_bytes_and_freed_with_the_task():
+    enc = byte_bpe.encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    enc.clear()
+    words = [f"w{i * 7919 % 100003}ord{i}" for i in range(4000)]
+    text = " ".join(words + words[::-1])
+    whole = enc.packed(text)
+    enc.clear()
+    enc.memory.most = enc.of.memory.most = 100_000
+    try:
+        assert enc.packed(text) == whole, "forgetting changes no result"
+        for memory in (enc.memory, enc.of.memory):
+            held = [(k, v) for side in (memory.old, memory.new) for table in side.values() for k, v in table.items()]
+            assert sum(sys.getsizeof(k) + (sys.getsizeof(v) if isinstance(v, (bytes, list)) else 0) for k, v in held) <= 110_000
+    finally:
+        enc.memory.most, enc.of.memory.most = byte_bpe.MEMO_BYTES, byte_bpe.PAIR_BYTES
+    enc.clear()
+    assert not any(enc.memory.new.values()) and not any(enc.memory.old.values()) and not enc.of.memory.new["pairs"]
+    assert len(whole) // 4 > 8000

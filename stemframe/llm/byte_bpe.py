@@ -255,7 +255,8 @@ class EncodedText:
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str, pattern: str) -> Encoder:
-    """One encoder per worker; ``vocabulary`` is a rank file installed on every machine. What it remembers goes when a task ends."""
+    """One encoder per worker; ``vocabulary`` is a rank file installed on every machine. What it remembers of
+    texts goes when a task ends; what it knows of pairs of tokens is the vocabulary's and stays, in its own bound."""
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
     return Encoder(ranks, pattern)
@@ -277,7 +278,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
         try:
             yield from digests(enc, batches)
         finally:
-            enc.clear()
+            enc.memory.clear()
 
     def digests(enc, batches):
         for batch in batches:

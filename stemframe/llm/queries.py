@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, html_text, language, license_scan, mixing, near_dedup, quality_gam, quality_rules, spelling, substring_dedup
+from stemframe.llm import byte_bpe, exact_dedup, html_text, language, license_scan, mixing, near_dedup, pivot_index, quality_gam, quality_rules, spelling, substring_dedup
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -76,6 +76,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+@query("op11_embedding_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), delete_every=31))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemframe.llm import byte_bpe, exact_dedup, html_text, language, license_scan, mixing, near_dedup, pivot_index, quality_gam, quality_rules, spelling, substring_dedup
+from stemframe.llm import alignment, byte_bpe, exact_dedup, html_text, language, license_scan, mixing, near_dedup, pivot_index, quality_gam, quality_rules, spelling, substring_dedup
 from stemframe.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), delete_every=31))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

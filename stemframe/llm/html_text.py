@@ -3,8 +3,9 @@
 A page becomes a sequence of blocks. The first pass judges each block by itself, adding up what speaks for and
 against it: its share of stop words, its length, the share of its text inside links, and the marks of what
 encloses it (an element or name for articles, a name that is often used for furniture). Clear sums decide; short
-blocks, headings and even sums stay open. Only what a page says outright is no text (``nav``, ``footer``, hidden
-elements, names such as ``advert`` or ``comments``) is bad whatever it holds.
+blocks, headings and even sums stay open. What a page says outright is no text (``nav``, ``footer``, hidden
+elements, whole names such as ``advert`` or ``comments``) is bad; but an element that the article itself is in is a
+wrapper, whatever it is called, and that is decided when the whole page is known.
 
 The second pass gives open blocks the label of the nearest decided ones: a heading that of what follows, a block
 of an article that of the article's own blocks, and a block between two different labels that of the nearer.
@@ -32,18 +33,21 @@ CONTAINERS = frozenset("html body main article section div nav header footer asi
 LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre caption figcaption summary".split())
 BLOCKS = CONTAINERS | LEAVES | frozenset("hr legend option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = frozenset("nav footer aside menu dialog fieldset head".split())
+FURNITURE = frozenset("nav footer menu dialog head".split())
+BESIDE = frozenset("aside fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-#: Names that say that an element is no text of the page's own, wherever it stands.
-OUTRIGHT = re.compile(
-    r"(?:^|\s)(?:(?:[\w-]*[_-])?(?:ads?|adverts?|advertisement|advertising|adsense|adslot|cookies?|gdpr|newsletter|popup|modal|sidebar|navbar|nav|navigation|breadcrumbs?|pagination|pager|disqus)(?:[_-][\w-]*)?|sponsored|sponsor|promo|menu|(?:main|site|top|side)[_-]menu|menu[_-](?:main|item|bar|list)|comments?(?:[_-](?:list|body|area|section|thread|form|text|content))?|commentlist|reader[_-]comments|user[_-]comments|replies|skip[_-]link)(?=\s|$)",
+_WHERE = r"(?:(?:top|bottom|left|right|side|main|site|page|header|footer|inline|sticky|primary|secondary|google|reader|user)[_-])?"
+_PART = r"(?:[_-](?:slot|unit|box|banner|bar|block|area|list|section|links?|thread|form|body|text|container|item|widget|popup|notice|consent|signup|toggle|\d+))?"
+#: Whole names of furniture, with a word for where it is or for a part of it at most.
+NAMED = re.compile(
+    _WHERE + r"(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|cookies?|gdpr|newsletter|popup|modal|sidebar|navbar|nav|navigation|breadcrumbs?|pagination|pager|disqus|sponsored|sponsor|promo|menu|comments?|commentlist|replies)" + _PART + r"|comments?[_-]content|skip[_-]link",
     re.I,
-)
+)
+#: Whole names of the page's head and foot; within an article they may hold its title.
+EDGE = re.compile(_WHERE + r"(?:header|footer|masthead|topbar)" + _PART, re.I)
 #: Names that furniture often has, but that parts of a text may have as well.
 OFTEN = re.compile(r"(?:^|[\s_-])(banner|consent|notices?|notifications?|overlay|subscribe|subscription|widget|share|sharing|social|related|recommended|login|signup|signin|search|copyright|disclaimer|toolbar|alert|promo\w*|sponsor\w*|teaser|tags?|byline|meta)(?=$|[\s_-])", re.I)
-#: Names of the page's head and foot; within an article they may hold its title.
-EDGE = re.compile(r"(?:^|[\s_-])(?:header|footer|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Names by which pages mark their text: the text itself, and a wider part around it.
 ARTICLE_NAMES = frozenset("article article-body article-content articlebody article__body post-body post-content entry-content story-body".split())
 WIDER_NAMES = frozenset("main main-content page-content content post entry story".split())
@@ -59,13 +63,25 @@ WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG, LINKS, STOPS, FEW = 70, 200, 0.33, 0.15, 0.05
 
 
+class Suspect:
+    """An element that an element name, a role or a name calls furniture. ``prose`` is what it holds of the page's text outside links.
+
+    Suspects are decided on when the page is known: one that the article is in is a wrapper, whatever its name.
+    """
+
+    __slots__ = ("outer", "prose", "marked", "furniture")
+
+    def __init__(self, outer: Suspect | None):
+        self.outer, self.prose, self.marked, self.furniture = outer, 0, 0, True
+
+
 class Place:
-    """What encloses a block: whether it is no text outright, doubts by name (1 for a part of a name, 2 for all of it), and the nearest mark of an article."""
+    """What encloses a block: whether it is hidden, the innermost suspect, doubts by name (1 for a part of a name, 2 for all of it), and the nearest mark of an article."""
 
-    __slots__ = ("outright", "doubts", "mark", "region", "form")
+    __slots__ = ("hidden", "suspect", "doubts", "mark", "region", "form")
 
-    def __init__(self, outright: bool, doubts: int, mark: int, region: int, form: list | None):
-        self.outright, self.doubts, self.mark, self.region, self.form = outright, doubts, mark, region, form
+    def __init__(self, hidden: bool, suspect: Suspect | None, doubts: int, mark: int, region: int, form: list | None):
+        self.hidden, self.suspect, self.doubts, self.mark, self.region, self.form = hidden, suspect, doubts, mark, region, form
 
 
 class Block:
@@ -76,10 +92,14 @@ class Block:
         words = WORD.findall(text.lower())
         self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
 
+    @property
+    def shown(self) -> bool:
+        """Not in a hidden element or a form."""
+        return not self.place.hidden and (self.place.form is None or self.place.form[0])
+
     @property
     def outright(self) -> bool:
-        form = self.place.form
-        return self.place.outright or (form is not None and not form[0])
+        return not self.shown or (self.place.suspect is not None and self.place.suspect.furniture)
 
     @property
     def menu(self) -> bool:
@@ -91,21 +111,66 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _inside(tag: str, attributes: dict[str, str], outer: Place, region: int) -> Place:
-    """The place inside an element."""
-    role, names = attributes.get("role", "").lower(), f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+    """The place inside an element. An id of a paragraph or heading is an anchor and says nothing."""
+    role, classes = attributes.get("role", "").lower(), attributes.get("class", "")
+    names = classes if tag in LEAVES else f"{classes} {attributes.get('id', '')}".strip()
     tokens, page = set(names.lower().split()), tag in ("html", "body")
     mark = 2 if tag == "article" or role == "article" or tokens & ARTICLE_NAMES else 1 if tag == "main" or role == "main" or tokens & WIDER_NAMES else 0
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
-    outright = hidden or tag in FURNITURE or role in FURNITURE_ROLES or (not page and bool(OUTRIGHT.search(names)))
+    suspect = tag in FURNITURE or role in FURNITURE_ROLES or (not page and any(map(NAMED.fullmatch, tokens)))
+    beside = tag in BESIDE
     if not outer.mark and not mark and not page:
-        outright = outright or tag == "header" or bool(EDGE.search(names))
+        suspect = suspect or beside or tag == "header" or any(map(EDGE.fullmatch, tokens))
     often = [] if mark or page else [m.lower() for m in OFTEN.findall(names)]
-    doubts = 0 if not often else 2 if tokens & set(often) else 1
+    doubts = 2 if beside or tokens & set(often) else 1 if often else 0
     if mark < outer.mark:
         mark, region = outer.mark, outer.region
     elif not mark:
         region = outer.region
-    return Place(outer.outright or outright, max(outer.doubts, doubts), mark, region, outer.form)
+    return Place(outer.hidden or hidden, Suspect(outer.suspect) if suspect else outer.suspect, max(outer.doubts, doubts), mark, region, outer.form)
+
+
+def _decide(found: list[Block]) -> None:
+    """Which suspects are furniture: all but a wrapper, if there is one, and what is a wrapper within it.
+
+    A wrapper holds an article, and half of the page's text at least; or three quarters of it on a page without marks. It
+    is looked for only where no marked text stands outside of suspects.
+    """
+    shown = [b for b in found if b.shown]
+    mark = max((b.place.mark for b in shown), default=0)
+    if mark and any(b.place.suspect is None and b.place.mark == mark and len(b.text) >= SHORT and not b.menu for b in shown):
+        return
+    total, suspects = 0, {}
+    for b in shown:
+        prose = max(0, len(b.text) - b.linked)
+        total += prose
+        if (s := b.place.suspect) is not None:
+            s.prose += prose
+            s.marked += prose * (b.place.mark == mark > 0)
+            while s is not None and id(s) not in suspects:
+                suspects[id(s)] = s
+                s = s.outer
+    # Inner suspects come before outer ones here, once sorted by depth; sums go outwards along chains seen once.
+    depth: dict[int, int] = {}
+    for s in suspects.values():
+        chain = []
+        while s is not None and id(s) not in depth:
+            chain.append(s)
+            s = s.outer
+        base = depth[id(s)] if s is not None else 0
+        for k, x in enumerate(reversed(chain)):
+            depth[id(x)] = base + k + 1
+    inwards = sorted(suspects.values(), key=lambda s: depth[id(s)])
+    for s in reversed(inwards):
+        if s.outer is not None:
+            s.outer.prose += s.prose
+            s.outer.marked += s.marked
+    best = max((s for s in inwards if s.outer is None), key=lambda s: s.prose, default=None)
+    if best is None or not best.prose or not (2 * best.prose >= total and best.marked if mark else 4 * best.prose >= 3 * total):
+        return
+    for s in inwards:
+        inside = s is best or s.outer is not None and not s.outer.furniture
+        s.furniture = not (inside and 2 * s.prose > best.prose)
 
 
 class _Scanner:
@@ -180,7 +245,7 @@ class _Scanner:
 def blocks(source: str) -> list[Block]:
     """The blocks of a page in order, each with its place."""
     found: list[Block] = []
-    outside = Place(False, 0, 0, 0, None)
+    outside = Place(False, None, 0, 0, 0, None)
     stack: list[tuple[str, Place]] = []
     opened: dict[str, int] = {}
     parts: list[str] = []
@@ -250,6 +315,7 @@ def blocks(source: str) -> list[Block]:
                 regions += 1
                 at_leaf = _inside(tag, _attributes(attributes), here(), regions) if attributes.strip(" /") else None
     flush()
+    _decide(found)
     return found
 
 

@@ -10,6 +10,34 @@ import pytest
 from stemframe.llm import html_text as H
 
 SF = "/root/testdata/sf0.01"
+# This version's own lists: what calls an element furniture, and what speaks for an article.
+BLOCKS = set("html body main article section div nav header footer aside form ul ol dl table thead tbody tfoot tr td th figure blockquote details dialog menu fieldset address head center p li dt dd h1 h2 h3 h4 h5 h6 pre caption figcaption summary hr legend option".split())
+LEAVES = set("p li dt dd h1 h2 h3 h4 h5 h6 pre caption figcaption summary".split())
+CONTAINERS = BLOCKS - LEAVES - {"hr", "legend", "option"}
+UNSEEN = set("script style textarea title noscript iframe template object svg math canvas audio video select button".split())
+ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+WHERE = set("top bottom left right side main site page header footer inline sticky primary secondary google reader user".split())
+PART = set("slot unit box banner bar block area list section link links thread form body text container item widget popup notice consent signup toggle".split())
+CORE = set("ad ads advert adverts advertisement advertisements advertising adsense adslot cookie cookies gdpr newsletter popup modal sidebar navbar nav navigation breadcrumb breadcrumbs pagination pager disqus sponsored sponsor promo menu comment comments commentlist replies".split())
+ENDS = set("header footer masthead topbar".split())
+DOUBT = set("banner consent notice notices notification notifications overlay subscribe subscription widget share sharing social related recommended login signup signin search copyright disclaimer toolbar alert teaser tag tags byline meta".split())
+ARTICLES = set("article article-body article-content articlebody article__body post-body post-content entry-content story-body".split())
+WIDER = set("main main-content page-content content post entry story".split())
+
+
+def called(token, cores):
+    """Is the whole name one of the cores, with at most a place before it and a part after it."""
+    parts = re.split("[-_]", token)
+    for before in (0, 1):
+        for after in (0, 1):
+            rest = parts[before : len(parts) - after]
+            if len(rest) == 1 and rest[0] in cores and (not before or parts[0] in WHERE) and (not after or parts[-1] in PART or parts[-1].isdigit()):
+                return True
+    return False
+
+
+def furniture_name(token):
+    return called(token, CORE) or token in ("skip-link", "skip_link", "comment-content", "comments-content", "comment_content", "comments_content")
 VOID = {"br", "hr", "img", "meta", "link", "input"}
 
 
@@ -24,20 +52,20 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in H.BLOCKS:
-            while self.at[0] in H.LEAVES:  # a block within p or h1 ends it
+        if tag in BLOCKS:
+            while self.at[0] in LEAVES:  # a block within p or h1 ends it
                 self.at = self.at[2]
             self.texts.append((None, None))
         if tag in VOID:
             return
         self.at = [tag, {k: v or "" for k, v in attrs}, self.at]
         outer = max((own_mark(e) for e in chain(self.at[2])), default=0)
-        if tag in H.CONTAINERS and (tag in ("nav", "header", "footer") or 0 < own_mark(self.at) >= outer):
+        if tag in CONTAINERS and (tag in ("nav", "header", "footer") or 0 < own_mark(self.at) >= outer):
             for e in chain(self.at[2]):
                 e[1]["around"] = ""
 
     def handle_endtag(self, tag):
-        if tag in H.BLOCKS:
+        if tag in BLOCKS:
             self.texts.append((None, None))
         up = self.at
         while up and up[0] != tag:
@@ -56,42 +84,73 @@ def chain(element):
 
 
 def names_of(e):
-    return f"{e[1].get('class', '')} {e[1].get('id', '')}".strip()
+    return (e[1].get("class", "") if e[0] in LEAVES else f"{e[1].get('class', '')} {e[1].get('id', '')}").lower().split()
 
 
 def own_mark(e):
-    tokens = set(names_of(e).lower().split())
-    if e[0] == "article" or e[1].get("role") == "article" or tokens & H.ARTICLE_NAMES:
+    if e[0] == "article" or e[1].get("role") == "article" or ARTICLES & set(names_of(e)):
         return 2
-    return int(e[0] == "main" or e[1].get("role") == "main" or bool(tokens & H.WIDER_NAMES))
+    return int(e[0] == "main" or e[1].get("role") == "main" or bool(WIDER & set(names_of(e))))
+
+
+def doubts_of(e):
+    found = 0
+    for token in names_of(e):
+        parts = re.split("[-_]", token)
+        if token in DOUBT or len(parts) == 1 and token.startswith(("promo", "sponsor")):
+            found = 2
+        elif any(x in DOUBT or x.startswith(("promo", "sponsor")) for x in parts):
+            found = max(found, 1)
+    return found
 
 
 def described(blocks):
     """(text, linked, heading, outright, doubtful, mark, region) of each block, by walks up the tree."""
-    out = []
+    rows = []
     for parts in blocks:
         up = list(chain(parts[0][0]))
-        if any(e[0] in H.SKIPPED for e in up):
+        if any(e[0] in UNSEEN for e in up):
             continue
         text = " ".join("".join(t for _, t in parts).split())
         if not text:
             continue
-        up = [e for e in up if e[0] in H.CONTAINERS | H.LEAVES]
+        up = [e for e in up if e[0] in BLOCKS]
         linked = sum(len(" ".join(t.split())) for e, t in parts if any(x[0] == "a" for x in chain(e)))
         mark = max((own_mark(e) for e in up), default=0)
         region = next((id(e) for e in up if own_mark(e) == mark), 0) if mark else 0
-        outright, doubtful = False, 0
+        unseen, doubtful, suspects = False, 0, []
         for k, e in enumerate(up):
             page = e[0] in ("html", "body")
             above = max((own_mark(x) for x in up[k:]), default=0)
-            names = names_of(e)
-            outright |= "hidden" in e[1] or e[0] in H.FURNITURE or e[1].get("role") in H.FURNITURE_ROLES or e[0] == "form" and "around" not in e[1] or (not page and bool(H.OUTRIGHT.search(names)))
-            outright |= not above and not page and (e[0] == "header" or bool(H.EDGE.search(names)))
-            if not own_mark(e) and not page and H.OFTEN.search(names):
-                doubtful = max(doubtful, 2 if any(H.OFTEN.fullmatch(t) for t in names.split()) else 1)
+            unseen |= "hidden" in e[1] or e[0] == "form" and "around" not in e[1]
+            named = not page and any(map(furniture_name, names_of(e)))
+            at_an_end = not above and not page and (e[0] in ("header", "aside", "fieldset") or any(called(t, ENDS) for t in names_of(e)))
+            if e[0] in ("nav", "footer", "menu", "dialog", "head") or e[1].get("role") in ROLES or named or at_an_end:
+                suspects.append(id(e))
+            doubtful = max(doubtful, 2 if e[0] in ("aside", "fieldset") else 0, 0 if own_mark(e) or page else doubts_of(e))
         leaf = up[0][0] if up else ""
-        out.append((text, linked, leaf in H.HEADINGS, outright, doubtful, mark, region))
-    return out
+        rows.append((text, linked, leaf in ("h1", "h2", "h3", "h4", "h5", "h6"), unseen, doubtful, mark, region, suspects))
+    return [(*r[:3], r[3] or bool(set(r[7]) - wrappers_of(rows)), *r[4:7]) for r in rows] if rows else []
+
+
+def wrappers_of(rows):
+    """Suspects that the article is in."""
+    seen = [r for r in rows if not r[3]]
+    top = max((r[5] for r in seen), default=0)
+    if top and any(not r[7] and r[5] == top and len(r[0]) >= 70 and r[1] <= 0.33 * len(r[0]) for r in seen):
+        return set()
+    held, marked, outermost, total = {}, {}, [], 0
+    for r in seen:
+        prose = max(0, len(r[0]) - r[1])
+        total += prose
+        for s in r[7]:
+            held[s] = held.get(s, 0) + prose
+            marked[s] = marked.get(s, 0) + prose * (r[5] == top and top > 0)
+        outermost += r[7][-1:]
+    best = max(dict.fromkeys(outermost), key=lambda s: held[s], default=None)
+    if best is None or not held[best] or (not marked[best] or 2 * held[best] < total if top else 4 * held[best] < 3 * total):
+        return set()
+    return {s for r in seen if r[7][-1:] == [best] for s in r[7] if 2 * held[s] > held[best]}
 
 
 def slow_text(source):
@@ -151,7 +210,7 @@ def slow_text(source):
 def made_page(rng):
     prose = lambda: " ".join(rng.choice("the of and to a in is that tree house river walks slowly green it for was quiet evening".split()) for _ in range(rng.randrange(1, 60)))
     odd = lambda: " ".join(f"x{rng.randrange(99)}q zzz" for _ in range(rng.randrange(1, 40)))
-    name = lambda: rng.choice(["", "", "", ' class="related-work"', ' class="post-share"', ' class="ad"', ' id="comments"', ' class="entry-content"', ' class="header"', ' id="content"', ' class="notice"', ' role="search"', " hidden"])
+    name = lambda: rng.choice(["", "", "", ' class="has-sidebar"', ' class="main-menu"', ' class="promo"', ' class="related-work"', ' class="post-share"', ' class="ad"', ' id="comments"', ' class="entry-content"', ' class="header"', ' id="content"', ' class="notice"', ' role="search"', " hidden"])
 
     def block():
         text = rng.choice([prose, prose, odd])()
@@ -213,6 +272,29 @@ def test_names_do_not_drop_text_of_an_article(names):
     assert H.main_text(f'<article class="{names}"><p>{PROSE}</p></article>') == PROSE
 
 
+@pytest.mark.parametrize("names", ["content-sidebar-wrap", "has-sidebar", "layout no-sidebar", "row with-sidebar", "page-navigation-content", "modal-open", "recipe-cookies", "ad-free", "menu", "comment", "promo", "sidebar", "header", "site-header", "cookie-banner", "skip-link"])
+def test_a_wrapper_is_no_furniture_whatever_its_name(names):
+    article = f"{PROSE} {PROSE}"
+    beside = '<div class="sidebar"><p>Some other text of it</p></div><div class="comments"><article class="comment-body"><p>It was good to read.</p></article></div>'
+    for inner in (f"<main><article><p>{article}</p></article></main>", f'<div class="post-content"><p>{article}</p></div>'):
+        page = f'<body><nav><a href="/">Home</a></nav><div class="{names}">{inner}{beside}</div></body>'
+        assert H.main_text(page) == article == slow_text(page)
+        page = f'<div class="{names}"><section class="{names}">{inner}</section></div>{beside}'
+        assert H.main_text(page) == article == slow_text(page)
+    assert H.main_text(f'<div class="{names}"><p>{article}</p></div>') == article
+
+
+def test_teasers_in_a_sidebar_are_not_the_article():
+    page = f'<div class="sidebar"><article><p>{PROSE}</p></article></div><div><p>{PROSE} {PROSE}</p><p>{PROSE} {PROSE}</p></div>'
+    assert H.main_text(page) == slow_text(page) and H.main_text(page).count(PROSE) == 4
+
+
+@pytest.mark.parametrize("part", ["<p id=cookies>{}</p>", "<p id=navigation>{}</p>", '<div class="note sidebar-note"><p>{}</p></div>', "<aside><blockquote>{}</blockquote></aside>", "<fieldset><p>{}</p></fieldset>"])
+def test_long_text_beside_the_text_stays(part):
+    page = f"<article><p>{PROSE}</p>{part.format(PROSE + ' Yes.')}</article>"
+    assert H.main_text(page) == f"{PROSE}\n{PROSE} Yes." == slow_text(page)
+
+
 @pytest.mark.parametrize("names", ["ad", "top-ad-slot", "comments", "comment-body", "sidebar", "cookie-banner", "newsletter", "breadcrumbs"])
 def test_furniture_goes_wherever_it_stands(names):
     assert H.main_text(f'<article><p>{PROSE}</p><div class="{names}"><p>{PROSE} Really.</p></div></article>') == PROSE

@@ -8,12 +8,12 @@
 3. Components of these links are found by alternating large-star and small-star. A bucket whose members
    are in one component needs nothing more, which is how large groups of copies end here. The others get
    a second leader from a component that has not led yet.
-4. In buckets that are still open, members may be similar to each other though not to a leader. For the
-   classes in them a prefix filter finds these pairs: ordered by how rare they are, two sets of the wanted
-   similarity share one of their first shingles. The join itself leaves out pairs in one component, and
-   pairs whose places of that shingle, or whose parity bitmaps, prove them too different. So the pairs that
-   are made are those about as similar as links are, between what has not met yet; all are confirmed on
-   the full sets.
+4. In buckets that are still open, members may be similar to each other though not to a leader. A prefix filter
+   says which can be: ordered by how rare they are, two sets of the wanted similarity share one of their first
+   shingles, and a class whose first shingles are in no other component drops out. What is left of a bucket is
+   cut into tiles, and each pair of tiles is a task: it compares parity bitmaps, which grow with the sets, and hands on
+   only pairs that may be similar and are in different components. So it is not pairs of a family that are made, but
+   those about as similar as links are; all are confirmed on the full sets.
 
 Only a pair that shares no band at all can be missed: with 32 bands of 4 minima that happens to one pair in
 20 million at similarity 0.8. Sets hold 64-bit hashes of shingles and classes are equal sums of two of them
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +62,26 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-#: Longs of a set's parity bitmap.
-LONGS = 16
+#: A parity bitmap has a power of two of bits, this many at least and so many for each item at least; classes of a tile.
+LEAST_BITS, BITS_PER_ITEM, TILE = 1024, 8, 512
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Bit k is the parity of the items that hash to k: the bits in which two sets differ are never more than their items that differ."""
-    n = np.bincount((mix(s + np.uint64(11)) >> np.uint64(54)).astype(np.int64), minlength=64 * LONGS) & 1
+    """Bit k is the parity of the items that hash to k: the bits in which two sets differ are never more than their items that differ.
+
+    One half of a bitmap XORed with the other is the bitmap of half the size.
+    """
+    bits = max(LEAST_BITS, 1 << (BITS_PER_ITEM * s.size - 1).bit_length())
+    n = np.bincount((mix(s + np.uint64(11)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(n.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bits: str, other: str):
+    """Of the column ``bits`` its half size, if ``other`` has that."""
+    half = F.size(other)
+    return F.when(F.size(bits) > half, F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+
+
 def _sketcher(width: int):
     def run(batches):
         working("near_dedup")
@@ -116,7 +127,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     side = lambda s, *columns: sets.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
     bits = pairs.join(side("b", "n", "bits"), "b").join(side("a", "n", "bits"), "a")
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    differ = F.aggregate(F.zip_with(_folded("a_bits", "b_bits"), _folded("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     likely = staged(bits.filter(_may_be_similar(F.col("a_n") + F.col("b_n"), differ, percent)).select("a", "b"), "likely")
     joined = likely.join(side("b", "n", "sig", "items"), "b").join(side("a", "n", "sig", "items"), "a")
     agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x)
@@ -159,8 +170,8 @@ def _leader_pairs(placed: DataFrame, led: DataFrame | None, at: DataFrame, perce
     return staged(pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), "pairs"), leaders
 
 
-def _prefix_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share one of their rarest shingles.
+def _alive(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep) of the classes that share one of their rarest shingles with a class in a different component.
 
     Of a set of n, the first n - ceil(t n) + 1 shingles in order of rarity are its prefix; sets with
     similarity t share one. A shingle in one set only is never shared, yet takes a place in its prefix,
@@ -172,20 +183,89 @@ def _prefix_pairs(open_classes: DataFrame, sets: DataFrame, percent: int) -> Dat
     ranked = kept.selectExpr("*", "row_number() OVER (PARTITION BY rep, version ORDER BY df, item) AS turn", "count(*) OVER (PARTITION BY rep, version) AS kept")
     at = F.col("n") - F.col("kept") + F.col("turn")  # place in the whole set, from 1
     least = F.floor((percent * F.col("n") + 99) / 100)
-    prefix = ranked.withColumn("at", at).filter((F.col("at") <= F.col("n") - least + 1) & F.col("crossing")).select("item", "rep", "version", "component", "n", "at")
-    words = sets.select("rep", "version", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)])
-    prefix = staged(prefix.join(words, ["rep", "version"]).drop("version"), "prefix")
-    side = lambda s: prefix.select("item", *[F.col(c).alias(f"{s}_{c}") for c in prefix.columns if c != "item"])
-    # Where two sets meet first, no more shingles can be common than that one and those after it. That
-    # holds for the first common shingle only, but then a pair of similar sets passes there.
-    most = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    both = F.col("a_n") + F.col("b_n")
-    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    possible = (percent * both <= (100 + percent) * most) & _may_be_similar(both, differ, percent)
-    joined = side("a").join(side("b"), "item").filter((F.col("a_component") < F.col("b_component")) & _sizes_allow("a_n", "b_n", percent) & possible)
-    pairs = staged(joined.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct(), "pairs")
+    prefix = staged(ranked.withColumn("at", at).filter((F.col("at") <= F.col("n") - least + 1) & F.col("crossing")).select("item", "rep", "component"), "prefix")
+    shared = prefix.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("item")
+    alive = staged(prefix.join(shared, "item").select("rep").distinct(), "alive")
     discard(common, prefix)
-    return pairs
+    return alive
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each row of ``a`` differs from each of ``b``; the wider bitmaps are folded."""
+    a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)  # bits of signed numbers are counted by their absolute value
+    while a.shape[1] != b.shape[1]:
+        wide = a if a.shape[1] > b.shape[1] else b
+        half = wide.shape[1] // 2
+        folded = wide[:, :half] ^ wide[:, half:]
+        a, b = (folded, b) if wide is a else (a, folded)
+    out = np.zeros((len(a), len(b)), np.int32)
+    for x, y in zip(a.T, b.T):
+        out += np.bitwise_count(x[:, None] ^ y[None, :])
+    return out
+
+
+def tile_pairs(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``left`` and of ``right`` (columns n, component, and bits by their size) that may be similar and are in different components."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for one in left["bits"]:
+        for other in right["bits"]:
+            (x, a), (y, b) = left["bits"][one], right["bits"][other]
+            n, m = left["n"][x][:, None], right["n"][y][None, :]
+            may = (100 * n >= percent * m) & (100 * m >= percent * n) & (left["component"][x][:, None] != right["component"][y][None, :])
+            rows, columns = may.any(axis=1), may.any(axis=0)
+            if rows.any():
+                x, a, y, b, may = x[rows], a[rows], y[columns], b[columns], may[np.ix_(rows, columns)]
+                both = left["n"][x][:, None] + right["n"][y][None, :]
+                i, j = np.nonzero(may & _may_be_similar(both, differing(a, b), percent))
+                found.append((x[i], y[j]))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
+def _tile_judge(percent: int):
+    def columns(rows: pa.Table) -> dict:
+        bits = rows.column("bits").combine_chunks()
+        sizes, flat = np.diff(bits.offsets.to_numpy()), bits.flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        by_size = {}
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            by_size[int(size)] = (at, flat[starts[at][:, None] + np.arange(size)])
+        return {"n": rows.column("n").to_numpy(), "component": rows.column("component").to_numpy(), "rep": rows.column("rep").to_numpy(), "bits": by_size}
+
+    def run(key, rows):
+        working("near_dedup")
+        own = [columns(rows.filter(pa.compute.equal(rows.column("side"), side))) for side in (0, 1)]
+        if not len(own[1]["rep"]):  # a tile against itself
+            own[1] = own[0]
+        i, j = tile_pairs(*own, percent)
+        a, b = own[0]["rep"][i], own[1]["rep"][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+
+    return run
+
+
+def _tile_pairs(placed: DataFrame, alive: DataFrame, sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a bucket and whose bitmaps may be those of similar sets.
+
+    The component of a bucket's most popular member may hold most of it; its members are not compared with each
+    other, only with the others, so they go to as many tasks as there are tiles of others.
+    """
+    rows = placed.join(alive, "rep").select("bucket", "rep", "component", "popular")
+    main = rows.groupBy("bucket").agg(F.max_by("component", F.struct("popular", (-F.col("rep")).alias("low"))).alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket", "main")
+    rows = staged(rows.join(main, "bucket").select("bucket", "rep", "component", (F.col("component") == F.col("main")).alias("own")), "rows")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("own").cast("int")) / tile).cast("int").alias("owns"), F.ceil(F.sum((~F.col("own")).cast("int")) / tile).cast("int").alias("others"))
+    dealt = rows.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("own"), F.col("owns")).otherwise(F.col("others"))).cast("int"))
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_own = F.transform(upto("others"), lambda k: task(0, F.col("tile"), k, F.lit(0)))
+    across = F.transform(upto("owns"), lambda k: task(0, k, F.col("tile"), F.lit(1)))
+    among = F.transform(upto("others"), lambda k: task(1, F.least(F.col("tile"), k), F.greatest(F.col("tile"), k), F.col("tile") > k))
+    dealt = dealt.select("bucket", "rep", "component", F.explode(F.when(F.col("own"), of_own).otherwise(F.concat(across, among))).alias("task"))
+    dealt = dealt.select("bucket", "task.*", "rep", "component").join(sets.select("rep", "n", "bits"), "rep")
+    pairs = dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(_tile_judge(percent), "a long, b long")
+    found = staged(pairs.distinct(), "pairs")
+    discard(rows)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
@@ -201,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     * A row without an id is linked to nothing; its component is null and it is kept.
     * An empty table gives no rows; other columns are ignored.
 
-    ``rounds`` of leaders change how much work is left to the prefix filter, not the result.
+    ``rounds`` of leaders change how much work is left to the tiles, not the result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
     sketch = staged(rows.mapInArrow(_sketcher(width), "doc_id long, version long, n long, h1 long, h2 long, sig array<int>"), "sketch")
@@ -238,12 +318,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = _placed(members, at)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
     open_classes = staged(placed.join(mixed, "bucket").select("rep", "component").distinct(), "open")
-    pairs = _prefix_pairs(open_classes, sets, percent)
+    alive = _alive(open_classes, sets, percent)
+    pairs = _tile_pairs(placed, alive, sets, percent)
     links = _confirmed(pairs, sets, percent)
     at = _merged(at, links)
     by_class = classes.select("h1", "h2", "n", "rep").join(at.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = staged(by_class.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component")), "by_class")
-    discard(placed, open_classes, pairs, links, sets, members, at, classes)
+    discard(placed, open_classes, alive, pairs, links, sets, members, at, classes)
 
     found = sketch.select("doc_id", "n", "h1", "h2").join(by_class, ["h1", "h2", "n"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))

@@ -316,6 +316,56 @@ def test_candidates_grow_with_a_family_and_not_with_its_square(spark, width, edi
     assert many <= 5 * few and many <= 10 * 300
 
 
+@pytest.mark.parametrize("length", [100, 3000, 6000])
+def test_a_family_below_the_threshold_makes_few_pairs_at_any_length(length):
+    """Pairwise similarity 0.70 to 0.79 and no common text to lead: candidates don't grow with the square."""
+
+    def made(size):
+        rng = random.Random(size)
+        base = words(rng, length, 10**6).split()
+        sets = []
+        for k in range(size):
+            w = list(base)
+            for at in rng.sample(range(length), round(length * rng.uniform(0.034, 0.046))):
+                w[at] = f"n{rng.randrange(10**9)}"
+            sets.append(near_dedup.shingles(" ".join(w), 2))
+        bits = [near_dedup.parity(x) for x in sets]
+        side = {"n": np.array([x.size for x in sets]), "component": np.arange(size), "bits": {}}
+        for width in {b.size for b in bits}:
+            at = np.array([k for k, b in enumerate(bits) if b.size == width])
+            side["bits"][width] = (at, np.array([bits[k] for k in at]))
+        a, b = near_dedup.tile_pairs(side, side, 80)
+        similar = lambda i, j: 100 * np.intersect1d(sets[i], sets[j]).size >= 80 * np.union1d(sets[i], sets[j]).size
+        assert np.mean([similar(i, j) for i in range(20) for j in range(i)]) < 0.2
+        return sum(not similar(i, j) for i, j in zip(a, b) if i < j)
+
+    few, many = made(40), made(120)
+    assert few <= 40 and many <= 5 * max(few, 24), (few, many)
+
+
+def test_bitmaps_of_two_sizes_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((100, 125), (125, 131), (500, 520), (3000, 3700)):
+        x = rng.integers(0, 1 << 62, n + m, dtype=np.uint64)
+        a, b = np.unique(x[: n]), np.unique(x[n // 2 : n // 2 + m])
+        bits = [near_dedup.parity(s)[None] for s in (a, b)]
+        assert near_dedup.differing(*bits)[0, 0] == near_dedup.differing(*bits[::-1])[0, 0] <= np.setxor1d(a, b).size
+    assert len({near_dedup.parity(np.arange(n, dtype=np.uint64)).size for n in (100, 500, 3000)}) == 3
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_long_texts_in_dense_families(spark, monkeypatch, tile):
+    """Families of long texts around the threshold, and a hot one, in tiles of any size: as brute force."""
+    plain = near_dedup._tile_pairs
+    monkeypatch.setattr(near_dedup, "_tile_pairs", lambda *a: plain(*a, tile))
+    rng = random.Random(11)
+    made = list(family(rng, 40, 14)) + [t for length in (800, 2500) for t in family(rng, 12, round(length * 0.09), length)]
+    made = dict(enumerate(rng.sample(made, len(made))))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 2, 80, rounds=0).collect()}
+    assert got == near_dedup.brute_force(made, 2, 80)
+
+
 def test_rows_that_repeat_an_id_are_one_document(spark):
     a, b, c = "a b c d e", "x y z w v u", "one two three four five six"
     rows = [(3, a), (5, a), (5, b), (9, b), (12, c), (10, c), (10, "q r s t u v"), (11, "q r s t u v"), (20, None), (20, c), (21, "")]

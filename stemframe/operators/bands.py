@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
-from stemframe.operators.ensemble import ensemble_complex
-from stemframe.operators.metrics import SPECTRAL, against_median
-from stemframe.operators.spectral import BINS, SPEC, _z, mel_weights, spectra, stft
+from stemframe.operators.blocks import BLOCK, frame_sums, stft_blocks, to_blocks
+from stemframe.operators.metrics import OPTIONS, against_median
+from stemframe.operators.spectral import BINS, HOP, SIZE, SPEC, _z, spectra
 from stemframe.registry import query
+from stemframe.storage import staged
 
 # Band widths in Hz by layout as (from, to, width); width 0 is one band.
 LAYOUTS = {
@@ -133,100 +134,139 @@ def _bands(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0, 3, 0), (2, 2, 6, 3), (3, 6, 9, 7)], "band int, crop_start int, crop_stop int, offset int")
 
 
-def l1_freq(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """100 / (1 + 10 x mean absolute difference of magnitudes)."""
-    both = a.select(*keys, "frame", "bin", F.hypot("re", "im").alias("x")).join(b.select(*keys, "frame", "bin", F.hypot("re", "im").alias("y")), [*keys, "frame", "bin"])
-    return both.groupBy(*keys).agg((100 / (1 + 10 * F.avg(F.abs(F.col("x") - F.col("y"))))).alias("l1_freq"))
+def a_weighting(f: np.ndarray) -> np.ndarray:
+    """Gain of the A curve at frequencies, 1 at 1000 Hz."""
+    f2 = np.asarray(f, float) ** 2
+    return 12194.0**2 * f2 * f2 / ((f2 + 20.6**2) * np.sqrt((f2 + 107.7**2) * (f2 + 737.9**2)) * (f2 + 12194.0**2)) * 10 ** (2.0 / 20)
 
 
-def stft_loss(ref: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
-    """Spectral convergence plus mean log-magnitude distance, from the sums of one grouping."""
-    floor = lambda re, im: F.greatest(F.hypot(re, im), F.lit(1e-8))
-    both = ref.select(*keys, "frame", "bin", floor("re", "im").alias("x")).join(est.select(*keys, "frame", "bin", floor("re", "im").alias("y")), [*keys, "frame", "bin"])
-    d = F.col("x") - F.col("y")
-    return both.groupBy(*keys).agg((F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("x") * F.col("x"))) + F.avg(F.abs(F.log("x") - F.log("y")))).alias("loss"))
+def mel_matrix(n_mels: int, size: int, rate: float) -> np.ndarray:
+    """Bands by bins: triangles of equal area, even on the HTK scale; bands without a bin are left out."""
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edges = 700 * (10 ** (np.arange(n_mels + 2) * top / (n_mels + 1) / 2595) - 1)
+    f, lo, mid, hi = np.arange(size // 2 + 1) * rate / size, edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    w = np.maximum(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0) * 2 / (hi - lo)
+    return w[w.any(axis=1)]
 
 
-def bleedless_fullness(ref: DataFrame, est: DataFrame, weights: DataFrame, keys: list[str], top_db: float = 80.0) -> DataFrame:
-    """100 / (1 + mean positive difference) and 100 / (1 - mean negative difference) of mel levels in dB, each floored at its peak less top_db."""
-    def level(d, name):
-        mel = d.withColumn("mag", F.hypot("re", "im")).join(F.broadcast(weights), "bin").groupBy(*keys, "frame", "band").agg((20 * F.log10(F.greatest(F.sum(F.col("w") * F.col("mag")), F.lit(1e-10)))).alias("db"))
-        return mel.select(*keys, "frame", "band", F.greatest("db", F.max("db").over(Window.partitionBy(*keys)) - top_db).alias(name))
+def paired_blocks(ref: DataFrame, est: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Block rows with the arrays r and e of two long-form signals; of blocks of unequal length what both have."""
+    r, e = (to_blocks(d, keys, ("v",), block).withColumnRenamed("v", name) for d, name in ((ref, "r"), (est, "e")))
+    both = r.join(e, [*keys, "block"])
+    n = F.least(F.size("r"), F.size("e"))
+    return both.select(*keys, "block", F.slice("r", F.lit(1), n).alias("r"), F.slice("e", F.lit(1), n).alias("e"))
 
-    both = level(ref, "x").join(level(est, "y"), [*keys, "frame", "band"]).withColumn("d", F.col("y") - F.col("x"))
-    up, down = F.coalesce(F.avg(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)), F.coalesce(F.avg(F.when(F.col("d") < 0, F.col("d"))), F.lit(0.0))
-    return both.groupBy(*keys).agg((100 / (up + 1)).alias("bleedless"), (100 / (1 - down)).alias("fullness"))
 
+def spectral_scores(blocks: DataFrame, keys: list[str], metrics: list[str], options: dict, block: int = BLOCK) -> DataFrame:
+    """The requested scores of spectra by key, of block rows with r and e: each size is transformed once, and a block gives one row of sums.
 
-def a_weighting(f: Column) -> Column:
-    """Gain of the A curve at a frequency, 1 at 1000 Hz."""
-    f2 = f * f
-    r = F.lit(12194.0**2) * f2 * f2 / ((f2 + 20.6**2) * F.sqrt((f2 + 107.7**2) * (f2 + 737.9**2)) * (f2 + 12194.0**2))
-    return r * 10 ** (2.0 / 20)
-
-
-def mrstft_loss(ref: DataFrame, est: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1024, 2048, 4096), n_mels: int | None = 128, rate: float = 44100, perceptual: bool = True) -> DataFrame:
-    """Mean over resolutions (hop a quarter) of the spectral loss; with ``perceptual`` spectra are A-weighted, with
-    ``n_mels`` magnitudes are summed up by mel bands before they are compared."""
-    spark, total = ref.sparkSession, None
-    for size in sizes:
-        def shown(df: DataFrame) -> DataFrame:
-            s = stft(df, keys, size, size // 4)  # noqa: B023
-            if perceptual:
-                g = a_weighting(F.col("bin") * (rate / size))  # noqa: B023
-                s = s.withColumns({"re": F.col("re") * g, "im": F.col("im") * g})
-            if n_mels:
-                w = mel_weights(spark, n_mels, size, rate)  # noqa: B023
-                s = s.withColumn("mag", F.hypot("re", "im")).join(F.broadcast(w), "bin").groupBy(*keys, "frame", F.col("band").alias("bin")).agg(F.sum(F.col("w") * F.col("mag")).alias("re")).withColumn("im", F.lit(0.0))
-            return s
-
-        one = stft_loss(shown(ref), shown(est), keys)
-        total = one if total is None else total.unionByName(one)
-    return total.groupBy(*keys).agg(F.avg("loss").alias("loss"))
-
-
-def time_freq_error(joined: DataFrame, keys: list[str], w_time: float, w_freq: float, size: int = 16, hop: int = 8, norm: str = "l1", eps: float = 1e-3) -> DataFrame:
-    """w_time x L of samples plus w_freq x L of spectra (re and im), the latter of the error signal by linearity.
-
-    norm: ``l1`` mean magnitude, ``l2`` mean square, or ``ratio``, the error's level over the reference's in decibel.
+    l1_freq: 100 / (1 + 10 x mean absolute difference of magnitudes). aura_stft: 100 / (1 + 10 x loss), the loss being
+    spectral convergence plus mean log-magnitude distance; aura_mrstft: of the mean loss over ``sizes`` (hop a
+    quarter), A-weighted and summed up by ``mr_mels`` bands. bleedless and fullness: 100 / (1 + mean positive difference)
+    and 100 / (1 - mean negative difference) of mel levels in dB, each side floored at its peak less 80.
+    """
+    size, rate = options["size"], options["rate"]
+    plain, bleed = {"l1_freq", "aura_stft"} & set(metrics), {"bleedless", "fullness"} & set(metrics)
+    sizes = {"plain": (size, options["hop"])} if plain or bleed else {}
+    shown = {}
+    if "aura_mrstft" in metrics:
+        for k, n in enumerate(options["sizes"]):
+            sizes[f"mr{k}"] = (n, n // 4)
+            mel = mel_matrix(options["mr_mels"], n, rate) if options["mr_mels"] else np.eye(n // 2 + 1)
+            shown[f"mr{k}"] = (mel * a_weighting(np.arange(n // 2 + 1) * (rate / n))).T
+    mel = mel_matrix(options["n_mels"], size, rate).T if bleed else None
+    losses = [*(["plain"] if "aura_stft" in metrics else []), *shown]
+
+    def sums(spectra: dict) -> dict:
+        out = {}
+        for name, (r, e) in spectra.items():
+            x, y = np.abs(r), np.abs(e)
+            if name == "plain" and bleed:
+                a, b = (20 * np.log10(np.maximum(m @ mel, 1e-10)) for m in (x, y))
+                out |= {"bx": a.ravel(), "by": b.ravel(), "px": a.max(initial=-np.inf), "py": b.max(initial=-np.inf)}
+            if name == "plain" and "l1_freq" in metrics:
+                out |= {"l1": np.abs(x - y).sum(), "l1_n": x.size}
+            if name in losses:
+                x, y = (np.maximum(m @ shown[name] if name in shown else m, 1e-8) for m in (x, y))
+                out |= {f"{name}_d": ((x - y) ** 2).sum(), f"{name}_x": (x * x).sum(), f"{name}_l": np.abs(np.log(x) - np.log(y)).sum(), f"{name}_n": x.size}
+        return out
+
+    adds = [*(["l1", "l1_n"] if "l1_freq" in metrics else []), *[f"{name}_{c}" for name in losses for c in "dxln"]]
+    fields = [*(f"{c} double" for c in adds), *(["bx array<double>", "by array<double>", "px double", "py double"] if bleed else [])]
+    parts = frame_sums(blocks, keys, ("r", "e"), sizes, sums, ", ".join(fields), block)
+    if bleed:
+        # The peaks of a signal are known when all of its blocks are; then each block gives sums again.
+        parts = staged(parts, "levels")
+        parts = parts.join(parts.groupBy(*keys).agg(F.max("px").alias("top_x"), F.max("py").alias("top_y")), keys)
+        floored = F.zip_with("bx", "by", lambda x, y: F.greatest(y, F.col("top_y") - 80) - F.greatest(x, F.col("top_x") - 80))
+        parts = parts.withColumn("__d", floored)
+        for name, keep in (("up", lambda x: x > 0), ("down", lambda x: x < 0)):
+            kept = F.filter("__d", keep)
+            parts = parts.withColumns({name: F.aggregate(kept, F.lit(0.0), lambda t, x: t + x), f"{name}_n": F.size(kept).cast("double")})
+        adds += ["up", "up_n", "down", "down_n"]
+    total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in adds])
+    loss = lambda name: F.expr(f"sqrt({name}_d) / sqrt({name}_x) + {name}_l / {name}_n")
+    mean = lambda name: F.when(F.col(f"{name}_n") > 0, F.col(name) / F.col(f"{name}_n")).otherwise(0.0)
+    found = {
+        "l1_freq": lambda: 100 / (1 + 10 * F.col("l1") / F.col("l1_n")),
+        "aura_stft": lambda: 100 / (1 + 10 * loss("plain")),
+        "aura_mrstft": lambda: 100 / (1 + 10 * sum((loss(name) for name in shown), F.lit(0.0)) / len(shown)),
+        "bleedless": lambda: 100 / (1 + mean("up")),
+        "fullness": lambda: 100 / (1 - mean("down")),
+    }
+    return total.select(*keys, *[found[m]().alias(m) for m in metrics])
+
+
+def time_freq_errors(blocks: DataFrame, keys: list[str], w_time: float, w_freq: float, size: int = 2048, hop: int = 512, norms: tuple[str, ...] = ("l1",), eps: float = 1e-3, block: int = BLOCK) -> DataFrame:
+    """By key, for each of ``norms``: w_time x L of samples plus w_freq x L of spectra (re and im), of block rows with r and e.
+
+    ``l1`` is the mean magnitude of the error, ``l2`` its mean square, ``ratio`` its level over the reference's in decibel.
     """
-    size_of = (lambda x: F.avg(x * x)) if norm == "l2" else (lambda x: F.avg(F.abs(x)))
-    against = lambda top, base: 10 * (F.log10(top + eps) - F.log10(base + eps)) if norm == "ratio" else top
-    err, ref = joined.select(*keys, "pos", (F.col("r") - F.col("e")).alias("v")), joined.select(*keys, "pos", F.col("r").alias("v"))
-    t = joined.groupBy(*keys).agg(against(size_of(F.col("r") - F.col("e")), size_of(F.col("r"))).alias("t"))
-    f = stft(err, keys, size, hop).groupBy(*keys).agg(size_of(F.col("re")).alias("re"), size_of(F.col("im")).alias("im"))
-    if norm == "ratio":
-        base = stft(ref, keys, size, hop).groupBy(*keys).agg(size_of(F.col("re")).alias("base_re"), size_of(F.col("im")).alias("base_im"))
-        f = f.join(base, keys).select(*keys, against(F.col("re"), F.col("base_re")).alias("re"), against(F.col("im"), F.col("base_im")).alias("im"))
-    return t.join(f, keys).select(*keys, (w_time * F.col("t") + w_freq * (F.col("re") + F.col("im"))).alias("error"))
-
 
-def _sides(joined: DataFrame, keys: list[str], size: int, hop: int) -> tuple[DataFrame, DataFrame]:
-    return tuple(stft(joined.select(*keys, "pos", F.col(c).alias("v")), keys, size, hop) for c in "re")
+    def sums(spectra: dict) -> dict:
+        r, e = spectra["f"]
+        d = r - e
+        sides = {"re": d.real, "im": d.imag, "base_re": r.real, "base_im": r.imag}
+        return {f"{k}1": np.abs(x).sum() for k, x in sides.items()} | {"re2": (d.real**2).sum(), "im2": (d.imag**2).sum(), "n": d.size}
 
+    def every(r: np.ndarray, e: np.ndarray) -> dict:
+        return {"t1": np.abs(r - e).sum(), "t2": ((r - e) ** 2).sum(), "base_t1": np.abs(r).sum(), "samples": r.size}
 
-def _mapped(loss: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    return loss.select(*keys, (100 / (1 + 10 * F.col("loss"))).alias(name))
+    names = ["re1", "im1", "base_re1", "base_im1", "re2", "im2", "n", "t1", "t2", "base_t1", "samples"]
+    parts = frame_sums(blocks, keys, ("r", "e"), {"f": (size, hop)}, sums, ", ".join(f"{c} double" for c in names), block, every)
+    total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    over = lambda x, n: f"{x}1 / {n}"
+    level = lambda x, n: f"10 * (log10({over(x, n)} + {eps}) - log10({over('base_' + x, n)} + {eps}))"
+    of = {"l1": over, "l2": lambda x, n: f"{x}2 / {n}", "ratio": level}
+    return total.select(*keys, *[F.expr(f"{w_time} * ({of[m]('t', 'samples')}) + {w_freq} * ({of[m]('re', 'n')} + {of[m]('im', 'n')})").alias(m) for m in norms])
 
 
-def _bleed(joined: DataFrame, keys: list[str], o: dict, name: str) -> DataFrame:
-    w = mel_weights(joined.sparkSession, o["n_mels"], o["size"], o["rate"])
-    return bleedless_fullness(*_sides(joined, keys, o["size"], o["hop"]), w, keys).select(*keys, name)
+def ensemble_frames(frames: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """One frame row of the estimates' frame rows (keys, model, w, re, im): avg_fft by weights w, min_fft and max_fft by
+    magnitude (ties: the first model), median_fft in order of re and im.
 
+    The estimates of a frame meet in one group; they are bounded by the number of models.
+    """
+    own = F.array_sort(F.collect_list(F.struct("model", F.col("w").cast("double").alias("w"), "re", "im")))
+    rows = frames.groupBy(*keys).agg(own.alias("s")).select(*keys, *[F.transform("s", lambda s: s[c]).alias(f"__{c}") for c in ("w", "re", "im")])  # noqa: B023
 
-def _mrstft(joined: DataFrame, keys: list[str], o: dict) -> DataFrame:
-    one = lambda c: joined.select(*keys, "pos", F.col(c).alias("v"))
-    return mrstft_loss(one("r"), one("e"), keys, o["sizes"], o["mr_mels"], o["rate"])
+    def one(w: np.ndarray, z: np.ndarray) -> np.ndarray:
+        if method == "avg_fft":
+            return (z * w[:, None]).sum(axis=0) / w.sum()
+        if method == "median_fft":
+            ordered = np.take_along_axis(z, np.lexsort((z.imag, z.real), axis=0), axis=0)
+            return (ordered[(len(z) - 1) // 2] + ordered[len(z) // 2]) / 2
+        power = z.real**2 + z.imag**2
+        at = power.argmin(axis=0) if method == "min_fft" else power.argmax(axis=0)
+        return np.take_along_axis(z, at[None], axis=0)[0]
 
+    def run(batches):
+        for pdf in batches:
+            found = [one(np.asarray(w, float), np.stack(re) + 1j * np.stack(im)) for w, re, im in zip(pdf["__w"], pdf["__re"], pdf["__im"])]
+            yield pdf[keys].assign(re=[z.real for z in found], im=[z.imag for z in found])
 
-# Scores of spectra, known to metrics.score by name.
-SPECTRAL |= {
-    "l1_freq": lambda j, keys, o: l1_freq(*_sides(j, keys, o["size"], o["hop"]), keys),
-    "aura_stft": lambda j, keys, o: _mapped(stft_loss(*_sides(j, keys, o["size"], o["hop"]), keys), "aura_stft", keys),
-    "aura_mrstft": lambda j, keys, o: _mapped(_mrstft(j, keys, o), "aura_mrstft", keys),
-    "bleedless": lambda j, keys, o: _bleed(j, keys, o, "bleedless"),
-    "fullness": lambda j, keys, o: _bleed(j, keys, o, "fullness"),
-}
+    types = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(run, f"{types}, re array<double>, im array<double>")
 
 
 def phase_rotate(spec: DataFrame, degrees: float) -> DataFrame:
@@ -296,7 +336,14 @@ ESPEC = SPEC.replace("spec AS (SELECT track, channel", "spec AS (SELECT track %
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra(spark, sf_dir).select((F.col("track") % 10).alias("song"), (F.col("track") * 2 + F.col("channel")).alias("model"), "frame", "bin", "re", "im")
+    """Frame rows of estimates: song, model, frame, w, re, im."""
+    rows = stft_blocks(to_blocks(fx.stereo(spark, sf_dir), ["track", "channel"]), ["track", "channel"], SIZE, HOP)
+    model = F.col("track") * 2 + F.col("channel")
+    return rows.select((F.col("track") % 10).alias("song"), model.alias("model"), "frame", (model % 5 + 1).alias("w"), "re", "im")
+
+
+def _bins(frames: DataFrame, *keys: str) -> DataFrame:
+    return frames.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z")).select(*keys, "bin", "z.re", "z.im")
 
 
 _E = ["song", "frame", "bin"]
@@ -304,53 +351,54 @@ _E = ["song", "frame", "bin"]
 
 @query("f4_ensemble_avg_fft", f"WITH {ESPEC} SELECT song, frame, bin, round(sum(re * (model % 5 + 1)) / sum(model % 5 + 1), 5) + 0.0 AS re, round(sum(im * (model % 5 + 1)) / sum(model % 5 + 1), 5) + 0.0 AS im FROM spec GROUP BY song, frame, bin")
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _z(ensemble_complex(estimates(spark, sf_dir), "avg_fft", _E, (F.col("model") % 5 + 1).cast("double")), *_E)
+    return _z(_bins(ensemble_frames(estimates(spark, sf_dir), _E[:2], "avg_fft"), *_E[:2]), *_E)
 
 
 @query("f5_ensemble_extreme_fft", f"""WITH {ESPEC}, m AS (SELECT *, re * re + im * im AS s FROM spec) SELECT 'min' AS how, song, frame, bin, round(arg_min(re, (s, model)), 5) + 0.0 AS re, round(arg_min(im, (s, model)), 5) + 0.0 AS im FROM m GROUP BY song, frame, bin
 UNION ALL SELECT 'max', song, frame, bin, round(arg_max(re, (s, -model)), 5) + 0.0, round(arg_max(im, (s, -model)), 5) + 0.0 FROM m GROUP BY song, frame, bin""")
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = estimates(spark, sf_dir)
-    a, b = (_z(ensemble_complex(e, f"{how}_fft", _E), *_E).withColumn("how", F.lit(how)) for how in ("min", "max"))
+    a, b = (_z(_bins(ensemble_frames(e, _E[:2], f"{how}_fft"), *_E[:2]), *_E).withColumn("how", F.lit(how)) for how in ("min", "max"))
     return a.unionByName(b)
 
 
 @query("f6_ensemble_median_fft", f"""WITH {ESPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY song, frame, bin ORDER BY re, im, model) AS turn, count(*) OVER (PARTITION BY song, frame, bin) AS n FROM spec)
 SELECT song, frame, bin, round(avg(re), 5) + 0.0 AS re, round(avg(im), 5) + 0.0 AS im FROM r WHERE turn IN (floor((n + 1) / 2), floor((n + 2) / 2)) GROUP BY song, frame, bin""")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _z(ensemble_complex(estimates(spark, sf_dir), "median_fft", _E), *_E)
+    return _z(_bins(ensemble_frames(estimates(spark, sf_dir), _E[:2], "median_fft"), *_E[:2]), *_E)
 
 
 PSPEC = SPEC + ", p AS (SELECT x.track, x.channel, x.frame, x.bin, sqrt(x.re * x.re + x.im * x.im) AS xm, sqrt(y.re * y.re + y.im * y.im) AS ym FROM spec x JOIN spec y ON y.track = x.track + 1 AND y.channel = x.channel AND y.frame = x.frame AND y.bin = x.bin WHERE x.track % 2 = 0)"
 
 
-def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = spectra(spark, sf_dir)
-    return s.filter("track % 2 = 0"), s.filter("track % 2 = 1").withColumn("track", F.col("track") - 1)
+def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.stereo(spark, sf_dir)
+    return paired_blocks(s.filter("track % 2 = 0"), s.filter("track % 2 = 1").withColumn("track", F.col("track") - 1), ["track", "channel"])
+
+
+def _scored(spark: SparkSession, sf_dir: str, metrics: list[str], **options) -> DataFrame:
+    out = spectral_scores(_pair(spark, sf_dir), ["track", "channel"], metrics, OPTIONS | options)
+    return out.select("track", "channel", *[F.round(m, 4).alias(m) for m in metrics])
 
 
 @query("i3_l1_freq", f"WITH {PSPEC} SELECT track, channel, round(100 / (1 + 10 * avg(abs(xm - ym))), 4) AS l1_freq FROM p GROUP BY ALL")
 def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l1_freq(*_pair(spark, sf_dir), ["track", "channel"]).withColumn("l1_freq", F.round("l1_freq", 4))
+    return _scored(spark, sf_dir, ["l1_freq"], size=SIZE, hop=HOP)
 
 
 @query("i4_aura_stft", f"WITH {PSPEC}, f AS (SELECT track, channel, greatest(xm, 1e-8) AS x, greatest(ym, 1e-8) AS y FROM p) SELECT track, channel, round(100 / (1 + 10 * (sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)) + avg(abs(ln(x) - ln(y))))), 4) AS score FROM f GROUP BY ALL")
 def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loss = stft_loss(*_pair(spark, sf_dir), ["track", "channel"])
-    return loss.select("track", "channel", F.round(100 / (1 + 10 * F.col("loss")), 4).alias("score"))
+    return _scored(spark, sf_dir, ["aura_stft"], size=SIZE, hop=HOP).withColumnRenamed("aura_stft", "score")
 
 
 @query("i5_aura_mrstft")
 def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.stereo(spark, sf_dir)
-    loss = mrstft_loss(df.filter("track % 2 = 0"), df.filter("track % 2 = 1").withColumn("track", F.col("track") - 1), ["track", "channel"], (8, 16, 32), 3, 16000)
-    return loss.select("track", "channel", F.round(100 / (1 + 10 * F.col("loss")), 4).alias("score"))
+    return _scored(spark, sf_dir, ["aura_mrstft"], sizes=(8, 16, 32), mr_mels=3, rate=16000).withColumnRenamed("aura_mrstft", "score")
 
 
 @query("i7_bleedless_fullness")
 def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bleedless_fullness(*_pair(spark, sf_dir), mel_weights(spark, 4, 16, 16000), ["track", "channel"])
-    return out.select("track", "channel", F.round("bleedless", 4).alias("bleedless"), F.round("fullness", 4).alias("fullness"))
+    return _scored(spark, sf_dir, ["bleedless", "fullness"], size=SIZE, hop=HOP, n_mels=4, rate=16000)
 
 
 _F13 = """sp AS (SELECT track, model, frame, bin, sum(x * cos(2 * pi() * bin * i / 16)) AS re, sum(x * sin(2 * pi() * bin * i / 16)) AS im, sum(y * cos(2 * pi() * bin * i / 16)) AS rre, sum(y * sin(2 * pi() * bin * i / 16)) AS rim FROM fr CROSS JOIN (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL)"""
@@ -363,8 +411,8 @@ g AS (SELECT track, model, avg(abs(re)) + avg(abs(im)) AS f1, avg(re * re) + avg
 SELECT track, model, round(0.6 * t1 + 0.4 * f1, 5) AS l1, round(0.6 * t2 + 0.4 * f2, 5) AS l2, round(0.6 * t3 + 0.4 * f3, 4) AS ratio FROM t JOIN g USING (track, model)""")
 def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
     j, keys = against_median(fx.sig(spark, sf_dir)), ["track", "model"]
-    out = [time_freq_error(j, keys, 0.6, 0.4, norm=n).select(*keys, F.round("error", 4 if n == "ratio" else 5).alias(n)) for n in ("l1", "l2", "ratio")]
-    return out[0].join(out[1], keys).join(out[2], keys)
+    out = time_freq_errors(to_blocks(j, keys, ("r", "e")), keys, 0.6, 0.4, SIZE, HOP, ("l1", "l2", "ratio"))
+    return out.select(*keys, *[F.round(n, 4 if n == "ratio" else 5).alias(n) for n in ("l1", "l2", "ratio")])
 
 
 @query("b15_phase_rotate", f"WITH {SPEC} SELECT track, channel, frame, bin, round(CASE WHEN bin IN (0, 8) THEN re * cos(radians(30)) ELSE re * cos(radians(30)) - im * sin(radians(30)) END, 5) + 0.0 AS re, round(CASE WHEN bin IN (0, 8) THEN im * cos(radians(30)) ELSE im * cos(radians(30)) + re * sin(radians(30)) END, 5) + 0.0 AS im FROM spec")

@@ -51,21 +51,6 @@ def ensemble(df: DataFrame, method: str, keys: list[str] = KEYS, weight: Column
     return df.groupBy(*keys).agg(combine(method, weight=weight).alias("v"))
 
 
-def ensemble_complex(df: DataFrame, method: str, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """Estimates of complex values (re, im): avg, min, max by magnitude, median in lexicographic order."""
-    w = F.lit(1.0) if weight is None else weight
-    value, size = F.struct("re", "im"), F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    if method == "avg_fft":
-        return df.groupBy(*keys).agg(weighted_mean(F.col("re"), w).alias("re"), weighted_mean(F.col("im"), w).alias("im"))
-    if method == "median_fft":
-        own = Window.partitionBy(*keys)
-        ranked = df.withColumn("turn", F.row_number().over(own.orderBy("re", "im", "model"))).withColumn("n", F.count(F.lit(1)).over(own))
-        middle = (F.col("turn") == F.floor((F.col("n") + 1) / 2)) | (F.col("turn") == F.floor((F.col("n") + 2) / 2))
-        return ranked.filter(middle).groupBy(*keys).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
-    pick = F.min_by(value, F.struct(size, F.col("model"))) if method == "min_fft" else F.max_by(value, F.struct(size, -F.col("model")))
-    return df.groupBy(*keys).agg(pick.alias("z")).select(*keys, "z.re", "z.im")
-
-
 def pairwise(df: DataFrame, method: str, keys: list[str] = KEYS) -> DataFrame:
     """Fold over estimates: min or max magnitude where the later one wins ties, within the shortest estimate;
     the tail up to the longest is silence. Average pads to the longest instead."""

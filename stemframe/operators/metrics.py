@@ -63,27 +63,27 @@ def register_score(name: str, build: Callable[[], Column]) -> None:
     SCORES[name] = build
 
 
-#: Metrics of spectra by name: a function of the joined samples, the keys and options, to the keys and the metric.
-SPECTRAL: dict[str, Callable[[DataFrame, list[str], dict], DataFrame]] = {}
+#: Metrics of spectra, and their options: of ``bands.spectral_scores``.
+SPECTRAL = frozenset({"l1_freq", "aura_stft", "aura_mrstft", "bleedless", "fullness"})
 OPTIONS = {"size": 2048, "hop": 512, "n_mels": 512, "rate": 44100, "sizes": (1024, 2048, 4096), "mr_mels": 128}
 
 
 def score(joined: DataFrame, keys: list[str], metrics: list[str], **options) -> DataFrame:
-    """The requested metrics by key: those of samples in one grouping, and a job of its own for each of spectra.
+    """The requested metrics by key: those of samples in one grouping, those of spectra in one pass over block rows.
 
     What is not requested is not computed. Metrics of spectra need the column pos; ``options`` are those of OPTIONS.
     """
-    import stemframe.operators.bands  # noqa: F401  adds the metrics of spectra
+    from stemframe.operators.bands import spectral_scores
+    from stemframe.operators.blocks import to_blocks
 
     unknown = [m for m in metrics if m not in SCORES and m not in SPECTRAL]
     if unknown:
         raise ValueError(f"unknown metrics: {', '.join(unknown)}")
-    plain = [m for m in metrics if m in SCORES]
+    plain, spectral = [m for m in metrics if m in SCORES], [m for m in metrics if m in SPECTRAL]
     out = joined.groupBy(*keys).agg(*[SCORES[m]().alias(m) for m in plain]) if plain else None
-    for m in metrics:
-        if m in SPECTRAL:
-            one = SPECTRAL[m](joined, keys, OPTIONS | options)
-            out = one if out is None else out.join(one, keys, "left")
+    if spectral:
+        found = spectral_scores(to_blocks(joined, keys, ("r", "e")), keys, spectral, OPTIONS | options)
+        out = found if out is None else out.join(found, keys, "left")
     return out.select(*keys, *metrics)
 
 

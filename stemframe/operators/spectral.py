@@ -1,24 +1,22 @@
 """Spectral transforms.
 
 Two tiers. The relational tier writes a transform as a grouping over (sample, bin) pairs made by
-``explode``; it is exact, has an oracle and suits small sizes. The array tier takes one row per frame with
-its samples as an array and runs numpy's FFT over Arrow batches (``stft_arrays``, ``stft_centred`` and their inverse);
-frames are independent rows there, so the transform needs no exchange at all.
+``explode``; it is exact, has an oracle and suits small sizes. The block tier (``blocks``) cuts frames from block rows
+with a halo and runs numpy's FFT over Arrow batches; ``stft_centred`` and its inverse are that for long-form signals.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
+from stemframe.operators.blocks import from_blocks, istft_blocks, lengths, stft_blocks, to_blocks
 from stemframe.operators.filters import butterworth_highpass, filtered
-from stemframe.operators.frames import frame, reflect_pad, with_length
+from stemframe.operators.frames import frame, with_length
 from stemframe.registry import query
 
 SIZE, HOP = 16, 8
@@ -86,29 +84,6 @@ def istft(spec: DataFrame, keys: list[str], size: int = SIZE, hop: int = HOP, wi
     return s.select(*keys, "pos", F.when(F.col("w") > 1e-12, F.col("s") / F.col("w")).otherwise(0.0).alias("v"))
 
 
-def frame_arrays(df: DataFrame, keys: list[str], size: int, hop: int) -> DataFrame:
-    """One row per whole frame, its samples as an array: keys, frame, samples."""
-    framed = frame(df, keys, size, hop, "drop")
-    return framed.groupBy(*keys, F.col("chunk").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("samples"))
-
-
-def stft_arrays(frames: DataFrame) -> DataFrame:
-    """FFT of frame rows (Hann): the same rows with re and im arrays instead of samples; numpy over Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["samples"].to_numpy())
-                n = x.shape[1]
-                z = np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)), axis=1)
-                pdf = pdf.drop(columns="samples").assign(re=list(z.real), im=list(z.imag))
-                yield pdf
-
-    fields = [f for f in frames.schema.fields if f.name != "samples"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return frames.mapInPandas(run, f"{schema}, re array<double>, im array<double>")
-
-
 def window_values(spark: SparkSession, name: str, n: int) -> np.ndarray:
     """The n values of a named window; they go to the driver and with the job."""
     rows = spark.range(n).selectExpr("id AS i", f"{n} AS n").select("i", F.expr(WINDOWS[name]).cast("double").alias("w")).collect()
@@ -122,50 +97,14 @@ def stft_centred(df: DataFrame, keys: list[str], size: int = 2048, hop: int = 10
     no more than ``size`` samples). window: periodic Hann if not given. scale: ``sqrt`` divides by the root of
     ``size``, ``window`` by the sum of the window.
     """
-    border = size // 2
-    df = with_length(df.select(*keys, "pos", "v"), keys).withColumnRenamed("n", "length")
-    placed = reflect_pad(df, keys, border) if pad == "reflect" else df
-    placed = placed.withColumn("pos", F.col("pos") + border).withColumn("n", F.col("length") + 2 * border)
-    framed = frame(placed, keys, size, hop, "drop")
-    rows = framed.groupBy(*keys, F.col("chunk").alias("frame")).agg(F.max("length").alias("length"), F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("s"))
-    rows = rows.select(*keys, "frame", "length", F.transform("s", lambda s: s["i"]).alias("__i"), F.transform("s", lambda s: s["v"]).alias("__v"))
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if window is None else window
-    by = {"none": 1.0, "sqrt": math.sqrt(size), "window": float(w.sum())}[scale]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.zeros((len(pdf), size))
-            for k, (i, v) in enumerate(zip(pdf["__i"], pdf["__v"])):
-                x[k, i] = v
-            z = np.fft.rfft(x * w, axis=1) / by
-            yield pdf.drop(columns=["__i", "__v"]).assign(re=list(z.real), im=list(z.imag))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if not f.name.startswith("__"))
-    return rows.mapInPandas(run, f"{fields}, re array<double>, im array<double>")
+    own = to_blocks(df, keys)
+    return stft_blocks(own, keys, size, hop, pad=pad, window=window, scale=scale).join(lengths(own, keys), keys).select(*keys, "frame", "length", "re", "im")
 
 
 def istft_centred(spec: DataFrame, keys: list[str], size: int = 2048, hop: int = 1024, window: np.ndarray | None = None, scale: str = "none") -> DataFrame:
-    """The inverse of ``stft_centred``, trimmed to the signal's length: keys, pos, v.
-
-    Frames are inverted as rows; their samples are added up by position over the sum of squared windows.
-    """
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if window is None else window
-    by = {"none": 1.0, "sqrt": math.sqrt(size), "window": float(w.sum())}[scale]
-    rows = spec.select(*keys, "frame", "length", "re", "im")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                z = np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy())
-                x = np.fft.irfft(z * by, size, axis=1) * w
-                yield pdf.drop(columns=["re", "im"]).assign(x=list(x), w=[w * w] * len(pdf))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("re", "im"))
-    frames = rows.mapInPandas(run, f"{fields}, x array<double>, w array<double>")
-    flat = frames.select(*keys, "frame", "length", F.posexplode(F.arrays_zip("x", "w")).alias("i", "z"))
-    placed = flat.withColumn("pos", (F.col("frame") * hop + F.col("i") - size // 2).cast("int")).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("length")))
-    s = placed.groupBy(*keys, "pos").agg(F.sum("z.x").alias("s"), F.sum("z.w").alias("w"))
-    return s.select(*keys, "pos", F.when(F.col("w") > 1e-12, F.col("s") / F.col("w")).otherwise(0.0).alias("v"))
+    """The inverse of ``stft_centred``, trimmed to the signal's length: keys, pos, v."""
+    out = from_blocks(istft_blocks(spec, keys, size, hop, window=window, scale=scale, centred=True), keys)
+    return out.withColumn("pos", F.col("pos").cast("int"))
 
 
 def mag_phase(spec: DataFrame) -> DataFrame:
@@ -346,7 +285,8 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d1_stft_arrays", f"WITH {SPEC} SELECT track, channel, frame, bin, {ZSQL} FROM spec")
 def d1_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stft_arrays(frame_arrays(fx.stereo(spark, sf_dir), CHANNEL, SIZE, HOP))
+    # Blocks of two frames and a half, so that most frames reach into the next one.
+    rows = stft_blocks(to_blocks(fx.stereo(spark, sf_dir), CHANNEL, block=24), CHANNEL, SIZE, HOP, block=24)
     flat = rows.select("track", "channel", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
     return _z(flat.select(*BINS, "z.re", "z.im"), *BINS)
 

@@ -1,4 +1,4 @@
-"""PCM WAV files as block rows, and back. Files are read by Spark's binaryFile source, so any store it reads will do."""
+"""PCM WAV files as block rows, and back, by the data source of ``wav_source``."""
 
 from __future__ import annotations
 
@@ -13,66 +13,24 @@ from pyspark.sql import functions as F
 from stemframe import fixtures as fx
 from stemframe.operators.spectral import resample_sinc
 from stemframe.registry import query
+from stemframe.sources.wav_source import BLOCK, BLOCK_SCHEMA, WavInfoSource, WavSource, codes_of, file_system, head_bytes, header, samples_of
 from stemframe.storage import new_path
 
-BLOCK = 65_536
-BLOCK_SCHEMA = "track string, channel int, block int, start long, n int, sr int, samples array<float>, error string"
-
 
 def wav_bytes(x: np.ndarray, sr: int, bits: int = 16) -> bytes:
     """PCM WAV of an array (samples, channels) in [-1, 1], with 8, 16, 24 or 32 bits."""
-    width = bits // 8
-    top = (1 << (bits - 1)) - 1
-    whole = np.trunc(np.clip(x, -1, 1) * top).astype("<i8").reshape(-1)
-    pcm = (whole + 128).astype(np.uint8).tobytes() if bits == 8 else whole.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    channels = x.shape[1]
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, sr, sr * channels * width, channels * width, bits, b"data", len(pcm))
-    return head + pcm
-
+    pcm = codes_of(x, bits)
+    return head_bytes(len(pcm), x.shape[1], sr, bits) + pcm
 
-def _parts(content: bytes) -> tuple[dict, int, int]:
-    """(format, start and length of the data) of a PCM WAV; chunks may come in any order.
 
-    The extensible format says what its samples are in its first two bytes of the sub-format.
-    """
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    at, fmt, data = 12, {}, (0, 0)
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if name == b"fmt ":
-            kind, channels, sr, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
-            if kind == 0xFFFE and size >= 26:
-                kind = struct.unpack_from("<H", content, at + 32)[0]
-            fmt = {"kind": kind, "channels": channels, "sr": sr, "bits": bits}
-        elif name == b"data":
-            data = (at + 8, min(size, len(content) - at - 8))
-        at += 8 + size + size % 2
-    if not fmt:
-        raise ValueError("a WAV file without a format")
-    if fmt["kind"] not in (1, 3) or not fmt["channels"] or not fmt["sr"]:
-        raise ValueError(f"format {fmt['kind']} with {fmt['channels']} channels is not PCM")
-    return fmt, *data
+def _header(content: bytes) -> tuple[dict, int, int]:
+    return header(lambda at, n: content[at : at + n], len(content))
 
 
 def pcm_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """(samples by channels in [-1, 1], rate): integers of 8 (unsigned), 16, 24 and 32 bits, floats of 32 and 64."""
-    fmt, start, size = _parts(content)
-    width, channels = fmt["bits"] // 8, fmt["channels"]
-    raw = content[start : start + size // (width * channels) * width * channels] if width else b""
-    if fmt["kind"] == 3 and fmt["bits"] in (32, 64):
-        x = np.frombuffer(raw, f"<f{width}").astype(float)
-    elif fmt["kind"] == 1 and fmt["bits"] == 8:
-        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 127
-    elif fmt["kind"] == 1 and fmt["bits"] == 24:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000
-        x = x / float((1 << 23) - 1)
-    elif fmt["kind"] == 1 and fmt["bits"] in (16, 32):
-        x = np.frombuffer(raw, f"<i{width}") / float((1 << (fmt["bits"] - 1)) - 1)
-    else:
-        raise ValueError(f"{fmt['bits']} bits of kind {fmt['kind']}")
-    return x.reshape(-1, channels), fmt["sr"]
+    """(samples by channels in [-1, 1], rate) of a whole file."""
+    fmt, start, size = _header(content)
+    return samples_of(content[start : start + size], fmt), fmt["sr"]
 
 
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +44,7 @@ def list_directory(spark: SparkSession, path: str, recursive: bool = False, patt
 
 
 def decoded(files: DataFrame, mono: bool = False, block: int = BLOCK) -> DataFrame:
-    """Block rows of WAV files (path, content); more than two channels become the first two, mono their mean.
+    """Block rows of WAV files held as values (path, content); more than two channels become the first two, mono their mean.
 
     A file that can't be read is one row without samples, with the reason in ``error``; the others are not touched by it.
     """
@@ -108,8 +66,13 @@ def decoded(files: DataFrame, mono: bool = False, block: int = BLOCK) -> DataFra
 
 
 def scan_signals(spark: SparkSession, path: str, mono: bool = False, block: int = BLOCK) -> DataFrame:
-    """``decoded`` of every WAV below ``path``."""
-    return decoded(wav_files(spark, path), mono, block)
+    """Block rows of every WAV below ``path``, by ranges of files (the track is the path below it, without ``.wav``).
+
+    A store that only Spark reads is read by its binaryFile source, file by file.
+    """
+    if not _reachable(path):
+        return decoded(wav_files(spark, path), mono, block)
+    return _source(spark, "wav").option("block", block).option("mono", str(mono).lower()).option("path", path).load()
 
 
 def media_info(files: DataFrame) -> DataFrame:
@@ -120,7 +83,7 @@ def media_info(files: DataFrame) -> DataFrame:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    fmt, _, size = _parts(content)
+                    fmt, _, size = _header(content)
                     rows.append((p, 0, fmt["sr"], size / (fmt["channels"] * fmt["bits"] / 8) / fmt["sr"], None))
                 except (ValueError, struct.error, ZeroDivisionError) as e:
                     rows.append((p, None, None, None, str(e)))
@@ -130,8 +93,36 @@ def media_info(files: DataFrame) -> DataFrame:
 
 
 def scan_media_info(spark: SparkSession, path: str) -> DataFrame:
-    """``media_info`` of every WAV below ``path``; Spark's source reads a file as a whole, samples are not decoded."""
-    return media_info(wav_files(spark, path))
+    """``media_info`` of every WAV below ``path``; only headers are read, but in a store that only Spark reads."""
+    return _source(spark, "wav_info").option("path", path).load() if _reachable(path) else media_info(wav_files(spark, path))
+
+
+def _reachable(path: str) -> bool:
+    try:
+        file_system(path)
+    except (ValueError, OSError):
+        return False
+    return True
+
+
+def _source(spark: SparkSession, name: str):
+    spark.dataSource.register({"wav": WavSource, "wav_info": WavInfoSource}[name])
+    return spark.read.format(name)
+
+
+def write_wav(df: DataFrame, path: str, sr: int, bits: int = 16, block: int = BLOCK, mode: str = "append") -> None:
+    """WAV files below ``path`` of a long-form signal (file, channel, pos, v); bits as in ``wav_source.codes_of``.
+
+    A file is written by one task, block by block; all appear when the job has succeeded, none if it fails. ``append``
+    is an error where a file is there already, ``overwrite`` replaces it.
+    """
+    number = F.expr(f"CAST(pos div {block} AS INT)")
+    rows = df.groupBy("file", number.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "channel", F.col("v").cast("double").alias("v")))).alias("s"))
+    rows = rows.withColumn("n", F.size(F.array_distinct(F.transform("s", lambda s: s["pos"]))))
+    total = rows.groupBy("file").agg(F.sum("n").alias("total"))
+    rows = rows.join(total, "file").select("file", "block", F.lit(sr).alias("sr"), (F.size("s") / F.col("n")).cast("int").alias("channels"), "total", F.transform("s", lambda s: s["v"]).alias("samples"))
+    df.sparkSession.dataSource.register(WavSource)
+    rows.repartition("file").sortWithinPartitions("file", "block").write.format("wav").option("path", path).option("bits", bits).mode(mode).save()
 
 
 def encoded(df: DataFrame, sr: int, bits: int = 16) -> DataFrame:
@@ -163,11 +154,12 @@ def to_blocks(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     return rows.select(*keys, "block", (F.col("block") * F.lit(block).cast("long")).alias("start"), F.size("s").alias("n"), F.transform("s", lambda s: s["v"]).alias("samples"))
 
 
-def write_stems(df: DataFrame, path: str, least: float = 1e-6) -> None:
-    """Long-form stems as block rows, partitioned by stem; silent stems are not written."""
+def write_stems(df: DataFrame, path: str, sr: int = 44100, least: float = 1e-6, bits: int = 16) -> None:
+    """Long-form stems (track, stem, pos, v) as WAV files stem/track.wav below ``path``; silent stems are not written."""
     from stemframe.operators.level import drop_silent_stems
 
-    to_blocks(drop_silent_stems(df), ["track", "stem"]).write.mode("overwrite").partitionBy("stem").parquet(path)
+    name = F.concat(F.coalesce(F.col("stem").cast("string"), F.lit("none")), F.lit("/"), F.col("track").cast("string"), F.lit(".wav"))
+    write_wav(drop_silent_stems(df).select(name.alias("file"), F.lit(0).alias("channel"), "pos", "v"), path, sr, bits)
 
 
 def resample_preprocess(df: DataFrame, done: DataFrame, ratio: float) -> DataFrame:
@@ -177,14 +169,20 @@ def resample_preprocess(df: DataFrame, done: DataFrame, ratio: float) -> DataFra
 
 @query("a1_scan_signals", f"WITH {fx.STEREO} SELECT track, channel, pos, 8000 AS sr, CAST(trunc(greatest(least(v, 1), -1) * 32767) AS INTEGER) AS code FROM stereo")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # WAV files of the table's signals, as the binaryFile source would give them.
-    rows = from_blocks(decoded(encoded(fx.stereo(spark, sf_dir), 8000), block=24).withColumn("rate", F.col("sr")))
+    rows = from_blocks(scan_signals(spark, _written(spark, sf_dir, 16), block=24).withColumn("rate", F.col("sr")))
     return rows.select(F.col("track").cast("long").alias("track"), F.col("channel").cast("long").alias("channel"), F.col("pos").cast("int").alias("pos"), F.col("rate").alias("sr"), F.round(F.col("v") * 32767).cast("int").alias("code"))
 
 
+def _written(spark: SparkSession, sf_dir: str, bits: int) -> str:
+    """A folder with the table's signals as WAV files."""
+    path = new_path(spark, "wav")
+    write_wav(fx.stereo(spark, sf_dir).withColumn("file", F.concat(F.col("track").cast("string"), F.lit(".wav"))), path, 8000, bits)
+    return path
+
+
 @query("a2_scan_media_info", f"WITH {fx.STEREO} SELECT track || '.wav' AS path, 0 AS stream, 8000 AS sr, count(DISTINCT pos) / 8000.0 AS duration FROM stereo GROUP BY track")
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_info(encoded(fx.stereo(spark, sf_dir), 8000, 24)).drop("error")
+    return scan_media_info(spark, _written(spark, sf_dir, 24)).withColumn("path", F.substring_index("path", "/", -1)).drop("error")
 
 
 @query("a12_resample_preprocess", f"WITH {fx.STEREO} SELECT track, channel, CAST(2 * count(*) AS BIGINT) AS n FROM stereo WHERE track % 3 <> 0 GROUP BY ALL")
@@ -197,5 +195,7 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a5_write_stems", f"WITH {fx.STEMS} SELECT stem, track, CAST(pos AS BIGINT) AS pos, round(v, 4) AS v FROM stems WHERE (track, stem) IN (SELECT (track, stem) FROM stems GROUP BY track, stem HAVING max(abs(v)) >= 1e-6)")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stems")
-    write_stems(fx.stems(spark, sf_dir), path)
-    return from_blocks(spark.read.parquet(path)).select("stem", "track", "pos", F.round("v", 4).alias("v"))
+    write_stems(fx.stems(spark, sf_dir), path, bits=-64)
+    rows = _source(spark, "wav").option("path", path).option("double", "true").load()
+    named = rows.withColumns({"stem": F.substring_index("track", "/", 1), "track": F.substring_index("track", "/", -1).cast("long")})
+    return from_blocks(named.select("stem", "track", "start", "samples")).select("stem", "track", "pos", F.round("v", 4).alias("v"))

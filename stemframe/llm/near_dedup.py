@@ -62,8 +62,9 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-#: A parity bitmap has a power of two of bits, this many at least and so many for each item at least; classes of a tile.
-LEAST_BITS, BITS_PER_ITEM, TILE = 1024, 8, 512
+#: A parity bitmap has a power of two of bits, this many at least and so many for each item at least; classes of a tile, and
+#: of a bucket that needs none, as a join makes its pairs (so many for each class at most).
+LEAST_BITS, BITS_PER_ITEM, TILE, FEW = 1024, 8, 512, 4
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -253,7 +254,11 @@ def _tile_pairs(placed: DataFrame, alive: DataFrame, sets: DataFrame, percent: i
     rows = placed.join(alive, "rep").select("bucket", "rep", "component", "popular")
     main = rows.groupBy("bucket").agg(F.max_by("component", F.struct("popular", (-F.col("rep")).alias("low"))).alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket", "main")
     rows = staged(rows.join(main, "bucket").select("bucket", "rep", "component", (F.col("component") == F.col("main")).alias("own")), "rows")
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.col("own").cast("int")) / tile).cast("int").alias("owns"), F.ceil(F.sum((~F.col("own")).cast("int")) / tile).cast("int").alias("others"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum(F.col("own").cast("int")) / tile).cast("int").alias("owns"), F.ceil(F.sum((~F.col("own")).cast("int")) / tile).cast("int").alias("others"))
+    small = rows.join(rows.groupBy("bucket").count().filter(F.col("count") <= FEW), "bucket").select("bucket", "rep", "component")
+    other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
+    direct = small.join(other, "bucket").filter((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("rep").alias("a"), "b")
+    sizes = sizes.filter(F.col("size") > FEW)
     dealt = rows.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("own"), F.col("owns")).otherwise(F.col("others"))).cast("int"))
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -263,7 +268,7 @@ def _tile_pairs(placed: DataFrame, alive: DataFrame, sets: DataFrame, percent: i
     dealt = dealt.select("bucket", "rep", "component", F.explode(F.when(F.col("own"), of_own).otherwise(F.concat(across, among))).alias("task"))
     dealt = dealt.select("bucket", "task.*", "rep", "component").join(sets.select("rep", "n", "bits"), "rep")
     pairs = dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(_tile_judge(percent), "a long, b long")
-    found = staged(pairs.distinct(), "pairs")
+    found = staged(pairs.unionByName(direct).distinct(), "pairs")
     discard(rows)
     return found
 

@@ -184,3 +184,105 @@ def frame_sums(blocks: DataFrame, keys: list[str], columns: tuple[str, ...], siz
                 yield pd.concat((pdf[keys].reset_index(drop=True), pd.DataFrame(out)), axis=1)
 
     return rows.mapInPandas(run, f"{_schema(blocks, keys)}, {fields}")
+
+
+def part_size(taps: int) -> int:
+    """The block for a response of so many taps: one part where that is not too long."""
+    return min(BLOCK, max(1024, 1 << (taps - 1).bit_length()))
+
+
+def convolved(blocks: DataFrame, keys: list[str], response: np.ndarray, column: str = "v", block: int = BLOCK) -> DataFrame:
+    """Block rows of each signal through ``response`` (a finite impulse response of any length), cut to the signal's length.
+
+    Partitioned overlap-save: signal and response are cut into parts of ``block`` samples. A block's samples and those of the
+    block before it become one spectrum, which meets the spectrum of every part of the response: part p adds to the
+    output of the block p places later. So a signal makes rows by blocks times parts, whatever the taps are, and the sum of
+    an output block is an inverse transform of a sum of products.
+    """
+    size = 2 * block
+    parts = [np.fft.rfft(response[k : k + block], size) for k in range(0, len(response), block)]
+    pairs = with_halo(blocks, keys, (column,), block, 0, block)
+    last = blocks.groupBy(*keys).agg(F.max("block").alias("last"), F.max_by(F.size(column), "block").alias("rest"))
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, r in enumerate(pdf.itertuples(index=False)):
+                x = np.zeros(size)
+                x[block - r.lead : block + r.own] = getattr(r, column)
+                z = np.fft.rfft(x)
+                reached = range(r.block, min(r.last, r.block + len(parts) - 1) + 1)
+                products = [z * parts[b - r.block] for b in reached]
+                if products:
+                    yield pd.DataFrame({c: [pdf[c].iloc[k]] * len(products) for c in keys} | {"block": list(reached), "re": [p.real for p in products], "im": [p.imag for p in products]})
+
+    products = pairs.join(last.drop("rest"), keys).mapInPandas(spectra, f"{_schema(blocks, keys)}, block int, re array<double>, im array<double>")
+    gathered = products.groupBy(*keys, "block").agg(F.collect_list("re").alias("re"), F.collect_list("im").alias("im")).join(last, keys)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [np.fft.irfft(np.sum(np.stack(r.re), axis=0) + 1j * np.sum(np.stack(r.im), axis=0), size)[block : block + (r.rest if r.block == r.last else block)] for r in pdf.itertuples(index=False)]
+            yield pdf[[*keys, "block"]].assign(**{column: out})
+
+    return gathered.mapInPandas(added, f"{_schema(blocks, keys)}, block int, {column} array<double>")
+
+
+def surroundings(a: DataFrame, b: DataFrame, keys: list[str], reach: int, block: int = BLOCK) -> DataFrame:
+    """Blocks of a (keys, block, v) with w: the samples of b from ``reach`` before the block to ``reach`` past its end, 0 where b has none.
+
+    Of blocks of b that are not at the same place only the part within reach is sent.
+    """
+    d = F.col("__d")
+    at = F.when(d > 0, F.greatest(d * block - reach, F.lit(0))).otherwise(0)
+    upto = F.when(d < 0, F.least(F.size("v"), block + reach + d * block)).otherwise(F.size("v"))
+    sent = b.withColumn("__d", F.explode(F.sequence(*map(F.lit, (-(-reach // block) * -1, -(-reach // block))))))
+    sent = sent.select(*keys, (F.col("block") + d).alias("block"), (at - d * block + reach).alias("at"), F.slice("v", at + 1, F.greatest(upto - at, F.lit(0))).alias("x")).filter("size(x) > 0")
+    pieces = sent.groupBy(*keys, "block").agg(F.collect_list("at").alias("__at"), F.collect_list("x").alias("__x"))
+    rows = a.select(*keys, "block", "v").join(pieces, [*keys, "block"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf[["v", "__at", "__x"]].itertuples(index=False, name=None):
+                w = np.zeros(len(r[0]) + 2 * reach)
+                for at, x in zip(r[1], r[2]) if r[1] is not None else ():
+                    x = x[: max(0, w.size - at)]
+                    w[at : at + len(x)] = x
+                out.append(w)
+            yield pdf[[*keys, "block", "v"]].assign(w=out)
+
+    return rows.mapInPandas(run, f"{_schema(a, [*keys, 'block'])}, v array<double>, w array<double>")
+
+
+def array_sums(rows: DataFrame, keys: list[str], column: str, fan: int = 256) -> DataFrame:
+    """keys and the sum of the arrays of ``column``, position by position, of rows that are numbered by ``block``; in two steps, so that no task gets all arrays of a long signal."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{column: [np.sum(np.stack(x), axis=0) for x in pdf[column]]})
+
+    for own in ([*keys, "__part"], keys):
+        rows = rows.withColumn("__part", F.expr(f"block div {fan}")) if "__part" in own else rows
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
+        rows = rows.groupBy(*own).agg(F.collect_list(column).alias(column)).mapInPandas(add, f"{schema}, {column} array<double>")
+    return rows
+
+
+def correlations(a: DataFrame, b: DataFrame, keys: list[str], most: int, block: int = BLOCK) -> DataFrame:
+    """keys, n and m (lengths), c: an array whose place most + lag has the sum of a[p] b[p - lag] over the signal.
+
+    A block of a and its surroundings in b give all lags by one inverse transform of their cross-spectrum, and
+    the blocks' arrays add up.
+    """
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for v, w in zip(pdf["v"], pdf["w"]):
+                size = 1 << (len(v) + len(w)).bit_length()
+                circle = np.fft.irfft(np.conj(np.fft.rfft(v, size)) * np.fft.rfft(w, size), size)
+                out.append(circle[: 2 * most + 1][::-1])  # place k has v[p] w[p + k], and w begins ``most`` before v
+            yield pdf[[*keys, "block"]].assign(c=out)
+
+    rows = surroundings(a, b, keys, most, block).mapInPandas(cross, f"{_schema(a, keys)}, block int, c array<double>")
+    n, m = (lengths(x, keys, "v", block).withColumnRenamed("length", name) for x, name in ((a, "n"), (b, "m")))
+    return array_sums(rows, keys, "c").join(n, keys).join(m, keys)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded, seeded_sql
+from stemframe.operators.blocks import convolved, from_blocks, part_size, to_blocks
 from stemframe.operators.filters import filtered, k_weighting
 from stemframe.operators.frames import frame
 from stemframe.operators.level import limit_peak_joint
@@ -142,12 +144,14 @@ def stem_augment(df: DataFrame, rules: dict[str, dict], default: dict, common: d
     return df.withColumn("pos", (F.col("pos") + shift).cast("int")).withColumn("v", F.col("v") * sign * F.pow(F.lit(10.0), gain / 20))
 
 
-def reverb_augment(df: DataFrame, stem: str, response: list[float], wet: float) -> DataFrame:
-    """One stem convolved with an impulse response: each sample is sent to the places its echo reaches."""
-    taps = F.array(*map(F.lit, response))
+def reverb_augment(df: DataFrame, stem: str, response: list[float], wet: float, block: int | None = None) -> DataFrame:
+    """One stem mixed with itself through an impulse response of any length, which is convolved with block rows by their spectra."""
+    keys, block = ["track", "stem"], block or part_size(len(response))
     own, rest = df.filter(F.col("stem") == stem), df.filter(F.col("stem") != stem)
-    echo = own.select("track", "stem", "pos", "v", F.posexplode(taps).alias("k", "h")).groupBy("track", "stem", (F.col("pos") + F.col("k")).alias("pos")).agg(F.sum(F.col("v") * F.col("h")).alias("e"))
-    wetted = own.join(echo, ["track", "stem", "pos"]).select("track", "stem", "pos", (F.col("v") * (1 - wet) + F.col("e") * wet).alias("v"))
+    dry = to_blocks(own, keys, block=block)
+    echo = convolved(dry, keys, np.asarray(response, float), block=block).withColumnRenamed("v", "e")
+    mixed = dry.join(echo, [*keys, "block"]).withColumn("v", F.zip_with("v", "e", lambda v, e: v * (1 - wet) + e * wet))
+    wetted = from_blocks(mixed, keys, block=block).withColumn("pos", F.col("pos").cast(df.schema["pos"].dataType))
     return rest.select("track", "stem", "pos", "v").unionByName(wetted)
 
 

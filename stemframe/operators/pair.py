@@ -1,18 +1,20 @@
 """Two aligned signals: subtraction, complements, masks, phase and lag.
 
 Alignment is an equi-join on the position, and trimming to the shorter signal is what an inner join does.
-In the block layout the same functions join on blocks; there is no inequality join anywhere: lags and
-candidates are made by ``explode``.
+There is no inequality join anywhere: lags come from cross-spectra of blocks, and candidates are tried within a block.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
+from stemframe.operators.blocks import BLOCK, array_sums, correlations, frames_of, surroundings, to_blocks, with_halo
 from stemframe.operators.spectral import BINS, SPEC, _z, polar, resample_sinc, spectra
 from stemframe.registry import query
 
@@ -214,48 +216,91 @@ def phase_inverted(a: DataFrame, b: DataFrame, first: int = 1000) -> DataFrame:
     return both.groupBy("track").agg(F.corr("a", "b").alias("corr")).withColumn("inverted", F.col("corr") < 0)
 
 
-def best_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
-    """The shift of b against a of largest cross-correlation, within +-most; the least shift wins ties."""
-    moved = b.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select("track", "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("v").alias("w"))
-    c = a.join(moved, ["track", "pos"]).groupBy("track", "lag").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
-    return c.groupBy("track").agg(F.max_by("lag", F.struct(F.round("c", 9), -F.col("lag"))).alias("lag"))
+def best_lag(a: DataFrame, b: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """The shift of b against a of largest cross-correlation, within +-most, of lags at which they meet; the least shift wins ties.
 
+    Values that differ by no more than the rounding of a transform (5e-10, or 1e-12 of the largest) are ties.
+    """
+    found = correlations(to_blocks(a, ["track"], block=block), to_blocks(b, ["track"], block=block), ["track"], most, block)
+
+    def pick(batches):
+        for pdf in batches:
+            lags = []
+            for c, n, m in zip(pdf["c"], pdf["n"], pdf["m"]):
+                lag = np.arange(-most, most + 1)
+                c = np.where((lag < n) & (lag > -m), c, -np.inf)
+                lags.append(int(lag[c >= c.max() - max(5e-10, 1e-12 * np.abs(c[np.isfinite(c)]).max())][0]))
+            yield pdf[["track"]].assign(lag=lags)
+
+    return found.mapInPandas(pick, f"track {a.schema['track'].dataType.simpleString()}, lag int")
 
-def align_track(mix: DataFrame, stem: DataFrame, probes: list[int], width: int, most: int, gains: list[float]) -> DataFrame:
+
+def align_track(mix: DataFrame, stem: DataFrame, probes: list[int], width: int, most: int, gains: list[float], block: int = BLOCK) -> DataFrame:
     """Residual of the mixture less the stem, over the lags found at several probes and some gains; the least mean magnitude wins.
 
-    track, lag, db, level and the residual's samples (pos, v).
+    track, lag, db, level and the residual's samples (pos, v). A block of the mixture tries all candidates by
+    itself and gives one row of sums; samples are moved only by what wins.
     """
     found = None
     for p in probes:
-        cut = lambda d: d.filter((F.col("pos") >= p) & (F.col("pos") < p + width))  # noqa: E731,B023
-        one = best_lag(cut(mix), cut(stem), most)
+        cut = lambda d: d.filter((F.col("pos") >= p) & (F.col("pos") < p + width)).withColumn("pos", F.col("pos") - p)  # noqa: E731,B023
+        one = best_lag(cut(mix), cut(stem), most, block)
         found = one if found is None else found.unionByName(one)
-    candidates = found.distinct().withColumn("db", F.explode(F.array(*map(F.lit, gains))))
-    moved = stem.join(candidates, "track").select("track", "lag", "db", (F.col("pos") + F.col("lag")).alias("pos"), (F.col("v") * F.pow(F.lit(10.0), F.col("db") / 20)).alias("w"))
-    rest = mix.join(candidates, "track").join(moved, ["track", "lag", "db", "pos"], "left").withColumn("v", F.col("v") - F.coalesce("w", F.lit(0.0))).drop("w")
-    level = rest.groupBy("track", "lag", "db").agg(F.avg(F.abs("v")).alias("level"))
-    best = level.groupBy("track").agg(F.min_by(F.struct("lag", "db", "level"), F.struct(F.round("level", 9), "lag", "db")).alias("b")).select("track", "b.*")
-    return rest.join(best, ["track", "lag", "db"])
-
-
-def local_time_correction(mix: DataFrame, stem: DataFrame, size: int, gains: list[float], most: int) -> DataFrame:
+    lags = found.groupBy("track").agg(F.array_sort(F.collect_set("lag")).alias("lags"))
+    near = surroundings(to_blocks(mix, ["track"], block=block), to_blocks(stem, ["track"], block=block), ["track"], most, block).join(lags, "track")
+
+    def tried(batches):
+        for pdf in batches:
+            out = []
+            for v, w, lags in zip(pdf["v"], pdf["w"], pdf["lags"]):
+                moved = np.array([w[most - lag : most - lag + len(v)] for lag in lags])
+                out.append(np.array([np.abs(v - moved * 10 ** (db / 20)).sum(axis=1) for db in gains]).T.ravel())
+            yield pdf[["track", "block"]].assign(c=out)
+
+    kind = f"track {mix.schema['track'].dataType.simpleString()}"
+    sums = array_sums(near.mapInPandas(tried, f"{kind}, block int, c array<double>"), ["track"], "c")
+    n = mix.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
+    every = sums.join(lags, "track").join(n, "track").select("track", "lags", (F.posexplode(F.expr("transform(c, x -> x / n)"))).alias("k", "level"))
+    every = every.select("track", F.expr(f"lags[k div {len(gains)}]").alias("lag"), F.element_at(F.array(*map(F.lit, gains)), F.col("k") % len(gains) + 1).alias("db"), "level")
+    best = every.groupBy("track").agg(F.min_by(F.struct("lag", "db", "level"), F.struct(F.round("level", 9), "lag", "db")).alias("b")).select("track", "b.*")
+    moved = stem.join(best, "track").select("track", (F.col("pos") + F.col("lag")).alias("pos"), (F.col("v") * F.pow(F.lit(10.0), F.col("db") / 20)).alias("w"))
+    rest = mix.join(best, "track").join(moved, ["track", "pos"], "left")
+    return rest.select("track", "lag", "db", "level", "pos", (F.col("v") - F.coalesce("w", F.lit(0.0))).alias("v"))
+
+
+def local_time_correction(mix: DataFrame, stem: DataFrame, size: int, gains: list[float], most: int, block: int = BLOCK) -> DataFrame:
     """Within Hann-weighted windows (step half a window) the gain and circular shift of least mean residual; the residuals overlap-added.
 
-    Positions where no whole window counts stay 0.
+    Positions where no whole window counts stay 0. Windows are frames of block rows; all shifts and gains of a
+    window are tried in its task, so that rows don't grow with them. (The residual is a mean magnitude, which no
+    correlation gives.)
     """
     hop = size // 2
-    from stemframe.operators.frames import frame
-
-    x = frame(mix, ["track"], size, hop, "drop").select("track", "chunk", "i", "pos", "v")
-    y = frame(stem, ["track"], size, hop, "drop").select("track", "chunk", "i", F.col("v").alias("w"))
-    y = y.withColumn("roll", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("i", F.pmod(F.col("i") + F.col("roll"), F.lit(size)).cast("int"))
-    y = y.withColumn("gain", F.explode(F.array(*map(F.lit, gains))))
-    both = x.join(y, ["track", "chunk", "i"]).withColumn("d", F.col("v") - F.col("w") * F.col("gain"))
-    level = both.groupBy("track", "chunk", "gain", "roll").agg(F.avg(F.abs("d")).alias("level"))
-    best = level.groupBy("track", "chunk").agg(F.min_by(F.struct("gain", "roll"), F.struct(F.round("level", 9), F.abs("roll"), "roll", "gain")).alias("b")).select("track", "chunk", "b.*")
-    h = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / (size - 1))
-    s = both.join(best, ["track", "chunk", "gain", "roll"]).groupBy("track", "pos").agg(F.sum(F.col("d") * h).alias("s"), F.sum(h).alias("w"))
+    a, b = to_blocks(mix, ["track"], block=block), to_blocks(stem, ["track"], block=block).withColumnRenamed("v", "w")
+    both = with_halo(a.join(b, ["track", "block"]), ["track"], ("v", "w"), 0, size - 1, block)
+    order = sorted((abs(roll), roll, gain) for roll in range(-most, most + 1) for gain in gains)
+    weight = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+
+    def residuals(batches):
+        for pdf in batches:
+            for track, number, own, v, w in zip(pdf["track"], pdf["block"], pdf["own"], pdf["v"], pdf["w"]):
+                n = min(len(v), len(w))
+                first, x = frames_of(v[:n], 0, min(own, n), number * block, size, hop, size - 1)
+                _, y = frames_of(w[:n], 0, min(own, n), number * block, size, hop, size - 1)
+                if not len(x):
+                    continue
+                least, best = np.full(len(x), np.inf), np.zeros(x.shape)
+                for _, roll, gain in order:
+                    d = x - np.roll(y, roll, axis=1) * gain
+                    level = np.round(np.abs(d).mean(axis=1), 9)
+                    better = level < least
+                    least, best = np.where(better, level, least), np.where(better[:, None], d, best)
+                yield pd.DataFrame({"track": [track] * len(x), "start": (first + np.arange(len(x))) * hop, "d": list(best * weight)})
+
+    rows = both.mapInPandas(residuals, f"track {mix.schema['track'].dataType.simpleString()}, start long, d array<double>")
+    h = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: 0.5 - 0.5 * F.cos(2 * math.pi * i / (size - 1)))
+    flat = rows.select("track", "start", F.posexplode(F.arrays_zip("d", h.alias("h"))).alias("i", "x"))
+    s = flat.groupBy("track", (F.col("start") + F.col("i")).alias("pos")).agg(F.sum("x.d").alias("s"), F.sum("x.h").alias("w"))
     return mix.join(s, ["track", "pos"], "left").select("track", "pos", F.when(F.col("w") > 1e-6, F.col("s") / F.col("w")).otherwise(0.0).alias("v"))
 
 

@@ -30,6 +30,24 @@ def to_blocks(df: DataFrame, keys: list[str], columns: tuple[str, ...] = ("v",),
     return rows.select(*keys, "block", *[F.transform("__s", lambda s: s[c]).alias(c) for c in columns])  # noqa: B023
 
 
+def placed_blocks(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Block rows (keys, block, v, on) of a long-form signal that may have gaps: v is 0 in them, and on is 1 where there is a sample."""
+    number = F.expr(f"CAST(pos div {block} AS INT)")
+    rows = df.groupBy(*keys, number.alias("block")).agg(F.collect_list(F.struct((F.col("pos") % block).cast("int").alias("i"), F.col("v").cast("double").alias("v"))).alias("s"))
+    rows = rows.select(*keys, "block", F.transform("s", lambda s: s["i"]).alias("__i"), F.transform("s", lambda s: s["v"]).alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v, on = [], []
+            for i, x in zip(pdf["__i"], pdf["v"]):
+                v.append(np.zeros(int(np.max(i)) + 1))
+                on.append(v[-1].copy())
+                v[-1][i], on[-1][i] = x, 1.0
+            yield pdf[[*keys, "block"]].assign(v=v, on=on)
+
+    return rows.mapInPandas(run, f"{_schema(df, keys)}, block int, v array<double>, on array<double>")
+
+
 def from_blocks(blocks: DataFrame, keys: list[str], column: str = "v", block: int = BLOCK) -> DataFrame:
     """Long form: keys, pos, v."""
     flat = blocks.select(*keys, "block", F.posexplode(column).alias("i", "v"))
@@ -227,7 +245,7 @@ def convolved(blocks: DataFrame, keys: list[str], response: np.ndarray, column:
 
 
 def surroundings(a: DataFrame, b: DataFrame, keys: list[str], reach: int, block: int = BLOCK) -> DataFrame:
-    """Blocks of a (keys, block, v) with w: the samples of b from ``reach`` before the block to ``reach`` past its end, 0 where b has none.
+    """Blocks of a (keys, block, v, on) with near_v, near_on: the samples of b from ``reach`` before the block to ``reach`` past its end, 0 where b has none.
 
     Of blocks of b that are not at the same place only the part within reach is sent.
     """
@@ -235,22 +253,25 @@ def surroundings(a: DataFrame, b: DataFrame, keys: list[str], reach: int, block:
     at = F.when(d > 0, F.greatest(d * block - reach, F.lit(0))).otherwise(0)
     upto = F.when(d < 0, F.least(F.size("v"), block + reach + d * block)).otherwise(F.size("v"))
     sent = b.withColumn("__d", F.explode(F.sequence(*map(F.lit, (-(-reach // block) * -1, -(-reach // block))))))
-    sent = sent.select(*keys, (F.col("block") + d).alias("block"), (at - d * block + reach).alias("at"), F.slice("v", at + 1, F.greatest(upto - at, F.lit(0))).alias("x")).filter("size(x) > 0")
-    pieces = sent.groupBy(*keys, "block").agg(F.collect_list("at").alias("__at"), F.collect_list("x").alias("__x"))
-    rows = a.select(*keys, "block", "v").join(pieces, [*keys, "block"], "left")
+    cut = lambda c: F.slice(c, at + 1, F.greatest(upto - at, F.lit(0)))
+    sent = sent.select(*keys, (F.col("block") + d).alias("block"), F.struct((at - d * block + reach).alias("at"), cut("v").alias("v"), cut("on").alias("on")).alias("s")).filter("size(s.v) > 0")
+    pieces = sent.groupBy(*keys, "block").agg(F.collect_list("s").alias("s"))
+    pieces = pieces.select(*keys, "block", *[F.transform("s", lambda s: s[c]).alias(f"__{c}") for c in ("at", "v", "on")])  # noqa: B023
+    rows = a.select(*keys, "block", "v", "on").join(pieces, [*keys, "block"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf[["v", "__at", "__x"]].itertuples(index=False, name=None):
-                w = np.zeros(len(r[0]) + 2 * reach)
-                for at, x in zip(r[1], r[2]) if r[1] is not None else ():
-                    x = x[: max(0, w.size - at)]
-                    w[at : at + len(x)] = x
-                out.append(w)
-            yield pdf[[*keys, "block", "v"]].assign(w=out)
+            out: dict[str, list] = {"v": [], "on": []}
+            for own, places, *sides in zip(pdf["v"], pdf["__at"], pdf["__v"], pdf["__on"]):
+                for (name, near), side in zip(out.items(), sides):
+                    w = np.zeros(len(own) + 2 * reach)
+                    for at, x in zip(places, side) if places is not None else ():
+                        x = x[: max(0, w.size - at)]
+                        w[at : at + len(x)] = x
+                    near.append(w)
+            yield pdf[[*keys, "block", "v", "on"]].assign(near_v=out["v"], near_on=out["on"])
 
-    return rows.mapInPandas(run, f"{_schema(a, [*keys, 'block'])}, v array<double>, w array<double>")
+    return rows.mapInPandas(run, f"{_schema(a, [*keys, 'block'])}, v array<double>, on array<double>, near_v array<double>, near_on array<double>")
 
 
 def array_sums(rows: DataFrame, keys: list[str], column: str, fan: int = 256) -> DataFrame:
@@ -268,21 +289,23 @@ def array_sums(rows: DataFrame, keys: list[str], column: str, fan: int = 256) ->
 
 
 def correlations(a: DataFrame, b: DataFrame, keys: list[str], most: int, block: int = BLOCK) -> DataFrame:
-    """keys, n and m (lengths), c: an array whose place most + lag has the sum of a[p] b[p - lag] over the signal.
+    """keys and c, whose place most + lag has the sum of a[p] b[p - lag] over the signal, and NaN where no samples meet.
 
-    A block of a and its surroundings in b give all lags by one inverse transform of their cross-spectrum, and
-    the blocks' arrays add up.
+    a and b are ``placed_blocks``. A block of a and its surroundings in b give all lags by one inverse transform of
+    their cross-spectrum, and the blocks' arrays add up.
     """
 
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cross(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        size = 1 << (len(v) + len(w)).bit_length()
+        circle = np.fft.irfft(np.conj(np.fft.rfft(v, size)) * np.fft.rfft(w, size), size)
+        return circle[: 2 * most + 1][::-1]  # place k has v[p] w[p + k], and w begins ``most`` before v
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for v, w in zip(pdf["v"], pdf["w"]):
-                size = 1 << (len(v) + len(w)).bit_length()
-                circle = np.fft.irfft(np.conj(np.fft.rfft(v, size)) * np.fft.rfft(w, size), size)
-                out.append(circle[: 2 * most + 1][::-1])  # place k has v[p] w[p + k], and w begins ``most`` before v
-            yield pdf[[*keys, "block"]].assign(c=out)
-
-    rows = surroundings(a, b, keys, most, block).mapInPandas(cross, f"{_schema(a, keys)}, block int, c array<double>")
-    n, m = (lengths(x, keys, "v", block).withColumnRenamed("length", name) for x, name in ((a, "n"), (b, "m")))
-    return array_sums(rows, keys, "c").join(n, keys).join(m, keys)
+            c = [np.r_[cross(v, w), np.round(cross(on, near))] for v, on, w, near in zip(pdf["v"], pdf["on"], pdf["near_v"], pdf["near_on"])]
+            yield pdf[[*keys, "block"]].assign(c=c)
+
+    rows = surroundings(a, b, keys, most, block).mapInPandas(both, f"{_schema(a, keys)}, block int, c array<double>")
+    lags = 2 * most + 1
+    met = F.zip_with(F.slice("c", 1, lags), F.slice("c", lags + 1, lags), lambda c, n: F.when(n > 0, c).otherwise(float("nan")))
+    return array_sums(rows, keys, "c").select(*keys, met.alias("c"))

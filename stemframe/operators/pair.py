@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
-from stemframe.operators.blocks import BLOCK, array_sums, correlations, frames_of, surroundings, to_blocks, with_halo
+from stemframe.operators.blocks import BLOCK, array_sums, correlations, frames_of, placed_blocks, surroundings, to_blocks, with_halo
 from stemframe.operators.spectral import BINS, SPEC, _z, polar, resample_sinc, spectra
 from stemframe.registry import query
 
@@ -221,16 +221,16 @@ def best_lag(a: DataFrame, b: DataFrame, most: int, block: int = BLOCK) -> DataF
 
     Values that differ by no more than the rounding of a transform (5e-10, or 1e-12 of the largest) are ties.
     """
-    found = correlations(to_blocks(a, ["track"], block=block), to_blocks(b, ["track"], block=block), ["track"], most, block)
+    found = correlations(placed_blocks(a, ["track"], block), placed_blocks(b, ["track"], block), ["track"], most, block)
 
     def pick(batches):
         for pdf in batches:
+            some = pdf[[bool(np.isfinite(c).any()) for c in pdf["c"]]]  # signals that meet at some lag
             lags = []
-            for c, n, m in zip(pdf["c"], pdf["n"], pdf["m"]):
-                lag = np.arange(-most, most + 1)
-                c = np.where((lag < n) & (lag > -m), c, -np.inf)
-                lags.append(int(lag[c >= c.max() - max(5e-10, 1e-12 * np.abs(c[np.isfinite(c)]).max())][0]))
-            yield pdf[["track"]].assign(lag=lags)
+            for c in some["c"]:
+                c = np.where(np.isfinite(c), c, -np.inf)
+                lags.append(int(np.argmax(c >= c.max() - max(5e-10, 1e-12 * np.abs(c[np.isfinite(c)]).max()))) - most)
+            yield some[["track"]].assign(lag=lags)
 
     return found.mapInPandas(pick, f"track {a.schema['track'].dataType.simpleString()}, lag int")
 
@@ -247,14 +247,14 @@ def align_track(mix: DataFrame, stem: DataFrame, probes: list[int], width: int,
         one = best_lag(cut(mix), cut(stem), most, block)
         found = one if found is None else found.unionByName(one)
     lags = found.groupBy("track").agg(F.array_sort(F.collect_set("lag")).alias("lags"))
-    near = surroundings(to_blocks(mix, ["track"], block=block), to_blocks(stem, ["track"], block=block), ["track"], most, block).join(lags, "track")
+    near = surroundings(placed_blocks(mix, ["track"], block), placed_blocks(stem, ["track"], block), ["track"], most, block).join(lags, "track")
 
     def tried(batches):
         for pdf in batches:
             out = []
-            for v, w, lags in zip(pdf["v"], pdf["w"], pdf["lags"]):
+            for v, on, w, lags in zip(pdf["v"], pdf["on"], pdf["near_v"], pdf["lags"]):
                 moved = np.array([w[most - lag : most - lag + len(v)] for lag in lags])
-                out.append(np.array([np.abs(v - moved * 10 ** (db / 20)).sum(axis=1) for db in gains]).T.ravel())
+                out.append(np.array([(np.abs(v - moved * 10 ** (db / 20)) * on).sum(axis=1) for db in gains]).T.ravel())
             yield pdf[["track", "block"]].assign(c=out)
 
     kind = f"track {mix.schema['track'].dataType.simpleString()}"

@@ -32,6 +32,16 @@ def test_best_lag_equals_loops(spark, most, block):
     assert got == {t: lag_by_loops(a[t], b[t], most) for t in a}
 
 
+def test_lags_of_signals_with_gaps(spark):
+    """Only samples that are there meet; signals that never meet have no lag."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=90)
+    a = spark.createDataFrame([(1, p + 37, float(x[p])) for p in range(90) if p % 5] + [(2, 0, -1.0), (2, 50, -3.0), (3, 0, 1.0)], SCHEMA)
+    b = spark.createDataFrame([(1, p + 30, float(x[p])) for p in range(90)] + [(2, 10, 2.0), (3, 99, 1.0)], SCHEMA)
+    got = {r.track: r.lag for r in pair.best_lag(a, b, 45, 32).collect()}
+    assert got == {1: 7, 2: -10}
+
+
 @pytest.mark.parametrize("block", [16, 65536])
 def test_align_track_equals_loops(spark, block):
     rng = np.random.default_rng(5)

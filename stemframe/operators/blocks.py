@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -309,3 +310,62 @@ def correlations(a: DataFrame, b: DataFrame, keys: list[str], most: int, block:
     lags = 2 * most + 1
     met = F.zip_with(F.slice("c", 1, lags), F.slice("c", lags + 1, lags), lambda c, n: F.when(n > 0, c).otherwise(float("nan")))
     return array_sums(rows, keys, "c").select(*keys, met.alias("c"))
+
+
+class FilterBank:
+    """Band-limited resampling by a Hann-windowed sinc of 2 x taps inputs: for an output between two inputs, the weights of those around it.
+
+    A ratio of small whole numbers has as many phases as its numerator; their weights are computed once. For other ratios
+    every output has a phase of its own.
+    """
+
+    def __init__(self, ratio: float, taps: int, most_phases: int = 4096):
+        self.ratio, self.cut = ratio, min(1.0, ratio)
+        self.reach = taps / self.cut
+        self.side = math.ceil(self.reach) + 1
+        near = Fraction(ratio).limit_denominator(most_phases)
+        self.exact = near if near.numerator <= most_phases and abs(float(near) - ratio) <= 1e-15 * ratio else None
+        self.bank = self.weights(np.arange(near.numerator) / near.numerator) if self.exact else None
+
+    def weights(self, fraction: np.ndarray) -> np.ndarray:
+        """Rows for outputs ``fraction`` past an input; columns for the inputs from 1 - side to side beside it."""
+        d = fraction[:, None] - np.arange(1 - self.side, self.side + 1)
+        w = self.cut * np.sinc(self.cut * d) * (0.5 + 0.5 * np.cos(np.pi * d / self.reach))
+        return np.where(np.abs(d) <= self.reach, w, 0.0)
+
+    def place(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The input at or before each output, and the output's weights."""
+        if self.exact:
+            at = i * self.exact.denominator
+            return at // self.exact.numerator, self.bank[at % self.exact.numerator]
+        x = i / self.ratio
+        return np.floor(x).astype(np.int64), self.weights(x - np.floor(x))
+
+    def outputs(self, x: np.ndarray, lead: int, own: int, start: int) -> tuple[int, np.ndarray]:
+        """(number of the first, values) of the outputs at or after the inputs start .. start + own - 1; x has ``lead`` before and what there is behind."""
+        if self.exact:
+            first, end = (-(-k * self.exact.numerator // self.exact.denominator) for k in (start, start + own))
+        else:
+            first, end = (math.ceil(k * self.ratio) for k in (start, start + own))
+        values = np.empty(max(0, end - first))
+        padded = np.concatenate((np.zeros(self.side), x, np.zeros(self.side)))
+        there = np.concatenate((np.zeros(self.side), np.ones(x.size), np.zeros(self.side)))
+        for k in range(first, end, 8192):
+            i = np.arange(k, min(end, k + 8192))
+            base, w = self.place(i)
+            at = (np.clip(base, start, start + own - 1) - start + lead + 1)[:, None] + np.arange(2 * self.side)
+            values[k - first : k - first + i.size] = (padded[at] * w).sum(axis=1) / (there[at] * w).sum(axis=1)
+        return first, values
+
+
+def resampled(blocks: DataFrame, keys: list[str], ratio: float, taps: int = 8, block: int = BLOCK) -> DataFrame:
+    """keys, first, v: the outputs of each block as an array, numbered from ``first``; a signal of n samples gets ceil(n ratio)."""
+    bank = FilterBank(ratio, taps)
+    rows = with_halo(blocks, keys, ("v",), bank.side, bank.side, block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [bank.outputs(np.asarray(v, float), lead, own, number * block) for v, lead, own, number in zip(pdf["v"], pdf["lead"], pdf["own"], pdf["block"])]
+            yield pdf[keys].assign(first=[o[0] for o in out], v=[o[1] for o in out])
+
+    return rows.mapInPandas(run, f"{_schema(blocks, keys)}, first long, v array<double>")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
-from stemframe.operators.blocks import from_blocks, istft_blocks, lengths, stft_blocks, to_blocks
+from stemframe.operators.blocks import BLOCK, from_blocks, istft_blocks, lengths, resampled, stft_blocks, to_blocks
 from stemframe.operators.filters import butterworth_highpass, filtered
 from stemframe.operators.frames import frame, with_length
 from stemframe.registry import query
@@ -199,21 +199,13 @@ def resample_index(df: DataFrame, keys: list[str], target: int, mode: str) -> Da
     return both.select(*keys, "i", (F.col("a") * (1 - t) + F.col("b") * t).alias("v"))
 
 
-def resample_sinc(df: DataFrame, keys: list[str], ratio: float, taps: int = 8) -> DataFrame:
-    """Band-limited resampling: output sample i is a Hann-windowed sinc sum over the 2 x taps inputs around i / ratio.
+def resample_sinc(df: DataFrame, keys: list[str], ratio: float, taps: int = 8, block: int = BLOCK) -> DataFrame:
+    """Band-limited resampling: output sample i is a Hann-windowed sinc sum over the 2 x taps inputs around i / ratio; length = ceil(n ratio).
 
-    Each input is sent to the outputs it reaches (``explode``), and outputs sum up; length = ceil(n ratio).
+    A polyphase filter bank works on block rows with a halo of the taps, so there is no row for a single tap.
     """
-    df = with_length(df, keys)
-    cut = min(1.0, ratio)
-    reach = taps / cut
-    low = F.greatest(F.ceil((F.col("pos") - reach) * ratio), F.lit(0)).cast("int")
-    high = F.least(F.floor((F.col("pos") + reach) * ratio), F.ceil(F.col("n") * ratio) - 1).cast("int")
-    d = F.col("i") / ratio - F.col("pos")
-    sinc = F.when(F.abs(d) < 1e-9, 1.0).otherwise(F.sin(math.pi * cut * d) / (math.pi * cut * d))
-    w = cut * sinc * (0.5 + 0.5 * F.cos(math.pi * d / reach))
-    spread = df.withColumn("i", F.explode(F.when(low <= high, F.sequence(low, high))))
-    return spread.groupBy(*keys, "i").agg(F.sum(F.col("v") * w).alias("v"), F.sum(w).alias("w")).select(*keys, F.col("i").alias("pos"), (F.col("v") / F.col("w")).alias("v"))
+    rows = resampled(to_blocks(df, keys, block=block), keys, ratio, taps, block)
+    return rows.select(*keys, "first", F.posexplode("v").alias("i", "v")).select(*keys, (F.col("first") + F.col("i")).cast("int").alias("pos"), "v")
 
 
 def pitch_resample(df: DataFrame, keys: list[str], semitones: float) -> DataFrame:

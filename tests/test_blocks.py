@@ -88,3 +88,23 @@ def test_halo_of_several_blocks(spark):
     for r in blocks.with_halo(own, KEYS, ("v",), 11, 19, 8).collect():
         x, start = made[r.track, r.channel], r.block * 8
         assert np.allclose(r.v, x[max(0, start - 11) : start + 8 + 19]) and r.lead == min(11, start) and r.own == min(8, 50 - start)
+
+
+@pytest.mark.parametrize("ratio, taps, block", [(1.5, 8, 16), (0.5, 8, 16), (44100 / 48000, 4, 64), (48000 / 44100, 8, 65536), (2 ** (-3 / 12), 8, 32), (np.pi, 3, 10), (2.0, 8, 65536), (1 / 3, 16, 20)])
+def test_resampling_of_blocks_equals_sinc_sums(spark, ratio, taps, block):
+    made = signals(np.random.default_rng(block), [200, 97, 16, 3])
+    got = {}
+    for r in blocks.resampled(blocks.to_blocks(long_form(spark, made), KEYS, block=block), KEYS, ratio, taps, block).collect():
+        got.setdefault((r.track, r.channel), {}).update(zip(range(r.first, r.first + len(r.v)), r.v))
+    cut = min(1.0, ratio)
+    for key, x in made.items():
+        n = int(np.ceil(len(x) * ratio - 1e-12))
+        assert sorted(got[key]) == list(range(n))
+        d = np.arange(n)[:, None] / ratio - np.arange(len(x))
+        w = np.where(np.abs(d) <= taps / cut + 1e-12, cut * np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * d * cut / taps)), 0)
+        assert np.allclose([got[key][i] for i in range(n)], (w * x).sum(axis=1) / w.sum(axis=1), atol=1e-9)
+
+
+def test_a_bank_has_a_phase_for_each_place_between_inputs():
+    assert blocks.FilterBank(1.5, 8).bank.shape[0] == 3 and blocks.FilterBank(48000 / 44100, 8).bank.shape[0] == 160
+    assert blocks.FilterBank(2 ** (-3 / 12), 8).bank is None

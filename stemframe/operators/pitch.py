@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stemframe import fixtures as fx
 from stemframe.operators.frames import with_length
 from stemframe.registry import query, table
+from stemframe.storage import discard, staged
 
 KEYS = ["track", "stem"]
 
@@ -85,43 +86,121 @@ def f0_coarse(f0: Column, low: float = 50.0, high: float = 1100.0) -> Column:
     return F.bround(F.greatest(F.lit(1.0), F.least(scaled, F.lit(255.0))), 0).cast("int")
 
 
-def _tiles(vectors: DataFrame, size: int, prefix: str) -> tuple[DataFrame, int]:
-    """Vectors (vec_id, vec) in rows of about ``size``, by hash of the id: tile, ids, vecs; and the number of tiles."""
-    count = max(1, math.ceil(vectors.count() / size))
-    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    one = F.struct(F.col("vec_id").cast("long").alias("id"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
-    rows = dealt.groupBy("tile").agg(F.collect_list(one).alias("s"))
-    return rows.select(F.col("tile").alias(f"{prefix}_tile"), F.transform("s", lambda s: s["id"]).alias(f"{prefix}_ids"), F.flatten(F.transform("s", lambda s: s["x"])).alias(f"{prefix}_x")), count
+#: Centres of lists: the root of the index's size, of a sample of so many rows at most.
+MOST_CENTRES, SAMPLE = 1024, 8192
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 8, tile: int = 2048) -> DataFrame:
-    """(query, hit, d): the k index vectors (vec_id, vec) of least squared distance to each query, by exact search.
+def centres_of(index: DataFrame, most: int = MOST_CENTRES) -> np.ndarray:
+    """Up to ``most`` vectors that are far from each other, out of a bounded sample in order of a hash: each is the farthest from those before it."""
+    wanted = min(most, max(1, round(math.sqrt(index.count()))))
+    rows = index.orderBy(F.xxhash64("vec"), "vec_id").limit(min(SAMPLE, 8 * wanted)).select("vec").collect()
+    x = np.array([r.vec for r in rows], float)
+    if not len(x):
+        return np.zeros((0, 0))
+    chosen, d = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(wanted, len(x)) and d.max() > 0:
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
 
-    Both sides are cut into tiles of bounded size, so the number of tasks grows with them; every query tile meets
-    every index tile once, as arrays, and keeps k candidates a query there. A query does not meet its own vec_id;
-    equal distances go to the smaller id.
-    """
-    q, _ = _tiles(queries, tile, "q")
-    x, count = _tiles(index, tile, "x")
-    pairs = q.withColumn("x_tile", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(x, "x_tile")
+
+def _placed(vectors: DataFrame, centres, with_all: bool) -> DataFrame:
+    """id, x (doubles) and cell: the nearest centre, and its distance; with_all: the distances to every centre as well."""
+
+    def run(batches):
+        c = centres.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                x = np.stack(part["x"].to_numpy()).astype(float)
+                d = np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)) if c.size * len(x) < 4_000_000 else np.stack([np.sqrt(((c - v) ** 2).sum(axis=1)) for v in x])
+                out = part.assign(cell=d.argmin(axis=1), d=d.min(axis=1))
+                yield out.assign(every=list(d)) if with_all else out
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
+    return rows.mapInPandas(run, "id long, x array<double>, cell int, d double" + ", every array<double>" * with_all)
+
+
+def _tiles(rows: DataFrame, size: int, prefix: str, *more: str) -> DataFrame:
+    """Rows of about ``size`` vectors of a cell: cell, and the columns id, d, x and ``more`` as arrays."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("tiles"))
+    dealt = rows.join(counts, "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    names = ["id", "d", "x", *more]
+    packed = dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct(*names)).alias("s"))
+    of = lambda c: F.flatten(F.transform("s", lambda s: s[c])) if c == "x" else F.transform("s", lambda s: s[c])
+    return packed.select("cell", *[of(c).alias(f"{prefix}_{c}") for c in names])
+
+
+def _met(q: DataFrame, x: DataFrame, k: int, tile: int, compared) -> DataFrame:
+    """(query, hit, d) of the k nearest in each tile of their cells: q has id, x, cell, d and bound (a distance beyond which nothing counts), x has id, x, cell, d."""
+    pairs = _tiles(q, 256, "q", "bound").join(_tiles(x, tile, "x"), "cell")
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                qi, xi = np.asarray(row.q_ids, np.int64), np.asarray(row.x_ids, np.int64)
+                qi, xi, qd, xd = (np.asarray(c) for c in (row.q_id, row.x_id, row.q_d, row.x_d))
                 a, b = np.asarray(row.q_x, float).reshape(qi.size, -1), np.asarray(row.x_x, float).reshape(xi.size, -1)
                 order = np.argsort(xi, kind="stable")
-                xi, b = xi[order], b[order]
-                for at in range(0, qi.size, 64):
-                    d = ((a[at : at + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-                    d[qi[at : at + 64, None] == xi[None, :]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    out = pd.DataFrame({"query": np.repeat(qi[at : at + 64], best.shape[1]), "hit": xi[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
-                    yield out[np.isfinite(out["d"])]
-
-    found = pairs.select("q_ids", "q_x", "x_ids", "x_x").mapInPandas(run, "query long, hit long, d double")
+                xi, b, xd = xi[order], b[order], xd[order]
+                for n, own in enumerate(qi):
+                    # Of a list only the shell can be nearer than the bound: |d(q, centre) - d(x, centre)| <= d(q, x).
+                    shell = np.flatnonzero((np.abs(xd - qd[n]) <= row.q_bound[n]) & (xi != own))
+                    if shell.size:
+                        if compared is not None:
+                            compared.add(int(shell.size))
+                        d = ((b[shell] - a[n]) ** 2).sum(axis=1)
+                        best = np.argsort(d, kind="stable")[:k]
+                        yield pd.DataFrame({"query": own, "hit": xi[shell[best]], "d": d[best]})
+
+    return pairs.select("q_id", "q_d", "q_x", "q_bound", "x_id", "x_d", "x_x").mapInPandas(run, "query long, hit long, d double")
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int = 8, tile: int = 2048, compared=None) -> DataFrame:
+    """(query, hit, d): the k index vectors (vec_id, vec) of least squared distance to each query, by exact search.
+
+    The index is kept in lists by nearest centre. A query first looks into the lists of the centres nearest to it that
+    hold k vectors together; the k-th distance found bounds what follows: by the triangle inequality a list whose
+    distances to its centre lie between lo and hi holds nothing within r of a query at distance d of that centre, if d - hi > r or
+    lo - d > r. Such lists are skipped, no vector is left out. Lists and queries meet in tiles of bounded size. A
+    query does not meet its own vec_id; equal distances go to the smaller id. Vectors have no nulls and one length.
+    ``compared``: an accumulator that gets the number of distances to vectors that were computed.
+    """
+    spark = index.sparkSession
+    centres = spark.sparkContext.broadcast(centres_of(index))
+    if not len(centres.value):
+        return queries.select(F.col("vec_id").cast("long").alias("query"), F.lit(0).cast("long").alias("hit"), F.lit(0.0).alias("d")).limit(0)
+    x = staged(_placed(index, centres, False), "lists")
+    q = staged(_placed(queries, centres, True), "queries")
+    # One row for each centre: at most MOST_CENTRES.
+    shells = {r.cell: r for r in x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
+    n, lo, hi = (np.array([getattr(shells[c], name) if c in shells else none for c in range(len(centres.value))]) for name, none in (("n", 0), ("lo", np.inf), ("hi", -np.inf)))
+    slack = 1 + 1e-9
+
+    def dealt(first: bool):
+        def run(batches):
+            for pdf in batches:
+                rows = []
+                for own, v, every, bound in zip(pdf["id"], pdf["x"], pdf["every"], pdf["bound"]):
+                    every = np.asarray(every)
+                    order = np.argsort(every, kind="stable")
+                    near = order[: np.searchsorted(np.cumsum(n[order]), k + 1) + 1]
+                    if not first:
+                        lists = np.flatnonzero((n > 0) & (every - hi <= bound) & (lo - every <= bound))
+                        near = lists[~np.isin(lists, near)]
+                    rows += [(own, v, int(c), every[c], bound) for c in near if n[c]]
+                yield pd.DataFrame(rows, columns=["id", "x", "cell", "d", "bound"])
+
+        return run
+
+    schema = "id long, x array<double>, cell int, d double, bound double"
     turn = F.row_number().over(Window.partitionBy("query").orderBy("d", "hit"))
-    return found.withColumn("turn", turn).filter(F.col("turn") <= k).drop("turn")
+    best = lambda found: found.withColumn("turn", turn).filter(F.col("turn") <= k).drop("turn")
+    began = staged(best(_met(q.withColumn("bound", F.lit(float("inf"))).mapInPandas(dealt(True), schema), x, k, tile, compared)), "began")
+    bounds = began.groupBy(F.col("query").alias("id")).agg((F.sqrt(F.max("d")) * slack + 1e-12).alias("r"), F.count(F.lit(1)).alias("found"))
+    rest = q.join(bounds, "id", "left").withColumn("bound", F.when(F.col("found") >= k, F.col("r")).otherwise(float("inf")))
+    out = staged(best(began.unionByName(_met(rest.select("id", "x", "every", "bound").mapInPandas(dealt(False), schema), x, k, tile, compared))), "nearest")
+    discard(x, q, began)
+    return out
 
 
 def knn_blend(queries: DataFrame, index: DataFrame, k: int = 8, rate: float = 0.75, tile: int = 2048) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
+from stemframe.operators.scans import BLOCK, ranked
 from stemframe.registry import query
 
 KEYS = ["track", "pos"]
@@ -97,11 +98,9 @@ def manual_ensemble(df: DataFrame, method: str, weights: str) -> DataFrame:
     return ensemble(df, method, weight=F.get(w, at))
 
 
-def ema(df: DataFrame, keys: list[str], beta: float) -> DataFrame:
+def ema(df: DataFrame, keys: list[str], beta: float, block: int = BLOCK) -> DataFrame:
     """Exponentially weighted mean of a history (pos, v, w): older entries count beta times less each step."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("pos"))
-    last = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    decayed = df.withColumn("b", F.pow(F.lit(beta), last - n))
+    decayed = ranked(df, keys, block).withColumn("b", F.pow(F.lit(beta), F.col("rows") - F.col("turn")))
     return decayed.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w") * F.col("b")) / F.sum(F.col("w") * F.col("b"))).alias("v"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded, seeded_sql
+from stemframe.operators.scans import BLOCK, moving_sum
 from stemframe.registry import query
 
 #: model(v) of a sample.
@@ -239,11 +240,10 @@ def patch_layout(df: DataFrame, width: str, crop: int, offset: int) -> DataFrame
     return df.withColumns({"pad_left": F.lit(offset), "roi": F.lit(roi), "pad_right": roi - F.col(width) % roi + offset})
 
 
-def silence_cut_points(df: DataFrame, keys: list[str], t_max: int, t_center: int, t_query: int, window: int) -> DataFrame:
+def silence_cut_points(df: DataFrame, keys: list[str], t_max: int, t_center: int, t_query: int, window: int, block: int = BLOCK) -> DataFrame:
     """For signals longer than t_max: around each multiple of t_center the place of least moving sum, on the grid of ``window``."""
     df = with_length(df, keys).filter(F.col("n") > t_max)
-    own = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, window - 1)
-    moving = df.withColumn("s", F.round(F.abs(F.sum("v").over(own)), 6))
+    moving = moving_sum(df, keys, window, block).withColumn("s", F.round(F.abs("sum"), 6))
     near = F.round(F.col("pos") / t_center).cast("int")  # the only centre within t_query, as t_query < t_center / 2
     near = moving.withColumn("centre", near * t_center).filter((F.col("centre") > 0) & (F.col("centre") < F.col("n")) & (F.col("pos") >= F.col("centre") - t_query) & (F.col("pos") < F.col("centre") + t_query))
     found = near.groupBy(*keys, "centre").agg(F.min_by("pos", F.struct("s", "pos")).alias("at"))

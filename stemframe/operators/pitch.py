@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
 from stemframe.operators.frames import with_length
+from stemframe.operators.scans import BLOCK, known_around
 from stemframe.registry import query, table
 from stemframe.storage import discard, staged
 
@@ -31,12 +32,9 @@ def f0_range_gate(f0: str | Column, low: float, high: float) -> Column:
     return F.when((f0 < low) | (f0 > high), 0.0).otherwise(f0)
 
 
-def f0_interpolate_unvoiced(df: DataFrame, keys: list[str]) -> DataFrame:
+def f0_interpolate_unvoiced(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Zeros filled on a line between the voiced neighbours, edges held; none voiced: 0. Adds ``voiced``."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("f0") > 0, F.struct("pos", "f0"))
-    df = df.withColumn("a", F.last(known, ignorenulls=True).over(back)).withColumn("b", F.first(known, ignorenulls=True).over(ahead))
+    df = known_around(df, keys, F.when(F.col("f0") > 0, F.struct("pos", "f0")), block=block).withColumnsRenamed({"back": "a", "ahead": "b"})
     line = F.col("a.f0") + (F.col("b.f0") - F.col("a.f0")) * (F.col("pos") - F.col("a.pos")) / (F.col("b.pos") - F.col("a.pos"))
     filled = F.when(F.col("f0") > 0, F.col("f0")).when(F.col("a").isNull() & F.col("b").isNull(), 0.0).when(F.col("a").isNull(), F.col("b.f0")).when(F.col("b").isNull(), F.col("a.f0")).otherwise(line)
     return df.select(*keys, "pos", filled.alias("f0"), (F.col("f0") > 0).alias("voiced"))
@@ -59,19 +57,15 @@ def f0_transpose(f0: Column, semitones: float) -> Column:
     return f0 * F.pow(F.lit(2.0), F.lit(semitones / 12))
 
 
-def f0_override(df: DataFrame, curve: DataFrame, keys: list[str]) -> DataFrame:
+def f0_override(df: DataFrame, curve: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """A user's curve (keys, pos, f) replaces the span it covers, interpolated between its points.
 
-    Curve points and frames are merged into one ordered sequence by key, so the as-of lookups are two
-    window functions, not an inequality join.
+    Curve points and frames are merged into one ordered series, so that the as-of lookups are scans, not an
+    inequality join.
     """
     points = curve.select(*keys, "pos", F.col("f").alias("f"), F.lit(None).cast("double").alias("f0"), F.lit(0).alias("own"))
     rows = df.select(*keys, "pos", F.lit(None).cast("double").alias("f"), "f0", F.lit(1).alias("own")).unionByName(points)
-    w = Window.partitionBy(*keys)
-    known = F.when(F.col("f").isNotNull(), F.struct("pos", "f"))
-    back = w.orderBy("pos", "own").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.orderBy(F.desc("pos"), "own").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("a", F.last(known, ignorenulls=True).over(back)).withColumn("b", F.last(known, ignorenulls=True).over(ahead)).filter("own = 1")
+    rows = known_around(rows, keys, F.when(F.col("f").isNotNull(), F.struct("pos", "f")), ["own"], block).withColumnsRenamed({"back": "a", "ahead": "b"}).filter("own = 1")
     t = (F.col("pos") - F.col("a.pos")) / (F.col("b.pos") - F.col("a.pos"))
     line = F.when(F.col("a.pos") == F.col("b.pos"), F.col("a.f")).otherwise(F.col("a.f") * (1 - t) + F.col("b.f") * t)
     return rows.select(*keys, "pos", F.coalesce(line, F.col("f0")).alias("f0"))

@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder in any store that Spark reaches."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -38,7 +39,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for root, spark in _roots.items():
         try:
-            _delete(spark, root)
+            delete(spark, root)
         except Exception:  # the session is gone already; the folder's retention rule takes over
             pass
 
@@ -69,4 +70,4 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``staged``; nothing that is still to be computed may read them."""
     for table in tables:
-        _delete(table.sparkSession, table._staged_path)
+        delete(table.sparkSession, table._staged_path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemframe.registry import query, table
-from stemframe.storage import new_path
+from stemframe.storage import delete, new_path
 
 #: Event time of the row that ends a stream.
 END = datetime.datetime(9000, 1, 1)
@@ -51,27 +51,64 @@ def drained_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], t
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
-def latest_by_key(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_by_key(stream: DataFrame, keys: list[str], order: list[str], where: str | None = None, buckets: int = 64) -> DataFrame:
     """One row by key, that of the largest ``order``, with n, the number of its rows: every batch is merged into the table so far.
 
-    A batch writes a new version of the table, so a batch that is run again writes the same one.
+    The table lies in ``where`` (a folder of its own, if not given) in ``buckets`` by hash of the key, each with its versions. A batch
+    rewrites only buckets that it has rows for, as version ``batch`` next to the one before, so a batch that is run again writes
+    the same. What is known of versions is what lies there: a query that is stopped and started again with the same
+    folder goes on where it was. Versions that no restart can need go.
     """
-    spark, where = stream.sparkSession, new_path(stream.sparkSession, "latest")
+    spark = stream.sparkSession
+    where = where or new_path(spark, "latest")
     schema = stream.withColumn("n", F.lit(0).cast("long")).schema
-    versions = [None]
+    row = F.struct(*[F.col(c) for c in stream.columns])
 
     def merge(df: DataFrame, batch: int) -> None:
-        row = F.struct(*[F.col(c) for c in stream.columns])
-        rows = df.select(row.alias("row"), F.lit(1).cast("long").alias("n"))
-        if versions[-1]:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(versions[-1]).select(row.alias("row"), "n"))
-        out = rows.groupBy(*[F.col(f"row.{k}").alias(f"_{k}") for k in keys]).agg(F.max_by("row", F.struct(*[F.col(f"row.{o}") for o in order])).alias("row"), F.sum("n").alias("n"))
-        out.select("row.*", "n").write.mode("overwrite").parquet(f"{where}/{batch}")
-        versions.append(f"{where}/{batch}")
+        session = df.sparkSession
+        kept = _versions(session, f"{where}/table", batch)
+        rows = df.select(row.alias("row"), F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        old = [kept[b] for b in touched if b in kept]
+        if old:
+            before = session.read.schema(schema).parquet(*[path for _, path in old])
+            rows = rows.unionByName(before.select(row.alias("row"), "n", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")))
+        out = rows.groupBy("bucket", *[F.col(f"row.{k}").alias(f"_{k}") for k in keys]).agg(F.max_by("row", F.struct(*[F.col(f"row.{o}") for o in order])).alias("row"), F.sum("n").alias("n"))
+        if touched:
+            out.select("bucket", "row.*", "n").write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/table/version={batch}")
+        needed = {path for version, path in [*old, *kept.values()]}
+        for path in _paths(session, f"{where}/table"):
+            if path not in needed and _numbers(path)[0] < batch:
+                delete(session, path)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(versions[-1]) if versions[-1] else spark.createDataFrame([], schema)
+    found = [path for _, path in _versions(spark, f"{where}/table", None).values()]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def _paths(spark: SparkSession, folder: str) -> list[str]:
+    """Folders of single buckets of finished versions."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = lambda p: [s.getPath() for s in store.listStatus(p)] if store.exists(p) else []
+    done = [v for v in below(place) if any(f.getName() == "_SUCCESS" for f in below(v))]
+    return [b.toString() for v in done for b in below(v) if b.getName().startswith("bucket=")]
+
+
+def _numbers(path: str) -> tuple[int, int]:
+    version, bucket = path.rstrip("/").split("/")[-2:]
+    return int(version.removeprefix("version=")), int(bucket.removeprefix("bucket="))
+
+
+def _versions(spark: SparkSession, folder: str, before: int | None) -> dict[int, tuple[int, str]]:
+    """Of each bucket the newest version, if ``before`` is given of those before it."""
+    found: dict[int, tuple[int, str]] = {}
+    for path in _paths(spark, folder):
+        version, bucket = _numbers(path)
+        if (before is None or version < before) and version > found.get(bucket, (-1, ""))[0]:
+            found[bucket] = (version, path)
+    return found
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,10 +177,13 @@ def overlap_add_stream(chunks: DataFrame, hop: int) -> DataFrame:
     return chunks.groupBy("track").applyInPandasWithState(step, "track long, pos long, v double", "at long, tail array<double>, count array<int>", "append", "NoTimeout")
 
 
-def history_latest(events: DataFrame, late: str, job: str = "user_id") -> DataFrame:
-    """Latest event of each job by time and id, with n, its number of events: deliveries of one event count once, late rows are dropped."""
+def history_latest(events: DataFrame, late: str, job: str = "user_id", where: str | None = None) -> DataFrame:
+    """Latest event of each job by time and id, with n, its number of events: deliveries of one event count once, late rows are dropped.
+
+    With ``where``, a folder that stays, a later call goes on with what has landed since.
+    """
     once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return latest_by_key(once, [job], ["ts", "event_id"])
+    return latest_by_key(once, [job], ["ts", "event_id"], where)
 
 
 def mixdown_stream(a: DataFrame, b: DataFrame, late: str) -> DataFrame:

@@ -310,6 +310,41 @@ def test_latest_status_of_a_job_over_batches(spark, tmp_path):
     assert got == {(1, "done", 3), (2, "failed", 2)}  # the row of June came too late
 
 
+def test_a_status_table_goes_on_after_a_restart(spark, tmp_path):
+    """Stopped between batches, and within one whose version was written but not committed: the same rows as in one run."""
+    import shutil
+
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    batches = [[(100 * k + u, u, f"state{k}", f"2024-01-{k + 1:02d} 00:00:{u:02d}") for u in range(k, 30, k + 1)] for k in range(5)]
+
+    def land(k):
+        df = spark.createDataFrame(batches[k], "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    def run(where):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        return sorted((r.user_id, r.event_type, r.n) for r in jobs.history_latest(stream, "10 days", where=str(where)).collect())
+
+    for k in range(3):
+        land(k)
+    run(tmp_path / "stays")
+    land(3)
+    run(tmp_path / "stays")
+    shutil.copytree(tmp_path / "stays", tmp_path / "before")
+    land(4)
+    want = run(tmp_path / "stays")
+    latest = {}
+    for k, rows in enumerate(batches):
+        for _, u, status, _ in rows:
+            latest[u] = (status, latest.get(u, ("", 0))[1] + 1)
+    assert want == sorted((u, *v) for u, v in latest.items()) == run(tmp_path / "once")
+    # The last batch's version is there, its commit is not: it is run again.
+    shutil.copytree(tmp_path / "stays" / "table", tmp_path / "before" / "table", dirs_exist_ok=True)
+    assert run(tmp_path / "before") == want
+    held = [p for p in (tmp_path / "stays" / "table").glob("version=*/bucket=*")]
+    assert len(held) <= 2 * 30, "versions that nothing needs are gone"
+
+
 def test_windows_close_at_the_end_and_late_rows_drop(spark, tmp_path):
     schema = "user_id long, value double, ts timestamp"
     # A batch drops what is late by the watermark that the batch before it began with.

@@ -17,6 +17,7 @@ from stemframe import fixtures as fx
 from stemframe.operators.blocks import BLOCK, array_sums, correlations, frames_of, placed_blocks, surroundings, to_blocks, with_halo
 from stemframe.operators.spectral import BINS, SPEC, _z, polar, resample_sinc, spectra
 from stemframe.registry import query
+from stemframe.storage import discard, staged
 
 POS = ["track", "channel", "pos"]
 FB = ["track", "frame", "bin"]
@@ -320,33 +321,92 @@ def match_leading_silence(reference: DataFrame, target: DataFrame, threshold: fl
     return moved.unionByName(zeros)
 
 
-def multichannel_em(targets: DataFrame, mix: DataFrame, rounds: int = 1, eps: float = 1e-10) -> DataFrame:
-    """Multichannel Wiener estimates of two-channel stems by expectation-maximisation.
+def wiener_em(targets: DataFrame, mix: DataFrame, channels: int, rounds: int = 1, eps: float = 1e-10, tile: int = 4096) -> DataFrame:
+    """Multichannel Wiener estimates of stems with any number of channels by expectation-maximisation.
+
+    targets: track, stem, frame, bin, and re, im as arrays of ``channels`` values; mix: the same without stem. In each round v is
+    the mean power of a stem, R its spatial covariance by bin, and the stems become v R (sum of v R + sqrt(eps) I)^-1
+    times the mixture. A track's input is divided by a tenth of its peak where that is above one, so that eps means the
+    same for loud tracks, and multiplied back.
 
-    targets: stem, frame keys, x/y re and im of both channels (xr, xi, yr, yi); mix: the same without stem. In
-    each round v is the mean power of a stem, R its spatial covariance by bin, and the stems become
-    v R (sum of v R + eps I)^-1 times the mixture; 2 x 2 inverses are written out. A track's input is divided by
-    a tenth of its peak where that is above one, so that eps means the same for loud tracks, and multiplied back.
+    Rows are tiles of up to ``tile`` frames of a bin. A round is two passes over them: sums for the covariances, which
+    Spark adds up by stem and bin, and a batch of Hermitian solves. Frames that the mixture does not have are left out.
     """
-    parts = ("xr", "xi", "yr", "yi")
-    peak = mix.groupBy("track").agg(F.greatest(F.lit(1.0), F.max(F.greatest(F.hypot("xr", "xi"), F.hypot("yr", "yi"))) / 10).alias("scale"))
-    scaled = lambda d: d.join(peak, "track").withColumns({c: F.col(c) / F.col("scale") for c in parts}).drop("scale")
-    y, mix = scaled(targets), scaled(mix)
+    keys, wide = ["track", "bin", "part"], channels * channels
+    part = F.expr(f"CAST(frame div {tile} AS INT)")
+    power = lambda r, i: F.array_max(F.zip_with(r, i, lambda a, b: F.hypot(a, b)))
+    peak = mix.groupBy("track").agg(F.greatest(F.lit(1.0), F.max(power("re", "im")) / 10).alias("scale"))
+    own = targets.groupBy("track", "bin", part.alias("part")).agg(F.collect_list(F.struct(F.col("stem").cast("string").alias("stem"), F.col("frame").cast("long").alias("frame"), "re", "im")).alias("y"))
+    whole = mix.groupBy("track", "bin", part.alias("part")).agg(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), "re", "im")).alias("x"))
+    columns = lambda name, *fields: [F.transform(name, lambda s: s[f]).alias(f"{name}_{f}") for f in fields]  # noqa: E731,B023
+    packed = own.join(whole, keys).join(peak, "track").select(*keys, "scale", *columns("y", "stem", "frame", "re", "im"), *columns("x", "frame", "re", "im"))
+    kinds = f"track {mix.schema['track'].dataType.simpleString()}, bin {mix.schema['bin'].dataType.simpleString()}, part int"
+    state = f"{kinds}, scale double, stems array<string>, frames array<long>, there array<boolean>, yr array<double>, yi array<double>, xr array<double>, xi array<double>"
+
+    def stacks(batches):
+        """Dense stacks of a tile: stems by frames by channels, and which of them are rows."""
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                frames, at = np.unique(np.asarray(r.x_frame), return_index=True)
+                x = (np.stack(r.x_re) + 1j * np.stack(r.x_im))[at] / r.scale
+                stems, s = np.unique(np.asarray(r.y_stem, str), return_inverse=True)
+                f = np.searchsorted(frames, r.y_frame)
+                ok = (f < frames.size) & (frames[np.minimum(f, frames.size - 1)] == np.asarray(r.y_frame))
+                y, there = np.zeros((stems.size, frames.size, channels), complex), np.zeros((stems.size, frames.size), bool)
+                y[s[ok], f[ok]] = (np.stack(r.y_re) + 1j * np.stack(r.y_im))[ok] / r.scale
+                there[s[ok], f[ok]] = True
+                out.append((list(stems), frames, there.ravel(), y.real.ravel(), y.imag.ravel(), x.real.ravel(), x.imag.ravel()))
+            yield pdf[[*keys, "scale"]].assign(**dict(zip(("stems", "frames", "there", "yr", "yi", "xr", "xi"), map(list, zip(*out)))))
+
+    def stack(r) -> tuple[np.ndarray, np.ndarray]:
+        y = (np.asarray(r.yr) + 1j * np.asarray(r.yi)).reshape(len(r.stems), len(r.frames), channels)
+        return y, (np.abs(y) ** 2).mean(axis=2)
+
+    def sums(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                y, v = stack(r)
+                c = np.einsum("sfc,sfd->scd", y, y.conj()).reshape(len(y), wide)
+                out += [(r.track, r.bin, stem, np.r_[c[k].real, c[k].imag, v[k].sum()]) for k, stem in enumerate(r.stems)]
+            yield pd.DataFrame(out, columns=["track", "bin", "stem", "c"])
+
+    def solved(batches):
+        for pdf in batches:
+            yr, yi = [], []
+            for r in pdf.itertuples(index=False):
+                y, v = stack(r)
+                found = {s["stem"]: np.asarray(s["c"]) for s in r.sums}
+                c = np.array([found[stem] for stem in r.stems])
+                cov = ((c[:, :wide] + 1j * c[:, wide:-1]) / (c[:, -1:] + eps)).reshape(-1, channels, channels)
+                total = np.einsum("sf,scd->fcd", v, cov) + np.sqrt(eps) * np.eye(channels)
+                x = (np.asarray(r.xr) + 1j * np.asarray(r.xi)).reshape(len(r.frames), channels)
+                z = np.einsum("sf,scd,fd->sfc", v, cov, np.linalg.solve(total, x[:, :, None])[:, :, 0])
+                yr.append(z.real.ravel())
+                yi.append(z.imag.ravel())
+            yield pdf.drop(columns="sums").assign(yr=yr, yi=yi)
+
+    tiles = staged(packed.mapInPandas(stacks, state), "tiles")
     for _ in range(rounds):
-        y = y.withColumn("v", (F.col("xr") ** 2 + F.col("xi") ** 2 + F.col("yr") ** 2 + F.col("yi") ** 2) / 2)
-        r = y.groupBy("track", "stem", "bin").agg(
-            F.sum(F.expr("xr * xr + xi * xi")).alias("a"), F.sum(F.expr("yr * yr + yi * yi")).alias("d"),
-            F.sum(F.expr("xr * yr + xi * yi")).alias("br"), F.sum(F.expr("xi * yr - xr * yi")).alias("bi"), (F.sum("v") + eps).alias("s"),
-        )
-        r = r.select("track", "stem", "bin", *[(F.col(c) / F.col("s")).alias(c) for c in ("a", "d", "br", "bi")])
-        own = y.select("track", "stem", "frame", "bin", "v").join(r, ["track", "stem", "bin"]).select("track", "stem", "frame", "bin", *[(F.col("v") * F.col(c)).alias(c) for c in ("a", "d", "br", "bi")])
-        w = Window.partitionBy(*FB)
-        t = own.withColumns({f"t{c}": F.sum(c).over(w) + (math.sqrt(eps) if c in "ad" else 0.0) for c in ("a", "d", "br", "bi")})
-        t = t.withColumn("det", F.expr("ta * td - tbr * tbr - tbi * tbi")).join(mix, FB)
-        # u = (sum)^-1 x, then the stem is (v R) u
-        t = t.withColumns({"ur": F.expr("(td * xr - (tbr * yr - tbi * yi)) / det"), "ui": F.expr("(td * xi - (tbr * yi + tbi * yr)) / det"), "wr": F.expr("(ta * yr - (tbr * xr + tbi * xi)) / det"), "wi": F.expr("(ta * yi - (tbr * xi - tbi * xr)) / det")})
-        y = t.select("track", "stem", "frame", "bin", F.expr("a * ur + br * wr - bi * wi").alias("xr"), F.expr("a * ui + br * wi + bi * wr").alias("xi"), F.expr("d * wr + br * ur + bi * ui").alias("yr"), F.expr("d * wi + br * ui - bi * ur").alias("yi"))
-    return y.join(peak, "track").withColumns({c: F.col(c) * F.col("scale") for c in parts}).drop("scale")
+        each = tiles.mapInPandas(sums, f"{kinds.rsplit(',', 1)[0]}, stem string, c array<double>")
+        added = each.groupBy("track", "bin", "stem").agg(F.array(*[F.sum(F.get("c", F.lit(k))) for k in range(2 * wide + 1)]).alias("c"))
+        by_bin = added.groupBy("track", "bin").agg(F.collect_list(F.struct("stem", "c")).alias("sums"))
+        after = staged(tiles.join(by_bin, ["track", "bin"]).mapInPandas(solved, state), "tiles")
+        discard(tiles)
+        tiles = after
+    # Places of a stack are numbered stem by stem, frame by frame.
+    flat = tiles.select("track", "bin", "scale", "stems", "frames", "yr", "yi", F.posexplode("there").alias("k", "here")).filter("here")
+    value = lambda c: F.transform(F.slice(c, F.col("k") * channels + 1, F.lit(channels)), lambda v: v * F.col("scale"))
+    stem, frame = F.expr("stems[k div size(frames)]"), F.expr("frames[k % size(frames)]")
+    return flat.select("track", stem.cast(targets.schema["stem"].dataType).alias("stem"), frame.cast(targets.schema["frame"].dataType).alias("frame"), "bin", value("yr").alias("re"), value("yi").alias("im"))
+
+
+def multichannel_em(targets: DataFrame, mix: DataFrame, rounds: int = 1, eps: float = 1e-10) -> DataFrame:
+    """``wiener_em`` of two channels in columns: xr, xi, yr, yi are re and im of both."""
+    arrays = lambda d: d.withColumns({"re": F.array("xr", "yr"), "im": F.array("xi", "yi")}).drop("xr", "xi", "yr", "yi")
+    out = wiener_em(arrays(targets), arrays(mix), 2, rounds, eps)
+    return out.select("track", "stem", "frame", "bin", *[F.get(c, F.lit(k)).alias(n) for n, c, k in (("xr", "re", 0), ("xi", "im", 0), ("yr", "re", 1), ("yi", "im", 1))])
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -233,6 +233,28 @@ def test_multichannel_em_equals_loops(spark):
         assert np.allclose([r.xr + 1j * r.xi, r.yr + 1j * r.yi], z[int(r.stem[1]), r.frame, r.bin], atol=1e-6)
 
 
+@pytest.mark.parametrize("channels, stems, tile", [(1, 2, 4), (2, 3, 100), (3, 2, 4), (4, 3, 3)])
+def test_wiener_em_of_any_number_of_channels(spark, channels, stems, tile):
+    rng = np.random.default_rng(channels)
+    y = 20 * (rng.normal(size=(stems, 9, 2, channels)) + 1j * rng.normal(size=(stems, 9, 2, channels)))
+    x = y.sum(axis=0) + rng.normal(size=(9, 2, channels))
+    both = lambda z: ([float(c) for c in z.real], [float(c) for c in z.imag])
+    cols = "frame int, bin int, re array<double>, im array<double>"
+    targets = spark.createDataFrame([(1, f"s{j}", f, b, *both(y[j, f, b])) for j in range(stems) for f in range(9) for b in range(2)], f"track long, stem string, {cols}").repartition(4)
+    mix = spark.createDataFrame([(1, f, b, *both(x[f, b])) for f in range(9) for b in range(2)], f"track long, {cols}")
+    scale = max(1, np.abs(x).max() / 10)
+    z, m = y / scale, x / scale
+    for _ in range(2):
+        v = (np.abs(z) ** 2).mean(axis=3)
+        r = np.einsum("jfbc,jfbd->jbcd", z, z.conj()) / (v.sum(axis=1) + 1e-10)[:, :, None, None]
+        total = np.einsum("jfb,jbcd->fbcd", v, r) + 1e-5 * np.eye(channels)
+        z = np.einsum("jfb,jbcd,fbde,fbe->jfbc", v, r, np.linalg.inv(total), m)
+    got = pair.wiener_em(targets, mix, channels, 2, tile=tile).collect()
+    assert len(got) == stems * 18
+    for row in got:
+        assert np.allclose(np.array(row.re) + 1j * np.array(row.im), z[int(row.stem[1]), row.frame, row.bin] * scale, atol=1e-6)
+
+
 def test_local_time_correction_equals_loops(spark):
     rng = np.random.default_rng(3)
     size, hop, n, most, gains = 16, 8, 64, 3, [0.5, 1.0]

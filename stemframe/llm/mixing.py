@@ -60,6 +60,12 @@ def cyclic_weights(sources: DataFrame, cycle: tuple = (3, 1, 2)) -> DataFrame:
     return sources.join(ordered.select("key", weight.alias("weight")), "key")
 
 
+def _turn(doc_id: Column, text: Column, seed: int) -> Column:
+    """The seeded order: a hash of the id, or of the text where there is none, so that rows without an id don't meet in one range."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
     """Per input row: doc_id, size, source_size, target, copies, taken, and the columns of ``carry`` as the struct ``row``.
 
@@ -69,12 +75,12 @@ def mix(docs: DataFrame, weights: dict | None = None, ratio: float = 1.5, max_ep
 
     * Sizes are words between ASCII white space; null and blank texts have size 0 and are taken 0 times.
     * A null source is a source of its own, last in order. ``weights`` by source default to 3, 1, 2, repeating.
-    * Repeated rows (equal ids) are documents of their own; a null id hashes like any other value.
+    * Repeated rows (equal ids) are documents of their own; rows without an id are ordered by their text.
     * An empty table gives no rows. The same seed gives the same mix.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("turn"),
+        _turn(F.col(id_col), F.col(text_col), seed).alias("turn"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     # A key without nulls, so that joins on it are plain equalities.
@@ -111,7 +117,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 ORACLE = r"""WITH rows AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS turn FROM documents),
+    md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS turn FROM documents),
   src AS (SELECT source, sum(size)::DOUBLE AS s FROM rows GROUP BY source),
   w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM src),
   -- The level at which sum(least(2 s, level w)) is the budget: clamp the sources in order of 2 s / w.

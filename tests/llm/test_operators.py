@@ -617,6 +617,14 @@ def test_mix_meets_its_targets(spark, docs):
     assert rows_of(mixing.mix(docs)) == rows_of(mixing.mix(docs.repartition(7)))
 
 
+def test_rows_without_an_id_are_spread_and_mixed_like_others(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("one two w"), F.col("id").cast("string")).alias("text"), F.lit("hot").alias("source"))
+    ranges = rows.select(F.substring(mixing._turn(F.col("doc_id"), F.col("text"), 7), 1, 3).alias("r")).groupBy("r").count()
+    assert ranges.count() > 1500 and ranges.agg(F.max("count")).first()[0] < 12
+    out = mixing.mix(rows).agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n")).first()
+    assert out.n == 3000 and out.taken == round(out.target)
+
+
 def test_mixing_awkward(awkward, empty):
     rows = mixing.mix(awkward, carry=["source"]).collect()
     assert len(rows) == 17 and all(r.taken == 0 for r in rows if r["size"] == 0)

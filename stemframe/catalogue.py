@@ -19,6 +19,7 @@ MODULES = [
     "stemframe.streaming.jobs",
     "stemframe.functions.udf",
     "stemframe.sources.wav",
+    "stemframe.sources.preprocess",
     "stemframe.operators.pitch",
     "stemframe.operators.dataset",
     "stemframe.operators.ensemble",

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemframe import fixtures as fx
-from stemframe.operators.spectral import resample_sinc
 from stemframe.registry import query
 from stemframe.sources.wav_source import BLOCK, BLOCK_SCHEMA, WavInfoSource, WavSource, codes_of, file_system, head_bytes, header, samples_of
 from stemframe.storage import new_path
@@ -162,11 +161,6 @@ def write_stems(df: DataFrame, path: str, sr: int = 44100, least: float = 1e-6,
     write_wav(drop_silent_stems(df).select(name.alias("file"), F.lit(0).alias("channel"), "pos", "v"), path, sr, bits)
 
 
-def resample_preprocess(df: DataFrame, done: DataFrame, ratio: float) -> DataFrame:
-    """Resample the tracks that are not in ``done`` (track) yet."""
-    return resample_sinc(df.join(done, "track", "left_anti"), ["track", "channel"], ratio)
-
-
 @query("a1_scan_signals", f"WITH {fx.STEREO} SELECT track, channel, pos, 8000 AS sr, CAST(trunc(greatest(least(v, 1), -1) * 32767) AS INTEGER) AS code FROM stereo")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = from_blocks(scan_signals(spark, _written(spark, sf_dir, 16), block=24).withColumn("rate", F.col("sr")))
@@ -185,13 +179,6 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_media_info(spark, _written(spark, sf_dir, 24)).withColumn("path", F.substring_index("path", "/", -1)).drop("error")
 
 
-@query("a12_resample_preprocess", f"WITH {fx.STEREO} SELECT track, channel, CAST(2 * count(*) AS BIGINT) AS n FROM stereo WHERE track % 3 <> 0 GROUP BY ALL")
-def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.stereo(spark, sf_dir)
-    done = df.filter("track % 3 = 0").select("track").distinct()
-    return resample_preprocess(df, done, 2.0).groupBy("track", "channel").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("a5_write_stems", f"WITH {fx.STEMS} SELECT stem, track, CAST(pos AS BIGINT) AS pos, round(v, 4) AS v FROM stems WHERE (track, stem) IN (SELECT (track, stem) FROM stems GROUP BY track, stem HAVING max(abs(v)) >= 1e-6)")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stems")

@@ -71,3 +71,20 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``staged``; nothing that is still to be computed may read them."""
     for table in tables:
         delete(table.sparkSession, table._staged_path)
+
+
+def publish(spark: SparkSession, path: str, to: str) -> None:
+    """Move a finished folder into place in one step."""
+    context = spark._jvm.org.apache.hadoop.fs
+    source, target = context.Path(path), context.Path(to)
+    store = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target.getParent())
+    if not store.rename(source, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what lies directly in a folder; none if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in store.listStatus(place)] if store.exists(place) else []

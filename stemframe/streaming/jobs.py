@@ -15,17 +15,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructField, StructType
 
 from stemframe.registry import query, table
 from stemframe.storage import delete, new_path
 
 #: Event time of the row that ends a stream.
-END = datetime.datetime(9000, 1, 1)
+END = datetime.datetime(2200, 1, 1)  # within what pandas can hold
 
 
 def _run(stream: DataFrame, where: str) -> None:
     """Read what has landed since the last run with the same folder."""
-    q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # a query takes its settings with it when it starts
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
     q.awaitTermination()
 
 
@@ -42,11 +53,12 @@ def drained_to_end(source: DataFrame, build: Callable[[DataFrame], DataFrame], t
     The other columns of that row are null; what ``build`` makes of it is never emitted, as no later row closes it.
     """
     spark, where, ends = source.sparkSession, new_path(source.sparkSession, "stream"), new_path(source.sparkSession, "end")
-    spark.createDataFrame([], source.schema).write.parquet(ends)
-    stream = build(source.unionByName(spark.readStream.schema(source.schema).parquet(ends)))
+    schema = StructType([StructField(f.name, f.dataType) for f in source.schema.fields])
+    spark.createDataFrame([], schema).write.parquet(ends)
+    stream = build(source.unionByName(spark.readStream.schema(schema).parquet(ends)))
     _run(stream, where)
-    row = tuple(END if f.name == time else None for f in source.schema.fields)
-    spark.createDataFrame([row], source.schema).write.mode("append").parquet(ends)
+    row = tuple(END if f.name == time else None for f in schema.fields)
+    spark.createDataFrame([row], schema).write.mode("append").parquet(ends)
     _run(stream, where)
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
@@ -134,47 +146,75 @@ def activity_sessions(df: DataFrame, gap: str, late: str) -> DataFrame:
     return out.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
 
 
-def overlap_add_stream(chunks: DataFrame, hop: int) -> DataFrame:
-    """Overlap-add of chunk rows (track, start, samples) whose state is the unfinished tail of each track.
+class OverlapAdd(StatefulProcessor):
+    """The unfinished tail of a track: where it begins, its sums, and how many chunks each sample has had.
 
-    A sample is emitted once no later chunk can touch it, so the state never holds more than one chunk. A row
-    without samples is the end of its track: what is left is emitted and the state is dropped.
+    A sample is emitted once no later chunk can touch it, so the state never holds more than one chunk. A track that has had
+    no chunk for ``idle`` of event time has ended: its timer emits what is left and drops the state. So does a row without samples.
     """
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, tail, count = state.get if state.exists else (0, [], [])
-        tail, count, done = np.array(tail, float), np.array(count, np.int64), []
-        rows = sorted(((int(r.start), r.samples) for pdf in pdfs for r in pdf.itertuples()), key=lambda r: (r[1] is None, r[0]))
-        ended = bool(rows) and rows[-1][1] is None
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
-        def emit(k: int) -> None:
-            nonlocal at, tail, count
-            done.append(pd.DataFrame({"track": key[0], "pos": np.arange(at, at + k), "v": tail[:k] / count[:k]}))
-            at, tail, count = at + k, tail[k:], count[k:]
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("tail", "at long, tail array<double>, count array<int>, timer long")
 
-        for start, samples in rows:
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803  names of Spark's interface
+        at, tail, count, timer = self.state.get() if self.state.exists() else (0, [], [], None)
+        tail, count, done = np.array(tail, float), np.array(count, np.int64), []
+        found = sorted(((int(r.start), r.samples, r.ts) for pdf in rows for r in pdf.itertuples() if not pd.isna(r.start)), key=lambda r: (r[1] is None, r[0]))
+        if not found or pd.isna(key[0]):
+            return
+        for start, samples, _ in found:
             if samples is None:
-                emit(tail.size)
+                done.append((at, tail / count))
+                at, tail, count = at + tail.size, tail[:0], count[:0]
                 continue
-            emit(min(tail.size, max(start - at, 0)))
+            k = min(tail.size, max(start - at, 0))
+            done.append((at, tail[:k] / count[:k]))
+            at, tail, count = at + k, tail[k:], count[k:]
             if not tail.size:
                 at = max(at, start)
             samples = np.asarray(samples, float)[max(at - start, 0) :]  # what is out already can't change any more
             place = max(start - at, 0)
-            grown = place + samples.size - tail.size
-            if grown > 0:
-                tail, count = np.concatenate((tail, np.zeros(grown))), np.concatenate((count, np.zeros(grown, np.int64)))
+            grown = max(0, place + samples.size - tail.size)
+            tail, count = np.concatenate((tail, np.zeros(grown))), np.concatenate((count, np.zeros(grown, np.int64)))
             tail[place : place + samples.size] += samples
             count[place : place + samples.size] += 1
-        if ended:
-            state.remove()
+        if timer is not None:
+            self.handle.deleteTimer(int(timer))
+        if found[-1][1] is None:
+            self.state.clear()
         else:
-            state.update((int(at), tail.tolist(), count.tolist()))
-        done = [d for d in done if len(d)]
-        if done:
-            yield pd.concat(done).astype({"track": "int64", "pos": "int64", "v": "float64"})
+            last = max(pd.Timestamp(ts) for _, _, ts in found)
+            ends = max(int(timer or 0), int(last.timestamp() * 1000) + self.idle_ms)
+            self.handle.registerTimer(ends)
+            self.state.update((int(at), tail.tolist(), count.tolist(), ends))
+        yield from self._rows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802,N803
+        at, tail, count, _ = self.state.get()
+        self.state.clear()
+        yield from self._rows(key, [(at, np.array(tail, float) / np.array(count))])
 
-    return chunks.groupBy("track").applyInPandasWithState(step, "track long, pos long, v double", "at long, tail array<double>, count array<int>", "append", "NoTimeout")
+    @staticmethod
+    def _rows(key, done):
+        parts = [pd.DataFrame({"track": key[0], "pos": np.arange(at, at + v.size), "v": v}) for at, v in done if v.size]
+        if parts:
+            yield pd.concat(parts).astype({"track": "int64", "pos": "int64", "v": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def overlap_add_stream(chunks: DataFrame, late: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
+    """Overlap-add of chunk rows (track, start, samples, ts) with typed state and event-time timers: track, pos, v.
+
+    ``late`` delays the watermark of ts; a track ends ``idle_ms`` after its last chunk's time, by the watermark. Runs on RocksDB state.
+    """
+    grouped = chunks.select("track", "start", "samples", "ts").withWatermark("ts", late).groupBy("track")
+    return grouped.transformWithStateInPandas(OverlapAdd(idle_ms), "track long, pos long, v double", "append", "EventTime")
 
 
 def history_latest(events: DataFrame, late: str, job: str = "user_id", where: str | None = None) -> DataFrame:
@@ -216,12 +256,12 @@ def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s4_stream_overlap_add", """SELECT vec_id AS track, pos, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream_table(spark, sf_dir, "embeddings")
-    # Chunks of 32 at hop 16 over the whole track, and its end.
+    # Chunks of 32 at hop 16 over the whole track, a second apart; the end of a track is found by its timer.
     n = F.size("embedding")
-    starts = F.explode(F.concat(F.filter(F.sequence(F.lit(0), n, F.lit(16)), lambda k: k < n), F.array(n)))
-    samples = F.when(F.col("start") < n, F.transform(F.slice("embedding", F.col("start") + 1, F.lit(32)), lambda v: v.cast("double")))
-    chunks = e.withColumn("start", starts).select(F.col("vec_id").alias("track"), F.col("start").cast("long").alias("start"), samples.alias("samples"))
-    return drained(overlap_add_stream(chunks, 16)).withColumn("v", F.round("v", 5))
+    cut = e.withColumn("start", F.explode(F.filter(F.sequence(F.lit(0), n, F.lit(16)), lambda k: k < n)))
+    samples = F.transform(F.slice("embedding", F.col("start") + 1, F.lit(32)), lambda v: v.cast("double"))
+    chunks = cut.select(F.col("vec_id").alias("track"), F.col("start").cast("long").alias("start"), samples.alias("samples"), F.timestamp_seconds(1_700_000_000 + F.col("start")).alias("ts"))
+    return drained_to_end(chunks, overlap_add_stream).withColumn("v", F.round("v", 5))
 
 
 @query("s5_stream_history_latest", """SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id""")

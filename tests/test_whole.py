@@ -1,5 +1,6 @@
 """Queries that once did a part of the job, against SQL or brute force over all of it, at the smallest scale."""
 
+import datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,13 +129,34 @@ def test_stream_overlap_add_equals_the_batch_form_to_the_end(spark):
 
 
 def test_stream_overlap_add_flushes_at_the_end_of_a_track(spark, tmp_path):
-    """Chunks come in three files, each a batch; track 2 has not ended yet."""
-    schema = "track long, start long, samples array<double>"
-    for i, part in enumerate([[(1, 0, [2.0] * 4), (2, 0, [1.0] * 4)], [(1, 2, [4.0] * 4)], [(1, 6, None), (2, 2, [1.0] * 4)]]):
+    """Chunks come in files, each a batch. Track 1 is ended by a row, track 2 by its timer, track 3 not yet."""
+    schema = "track long, start long, samples array<double>, ts timestamp"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    parts = [
+        [(1, 0, [2.0] * 4, at(0)), (2, 0, [1.0] * 4, at(0))],
+        [(1, 2, [4.0] * 4, at(1))],
+        [(1, 6, None, at(2)), (2, 2, [1.0] * 4, at(2))],
+        [(3, 0, [5.0] * 4, at(30))],
+        [(3, 2, [7.0] * 4, at(31))],
+    ]
+    for i, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    got = sorted((r.track, r.pos, r.v) for r in jobs.drained(jobs.overlap_add_stream(stream, 2)).collect())
-    assert got == [(1, i, v) for i, v in enumerate([2.0, 2.0, 3.0, 3.0, 4.0, 4.0])] + [(2, 0, 1.0), (2, 1, 1.0)]
+    got = sorted((r.track, r.pos, r.v) for r in jobs.drained(jobs.overlap_add_stream(stream, "1 minute", 300_000)).collect())
+    assert got == [(1, i, v) for i, v in enumerate([2.0, 2.0, 3.0, 3.0, 4.0, 4.0])] + [(2, i, 1.0) for i in range(6)] + [(3, 0, 5.0), (3, 1, 5.0)]
+
+
+def test_stream_overlap_add_goes_on_after_a_restart(spark, tmp_path):
+    """The query is stopped between batches and started again from its checkpoint."""
+    schema = "track long, start long, samples array<double>, ts timestamp"
+    where = str(tmp_path / "query")
+    for i in range(3):
+        part = [(t, 2 * i, [float(10 * t + i)] * 4, datetime.datetime(2024, 1, 1, 0, i)) for t in range(4)]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = jobs.overlap_add_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), "1 minute", 600_000)
+        jobs._run(stream, where)
+    got = sorted((r.track, r.pos, r.v) for r in spark.read.parquet(f"{where}/out").collect())
+    assert got == [(t, p, 10 * t + (0.0 if p < 2 else 0.5)) for t in range(4) for p in range(4)]
 
 
 def test_median_of_every_bin(spark, con):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,31 @@ def mse() -> Column:
 def log_wmse() -> Column:
     """-4 ln of the mean squared error once both signals are scaled by the mixture's level (column m); 1e-5 is silence.
 
-    The error is taken as it is; for the weighted form filter r, e and m first.
+    The error is taken as it is; ``weighted_log_wmse`` filters first.
     """
     return -4 * F.log(F.avg(_d() * _d()) / (F.avg(F.col("m") * F.col("m")) + EPS) + 1e-5)
 
 
+def weighted_log_wmse(joined: DataFrame, keys: list[str], rate: float, response: list[float] | None = None, block: int | None = None) -> DataFrame:
+    """keys and log_wmse of error and mixture (columns pos, r, e, m) as they are heard: both pass a filter first.
+
+    ``response`` is the impulse response of the filter, K-weighting at ``rate`` if not given; the filter is linear, so the error
+    alone is filtered. Signals are convolved as block rows, of which sums leave a task.
+    """
+    from stemframe.operators.blocks import convolved, part_size, to_blocks
+    from stemframe.operators.filters import impulse_response, k_weighting
+
+    h = impulse_response(k_weighting(rate)) if response is None else np.asarray(response, float)
+    block = block or part_size(h.size)
+    total = None
+    for name, value in (("d", _d()), ("m", F.col("m"))):
+        rows = to_blocks(joined.select(*keys, "pos", value.alias("v")), keys, block=block)
+        power = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+        sums = convolved(rows, keys, h, block=block).groupBy(*keys).agg(F.sum(power).alias(name), F.sum(F.size("v")).alias("n"))
+        total = sums if total is None else total.join(sums.drop("n"), keys)
+    return total.select(*keys, (-4 * F.log(F.col("d") / F.col("n") / (F.col("m") / F.col("n") + EPS) + 1e-5)).alias("log_wmse"))
+
+
 #: Metrics by name; ``register_score`` adds to them.
 SCORES: dict[str, Callable[[], Column]] = {"sdr": sdr, "si_sdr": si_sdr, "l1": l1, "mse": mse, "log_wmse": log_wmse}
 
@@ -128,6 +149,16 @@ def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track", "model", *[F.round(m, 6 if m == "l1" else 4).alias(m) for m in ("sdr", "si_sdr", "l1", "l1_freq", "aura_stft")])
 
 
+@query("i6_weighted_log_wmse", f"""WITH {REF}, x AS (SELECT track, pos, sum(e) AS m FROM j GROUP BY ALL), h(k, h) AS (VALUES (0, 1.0), (1, -0.95), (4, 0.25)),
+f AS (SELECT track, model, pos + k AS pos, sum((r - e) * h) AS d, sum(m * h) AS m FROM j JOIN x USING (track, pos) CROSS JOIN h WHERE pos + k < 64 GROUP BY track, model, pos + k)
+SELECT track, model, round(-4 * ln(avg(d * d) / (avg(m * m) + 1e-8) + 1e-5), 4) AS log_wmse FROM f GROUP BY ALL""")
+def i6_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = against_median(fx.sig(spark, sf_dir))
+    mixture = j.groupBy("track", "pos").agg(F.sum("e").alias("m"))
+    out = weighted_log_wmse(j.join(mixture, ["track", "pos"]), ["track", "model"], 44100, [1.0, -0.95, 0, 0, 0.25])
+    return out.withColumn("log_wmse", F.round("log_wmse", 4))
+
+
 def chunk_median(joined: DataFrame, keys: list[str], size: int, metrics: list[str]) -> DataFrame:
     """Metrics by whole chunks of ``size`` samples, then their lower median; partial and non-finite chunks are skipped."""
     chunked = joined.withColumn("chunk", F.floor(F.col("pos") / size))

@@ -108,3 +108,18 @@ def test_resampling_of_blocks_equals_sinc_sums(spark, ratio, taps, block):
 def test_a_bank_has_a_phase_for_each_place_between_inputs():
     assert blocks.FilterBank(1.5, 8).bank.shape[0] == 3 and blocks.FilterBank(48000 / 44100, 8).bank.shape[0] == 160
     assert blocks.FilterBank(2 ** (-3 / 12), 8).bank is None
+
+
+def test_weighted_error_is_that_of_filtered_signals(spark):
+    from stemframe.operators.filters import impulse_response, k_weighting
+    from stemframe.operators.metrics import weighted_log_wmse
+
+    rng = np.random.default_rng(4)
+    made = {t: rng.normal(size=(3, 5000 + 700 * t)) for t in range(2)}
+    rows = [(t, p, *map(float, x[:, p])) for t, x in made.items() for p in range(x.shape[1])]
+    joined = spark.createDataFrame(rows, "track long, pos int, r double, e double, m double").repartition(3)
+    got = {r.track: r.log_wmse for r in weighted_log_wmse(joined, ["track"], 8000, block=1024).collect()}
+    h = impulse_response(k_weighting(8000))
+    for t, (r, e, m) in made.items():
+        d, w = (np.convolve(x, h)[: r.size] for x in (r - e, m))
+        assert got[t] == pytest.approx(-4 * np.log((d**2).mean() / ((w**2).mean() + 1e-8) + 1e-5))

@@ -164,6 +164,7 @@ def spectral_scores(blocks: DataFrame, keys: list[str], metrics: list[str], opti
     spectral convergence plus mean log-magnitude distance; aura_mrstft: of the mean loss over ``sizes`` (hop a
     quarter), A-weighted and summed up by ``mr_mels`` bands. bleedless and fullness: 100 / (1 + mean positive difference)
     and 100 / (1 - mean negative difference) of mel levels in dB, each side floored at its peak less 80.
+    A signal too short for a frame has null.
     """
     size, rate = options["size"], options["rate"]
     plain, bleed = {"l1_freq", "aura_stft"} & set(metrics), {"bleedless", "fullness"} & set(metrics)
@@ -203,12 +204,13 @@ def spectral_scores(blocks: DataFrame, keys: list[str], metrics: list[str], opti
         for name, keep in (("up", lambda x: x > 0), ("down", lambda x: x < 0)):
             kept = F.filter("__d", keep)
             parts = parts.withColumns({name: F.aggregate(kept, F.lit(0.0), lambda t, x: t + x), f"{name}_n": F.size(kept).cast("double")})
-        adds += ["up", "up_n", "down", "down_n"]
+        parts = parts.withColumn("levels", F.size("bx"))
+        adds += ["up", "up_n", "down", "down_n", "levels"]
     total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in adds])
-    loss = lambda name: F.expr(f"sqrt({name}_d) / sqrt({name}_x) + {name}_l / {name}_n")
-    mean = lambda name: F.when(F.col(f"{name}_n") > 0, F.col(name) / F.col(f"{name}_n")).otherwise(0.0)
+    loss = lambda name: F.expr(f"try_divide(sqrt({name}_d), sqrt({name}_x)) + try_divide({name}_l, {name}_n)")
+    mean = lambda name: F.when(F.col("levels") > 0, F.coalesce(F.try_divide(name, f"{name}_n"), F.lit(0.0)))
     found = {
-        "l1_freq": lambda: 100 / (1 + 10 * F.col("l1") / F.col("l1_n")),
+        "l1_freq": lambda: 100 / (1 + 10 * F.try_divide("l1", "l1_n")),
         "aura_stft": lambda: 100 / (1 + 10 * loss("plain")),
         "aura_mrstft": lambda: 100 / (1 + 10 * sum((loss(name) for name in shown), F.lit(0.0)) / len(shown)),
         "bleedless": lambda: 100 / (1 + mean("up")),
@@ -220,7 +222,8 @@ def spectral_scores(blocks: DataFrame, keys: list[str], metrics: list[str], opti
 def time_freq_errors(blocks: DataFrame, keys: list[str], w_time: float, w_freq: float, size: int = 2048, hop: int = 512, norms: tuple[str, ...] = ("l1",), eps: float = 1e-3, block: int = BLOCK) -> DataFrame:
     """By key, for each of ``norms``: w_time x L of samples plus w_freq x L of spectra (re and im), of block rows with r and e.
 
-    ``l1`` is the mean magnitude of the error, ``l2`` its mean square, ``ratio`` its level over the reference's in decibel.
+    ``l1`` is the mean magnitude of the error, ``l2`` its mean square, ``ratio`` its level over the reference's in decibel;
+    null for a signal too short for a frame.
     """
 
     def sums(spectra: dict) -> dict:
@@ -235,9 +238,9 @@ def time_freq_errors(blocks: DataFrame, keys: list[str], w_time: float, w_freq:
     names = ["re1", "im1", "base_re1", "base_im1", "re2", "im2", "n", "t1", "t2", "base_t1", "samples"]
     parts = frame_sums(blocks, keys, ("r", "e"), {"f": (size, hop)}, sums, ", ".join(f"{c} double" for c in names), block, every)
     total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
-    over = lambda x, n: f"{x}1 / {n}"
+    over = lambda x, n: f"try_divide({x}1, {n})"
     level = lambda x, n: f"10 * (log10({over(x, n)} + {eps}) - log10({over('base_' + x, n)} + {eps}))"
-    of = {"l1": over, "l2": lambda x, n: f"{x}2 / {n}", "ratio": level}
+    of = {"l1": over, "l2": lambda x, n: f"try_divide({x}2, {n})", "ratio": level}
     return total.select(*keys, *[F.expr(f"{w_time} * ({of[m]('t', 'samples')}) + {w_freq} * ({of[m]('re', 'n')} + {of[m]('im', 'n')})").alias(m) for m in norms])
 
 

@@ -82,6 +82,15 @@ def test_scores_at_real_sizes_equal_whole_signals(spark):
             assert small[key][name] == pytest.approx(want[name]) == whole[key][name]
 
 
+def test_signals_too_short_for_a_frame_have_no_score(spark):
+    joined = spark.createDataFrame([(t, p, float(p), 0.5 * p) for t, n in ((1, 5), (2, 40)) for p in range(n)], "track long, pos int, r double, e double")
+    names = ["l1_freq", "aura_stft", "aura_mrstft", "bleedless", "fullness"]
+    got = {r.track: r for r in score(joined, ["track"], ["sdr", *names], size=16, hop=8, sizes=(8, 16, 32), mr_mels=3, n_mels=4, rate=16000).collect()}
+    assert got[1].sdr is not None and all(got[1][n] is None for n in names) and all(got[2][n] is not None for n in names)
+    rows = {r.track: r for r in bands.time_freq_errors(blocks.to_blocks(joined, ["track"], ("r", "e")), ["track"], 0.5, 0.5, 16, 8, ("l1", "l2", "ratio")).collect()}
+    assert rows[1].l1 is None and rows[2].ratio is not None
+
+
 def test_halo_of_several_blocks(spark):
     made = signals(np.random.default_rng(7), [50])
     own = blocks.to_blocks(long_form(spark, made), KEYS, block=8)

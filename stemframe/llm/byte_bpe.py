@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemframe.llm.common import kept, working
+from stemframe.llm.common import give_back, kept, working
 
 #: A task remembers what it has found about pieces and words up to so many characters, in so many bytes altogether; and in so many
 #: bytes which tokens stand beside each other.
@@ -279,6 +279,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
             yield from digests(enc, batches)
         finally:
             enc.memory.clear()
+            give_back()
 
     def digests(enc, batches):
         for batch in batches:

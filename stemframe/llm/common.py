@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,21 @@ def kept(cache) -> None:
     _caches.append(cache)
 
 
+def give_back() -> None:
+    """Memory that Python and Arrow hold but don't use goes back to the system, so that an idle worker is small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def working(owner: str) -> None:
     """Called where a task begins: what the tasks of another operator have kept in this worker is given back."""
     global _owner
     if _owner != owner:
         for cache in _caches:
             cache.cache_clear()
+        give_back()
         _owner = owner
 
 

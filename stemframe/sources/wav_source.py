@@ -113,13 +113,10 @@ def _files(path: str) -> list[pafs.FileInfo]:
 
 
 @dataclass
-class Range(InputPartition):
-    """Bytes start..end of a file; the first range also reports what is wrong with it."""
+class Ranges(InputPartition):
+    """(path, size of the file, start, end) of ranges of bytes: one of a long file, or several short files."""
 
-    path: str
-    size: int
-    start: int
-    end: int
+    parts: list[tuple[str, int, int, int]]
 
 
 class BlockReader(DataSourceReader):
@@ -128,27 +125,41 @@ class BlockReader(DataSourceReader):
         self.double = options.get("double", "false").lower() == "true"
         self.mono, self.range = options.get("mono", "false").lower() == "true", int(options.get("rangebytes", 32 << 20))
 
-    def partitions(self) -> list[Range]:
-        return [Range(f.path, f.size, at, at + self.range) for f in _files(self.path) for at in range(0, max(f.size, 1), self.range)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        store, _ = file_system(self.path)
-        root = file_system(self.path)[1].rstrip("/")
-        track = (part.path[len(root) + 1 :] if part.path.startswith(f"{root}/") else part.path.rsplit("/", 1)[-1]).removesuffix(".wav")
-        with store.open_input_file(part.path) as file:
+    def partitions(self) -> list[Ranges]:
+        found, now, held = [], [], 0
+        for f in _files(self.path):
+            for at in range(0, max(f.size, 1), self.range):
+                size = min(self.range, f.size - at)
+                if now and held + size > self.range:
+                    found.append(Ranges(now))
+                    now, held = [], 0
+                now.append((f.path, f.size, at, at + self.range))
+                held += max(size, 4096)  # an open costs something as well
+        return [*found, Ranges(now)]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._blocks(*part)
+
+    def _blocks(self, path: str, file_size: int, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        """Blocks that begin in bytes begin..end; the first range of a file also reports what is wrong with it."""
+        store, root = file_system(self.path)
+        root = root.rstrip("/")
+        track = (path[len(root) + 1 :] if path.startswith(f"{root}/") else path.rsplit("/", 1)[-1]).removesuffix(".wav")
+        with store.open_input_file(path) as file:
             read = lambda at, n: file.read_at(n, at)
             try:
-                fmt, start, size = header(read, part.size)
+                fmt, start, size = header(read, file_size)
             except (ValueError, struct.error) as e:
-                if not part.start:
+                if not begin:
                     yield self._batch([(track, None, None, None, 0, None, [], str(e))])
                 return
             wide = fmt["bits"] // 8 * fmt["channels"]
             total = size // wide
-            first = max(0, -(-(part.start - start) // (wide * self.block)))
+            first = max(0, -(-(begin - start) // (wide * self.block)))
             for number in range(first, -(-total // self.block)):
                 at = start + number * self.block * wide
-                if at >= part.end:
+                if at >= end:
                     break
                 x = samples_of(read(at, min(self.block, total - number * self.block) * wide), fmt)
                 x = x.mean(axis=1, keepdims=True) if self.mono else x[:, :2]

@@ -27,6 +27,14 @@ def test_ranges_of_a_file_are_tasks_and_lose_nothing(spark, tmp_path, bits, bloc
         assert np.abs(np.concatenate([v for k, _, _, v in got if k == c]) - x[:, c]).max() <= 1.1 / ((1 << (bits - 1)) - 1) + 1e-7
 
 
+def test_short_files_share_a_task(spark, tmp_path):
+    for k in range(40):
+        written(tmp_path / f"{k}.wav", np.full((10, 1), k / 50))
+    rows = wav.scan_signals(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 1
+    assert sorted((int(r.track), round(r.samples[0] * 50)) for r in rows.collect()) == [(k, k) for k in range(40)]
+
+
 def test_a_header_is_read_without_the_samples(tmp_path):
     """Bytes asked for, of a file of 8 MB with a long chunk before the format."""
     x = np.zeros((2_000_000, 2))

@@ -24,7 +24,7 @@ from stemframe.llm.common import give_back, kept, working
 #: bytes which tokens stand beside each other.
 MEMO_LENGTH, MEMO_BYTES, PAIR_BYTES = 64, 128 << 20, 40 << 20
 #: Prefix tables are shared between pieces that begin with the same so many bytes.
-HEADS = (8,)
+HEADS = (7, 5, 3)
 
 
 #: Fixed value: the public pattern for which a text may be cut before single spaces.
@@ -182,11 +182,18 @@ class Encoder:
         """The prefix table of a piece, begun with that of an earlier piece with the same first bytes."""
         if data in self.of.ranks:
             return []
-        last = next((t.copy() for n in HEADS if len(data) > n and (t := self.memory.get("heads", data[:n]))), [-1])
-        known = len(last)
+        size, last, known = len(data), [-1], 0
+        new, old = self.memory.new["heads"].get, self.memory.old["heads"].get
+        for n in HEADS:
+            if size > n:
+                head = data[:n]
+                found = new(head) or old(head)
+                if found:
+                    last, known = found.copy(), n
+                    break
         self.of.extend(data, last)
         for n in HEADS:
-            if known <= n < len(data):
+            if known < n < size:
                 self.memory.put("heads", data[:n], last[: n + 1], 200 + 9 * n)
         return last
 

@@ -358,8 +358,8 @@ def labelled(source: str | None) -> list[tuple[Block, bool]]:
         if best >= 2:
             labels[[x == "open" and b.stops == best for b, x in zip(found, labels)].index(True)] = "good"
     inside = lambda b: mark > 0 and b.place.mark == mark
-    # Within an article only its own blocks count, without what is no text outright.
-    own = _nearest(found, labels, lambda b: b.place.region if inside(b) and not b.outright else None)
+    # Within an article only its own blocks count, without what is no text outright or stands beside the text.
+    own = _nearest(found, labels, lambda b: b.place.region if inside(b) and not b.outright and b.place.doubts < 2 else None)
     any_ = _nearest(found, labels, lambda b: 0)
     out = []
     for i, (b, x) in enumerate(zip(found, labels)):

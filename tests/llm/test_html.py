@@ -190,7 +190,7 @@ def slow_text(source):
         label = labels[i]
         if label == "open":
             inside = top > 0 and b[5] == top
-            peers = [j for j in range(len(found)) if labels[j] != "open" and (not inside or found[j][6] == b[6] and not found[j][3])]
+            peers = [j for j in range(len(found)) if labels[j] != "open" and (not inside or found[j][6] == b[6] and not found[j][3] and found[j][4] < 2)]
             lower, upper = [j for j in peers if j < i], [j for j in peers if j > i]
             if not peers:
                 label = "good" if inside or not top and b[1] <= 0.33 * len(b[0]) else "bad"

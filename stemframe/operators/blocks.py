@@ -167,12 +167,14 @@ def istft_blocks(frames: DataFrame, keys: list[str], size: int = 2048, hop: int
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                total, weight = np.zeros(block), np.zeros(block)
-                for at, i, x in zip(r.at, r.i, r.x):
-                    total[at : at + x.size] += x
-                    weight[at : at + x.size] += (w * w)[i : i + x.size]
+                # Arrays are as long as what is kept: a batch has thousands of short signals.
                 here = max(0, min(block, r.n - r.block * block))
-                out.append(np.divide(total, weight, out=np.zeros(block), where=weight > 1e-12)[:here])
+                total, weight = np.zeros(here), np.zeros(here)
+                for at, i, x in zip(r.at, r.i, r.x):
+                    m = min(x.size, max(0, here - at))
+                    total[at : at + m] += x[:m]
+                    weight[at : at + m] += (w * w)[i : i + m]
+                out.append(np.divide(total, weight, out=np.zeros(here), where=weight > 1e-12))
             yield pdf[[*keys, "block"]].assign(v=out)[[len(o) > 0 for o in out]]
 
     return gathered.mapInPandas(add, f"{_schema(frames, keys)}, block int, v array<double>")

@@ -52,16 +52,28 @@ def stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig(spark, sf_dir).select(F.floor(F.col("model") / 2).cast("long").alias("track"), (F.col("model") % 2).alias("channel"), "pos", "v")
 
 
-def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned stems of 720 hourly samples: track, stem, pos, v (0 where nothing happened)."""
+def stems(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
+    """Aligned stems of 720 hourly samples: track, stem, pos, v (0 where nothing happened); ``sized``: and n, their length.
+
+    Only what happened is exchanged, and lies by track; a stem's samples are filled in where its track lies, so that
+    grouping by track and more takes no exchange of samples. The number of partitions is fixed, as AQE would judge them by
+    the rows before filling.
+    """
     ev = table(spark, sf_dir, "events")
     start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
     sums = ev.groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("stem"), F.timestamp_diff("HOUR", start, F.col("ts")).cast("int").alias("pos")).agg(F.sum("value").alias("v"))
     # Every track has every stem: one row with all stem names goes to the tracks, which explode it.
     names = ev.agg(F.collect_set("event_type").alias("names"))
-    tracks = ev.select(F.col("user_id").alias("track")).distinct()
-    grid = tracks.crossJoin(F.broadcast(names)).select("track", F.explode("names").alias("stem")).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(719))))
-    return grid.join(sums, ["track", "stem", "pos"], "left").select("track", "stem", "pos", F.coalesce("v", F.lit(0.0)).alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    there = F.col("track").isNotNull() & F.col("pos").between(0, 719)
+    tracks = sums.repartition(parts, "track").groupBy("track").agg(F.collect_list(F.when(there, F.struct("pos", F.coalesce("v", F.lit(0.0)).alias("v"), "stem"))).alias("all"))
+    own = tracks.crossJoin(F.broadcast(names)).select("track", "all", F.explode("names").alias("stem"))
+    own = own.select("track", "stem", F.expr("array_sort(filter(all, x -> x.stem = stem))").alias("s"))
+    # Zeros up to each sample that is there, the sample, and zeros behind the last one; never empty, so outer only saves Spark a filter on the length.
+    filled = F.expr("""flatten(concat(transform(s, (x, i) -> concat(array_repeat(0D, x.pos - if(i = 0, 0, s[i - 1].pos + 1)), array(x.v))),
+        array(array_repeat(0D, 720 - if(size(s) = 0, 0, s[size(s) - 1].pos + 1)))))""")
+    own = own.select("track", "stem", filled.alias("samples"))
+    return own.select("track", "stem", F.posexplode_outer("samples").alias("pos", "v"), *([F.size("samples").alias("n")] if sized else []))
 
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,23 @@ def test_overlap_add_of_short_signals_keeps_their_samples_only(spark, monkeypatc
     out = next(ran[-1](iter([many])))["v"]
     assert all(v.size == 20 for v in out) and tracemalloc.get_traced_memory()[1] < 20_000_000
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["b5_fix_clipping", "b13_match_length", "b14_center_trim", "c1_frame", "c4_overlap_add_triangle", "c5_overlap_add_hann", "c6_overlap_add_hamming", "c7_overlap_add_unfold", "c8_linear_fader", "e10_merge_artifacts", "e13_residual_target", "e15_mixdown", "e16_complement_stem", "e17_inverted_stems", "e18_instrumental_stems", "e20_stem_combinations", "h3_integrated_loudness"])
+def test_filled_in_samples_are_not_exchanged(spark, name):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        # the samples are 15 tracks by 5 stems by 720 hours, the events 1,000
+        assert stage_rows(spark, catalogue.queries()[name](spark, SF)) <= 10_000 < 15 * 5 * 720
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def stage_rows(spark, df):
+    """Rows that the query's stages write to exchanges."""
+    sc = spark.sparkContext
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for found in [sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())] for i in range(found.size()))}
+    before = stages()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for key, n in stages().items() if key not in before)

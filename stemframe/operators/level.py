@@ -131,10 +131,11 @@ def match_length(df: DataFrame, keys: list[str], rule: str, group: list[str]) ->
     Padding adds rows for the missing tail only; it is not made by a grid of all positions.
     """
     n = lengths(df, keys)
-    target = (F.min if rule == "shortest" else F.max)("n").over(Window.partitionBy(*group))
-    n = n.withColumn("target", target)
     if rule == "shortest":
-        return df.join(n, keys).filter("pos < target").drop("n", "target")
+        # The target is the group's, so samples that lie by group stay there.
+        target = n.dropna(subset=keys).groupBy(*group).agg(F.min("n").alias("target"))
+        return df.dropna(subset=keys).join(target, group).filter("pos < target").drop("target")
+    n = n.withColumn("target", F.max("n").over(Window.partitionBy(*group)))
     tail = n.filter("n < target").select(*keys, F.explode(F.sequence(F.col("n"), F.col("target") - 1)).alias("pos"), F.lit(0.0).alias("v"))
     return df.select(*keys, "pos", "v").unionByName(tail.withColumn("pos", F.col("pos").cast(df.schema["pos"].dataType)))
 

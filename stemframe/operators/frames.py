@@ -114,7 +114,7 @@ def reflected(border: int) -> tuple[int, Column]:
 
 def reflect_pad(df: DataFrame, keys: list[str], border: int) -> DataFrame:
     """The signal with ``border`` mirrored samples on both sides, where it is longer than twice that; positions begin at -border."""
-    df = with_length(df, keys)
+    df = df if "n" in df.columns else with_length(df, keys)
     n, pos = F.col("n"), F.col("pos")
     here = F.array(pos)
     left = F.when((n > 2 * border) & (pos >= 1) & (pos <= border), F.array(-pos)).otherwise(F.array().cast(f"array<{df.schema['pos'].dataType.simpleString()}>"))
@@ -277,7 +277,7 @@ def _q(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
 
     @query(name, f"WITH {fx.STEMS}, {sql}")
     def q(spark: SparkSession, sf_dir: str, run=run) -> DataFrame:
-        return run(fx.stems(spark, sf_dir)).select("track", "stem", "pos", (F.round("v", 3) + 0.0).alias("v"))
+        return run(fx.stems(spark, sf_dir, sized=True)).select("track", "stem", "pos", (F.round("v", 3) + 0.0).alias("v"))
 
 
 def _chunks_sql(size: int, hop: int, left: int, chunks: int) -> str:
@@ -313,7 +313,7 @@ t AS (SELECT 'pad' AS tail, * FROM c UNION ALL SELECT 'drop', * FROM c WHERE chu
 UNION ALL SELECT 'reflect', * FROM c UNION ALL SELECT 'reflect', track, stem, 19, 1438 - pos - 684, v FROM stems WHERE pos BETWEEN 705 AND 718)
 SELECT tail, track, stem, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, round(sum(v), 4) + 0.0 AS s, round(sum(v * i), 2) + 0.0 AS m FROM t GROUP BY ALL""")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, out = fx.stems(spark, sf_dir), None
+    df, out = fx.stems(spark, sf_dir, sized=True), None
     for tail in ("pad", "drop", "align", "reflect"):
         one = frame(df, KEYS, 50, 36, tail).groupBy(*KEYS, "chunk").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 4) + 0.0).alias("s"), (F.round(F.sum(F.col("v") * F.col("i")), 2) + 0.0).alias("m"))
         one = one.withColumn("tail", F.lit(tail))

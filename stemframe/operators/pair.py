@@ -144,7 +144,10 @@ def merge_artifacts(mask: DataFrame, threshold: float, min_range: int, fade: int
     w = F.when((F.col("e") != F.col("frames")) & (F.col("frame") >= F.col("e") - fade), down).when((F.col("s") != 0) & (F.col("frame") < F.col("s") + fade), up).otherwise(1.0)
     # where joined runs overlap, the later one writes last
     weights = rows.withColumn("w", w).groupBy("track", "frame").agg(F.max_by("w", "e").alias("w"))
-    return mask.join(weights, ["track", "frame"], "left").withColumn("m", F.col("m") + F.coalesce("w", F.lit(0.0)) * (1 - F.col("m"))).drop("w")
+    # weights lie beside the masks of their frame instead of being joined to them, so that masks that lie by track stay there
+    both = mask.withColumn("__own", F.lit(True)).unionByName(weights, allowMissingColumns=True)
+    both = both.withColumn("w", F.max("w").over(Window.partitionBy("track", "frame"))).filter("__own")
+    return both.withColumn("m", F.col("m") + F.coalesce("w", F.lit(0.0)) * (1 - F.col("m"))).drop("w", "__own")
 
 
 def soft_mask(targets: DataFrame, mix: DataFrame, eps: float = 1e-10) -> DataFrame:

@@ -163,9 +163,16 @@ def mix_phase_estimate(targets: DataFrame, mix: DataFrame) -> DataFrame:
     return both.select("stem", *BINS, re.alias("re"), im.alias("im"))
 
 
+def _less(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a less the sum of b where both have rows, as one grouping: inputs that lie by some of the keys stay where they are."""
+    side = lambda d, name: d.select(*keys, *[(F.col("v") if n == name else F.lit(None).cast("double")).alias(n) for n in "ab"], F.lit(name).alias("side"))
+    both = side(a, "a").unionByName(side(b, "b")).groupBy(*keys).agg((F.sum("a") - F.sum("b")).alias("v"), F.min("side").alias("low"), F.max("side").alias("high"))
+    return both.filter("low = 'a' AND high = 'b'").select(*keys, "v")
+
+
 def residual_target(stems: DataFrame, mix: DataFrame, keys: list[str]) -> DataFrame:
     """The stems and one more: the mixture less their sum."""
-    rest = mix.withColumnRenamed("v", "m").join(stems.groupBy(*keys).agg(F.sum("v").alias("s")), keys).select(*keys, F.lit("residual").alias("stem"), (F.col("m") - F.col("s")).alias("v"))
+    rest = _less(mix, stems, keys).select(*keys, F.lit("residual").alias("stem"), "v")
     return stems.select(*keys, "stem", "v").unionByName(rest)
 
 

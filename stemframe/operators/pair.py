@@ -183,7 +183,8 @@ def mixdown(stems: DataFrame, keys: list[str], only: list[str] | None = None) ->
 
 
 def complement_stem(mix: DataFrame, primary: DataFrame, keys: list[str]) -> DataFrame:
-    return mix.join(primary.withColumnRenamed("v", "p"), keys).select(*keys, (F.col("v") - F.col("p")).alias("v"))
+    """The mixture less one stem, where both have a sample."""
+    return _less(mix, primary, keys)
 
 
 def minus_plus(stems: DataFrame, selected: Column, names: tuple[str, str]) -> DataFrame:

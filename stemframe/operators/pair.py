@@ -212,13 +212,18 @@ def reduce_mix(inst: DataFrame, voc: DataFrame, rate: float = 0.9) -> DataFrame:
 def stem_combinations(stems: DataFrame, without: str) -> DataFrame:
     """Every subset (of two or more) of the stems but ``without``, summed and named a+b+c.
 
-    The subsets come from bit masks over the stem names, a table of 2^n rows that is joined back by stem; AQE
-    broadcasts it where it is small.
+    The subsets come from bit masks over the stem names, a table of 2^n rows; a position's stems are gathered once and meet
+    each mask in their row, so that sums are never exchanged. A subset has a row where one of its stems does.
     """
-    names = stems.filter(F.col("stem") != without).select("stem").distinct().agg(F.array_sort(F.collect_set("stem")).alias("names"))
+    some = stems.filter(F.col("stem") != without)
+    names = some.select("stem").distinct().agg(F.array_sort(F.collect_set("stem")).alias("names"))
     masks = names.withColumn("mask", F.explode(F.expr("sequence(1, cast(shiftleft(1, size(names)) AS int) - 1)"))).filter("bit_count(mask) >= 2")
-    parts = masks.withColumn("on", F.expr("filter(names, (x, i) -> shiftright(mask, i) & 1 = 1)")).select(F.concat_ws("+", "on").alias("combination"), F.explode("on").alias("stem"))
-    return stems.join(parts, "stem").groupBy("track", "combination", "pos").agg(F.sum("v").alias("v"))
+    named = masks.select("mask", F.concat_ws("+", F.expr("filter(names, (x, i) -> shiftright(mask, i) & 1 = 1)")).alias("combination"))
+    bits = some.crossJoin(F.broadcast(names)).select("track", "pos", "v", F.expr("shiftleft(1, cast(array_position(names, stem) AS int) - 1)").alias("bit"))
+    places = bits.groupBy("track", "pos").agg(F.bit_or("bit").alias("there"), F.collect_list(F.when(F.col("v").isNotNull(), F.struct("bit", "v"))).alias("s"))
+    met = places.crossJoin(F.broadcast(named)).filter("there & mask <> 0")
+    total = F.expr("aggregate(s, CAST(NULL AS DOUBLE), (a, x) -> if(x.bit & mask <> 0, coalesce(a, 0D) + x.v, a))")
+    return met.select("track", "combination", "pos", total.alias("v"))
 
 
 def phase_inverted(a: DataFrame, b: DataFrame, first: int = 1000) -> DataFrame:

@@ -47,9 +47,16 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("track"), F.col("vec_id").alias("model"), F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-channel tracks: track, channel, pos, v."""
-    return sig(spark, sf_dir).select(F.floor(F.col("model") / 2).cast("long").alias("track"), (F.col("model") % 2).alias("channel"), "pos", "v")
+def stereo(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
+    """Two-channel tracks: track, channel, pos, v; ``sized``: and n, the length of the signal.
+
+    Vectors lie by track before their samples become rows, in a fixed number of partitions, so that groupings of samples by
+    track and more stay within a task's share of the tracks, however few files there are.
+    """
+    parts, model = int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("vec_id")
+    own = table(spark, sf_dir, "embeddings").select(F.floor(model / 2).cast("long").alias("track"), (model % 2).alias("channel"), "embedding").repartition(parts, "track")
+    rows = own.select("track", "channel", F.posexplode("embedding").alias("pos", "v"), *([F.size("embedding").alias("n")] if sized else []))
+    return rows.withColumn("v", F.col("v").cast("double"))
 
 
 def stems(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:

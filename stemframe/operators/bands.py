@@ -307,12 +307,13 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d11_perceptual_filterbanks")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, out = spectra(spark, sf_dir).withColumn("mag", F.hypot("re", "im")), None
+    spec, banks = spectra(spark, sf_dir).withColumn("mag", F.hypot("re", "im")), None
     for scale in ("mel", "erb", "tribark", "bark", "minibark", "musical"):
-        w = perceptual_filterbank(spark, 16, 16000, 4, scale)
-        one = spec.join(F.broadcast(w), "bin").groupBy("track", "channel", "frame", "band").agg(F.round(F.sum(F.col("w") * F.col("mag")), 5).alias("v")).withColumn("scale", F.lit(scale))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = perceptual_filterbank(spark, 16, 16000, 4, scale).withColumn("scale", F.lit(scale))
+        banks = one if banks is None else banks.unionByName(one)
+    # All six tables meet one pass over the spectra.
+    sums = spec.join(F.broadcast(banks), "bin").groupBy("track", "channel", "frame", "band", "scale").agg(F.round(F.sum(F.col("w") * F.col("mag")), 5).alias("v"))
+    return sums.select("track", "channel", "frame", "band", "v", "scale")
 
 
 _CROP = "b(band, cs, ce, o) AS (VALUES (1, 0, 3, 0), (2, 2, 6, 3), (3, 6, 9, 7))"

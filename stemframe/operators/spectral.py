@@ -258,7 +258,7 @@ spec AS (SELECT track, channel, CAST(frame AS INTEGER) AS frame, CAST(bin AS INT
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stft(fx.stereo(spark, sf_dir), CHANNEL)
+    return stft(fx.stereo(spark, sf_dir, sized=True), CHANNEL)
 
 
 def _z(df: DataFrame, *keys: str, digits: int = 5) -> DataFrame:

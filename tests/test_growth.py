@@ -52,3 +52,13 @@ def test_added_steps_count_from_their_offset_in_longer_plans(spark):
     assert rows(catalog.added(plan, more, 4), 0) == ["m0", "m1", "m2", "m3", "m4", "again_m0", "m5", "again_m1"]
     assert rows(catalog.added(plan, more, 4), 1) == ["m0", "m1", "m2", "again_m0", "again_m1"]
     assert rows(catalog.added(plan, more), 0) == [*(f"m{s}" for s in range(6)), "again_m0", "again_m1"]
+
+
+def test_filterbanks_exchange_vectors_not_samples(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+        assert stage_rows(spark, catalogue.queries()["d11_perceptual_filterbanks"](spark, SF)) <= 2 * vectors
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -136,6 +136,7 @@ def _met(q: DataFrame, x: DataFrame, k: int, tile: int, compared) -> DataFrame:
                 a, b = np.asarray(row.q_x, float).reshape(qi.size, -1), np.asarray(row.x_x, float).reshape(xi.size, -1)
                 order = np.argsort(xi, kind="stable")
                 xi, b, xd = xi[order], b[order], xd[order]
+                found = []
                 for n, own in enumerate(qi):
                     # Of a list only the shell can be nearer than the bound: |d(q, centre) - d(x, centre)| <= d(q, x).
                     shell = np.flatnonzero((np.abs(xd - qd[n]) <= row.q_bound[n]) & (xi != own))
@@ -144,7 +145,9 @@ def _met(q: DataFrame, x: DataFrame, k: int, tile: int, compared) -> DataFrame:
                             compared.add(int(shell.size))
                         d = ((b[shell] - a[n]) ** 2).sum(axis=1)
                         best = np.argsort(d, kind="stable")[:k]
-                        yield pd.DataFrame({"query": own, "hit": xi[shell[best]], "d": d[best]})
+                        found.append((np.full(best.size, own), xi[shell[best]], d[best]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("query", "hit", "d"), map(np.concatenate, zip(*found)))))
 
     return pairs.select("q_id", "q_d", "q_x", "q_bound", "x_id", "x_d", "x_x").mapInPandas(run, "query long, hit long, d double")
 

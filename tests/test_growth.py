@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from stemframe import catalogue
-from stemframe.operators import blocks
+from stemframe.operators import blocks, pitch
 from stemframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,13 @@ def test_filterbanks_exchange_vectors_not_samples(spark):
         assert stage_rows(spark, catalogue.queries()["d11_perceptual_filterbanks"](spark, SF)) <= 2 * vectors
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_nearest_vectors_of_a_tile_leave_as_one_batch(spark, monkeypatch):
+    q = spark.createDataFrame([(0, [0.0], 0, 0.0, 1.0)], "id long, x array<double>, cell int, d double, bound double")
+    ran, real = [], type(q).mapInPandas
+    monkeypatch.setattr(type(q), "mapInPandas", lambda self, f, schema: ran.append(f) or real(self, f, schema))
+    pitch._met(q, q.drop("bound"), 2, 8, None)
+    tile = pd.DataFrame({"q_id": [[0, 1]], "q_d": [[0.0, 1.0]], "q_x": [[0.0, 1.0]], "q_bound": [[9.0, 9.0]], "x_id": [[0, 1, 2]], "x_d": [[0.0, 1.0, 3.0]], "x_x": [[0.0, 1.0, 3.0]]})
+    (out,) = ran[-1](iter([tile]))
+    assert out.to_numpy().tolist() == [[0, 1, 1], [0, 2, 9], [1, 0, 1], [1, 2, 4]]

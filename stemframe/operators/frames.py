@@ -122,18 +122,9 @@ def reflect_pad(df: DataFrame, keys: list[str], border: int) -> DataFrame:
     return df.withColumn("pos", F.explode(F.concat(left, here, right)))
 
 
-def shifted(df: DataFrame, by: int) -> DataFrame:
-    return df.drop("n").withColumn("pos", F.col("pos") + by)
-
-
-def unpadded(df: DataFrame, left: int, n: Column) -> DataFrame:
-    """Positions back by ``left``; only the signal's own."""
-    return df.withColumn("pos", F.col("pos") - left).filter((F.col("pos") >= 0) & (F.col("pos") < n))
-
-
-def _cropped(out: DataFrame, source: DataFrame, keys: list[str], left: int) -> DataFrame:
-    ends = source.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
-    return unpadded(out.join(ends, keys), left, F.col("n")).drop("n")
+def moved(df: DataFrame, by: int | Column) -> DataFrame:
+    """The signal ``by`` positions later; a length that it carries grows with it."""
+    return df.withColumns({c: F.col(c) + by for c in ("pos", "n") if c in df.columns})
 
 
 def fade_window(i: Column, size: int, fade: int) -> Column:
@@ -195,20 +186,23 @@ def linear_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: Chu
 def window_fader(df: DataFrame, keys: list[str], size: int, hop: int, model: ChunkModel = identity) -> DataFrame:
     """Periodic Hann weights over size / (2 hop), reflected borders; chunks of silence never reach the model."""
     border = 2 * (size - hop)
-    chunks = frame(shifted(reflect_pad(df, keys, border), border), keys, size, hop)
+    df = df if "n" in df.columns else with_length(df, keys)
+    padded = reflect_pad(df, keys, border).withColumns({"pos": F.col("pos") + border, "own": F.col("n"), "n": reflected(border)[1]})
+    chunks = frame(padded, keys, size, hop)
+    at = F.col("pos") - border
     loud = F.max(F.abs("v")).over(Window.partitionBy(*keys, "chunk")) > 0
-    chunks = chunks.withColumn("loud", loud)
+    # Samples of the border, here without a position, count for a chunk's loudness only.
+    chunks = chunks.withColumn("pos", F.when((at >= 0) & (at < F.col("own")), at)).withColumn("loud", loud).filter(F.col("pos").isNotNull())
     weight = lambda i, chunk, last, length: (0.5 - 0.5 * F.cos(2 * math.pi * i / size)) * (2 * hop / size)
     w = weight(F.col("i"), None, None, None)
-    s = chunks.groupBy(*keys, "pos").agg(F.sum(F.when(F.col("loud"), model(F.col("v"), F.col("i")) * w).otherwise(0.0)).alias("v"))
-    return _cropped(s, df, keys, border)
+    return chunks.groupBy(*keys, "pos").agg(F.sum(F.when(F.col("loud"), model(F.col("v"), F.col("i")) * w).otherwise(0.0)).alias("v"))
 
 
 def shift_average(df: DataFrame, keys: list[str], shifts: int, most: int, model: Callable[[DataFrame], DataFrame], seed: str = "shift") -> DataFrame:
     """Mean over runs of ``model`` (DataFrame to DataFrame) on the signal moved by seeded offsets, moved back."""
     runs = df.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))))
     offset = F.floor(seeded(seed, "shift") * most).cast("int")
-    out = model(runs.withColumn("pos", F.col("pos") + offset))
+    out = model(moved(runs, offset))
     return out.withColumn("pos", F.col("pos") - F.floor(seeded(seed, "shift") * most).cast("int")).groupBy(*keys, "pos").agg(F.avg("v").alias("v"))
 
 
@@ -230,7 +224,7 @@ def denoise_pair(spec: DataFrame, model: Model, low_bins: int = 3) -> DataFrame:
 
 def mask_tta(df: DataFrame, keys: list[str], size: int, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Mean of two runs of a chunked mask model, the second moved by half a chunk."""
-    second = model(df.withColumn("pos", F.col("pos") + size // 2)).withColumn("pos", F.col("pos") - size // 2)
+    second = model(moved(df, size // 2)).withColumn("pos", F.col("pos") - size // 2)
     return model(df).unionByName(second).groupBy(*keys, "pos").agg(F.avg("v").alias("v"))
 
 
@@ -242,7 +236,7 @@ def patch_layout(df: DataFrame, width: str, crop: int, offset: int) -> DataFrame
 
 def silence_cut_points(df: DataFrame, keys: list[str], t_max: int, t_center: int, t_query: int, window: int, block: int = BLOCK) -> DataFrame:
     """For signals longer than t_max: around each multiple of t_center the place of least moving sum, on the grid of ``window``."""
-    df = with_length(df, keys).filter(F.col("n") > t_max)
+    df = (df if "n" in df.columns else with_length(df, keys)).filter(F.col("n") > t_max)
     moving = moving_sum(df, keys, window, block).withColumn("s", F.round(F.abs("sum"), 6))
     near = F.round(F.col("pos") / t_center).cast("int")  # the only centre within t_query, as t_query < t_center / 2
     near = moving.withColumn("centre", near * t_center).filter((F.col("centre") > 0) & (F.col("centre") < F.col("n")) & (F.col("pos") >= F.col("centre") - t_query) & (F.col("pos") < F.col("centre") + t_query))
@@ -340,7 +334,7 @@ def _c4(pos: str, last: int) -> str:
 SELECT track, stem, pos, round(avg(v * {_c4("(pos + o)", 20)}), 3) + 0.0 AS v FROM stems CROSS JOIN s GROUP BY ALL""")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lambda d: overlap_add_triangle(d, [*KEYS, "shift"], 48, 0.25, ramp(48))
-    return shift_average(fx.stems(spark, sf_dir), KEYS, 3, 12, model).withColumn("v", F.round("v", 3) + 0.0)
+    return shift_average(fx.stems(spark, sf_dir, sized=True), KEYS, 3, 12, model).withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("c11_tta_average", f"""WITH {fx.STEREO}, o AS (SELECT s.track, s.channel, s.pos, s.v FROM stereo s)
@@ -352,7 +346,7 @@ def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c13_mask_tta", f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * ({_c4('pos', 20)} + {_c4('(pos + 24)', 20)}) / 2, 3) + 0.0 AS v FROM stems")
 def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lambda d: overlap_add_triangle(d, KEYS, 48, 0.25, ramp(48))
-    return mask_tta(fx.stems(spark, sf_dir), KEYS, 48, model).withColumn("v", F.round("v", 3) + 0.0)
+    return mask_tta(fx.stems(spark, sf_dir, sized=True), KEYS, 48, model).withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("c14_patch_layout", "SELECT page_id, length(html) AS width, 16 AS pad_left, 224 AS roi, CAST(224 - length(html) % 224 + 16 AS INTEGER) AS pad_right FROM pages")
@@ -368,7 +362,7 @@ c AS (SELECT unnest(range(120, 720, 120)) AS centre), f AS (SELECT track, stem,
 
 @query("c15_silence_cut_points", f"WITH {fx.STEMS}, {_CUT} SELECT track, stem, CAST(centre AS INTEGER) AS centre, CAST(floor(spot / 8) * 8 AS INTEGER) AS cut FROM f")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silence_cut_points(fx.stems(spark, sf_dir), KEYS, 300, 120, 30, 8)
+    return silence_cut_points(fx.stems(spark, sf_dir, sized=True), KEYS, 300, 120, 30, 8)
 
 
 # The model looks one sample back, so a part without its halo would differ at its first sample.

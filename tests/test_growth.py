@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from stemframe import catalogue
-from stemframe.operators import blocks, pitch
+from stemframe.operators import blocks, frames, pitch
 from stemframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +36,29 @@ def test_filled_in_samples_are_not_exchanged(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+@pytest.mark.parametrize("name", ["c3_overlap_add_fade", "c9_window_fader", "c10_shift_average", "c13_mask_tta", "c15_silence_cut_points"])
+def test_moved_and_padded_signals_keep_their_length(spark, name):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert stage_rows(spark, catalogue.queries()[name](spark, SF)) <= 10_000 < 15 * 5 * 720
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("scheme", [
+    lambda d: frames.overlap_add_hann(d, ["track"], 24, 12, 6, frames.ramp(24)), lambda d: frames.overlap_add_hamming(d, ["track"], 25, 10, frames.ramp(25)), lambda d: frames.overlap_add_unfold(d, ["track"], 24, 8, frames.ramp(24)),
+    lambda d: frames.window_fader(d, ["track"], 24, 12, frames.ramp(24)), lambda d: frames.shift_average(d, ["track"], 3, 12, lambda m: frames.overlap_add_hamming(m, ["track", "shift"], 25, 10, frames.ramp(25))),
+    lambda d: frames.mask_tta(d, ["track"], 24, lambda m: frames.overlap_add_hamming(m, ["track"], 25, 10, frames.ramp(25))), lambda d: frames.silence_cut_points(d, ["track"], 30, 20, 6, 4),
+])
+def test_a_carried_length_gives_what_a_counted_one_gives(spark, scheme):
+    # Tracks of 1 to 95 samples, shorter and longer than a chunk and its borders.
+    df = spark.createDataFrame([(n, i, float((7 * i + n) % 11 - 5), n) for n in (1, 9, 24, 25, 47, 49, 95) for i in range(n)], "track long, pos int, v double, n int")
+    rows = lambda out: sorted(tuple(round(x, 9) for x in r) for r in out.collect())
+    counted, carried = scheme(df.drop("n")), scheme(df)
+    assert rows(carried.select(counted.columns)) == rows(counted) and counted.count() > 0
+
+
 def stage_rows(spark, df):
     """Rows that the query's stages write to exchanges."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ A *signal* in long form has one row per sample: key columns, ``pos`` and ``v``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemframe.registry import table
@@ -59,8 +59,8 @@ def stereo(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
     return rows.withColumn("v", F.col("v").cast("double"))
 
 
-def stems(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
-    """Aligned stems of 720 hourly samples: track, stem, pos, v (0 where nothing happened); ``sized``: and n, their length.
+def stem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned stems of 720 hourly samples as one row each: track, stem, samples (0 where nothing happened).
 
     Only what happened is exchanged, and lies by track; a stem's samples are filled in where its track lies, so that
     grouping by track and more takes no exchange of samples. The number of partitions is fixed, as AQE would judge them by
@@ -76,11 +76,20 @@ def stems(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
     tracks = sums.repartition(parts, "track").groupBy("track").agg(F.collect_list(F.when(there, F.struct("pos", F.coalesce("v", F.lit(0.0)).alias("v"), "stem"))).alias("all"))
     own = tracks.crossJoin(F.broadcast(names)).select("track", "all", F.explode("names").alias("stem"))
     own = own.select("track", "stem", F.expr("array_sort(filter(all, x -> x.stem = stem))").alias("s"))
-    # Zeros up to each sample that is there, the sample, and zeros behind the last one; never empty, so outer only saves Spark a filter on the length.
-    filled = F.expr("""flatten(concat(transform(s, (x, i) -> concat(array_repeat(0D, x.pos - if(i = 0, 0, s[i - 1].pos + 1)), array(x.v))),
-        array(array_repeat(0D, 720 - if(size(s) = 0, 0, s[size(s) - 1].pos + 1)))))""")
-    own = own.select("track", "stem", filled.alias("samples"))
-    return own.select("track", "stem", F.posexplode_outer("samples").alias("pos", "v"), *([F.size("samples").alias("n")] if sized else []))
+    return own.select("track", "stem", filled("s", "720").alias("samples"))
+
+
+def filled(s: str, n: str) -> Column:
+    """``n`` samples of which those in ``s``, (pos, v) in order of pos, are not zero."""
+    # Zeros up to each sample that is there, the sample, and zeros behind the last one.
+    return F.expr(f"""flatten(concat(transform({s}, (x, i) -> concat(array_repeat(0D, x.pos - if(i = 0, 0, {s}[i - 1].pos + 1)), array(x.v))),
+        array(array_repeat(0D, {n} - if(size({s}) = 0, 0, {s}[size({s}) - 1].pos + 1)))))""")
+
+
+def stems(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
+    """``stem_rows`` in long form: track, stem, pos, v; ``sized``: and n, their length."""
+    # Never empty, so outer only saves Spark a filter on the length.
+    return stem_rows(spark, sf_dir).select("track", "stem", F.posexplode_outer("samples").alias("pos", "v"), *([F.size("samples").alias("n")] if sized else []))
 
 
 def evt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps whose memory, shuffled rows or ties once grew beyond the input."""
 
+import math
 import tracemalloc
 
 import numpy as np
@@ -7,7 +8,8 @@ import pandas as pd
 import pytest
 
 from stemframe import catalogue
-from stemframe.operators import blocks, frames, pitch
+from stemframe.functions.exprs import seeded
+from stemframe.operators import blocks, dataset, frames, pitch
 from stemframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +97,48 @@ def test_nearest_vectors_of_a_tile_leave_as_one_batch(spark, monkeypatch):
     tile = pd.DataFrame({"q_id": [[0, 1]], "q_d": [[0.0, 1.0]], "q_x": [[0.0, 1.0]], "q_bound": [[9.0, 9.0]], "x_id": [[0, 1, 2]], "x_d": [[0.0, 1.0, 3.0]], "x_x": [[0.0, 1.0, 3.0]]})
     (out,) = ran[-1](iter([tile]))
     assert out.to_numpy().tolist() == [[0, 1, 1], [0, 2, 9], [1, 0, 1], [1, 2, 4]]
+
+
+def without_broadcasts(spark, run):
+    """Rows that all stages of ``run()`` and of its result write to exchanges, those of staged tables among them."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = []
+
+        class Lazy:
+            @property
+            def write(self):
+                made.append(run())
+                return made[-1].write
+
+        return stage_rows(spark, Lazy())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_remixing_exchanges_segments_not_samples(spark):
+    assert without_broadcasts(spark, lambda: catalogue.queries()["h7_remix_augment"](spark, SF)) <= 20_000 < 15 * 5 * 720
+
+
+def test_remixed_segments_of_other_lengths_keep_all_places(spark):
+    """Against sums over plain rows; the last segment of a track is shorter, and some segments are silent."""
+    signal = {("a", t): [0.0] * 5 + [float((i * t + 3) % 7 - 3) for i in range(n - 5)] for t, n in ((1, 20), (2, 9), (3, 13))}
+    signal |= {("b", t): [0.0] * len(signal["a", t]) for t in (1, 2, 3)} | {("c", t): [0.5 * t] * len(signal["a", t]) for t in (1, 2, 3)}
+    packed = dataset.sparse_segments(spark.createDataFrame([(t, s, v) for (s, t), v in signal.items()], "track long, stem string, samples array<double>"), 8)
+    segs = [(no, s, v[at : at + 8]) for s in "abc" for no, (t, at) in enumerate((t, at) for t in (1, 2, 3) for at in range(0, len(signal["a", t]), 8)) for v in [signal[s, t]]]
+    assert sorted((r.seg, r.stem, r.n) for r in packed.collect()) == sorted((no, s, len(v)) for no, s, v in segs)
+    long = spark.createDataFrame([(no, s, i, x) for no, s, v in segs for i, x in enumerate(v)], "seg long, stem string, i int, v double")
+    rows = lambda df: sorted((r.seg, r.i, round(r.v, 9)) for r in df.collect())
+    got = rows(dataset.remix_augment(packed, "a", 0.5, 0.3))
+    assert got == rows(dataset.remix_augment(long, "a", 0.5, 0.3)) and {s for s, _, _ in got} == {no for no, _, _ in segs}
+    draws = spark.range(7).selectExpr("id AS seg", "explode(array('a', 'b', 'c')) AS stem").select("seg", "stem", *[seeded(f"mix{x}", "seg", "stem").alias(x) for x in "stgd"]).collect()
+    own, want = {(no, s): v for no, s, v in segs}, {}
+    for r in draws:
+        other = r.stem != "a"
+        source = math.floor(r.t * 7) if other and r.s < 0.5 else r.seg
+        gain = 1.0 if not other else 0.0 if r.d < 0.3 else 10 ** ((r.g * 20 - 10) / 20)
+        for i, x in enumerate(own[source, r.stem]):
+            want[r.seg, i] = want.get((r.seg, i), 0.0) + x * gain
+    top = {no: max(abs(v) for (s, _), v in want.items() if s == no) for no in range(7)}
+    assert [(s, i) for s, i, _ in got] == sorted(want) and all(abs(v - want[s, i] / max(1, top[s])) < 1e-8 for s, i, v in got)

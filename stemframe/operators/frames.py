@@ -13,8 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stemframe import fixtures as fx
 from stemframe.functions.exprs import seeded, seeded_sql
@@ -235,7 +239,13 @@ def patch_layout(df: DataFrame, width: str, crop: int, offset: int) -> DataFrame
 
 
 def silence_cut_points(df: DataFrame, keys: list[str], t_max: int, t_center: int, t_query: int, window: int, block: int = BLOCK) -> DataFrame:
-    """For signals longer than t_max: around each multiple of t_center the place of least moving sum, on the grid of ``window``."""
+    """For signals longer than t_max: around each multiple of t_center the place of least moving sum, on the grid of ``window``.
+
+    df is in long form, or has block rows (keys, start, samples, n: the length of the signal), of which only the stretches
+    around the centres are taken.
+    """
+    if "samples" in df.columns:
+        return _block_cut_points(df.filter(F.col("n") > t_max), keys, t_center, t_query, window)
     df = (df if "n" in df.columns else with_length(df, keys)).filter(F.col("n") > t_max)
     moving = moving_sum(df, keys, window, block).withColumn("s", F.round(F.abs("sum"), 6))
     near = F.round(F.col("pos") / t_center).cast("int")  # the only centre within t_query, as t_query < t_center / 2
@@ -244,14 +254,58 @@ def silence_cut_points(df: DataFrame, keys: list[str], t_max: int, t_center: int
     return found.withColumn("cut", F.floor(F.col("at") / window).cast("int") * window).drop("at")
 
 
-def split_concat(df: DataFrame, cuts: DataFrame, keys: list[str], halo: int, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Cut at ``cuts`` (keys, cut), run the model on parts with a halo on both sides, drop the halo, put together."""
+def _stretches(blocks: DataFrame, keys: list[str], wanted: Column, lo: Column, hi: Column) -> DataFrame:
+    """The samples lo..hi of each ``wanted`` (an array of structs, column z once exploded) put together from block rows: keys, z, first (place of the first sample) and samples."""
+    begin, end = F.greatest(lo, F.col("start")), F.least(hi, F.col("start") + F.size("samples"))
+    pieces = blocks.withColumn("z", F.explode(wanted)).withColumns({"begin": begin.cast("int"), "end": end.cast("int")}).filter("begin < end")
+    piece = F.slice("samples", (F.col("begin") - F.col("start") + 1).cast("int"), F.col("end") - F.col("begin"))
+    held = pieces.groupBy(*keys, "z").agg(F.array_sort(F.collect_list(F.struct("begin", piece.alias("own")))).alias("s"))
+    return held.select(*keys, "z", F.col("s")[0]["begin"].alias("first"), F.flatten(F.col("s.own")).alias("samples"))
+
+
+def _block_cut_points(blocks: DataFrame, keys: list[str], t_center: int, t_query: int, window: int) -> DataFrame:
+    last = F.least(F.floor((F.col("start") + F.size("samples") + t_query) / t_center), F.ceil(F.col("n") / t_center) - 1).cast("int")
+    from_ = F.greatest(F.lit(1), F.floor((F.col("start") - t_query - window) / t_center)).cast("int")
+    centres = F.when(from_ <= last, F.transform(F.sequence(from_, last), lambda k: F.struct((k * t_center).alias("centre"))))
+    centre = F.col("z.centre")
+    near = _stretches(blocks, keys, centres, centre - t_query, centre + t_query + window - 1)
+    places = F.least(F.size("samples"), centre + t_query - F.col("first")).alias("places")
+
+    def quietest(batches):
+        for whole in batches:
+            step = max(1, 2_000_000 // max(1, pc.max(pc.list_value_length(whole.column("samples"))).as_py() or 1))
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                own = {name: batch.column(name) for name in (*keys, "centre")}
+                first, places, held = batch.column("first").to_numpy(), batch.column("places").to_numpy(), batch.column("samples")
+                sizes, flat = pc.list_value_length(held).to_numpy(), pc.fill_null(pc.list_flatten(held), 0.0).to_numpy(zero_copy_only=False)
+                x = np.zeros((len(sizes), sizes.max() + window - 1))
+                inside = np.arange(x.shape[1])
+                x[inside < sizes[:, None]] = flat
+                sums = sum(x[:, k : x.shape[1] - window + 1 + k] for k in range(window))
+                s = np.floor(np.abs(sums) * 1e6 + 0.5) / 1e6
+                s[np.isnan(s) | (inside[: s.shape[1]] >= places[:, None])] = np.inf
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array((first + s.argmin(axis=1)) // window * window, pa.int32())], names=[*own, "cut"])
+
+    rows = near.select(*keys, centre.alias("centre"), "first", places, "samples")
+    return rows.mapInArrow(quietest, StructType([*(rows.schema[name] for name in (*keys, "centre")), StructField("cut", IntegerType())]))
+
+
+def split_concat(blocks: DataFrame, cuts: DataFrame, keys: list[str], halo: int, model: Callable[[Column], Column]) -> DataFrame:
+    """Cut at ``cuts`` (keys, cut), run the model on parts with a halo on both sides, drop the halo, put together: keys, pos, v.
+
+    Signals are block rows (keys, start, samples, n: the length of the signal); the model gets a part's samples as an
+    array and gives as many. Blocks meet the cuts as they are: samples become rows at the very end.
+    """
     edges = cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-    df = with_length(df, keys).join(edges, keys, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
-    bounds = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(F.col("n").cast("int")))
-    parts = F.filter(F.sequence(F.lit(0), F.size(bounds) - 2), lambda k: (F.col("pos") >= F.get(bounds, k) - halo) & (F.col("pos") < F.get(bounds, k + 1) + halo))
-    cut = df.withColumn("part", F.explode(parts)).withColumn("lo", F.get(bounds, F.col("part"))).withColumn("hi", F.get(bounds, F.col("part") + 1)).drop("cuts")
-    return model(cut).filter("pos >= lo AND pos < hi").select(*keys, "pos", "v")
+    bounds = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.col("n").cast("int")))
+    both = blocks.join(edges, keys, "left").withColumn("bounds", bounds)
+    part = lambda k: F.struct(F.get("bounds", k).alias("lo"), F.get("bounds", k + 1).alias("hi"))
+    meets = lambda z: (z["lo"] < z["hi"]) & (z["lo"] - halo < F.col("start") + F.size("samples")) & (z["hi"] + halo > F.col("start"))
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), part), meets)
+    cut = _stretches(both, keys, parts, F.col("z.lo") - halo, F.col("z.hi") + halo)
+    kept = F.slice(model(F.col("samples")), F.col("z.lo") - F.col("first") + 1, F.col("z.hi") - F.col("z.lo"))
+    # A part is never empty, so outer only saves Spark a filter on the length.
+    return cut.select(*keys, F.col("z.lo").alias("lo"), F.posexplode_outer(kept).alias("i", "v")).select(*keys, (F.col("lo") + F.col("i")).alias("pos"), "v")
 
 
 def context_pad(df: DataFrame, keys: list[str], offset: int, length: int, target: int) -> DataFrame:
@@ -360,18 +414,22 @@ _CUT = """m AS (SELECT *, abs(sum(v) OVER (PARTITION BY track, stem ORDER BY pos
 c AS (SELECT unnest(range(120, 720, 120)) AS centre), f AS (SELECT track, stem, centre, arg_min(pos, (round(s, 6), pos)) AS spot FROM m JOIN c ON pos >= centre - 30 AND pos < centre + 30 GROUP BY ALL)"""
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems as block rows, one for each."""
+    return fx.stem_rows(spark, sf_dir).withColumns({"start": F.lit(0), "n": F.size("samples")})
+
+
 @query("c15_silence_cut_points", f"WITH {fx.STEMS}, {_CUT} SELECT track, stem, CAST(centre AS INTEGER) AS centre, CAST(floor(spot / 8) * 8 AS INTEGER) AS cut FROM f")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silence_cut_points(fx.stems(spark, sf_dir, sized=True), KEYS, 300, 120, 30, 8)
+    return silence_cut_points(_blocks(spark, sf_dir), KEYS, 300, 120, 30, 8)
 
 
 # The model looks one sample back, so a part without its halo would differ at its first sample.
 @query("c16_split_concat", f"WITH {fx.STEMS} SELECT track, stem, pos, round(v * 0.7312345 + 0.2612349 * coalesce(lag(v) OVER (PARTITION BY track, stem ORDER BY pos), 0), 3) + 0.0 AS v FROM stems")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.stems(spark, sf_dir)
+    df = _blocks(spark, sf_dir)
     cuts = silence_cut_points(df, KEYS, 300, 120, 30, 8)
-    before = F.coalesce(F.lag("v").over(Window.partitionBy(*KEYS, "part").orderBy("pos")), F.lit(0.0))
-    model = lambda d: d.withColumn("v", _G(F.col("v")) + 0.2612349 * before)
+    model = lambda s: F.zip_with(s, F.slice(F.concat(F.array(F.lit(0.0)), s), F.lit(1), F.size(s)), lambda v, before: _G(v) + 0.2612349 * before)
     return split_concat(df, cuts, KEYS, 10, model).withColumn("v", F.round("v", 3) + 0.0)
 
 

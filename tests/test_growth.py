@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stemframe import catalogue
 from stemframe.functions.exprs import seeded
@@ -142,3 +143,24 @@ def test_remixed_segments_of_other_lengths_keep_all_places(spark):
             want[r.seg, i] = want.get((r.seg, i), 0.0) + x * gain
     top = {no: max(abs(v) for (s, _), v in want.items() if s == no) for no in range(7)}
     assert [(s, i) for s, i, _ in got] == sorted(want) and all(abs(v - want[s, i] / max(1, top[s])) < 1e-8 for s, i, v in got)
+
+
+@pytest.mark.parametrize("name", ["c15_silence_cut_points", "c16_split_concat"])
+def test_parts_of_signals_are_cut_without_exchanging_samples(spark, name):
+    assert without_broadcasts(spark, lambda: catalogue.queries()[name](spark, SF)) <= 10_000 < 15 * 5 * 720
+
+
+def test_block_rows_are_cut_where_the_long_form_is_and_give_whole_signals(spark):
+    """Tracks of 1 to 95 samples, shorter and longer than a block of 16, a part and the border of a part."""
+    df = spark.createDataFrame([(n, i, float((7 * i * i + n) % 11 - 5)) for n in (1, 9, 16, 31, 33, 47, 95) for i in range(n)], "track long, pos int, v double")
+    packed = df.groupBy("track", F.floor(F.col("pos") / 16).alias("b")).agg(F.min("pos").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("samples"))
+    packed = packed.drop("b").join(df.groupBy("track").agg((F.max("pos") + 1).alias("n")), "track")
+    rows = lambda out: sorted(tuple(round(x, 9) for x in r) for r in out.collect())
+    cuts = frames.silence_cut_points(packed, ["track"], 30, 20, 6, 4)
+    assert rows(cuts) == rows(frames.silence_cut_points(df, ["track"], 30, 20, 6, 4)) and cuts.count() == 1 + 1 + 2 + 4
+    # A model that looks three samples back and two ahead: halos of three give what the whole signal gives.
+    at = lambda s, i: F.when(i >= 0, F.coalesce(F.get(s, i), F.lit(0.0))).otherwise(0.0)
+    out = frames.split_concat(packed, cuts, ["track"], 3, lambda s: F.transform(s, lambda v, i: v + 2 * at(s, i - 3) + 5 * at(s, i + 2)))
+    x = {n: [float((7 * i * i + n) % 11 - 5) for i in range(n)] for n in (1, 9, 16, 31, 33, 47, 95)}
+    near = lambda v, i: v[i] if 0 <= i < len(v) else 0.0
+    assert rows(out) == sorted((n, i, v[i] + 2 * near(v, i - 3) + 5 * near(v, i + 2)) for n, v in x.items() for i in range(n))

@@ -2,7 +2,7 @@
 
 ``wav`` (reading): a file is cut into ranges of bytes by its size alone, and each range is a partition; its task reads
 the header and then those blocks of samples that begin in its range, block by block. So a long file is many
-tasks, and no task holds more than a block. ``wav_info`` reads the headers only, a few kilobytes of a file of any size.
+tasks, and no task holds more than a block. Short files share a task, which is told the first and the last of them. ``wav_info`` reads the headers only, a few kilobytes of a file of any size.
 
 ``wav`` (writing): rows are blocks of files, which a task appends to files in a temporary folder next to the target.
 The driver moves the files of the tasks that succeeded into place when all have, and writes ``_SUCCESS`` last; a
@@ -13,9 +13,15 @@ Files are reached through pyarrow's file systems (local, S3, GCS, HDFS, ...).
 
 from __future__ import annotations
 
+import io
+import itertools
+import json
+import os
 import struct
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,23 +106,81 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
 
 
-def _files(path: str) -> list[pafs.FileInfo]:
+#: The names from the root to a file; files are in the order of these.
+Place = tuple[str, ...]
+
+
+def _listed(store: pafs.FileSystem, folder: str) -> list[tuple[str, int | None]]:
+    """Names in a folder in order, with their sizes: -1 for a folder, None where it isn't known yet."""
+    if isinstance(store, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            return sorted((f.name, -1 if f.is_dir() else None) for f in found)
+    return sorted((f.base_name, -1 if f.type == pafs.FileType.Directory else f.size) for f in store.get_file_info(pafs.FileSelector(folder)))
+
+
+def _walk(store: pafs.FileSystem, folder: str, above: Place = (), first: Place = (), last: Place = ()) -> Iterator[tuple[Place, str, int]]:
+    """(place, path, size) of the WAV files from ``first`` to ``last`` (all, if they are empty) in order; of no more than one folder by level all names are held."""
+    for name, size in _listed(store, folder):
+        place = (*above, name)
+        if name.startswith(("_", ".")) or place < first[: len(place)]:
+            continue
+        if last and place > last[: len(place)]:
+            return
+        path = f"{folder.rstrip('/')}/{name}"
+        if size == -1:
+            yield from _walk(store, path, place, first, last)
+        elif name.endswith(".wav"):
+            info = store.get_file_info(path) if size is None else None
+            if info is None or info.is_file:
+                yield place, path, info.size if info else size
+
+
+def _root(path: str) -> tuple[pafs.FileSystem, str, bool]:
+    """The store, the place in it, and whether it is a folder."""
     store, place = file_system(path)
     found = store.get_file_info(place)
-    if found.type == pafs.FileType.File:
-        return [found]
     if found.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    below = store.get_file_info(pafs.FileSelector(place, recursive=True))
-    hidden = lambda f: any(part.startswith(("_", ".")) for part in f.path[len(place) :].split("/"))
-    return sorted((f for f in below if f.is_file and f.path.endswith(".wav") and not hidden(f)), key=lambda f: f.path)
+    return store, place, found.type == pafs.FileType.Directory
+
+
+@dataclass
+class Span(InputPartition):
+    """Short files that follow each other: the first and the last one, and how many. Its task looks for them itself, so the driver doesn't hold their names."""
+
+    first: Place
+    last: Place
+    count: int
+
+    def files(self, path: str, longest: float) -> Iterator[tuple[str, int]]:
+        """Path and size of those of at most ``longest`` bytes; an error if they are not as many as they were."""
+        store, place = file_system(path)
+        found = 0
+        for _, file, size in _walk(store, place, (), self.first, self.last) if self.count else ():
+            if size <= longest:
+                found += 1
+                yield file, size
+        if found != self.count:
+            raise OSError(f"files below {path} came or went while they were read: {found} instead of {self.count}")
+
+
+def _spans(files: Iterator[tuple[Place, int]], most: int) -> Iterator[Span]:
+    """Spans of files (place, weight) that weigh ``most`` together at most, or are one file."""
+    first, last, count, held = (), (), 0, 0
+    for place, weight in files:
+        if count and held + weight > most:
+            yield Span(first, last, count)
+            count, held = 0, 0
+        first, last, count, held = first if count else place, place, count + 1, held + weight
+    if count:
+        yield Span(first, last, count)
 
 
 @dataclass
 class Ranges(InputPartition):
-    """(path, size of the file, start, end) of ranges of bytes: one of a long file, or several short files."""
+    """(path, size of the file, start, end) of a range of bytes of a long file."""
 
-    parts: list[tuple[str, int, int, int]]
+    part: tuple[str, int, int, int]
 
 
 class BlockReader(DataSourceReader):
@@ -125,21 +189,32 @@ class BlockReader(DataSourceReader):
         self.double = options.get("double", "false").lower() == "true"
         self.mono, self.range = options.get("mono", "false").lower() == "true", int(options.get("rangebytes", 32 << 20))
 
-    def partitions(self) -> list[Ranges]:
-        found, now, held = [], [], 0
-        for f in _files(self.path):
-            for at in range(0, max(f.size, 1), self.range):
-                size = min(self.range, f.size - at)
-                if now and held + size > self.range:
-                    found.append(Ranges(now))
-                    now, held = [], 0
-                now.append((f.path, f.size, at, at + self.range))
-                held += max(size, 4096)  # an open costs something as well
-        return [*found, Ranges(now)]
-
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts:
-            yield from self._blocks(*part)
+    def partitions(self) -> list[Ranges | Span]:
+        store, place, folder = _root(self.path)
+        long: list[Ranges] = []
+
+        def cut(path: str, size: int) -> None:
+            long.extend(Ranges((path, size, at, at + self.range)) for at in range(0, max(size, 1), self.range))
+
+        def short() -> Iterator[tuple[Place, int]]:
+            for at, path, size in _walk(store, place):
+                if size > self.range:
+                    cut(path, size)
+                else:
+                    yield at, max(size, 4096)  # an open costs something as well
+
+        if not folder:
+            cut(place, store.get_file_info(place).size)
+            return long
+        spans = list(_spans(short(), self.range))
+        return [*long, *spans] or [Span((), (), 0)]
+
+    def read(self, partition: Ranges | Span) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Ranges):
+            yield from self._blocks(*partition.part)
+        else:
+            for path, size in partition.files(self.path, self.range):
+                yield from self._blocks(path, size, 0, max(size, 1))
 
     def _blocks(self, path: str, file_size: int, begin: int, end: int) -> Iterator[pa.RecordBatch]:
         """Blocks that begin in bytes begin..end; the first range of a file also reports what is wrong with it."""
@@ -172,23 +247,20 @@ class BlockReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*rows), kinds)], names=names)
 
 
-@dataclass
-class Files(InputPartition):
-    paths: list[tuple[str, int]]
-
-
 class InfoReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.files = options["path"], int(options.get("files", 256))
 
-    def partitions(self) -> list[Files]:
-        found = [(f.path, f.size) for f in _files(self.path)]
-        return [Files(found[k : k + self.files]) for k in range(0, len(found), self.files)] or [Files([])]
+    def partitions(self) -> list[Span]:
+        store, place, folder = _root(self.path)
+        if not folder:
+            return [Span((), (), 1)]
+        return list(_spans(((at, 1) for at, _, _ in _walk(store, place)), self.files)) or [Span((), (), 0)]
 
-    def read(self, part: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = file_system(self.path)
+    def read(self, part: Span) -> Iterator[pa.RecordBatch]:
+        store, place, folder = _root(self.path)
         rows = []
-        for path, size in part.paths:
+        for path, size in part.files(self.path, float("inf")) if folder else [(place, store.get_file_info(place).size)]:
             with store.open_input_file(path) as file:
                 try:
                     fmt, _, length = header(lambda at, n: file.read_at(n, at), size)  # noqa: B023
@@ -201,54 +273,83 @@ class InfoReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # (temporary path, name below the target)
+    """Files 0.wav, 1.wav, ... of a task's temporary folder, whose names below the target are the lines of ``_names`` there."""
+
+    folder: str
+    count: int
+
+
+#: Names of files that the driver holds at once when a job commits.
+SOME = 100_000
+
+
+def _batched(items: Iterator, size: int = 10_000) -> Iterator[list]:
+    while some := list(itertools.islice(items, size)):
+        yield some
 
 
 class FileWriter(DataSourceArrowWriter):
-    """Blocks of a file come to one task, in order (``wav.write_wav`` sees to that)."""
+    """Blocks of a file come to one task, in order (``wav.write_wav`` sees to that); files whose peak is below ``least`` are left out.
+
+    A task tells the driver its folder and how many files it wrote; their names lie in that folder.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.bits, self.overwrite = options["path"], int(options.get("bits", 16)), overwrite
+        self.least = float(options.get("least", 0))
         self.run = f"_temporary-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, place = file_system(self.path)
         own = f"{place}/{self.run}/{uuid.uuid4().hex}"
-        done: list[tuple[str, str]] = []
-        now, out, left = None, None, 0
+        done: set[str] = set()
+        now, out, names, left, top, count = None, None, None, 0, 0.0, 0
 
         def close() -> None:
-            nonlocal out
+            nonlocal out, count
             if out is not None:
                 out.close()
                 out = None
             if left:
                 raise ValueError(f"{left} bytes of {now} are missing")
+            if now is not None and top < self.least:
+                store.delete_file(f"{own}/{count}.wav")
+            elif now is not None:
+                names.write(f"{json.dumps(now)}\n".encode())
+                count += 1
 
         try:
             for batch in batches:
                 for name, _, sr, channels, total, samples in zip(*(batch.column(k).to_pylist() if k < 5 else batch.column(k) for k in range(6))):
                     if name != now:
                         close()
-                        if any(name == known for _, known in done):
+                        if name in done:
                             raise ValueError(f"blocks of {name} did not come together")
-                        now, left = name, total * channels * abs(self.bits) // 8
+                        done.add(name)
+                        now, left, top = name, total * channels * abs(self.bits) // 8, 0.0
                         if left > 0xFFFFFFFF - 36:
                             raise ValueError(f"{name} is too long for a WAV file")
-                        store.create_dir(own, recursive=True)
-                        done.append((f"{own}/{len(done)}.wav", name))
-                        out = store.open_output_stream(done[-1][0])
+                        if names is None:
+                            store.create_dir(own, recursive=True)
+                            names = store.open_output_stream(f"{own}/_names")
+                        out = store.open_output_stream(f"{own}/{count}.wav")
                         out.write(head_bytes(left, channels, sr, self.bits))
-                    codes = codes_of(samples.values.to_numpy(zero_copy_only=False), self.bits)
+                    x = samples.values.to_numpy(zero_copy_only=False)
+                    if self.least and x.size:
+                        top = np.maximum(top, np.abs(x).max())  # not a number counts as loud
+                    codes = codes_of(x, self.bits)
                     out.write(codes)
                     left -= len(codes)
             close()
+            if names is not None:
+                names.close()
         except BaseException:
-            if out is not None:
-                out.close()
+            for open_ in (out, names):
+                if open_ is not None:
+                    open_.close()
             self._drop(store, own)
             raise
-        return Written(done)
+        return Written(own, count)
 
     @staticmethod
     def _drop(store: pafs.FileSystem, folder: str) -> None:
@@ -257,20 +358,43 @@ class FileWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, place = file_system(self.path)
-        moves = [(temporary, f"{place}/{name}") for m in messages if m for temporary, name in m.files]
-        there = [f.path for f in store.get_file_info([to for _, to in moves]) if f.type != pafs.FileType.NotFound]
-        twice = len({to for _, to in moves}) < len(moves)
-        if twice or there and not self.overwrite:
-            self._drop(store, f"{place}/{self.run}")
-            raise FileExistsError("blocks of a file came to several tasks" if twice else f"{len(there)} files are there already, the first is {there[0]}")
-        for temporary, to in moves:
-            store.create_dir(to.rsplit("/", 1)[0], recursive=True)
-            store.move(temporary, to)
+        tasks = [m for m in messages if m and m.count]
+        if not self.overwrite:
+            there, first = 0, None
+            for some in _batched(to for _, to in self._moves(store, place, tasks)):
+                known = [f.path for f in store.get_file_info(some) if f.type != pafs.FileType.NotFound]
+                there, first = there + len(known), first or next(iter(known), None)
+            if there:
+                self._drop(store, f"{place}/{self.run}")
+                raise FileExistsError(f"{there} files are there already, the first is {first}")
+        # Names are compared in parts by their hash, so that at most about SOME of them are held at once.
+        parts = sum(m.count for m in tasks) // SOME + 1
+        for part in range(parts):
+            seen: set[str] = set()
+            for _, to in self._moves(store, place, tasks):
+                if zlib.crc32(to.encode()) % parts == part:
+                    if to in seen:
+                        self._drop(store, f"{place}/{self.run}")
+                        raise FileExistsError("blocks of a file came to several tasks")
+                    seen.add(to)
+        with ThreadPoolExecutor(16) as pool:
+            for some in _batched(self._moves(store, place, tasks)):
+                for folder in {to.rsplit("/", 1)[0] for _, to in some}:
+                    store.create_dir(folder, recursive=True)
+                list(pool.map(lambda m: store.move(*m), some, chunksize=64))
         self._drop(store, f"{place}/{self.run}")
         store.create_dir(place, recursive=True)
         with store.open_output_stream(f"{place}/_SUCCESS"):
             pass
 
+    @staticmethod
+    def _moves(store: pafs.FileSystem, place: str, tasks: list[Written]) -> Iterator[tuple[str, str]]:
+        """Temporary and lasting path of every file, one task's list after the other, line by line."""
+        for m in tasks:
+            with store.open_input_stream(f"{m.folder}/_names", buffer_size=1 << 16) as raw, io.TextIOWrapper(raw, "utf-8", newline="\n") as names:
+                for number, line in enumerate(names):
+                    yield f"{m.folder}/{number}.wav", f"{place}/{json.loads(line)}"
+
     def abort(self, messages: list[Written | None]) -> None:
         store, place = file_system(self.path)
         self._drop(store, f"{place}/{self.run}")

@@ -1,8 +1,10 @@
 """The WAV data source: ranges of files, headers alone, and a writer that leaves all or nothing."""
 
 import os
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,41 @@ def test_a_file_without_a_block_is_not_written(spark, tmp_path):
     with pytest.raises(Exception, match="missing"):
         rows.write.format("wav").option("path", str(tmp_path / "t")).mode("append").save()
     assert not [f for _, _, files in os.walk(tmp_path / "t") for f in files]
+
+
+def test_the_driver_gets_no_names_of_files(tmp_path, monkeypatch):
+    """What tasks report and what they are told doesn't grow with the number of files; every file is there once."""
+    monkeypatch.setattr(wav_source, "SOME", 7)
+    monkeypatch.setattr(wav_source, "_batched", lambda items, real=wav_source._batched: real(items, 11))
+    target, names = str(tmp_path / "out"), [f"{stem}/{'x' * 50}{k}.wav" for stem in ("a", "a-b", "a b", "b\n") for k in range(100)] + ["a.wav", "c/d/e.wav"]
+    row = lambda name, k: pa.RecordBatch.from_pylist([{"file": name, "block": 0, "sr": 8000, "channels": 1, "total": 3, "samples": [k / 1000, 0.0, -0.5]}])
+    writer = wav_source.FileWriter({"path": target, "bits": -64}, False)
+    messages = [writer.write(iter([row(n, k) for k, n in enumerate(names) if k % 3 == task])) for task in range(3)]
+    assert len(pickle.dumps(messages)) < 1000 and not [f for f in os.listdir(target) if not f.startswith("_")]
+    writer.commit([*messages, None])
+    assert sorted(os.listdir(target)) == ["_SUCCESS", "a", "a b", "a-b", "a.wav", "b\n", "c"]
+    read = lambda reader: [b for p in reader.partitions() for b in reader.read(p)]
+    for ranges in (4096, 5 * 4096, 1 << 20):
+        reader = wav_source.BlockReader({"path": target, "double": "true", "rangebytes": ranges})
+        assert all(len(pickle.dumps(p)) < 500 for p in reader.partitions()) and len(reader.partitions()) == -(-len(names) * 4096 // ranges)
+        assert sorted((b["track"][0].as_py(), b["samples"][0].as_py()) for b in read(reader)) == sorted((n.removesuffix(".wav"), [k / 1000, 0.0, -0.5]) for k, n in enumerate(names))
+    info = wav_source.InfoReader({"path": target, "files": 37})
+    assert all(len(pickle.dumps(p)) < 500 for p in info.partitions()) and sorted(x for b in read(info) for x in b["path"].to_pylist()) == sorted(f"{target}/{n}" for n in names)
+    again = wav_source.FileWriter({"path": target}, False)
+    with pytest.raises(FileExistsError, match="2 files are there already"):
+        again.commit([again.write(iter([row(n, 1)])) for n in ("c/d/e.wav", "new.wav", names[9])])
+    with pytest.raises(FileExistsError, match="several tasks"):
+        again.commit([again.write(iter([row(n, 1)])) for n in ("new.wav", "other.wav", "new.wav")])
+    assert not os.path.exists(f"{target}/new.wav") and not [f for f in os.listdir(target) if f.startswith("_temporary")]
+    parts = reader.partitions()
+    os.remove(f"{target}/{names[5]}")
+    with pytest.raises(OSError, match="came or went"):
+        [b for p in parts for b in reader.read(p)]
+
+
+def test_stems_are_written_from_block_rows_but_silent_ones(spark, tmp_path):
+    x = {("a", 1): [0.0, 0.5, -0.25, 0.0, 0.125], ("b", 1): [0.0, 1e-7, 0.0, 0.0, 0.0], ("c", 2): [0.0, 0.0, 0.0, 0.0, 0.75]}
+    rows = spark.createDataFrame([(t, s, b, 5, v[2 * b : 2 * b + 2]) for (s, t), v in x.items() for b in range(3)], "track long, stem string, block int, total long, samples array<double>")
+    wav.write_stems(rows.repartition(3), str(tmp_path / "out"), bits=-64)
+    found = {f"{folder}/{f}": wav.pcm_samples((tmp_path / "out" / folder / f).read_bytes())[0][:, 0].tolist() for folder in ("a", "c") for f in os.listdir(tmp_path / "out" / folder)}
+    assert found == {"a/1.wav": x["a", 1], "c/2.wav": x["c", 2]} and not (tmp_path / "out" / "b").exists()

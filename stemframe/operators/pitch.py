@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,21 +99,24 @@ def centres_of(index: DataFrame, most: int = MOST_CENTRES) -> np.ndarray:
     return x[chosen]
 
 
-def _placed(vectors: DataFrame, centres, with_all: bool) -> DataFrame:
-    """id, x (doubles) and cell: the nearest centre, and its distance; with_all: the distances to every centre as well."""
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """From each vector (up to 256) to each centre."""
+    return np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)) if c.size * len(x) < 4_000_000 else np.stack([np.sqrt(((c - v) ** 2).sum(axis=1)) for v in x])
+
+
+def _placed(vectors: DataFrame, centres) -> DataFrame:
+    """id, x (doubles) and cell: the nearest centre, and its distance."""
 
     def run(batches):
         c = centres.value
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                x = np.stack(part["x"].to_numpy()).astype(float)
-                d = np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)) if c.size * len(x) < 4_000_000 else np.stack([np.sqrt(((c - v) ** 2).sum(axis=1)) for v in x])
-                out = part.assign(cell=d.argmin(axis=1), d=d.min(axis=1))
-                yield out.assign(every=list(d)) if with_all else out
+                d = _distances(np.stack(part["x"].to_numpy()).astype(float), c)
+                yield part.assign(cell=d.argmin(axis=1), d=d.min(axis=1))
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.transform("vec", lambda v: v.cast("double")).alias("x"))
-    return rows.mapInPandas(run, "id long, x array<double>, cell int, d double" + ", every array<double>" * with_all)
+    return rows.mapInPandas(run, "id long, x array<double>, cell int, d double")
 
 
 def _tiles(rows: DataFrame, size: int, prefix: str, *more: str) -> DataFrame:
@@ -152,13 +156,99 @@ def _met(q: DataFrame, x: DataFrame, k: int, tile: int, compared) -> DataFrame:
     return pairs.select("q_id", "q_d", "q_x", "q_bound", "x_id", "x_d", "x_x").mapInPandas(run, "query long, hit long, d double")
 
 
+def _merged(top: tuple[np.ndarray, np.ndarray], row: np.ndarray, d: np.ndarray, hit: np.ndarray) -> None:
+    """Take found (row, d, hit) into the rows of ``top``, (d, hit) of the k nearest so far in their order."""
+    rows, k = np.unique(row), top[0].shape[1]
+    row = np.concatenate((np.repeat(rows, k), row))
+    d, hit = np.concatenate((top[0][rows].ravel(), d)), np.concatenate((top[1][rows].ravel(), hit))
+    order = np.lexsort((hit, d, row))
+    row, d, hit = row[order], d[order], hit[order]
+    begin = np.searchsorted(row, rows)[:, None] + np.arange(k)
+    top[0][rows], top[1][rows] = d[begin], hit[begin]
+
+
+def _block_met(a: np.ndarray, own: np.ndarray, bound: np.ndarray, b: np.ndarray, ids: np.ndarray, top: tuple[np.ndarray, np.ndarray], rows: np.ndarray, centre: np.ndarray) -> None:
+    """Queries a (ids own, distances bound, places rows in ``top``) against vectors b: products bound the distances, and those that may count are computed as they are."""
+    x, y = a - centre, b - centre
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    limit = np.minimum(bound * bound, top[0][rows, -1])
+    error = 1e-12 * (xx[:, None] + yy[None, :]) + 1e-300
+    at, to = np.nonzero(xx[:, None] + yy[None, :] - 2 * (x @ y.T) <= limit[:, None] + error)
+    keep = ids[to] != own[at]
+    at, to = at[keep], to[keep]
+    step = max(1, 2_000_000 // a.shape[1])
+    for k in range(0, len(at), step):
+        one, other = at[k : k + step], to[k : k + step]
+        d = ((b[other] - a[one]) ** 2).sum(axis=1)
+        near = d <= limit[one]
+        if near.any():
+            _merged(top, rows[one[near]], d[near], ids[other[near]])
+
+
+#: Queries and vectors of the index that meet in a task at once.
+BLOCK_QUERIES, BLOCK_INDEX = 16_384, 16_384
+#: Stands for no hit, behind all others.
+NONE = np.iinfo(np.int64).max
+
+
+def _searched(q: DataFrame, x: DataFrame, k: int, centres, compared) -> DataFrame:
+    """(query, hit, d): the k nearest in each block of the index, of lists that a query has not looked into.
+
+    q has bucket, part, id, x, bound, seen (an array of lists), x has bucket, part, id, x, cell and d. Queries and vectors of a
+    bucket and part meet in one task; they are blocks of bounded size, whatever lists the queries ask for.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat = lambda table: table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        number = lambda table, name: table.column(name).to_numpy()
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_pydict({"query": pa.array([], pa.int64()), "hit": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        a, own, bound = flat(left), number(left, "id"), number(left, "bound")
+        b, ids, cell, xd = flat(right), number(right, "id"), number(right, "cell"), number(right, "d")
+        seen = left.column("seen").combine_chunks()
+        seen_by, seen_list = np.repeat(np.arange(len(own)), seen.value_lengths().to_numpy()), seen.flatten().to_numpy()
+        order = np.lexsort((xd, cell))
+        b, ids, cell, xd = b[order], ids[order], cell[order], xd[order]
+        top = np.full((len(own), k), np.inf), np.full((len(own), k), NONE)
+        c = centres.value
+        for one in np.unique(cell):
+            begin, end = np.searchsorted(cell, one), np.searchsorted(cell, one, "right")
+            d = np.sqrt(((a - c[one]) ** 2).sum(axis=1))
+            reach = bound * (1 + 1e-9) + 1e-12 * (1 + d)
+            asked = (d - xd[end - 1] <= reach) & (xd[begin] - d <= reach)
+            asked[seen_by[seen_list == one]] = False
+            rows = np.flatnonzero(asked)
+            rows = rows[np.argsort(d[rows], kind="stable")]
+            # Of a list only the shell can be nearer than the bound: |d(q, centre) - d(x, centre)| <= d(q, x).
+            lo, hi = begin + np.searchsorted(xd[begin:end], d[rows] - reach[rows]), begin + np.searchsorted(xd[begin:end], d[rows] + reach[rows], "right")
+            rows, lo, hi = rows[hi > lo], lo[hi > lo], hi[hi > lo]
+            todo = [(at, min(at + 128, len(rows))) for at in range(0, len(rows), 128)]
+            while todo:
+                at, to = todo.pop()
+                low, high, wanted = lo[at:to].min(), hi[at:to].max(), (hi[at:to] - lo[at:to]).sum()
+                if to - at > 1 and (high - low) * (to - at) > 1.25 * wanted:  # their shells differ
+                    todo += [(at, (at + to) // 2), ((at + to) // 2, to)]
+                    continue
+                some = rows[at:to]
+                for go in range(low, high, 1024):
+                    stop = min(high, go + 1024)
+                    if compared is not None:
+                        compared.add(len(some) * int(stop - go))
+                    _block_met(a[some], own[some], bound[some], b[go:stop], ids[go:stop], top, some, c[one])
+        at, turn = np.nonzero(top[1] != NONE)
+        return pa.Table.from_pydict({"query": own[at], "hit": top[1][at, turn], "d": top[0][at, turn]})
+
+    return q.groupBy("bucket", "part").cogroup(x.groupBy("bucket", "part")).applyInArrow(run, "query long, hit long, d double")
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = 8, tile: int = 2048, compared=None) -> DataFrame:
     """(query, hit, d): the k index vectors (vec_id, vec) of least squared distance to each query, by exact search.
 
     The index is kept in lists by nearest centre. A query first looks into the lists of the centres nearest to it that
     hold k vectors together; the k-th distance found bounds what follows: by the triangle inequality a list whose
     distances to its centre lie between lo and hi holds nothing within r of a query at distance d of that centre, if d - hi > r or
-    lo - d > r. Such lists are skipped, no vector is left out. Lists and queries meet in tiles of bounded size. A
+    lo - d > r. Such lists are skipped, no vector is left out. Lists and queries meet in tiles of bounded size, and what is
+    left after the first look in blocks: a query goes to each block of the index once, not to each of its lists. A
     query does not meet its own vec_id; equal distances go to the smaller id. Vectors have no nulls and one length.
     ``compared``: an accumulator that gets the number of distances to vectors that were computed.
     """
@@ -166,36 +256,47 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 8, tile: int = 2048,
     centres = spark.sparkContext.broadcast(centres_of(index))
     if not len(centres.value):
         return queries.select(F.col("vec_id").cast("long").alias("query"), F.lit(0).cast("long").alias("hit"), F.lit(0.0).alias("d")).limit(0)
-    x = staged(_placed(index, centres, False), "lists")
-    q = staged(_placed(queries, centres, True), "queries")
+    x = staged(_placed(index, centres), "lists")
+    q = staged(_placed(queries, centres), "queries")
     # One row for each centre: at most MOST_CENTRES.
     shells = {r.cell: r for r in x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
     n, lo, hi = (np.array([getattr(shells[c], name) if c in shells else none for c in range(len(centres.value))]) for name, none in (("n", 0), ("lo", np.inf), ("hi", -np.inf)))
     slack = 1 + 1e-9
+    # Vectors lie in blocks in order of their lists; within a list by a hash, so that a long one is dealt over several.
+    start, parts = np.cumsum(n) - n, -(-q.count() // BLOCK_QUERIES)
 
-    def dealt(first: bool):
+    def asked(make, columns):
         def run(batches):
             for pdf in batches:
-                rows = []
-                for own, v, every, bound in zip(pdf["id"], pdf["x"], pdf["every"], pdf["bound"]):
-                    every = np.asarray(every)
-                    order = np.argsort(every, kind="stable")
-                    near = order[: np.searchsorted(np.cumsum(n[order]), k + 1) + 1]
-                    if not first:
-                        lists = np.flatnonzero((n > 0) & (every - hi <= bound) & (lo - every <= bound))
-                        near = lists[~np.isin(lists, near)]
-                    rows += [(own, v, int(c), every[c], bound) for c in near if n[c]]
-                yield pd.DataFrame(rows, columns=["id", "x", "cell", "d", "bound"])
+                for at in range(0, len(pdf), 256):
+                    part, rows = pdf.iloc[at : at + 256], []
+                    for own, v, bound, every in zip(part["id"], part["x"], part["bound"], _distances(np.stack(part["x"].to_numpy()), centres.value)):
+                        order = np.argsort(every, kind="stable")
+                        near = order[: np.searchsorted(np.cumsum(n[order]), k + 1) + 1]
+                        rows += make(own, v, bound, every, near[n[near] > 0])
+                    yield pd.DataFrame(rows, columns=columns)
 
         return run
 
-    schema = "id long, x array<double>, cell int, d double, bound double"
+    def first(own, v, bound, every, near):
+        return [(own, v, int(c), every[c], bound) for c in near]
+
+    def others(own, v, bound, every, near):
+        lists = np.flatnonzero((n > 0) & (every - hi <= bound) & (lo - every <= bound))
+        lists = lists[~np.isin(lists, near)]
+        buckets = {b for s, e in zip(start[lists] // BLOCK_INDEX, (start[lists] + n[lists] - 1) // BLOCK_INDEX) for b in range(s, e + 1)}
+        return [(int(b), own, v, bound, near) for b in buckets]
+
     turn = F.row_number().over(Window.partitionBy("query").orderBy("d", "hit"))
     best = lambda found: found.withColumn("turn", turn).filter(F.col("turn") <= k).drop("turn")
-    began = staged(best(_met(q.withColumn("bound", F.lit(float("inf"))).mapInPandas(dealt(True), schema), x, k, tile, compared)), "began")
+    look = q.withColumn("bound", F.lit(float("inf"))).mapInPandas(asked(first, ["id", "x", "cell", "d", "bound"]), "id long, x array<double>, cell int, d double, bound double")
+    began = staged(best(_met(look, x, k, tile, compared)), "began")
     bounds = began.groupBy(F.col("query").alias("id")).agg((F.sqrt(F.max("d")) * slack + 1e-12).alias("r"), F.count(F.lit(1)).alias("found"))
-    rest = q.join(bounds, "id", "left").withColumn("bound", F.when(F.col("found") >= k, F.col("r")).otherwise(float("inf")))
-    out = staged(best(began.unionByName(_met(rest.select("id", "x", "every", "bound").mapInPandas(dealt(False), schema), x, k, tile, compared))), "nearest")
+    rest = q.join(bounds, "id", "left").withColumn("bound", F.when(F.col("found") >= k, F.col("r")).otherwise(float("inf"))).select("id", "x", "bound")
+    rest = rest.mapInPandas(asked(others, ["bucket", "id", "x", "bound", "seen"]), "bucket int, id long, x array<double>, bound double, seen array<int>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    place = F.get(F.array(*map(F.lit, start.tolist())), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(F.array(*map(F.lit, n.tolist())), F.col("cell")).cast("long"))
+    blocks = x.withColumn("bucket", F.floor(place / BLOCK_INDEX).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(parts, 1) - 1).cast("long"))))
+    out = staged(best(began.unionByName(_searched(rest, blocks, k, centres, compared))), "nearest")
     discard(x, q, began)
     return out
 

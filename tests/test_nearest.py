@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from stemframe.operators import pitch
+from tests.test_growth import stage_rows
 
 SCHEMA = "vec_id long, vec array<double>"
 
@@ -50,3 +51,26 @@ def test_lists_that_cannot_hold_a_nearer_vector_are_skipped(spark):
 def test_an_empty_index_has_no_hits(spark):
     _, index = made(spark, np.ones((3, 2)), range(3))
     assert pitch.nearest(index, index.limit(0)).count() == 0 and pitch.nearest(index.limit(0), index).count() == 0
+
+
+def test_queries_go_to_blocks_of_the_index_not_to_each_list(spark):
+    """On even vectors no list can be skipped; rows that are exchanged stay near the numbers of vectors and queries."""
+    _, index = made(spark, np.random.default_rng(4).normal(size=(2500, 6)), range(2500))
+
+    class Lazy:
+        @property
+        def write(self):
+            return pitch.nearest(index.filter("vec_id % 5 = 0"), index, 8).write
+
+    assert stage_rows(spark, Lazy()) < 500 * 50
+
+
+@pytest.mark.parametrize("kind", ["even", "copies", "far"])
+def test_blocks_of_any_size_give_all_distances(spark, monkeypatch, kind):
+    monkeypatch.setattr(pitch, "BLOCK_INDEX", 37)
+    monkeypatch.setattr(pitch, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(5)
+    v = {"even": rng.normal(size=(300, 6)), "copies": np.repeat(rng.normal(size=(3, 6)), 100, axis=0), "far": 1e6 + rng.normal(size=(300, 6))}[kind]
+    rows, index = made(spark, v, rng.permutation(1000)[:300] - 500)
+    got = sorted((r.query, r.hit, round(r.d, 9)) for r in pitch.nearest(index.limit(60), index, 8, 64).collect())
+    assert got == [r for r in brute(rows, rows, 8) if r[0] in {q for q, _, _ in got}] and len(got) == 60 * 8
